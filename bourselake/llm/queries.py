@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash, substrings
-from .common import table
+from . import decontaminate, simhash, substrings, token_counts, token_files
+from .common import shared_folder, table
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE))
+    return token_files.digests(spark, path)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +37,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_substrings, op7_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op3_token_files, op5_token_counts, op6_substrings, op7_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
