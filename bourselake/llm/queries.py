@@ -8,12 +8,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash, substrings, token_counts, token_files
+from . import decontaminate, sharding, simhash, substrings, token_counts, token_files
 from .common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_BPE))
@@ -37,7 +41,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_files, op5_token_counts, op6_substrings, op7_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_sharding, op3_token_files, op5_token_counts, op6_substrings, op7_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
