@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, simhash, substrings, token_counts, token_files
+from . import decontaminate, lm, sharding, simhash, substrings, token_counts, token_files
 from .common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -41,7 +45,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_token_files, op5_token_counts, op6_substrings, op7_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_sharding, op3_token_files, op4_lm_scores, op5_token_counts, op6_substrings, op7_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
