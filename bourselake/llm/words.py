@@ -7,7 +7,7 @@ import numpy as np
 U = np.uint64
 _M1, _M2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 _BYTE, _WORD = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_BLOCK = 1 << 22
+_BLOCK = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 #: Separators [\x20\x09-\x0D].
