@@ -8,12 +8,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, sharding, simhash, substrings, token_counts, token_files
+from . import ann, decontaminate, langid, lm, sharding, simhash, substrings, token_counts, token_files
 from .common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}")
 
@@ -40,12 +44,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_token_files, op4_lm_scores, op5_token_counts, op6_substrings, op7_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_token_files, op4_lm_scores, op5_token_counts, op6_substrings, op7_simhash, op8_ann, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
