@@ -8,7 +8,7 @@ document). A factor is sufficiently long if it holds a window of WINDOW words; s
    block become factors at once, so that a passage, however frequent, leaves a block only once.
 2. What stays new in its block is parsed against all other blocks. Each window goes to the index of its minimizer (the
    smallest hash among its runs of ANCHOR words): equal windows have equal minimizers. Neighbouring windows
-   with the same minimizer travel as one phrase of up to 16 windows, a 48-bit rest hash each. The shuffle on
+   with the same minimizer travel as one phrase of up to 16 windows, REST bytes of hash each. The shuffle on
    the minimizer brings every phrase to the one part of the blocks' joint index that can hold its windows;
    phrases whose minimizer nobody else has end there. Ranking by (doc_id, start) tells first occurrences.
 3. Consecutive windows that repeat the same stretch join into a factor (start, windows, source). At factor boundaries each
@@ -25,24 +25,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, StructField, StructType
 
 from .common import col, flat, longs, slices
 from .words import U, find_words, run_hashes, word_hashes
 
 WINDOW, ANCHOR = 20, 5
 #: Bytes of text in a reference block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 LAST = 2**63 - 1
-_PHRASES = "g long, d long, k long, at int, n int, ref_d long, ref_at int, hi array<int>, lo array<smallint>"
+#: Bytes of the rest hash.
+REST = 6
+_PHRASES = "g long, d long, k int, at int, n int, ref_d long, ref_at int, rest binary"
 
 
-def _key():
-    """Names a document: its doc_id and text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __d and __k, which name a document: its doc_id (LAST for null) and a hash of its text."""
+    text_hash = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    return docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__k": text_hash})
 
 
 def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +58,13 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _parse(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     anchor = min(ANCHOR, window)
     names = [f.split()[0] for f in _PHRASES.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int16())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in slices(batches, most=BLOCK_BYTES):
             d, k = longs(col(x, "d"), LAST), longs(col(x, "k"), 0)
             order = np.lexsort((k, d))
-            order = order[np.append(True, k[order][1:] != k[order][:-1])]
+            order = order[np.append(True, (k[order][1:] != k[order][:-1]) | (d[order][1:] != d[order][:-1]))]
             d, k = d[order], k[order]
             raw, offs = flat(col(x, "text").take(pa.array(order)))
             starts, ends, first = find_words(raw, offs)
@@ -91,73 +95,89 @@ def _parse(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 goes_on = follows[old] & np.append(False, old[1:] == old[:-1] + 1) & np.append(False, shift[old][1:] == shift[old][:-1]) & np.append(False, doc[ref[old]][1:] == doc[ref[old]][:-1])
                 b, n = _runs(~goes_on)
                 o, r = old[b], ref[old[b]]
-                none = pa.nulls(len(b), kinds[7]), pa.nulls(len(b), kinds[8])
-                yield pa.RecordBatch.from_arrays([pa.array(k[doc[o]]), pa.array(d[doc[o]]), pa.array(k[doc[o]]), pa.array(at[o], kinds[3]), pa.array(n, kinds[4]), pa.array(d[doc[r]]), pa.array(at[r], kinds[6]), *none], names)
+                # a row of their own: they pass the index, whatever part it is
+                own = (d[doc[o]] * 31 + at[o]) * 0x9E3779B1
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(d[doc[o]]), pa.array(k[doc[o]], kinds[2]), pa.array(at[o], kinds[3]), pa.array(n, kinds[4]), pa.array(d[doc[r]]), pa.array(at[r], kinds[6]), pa.nulls(len(b), kinds[7])], names)
 
             # phrases for the other blocks
             fresh = np.flatnonzero(new)
             goes_on = follows[fresh] & np.append(False, fresh[1:] == fresh[:-1] + 1) & np.append(False, low[fresh][1:] == low[fresh][:-1])
             b, n = _runs(~goes_on)
             o, rest = fresh[b], whole[fresh]
-            lists = pa.array(np.append(b, len(fresh)), pa.int32())
-            hi = pa.ListArray.from_arrays(lists, pa.array((rest >> U(32)).astype(np.uint32).view(np.int32)))
-            lo = pa.ListArray.from_arrays(lists, pa.array(((rest >> U(16)) & U(0xFFFF)).astype(np.uint16).view(np.int16)))
+            data = np.ascontiguousarray(rest.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :REST])
+            cuts = (np.append(b, len(fresh)) * REST).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
             nothing = pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[low[o]].view(np.int64)), pa.array(d[doc[o]]), pa.array(k[doc[o]]), pa.array(at[o], kinds[3]), pa.array(n, kinds[4]), *nothing, hi, lo], names)
+            yield pa.RecordBatch.from_arrays([pa.array(anchors[low[o]].view(np.int64)), pa.array(d[doc[o]]), pa.array(k[doc[o]], kinds[2]), pa.array(at[o], kinds[3]), pa.array(n, kinds[4]), *nothing, packed], names)
 
     return parse
 
 
 def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k (names the document), at (its first word), n (windows), ref_d and ref_at (the doc_id and word it repeats): all factors with a window or more.
+    """d and k (name the document), at (its first word), n (windows), ref_d and ref_at (the doc_id and word it repeats): all factors with a window or more.
 
     The factor covers words at .. at + n + window - 2. Texts shorter than a window, null and empty ones have none.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), _key().alias("k"), F.col("text").cast("string").alias("text")).where("text is not null")
+    rows = _keyed(docs).select(F.col("__d").alias("d"), F.col("__k").alias("k"), F.col("text").cast("string").alias("text")).where("text is not null")
     phrases = rows.mapInArrow(_parse(window), _PHRASES)
-    known = phrases.withColumn("same", F.count("*").over(Window.partitionBy("g"))).where("same > 1 or hi is null")
-    each = known.select("g", "d", "k", "at", "n", "ref_d", "ref_at", F.posexplode_outer(F.arrays_zip("hi", "lo")).alias("p", "w")).select("*", "w.hi", "w.lo").drop("w")
-    order = Window.partitionBy("g", "hi", "lo").orderBy("d", "k", F.col("at") + F.col("p"))
+    known = phrases.withColumn("same", F.count("*").over(Window.partitionBy("g"))).where("same > 1 or rest is null")
+    each = known.select("g", "d", "k", "at", "n", "ref_d", "ref_at", "rest", F.explode(F.when(F.col("rest").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))).alias("p"))
+    each = each.withColumn("w", F.substring("rest", F.col("p") * REST + 1, F.lit(REST))).drop("rest")
+    order = Window.partitionBy("g", "w").orderBy("d", "k", F.col("at") + F.col("p"))
     first = F.first(F.struct("d", "k", (F.col("at") + F.col("p")).alias("at"))).over(order)
-    ranked = each.select("*", F.when(F.col("hi").isNotNull(), F.rank().over(order)).alias("r"), first.alias("f")).where("hi is null or r > 1")
+    ranked = each.select("*", F.when(F.col("w").isNotNull(), F.rank().over(order)).alias("r"), first.alias("f")).where("w is null or r > 1")
     # A stretch that follows its source word by word is one factor, over a gap too: both sides of it repeat the same source.
-    source = F.coalesce("ref_d", "f.d"), F.when(F.col("hi").isNull(), F.lit(0)).otherwise(F.col("f.k")), F.when(F.col("hi").isNull(), F.col("ref_at")).otherwise(F.col("f.at") - F.col("p"))
-    joined = ranked.groupBy("g", "k", "at", "n", source[0].alias("ref_d"), source[1].alias("ref_k"), source[2].alias("ref_at")).agg(F.min("p").alias("low"), F.max("p").alias("high"))
-    low = F.coalesce("low", F.lit(0))
-    return joined.select("k", (F.col("at") + low).alias("at"), F.when(F.col("low").isNull(), F.col("n")).otherwise(F.col("high") - F.col("low") + 1).cast("int").alias("n"), "ref_d", (F.col("ref_at") + low).alias("ref_at"))
+    own = F.col("w").isNull()
+    ref_d, ref_k, ref_at = F.coalesce("ref_d", "f.d"), F.when(own, F.lit(0)).otherwise(F.col("f.k")), F.when(own, F.col("ref_at")).otherwise(F.col("f.at") - F.col("p"))
+    joined = ranked.groupBy("g", "d", "k", "at", "n", own.alias("own"), ref_d.alias("ref_d"), ref_k.alias("ref_k"), ref_at.alias("ref_at")).agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    return joined.select("d", "k", (F.col("at") + F.col("low")).alias("at"), F.when(F.col("own"), F.col("n")).otherwise(F.col("high") - F.col("low") + 1).cast("int").alias("n"), "ref_d", (F.col("ref_at") + F.col("low")).alias("ref_at"))
 
 
 def _with_factors(docs: DataFrame, window: int) -> DataFrame:
-    of = factors(docs, window).groupBy(F.col("k").alias("__k")).agg(F.collect_list("at").alias("__at"), F.collect_list("n").alias("__n"))
-    return docs.withColumn("__key", _key()).join(of, F.col("__key") == F.col("__k"), "left").drop("__key", "__k")
+    """docs with text as zstd-compressed bytes (it is the bulk of the shuffle), __at and __n (the factors)."""
+    rows = _keyed(docs)
+    names = rows.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        put = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        for x in batches:
+            text = pa.array([None if t is None else put(t.encode()) for t in col(x, "text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([text if c == "text" else col(x, c) for c in names], names)
+
+    packed = rows.mapInArrow(pack, _with_text(rows, BinaryType()))
+    of = factors(docs, window).groupBy(F.col("d").alias("__fd"), F.col("k").alias("__fk")).agg(F.collect_list("at").alias("__at"), F.collect_list("n").alias("__n"))
+    return packed.join(of, (F.col("__d") == F.col("__fd")) & (F.col("__k") == F.col("__fk")), "left").drop("__d", "__k", "__fd", "__fk")
+
+
+def _with_text(docs: DataFrame, kind: DataType) -> StructType:
+    return StructType([StructField("text", kind) if f.name == "text" else StructField(f.name, f.dataType) for f in docs.schema])
 
 
-def _cut(window: int, x: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes | None]]:
-    """(row, words, removed words, kept words joined by a space) of each row."""
+def _cut(window: int, x: pa.RecordBatch) -> Iterator[tuple[bytes | None, int, int, bytes]]:
+    """(text, words, removed words, kept words joined by a space) of each row."""
     at, n = col(x, "__at"), col(x, "__n")
-    for i, text in enumerate(col(x, "text").cast(pa.string()).to_pylist()):
-        words = text.encode().split() if text is not None else []
-        gone = np.zeros(len(words) + 1, np.int64)
+    get = zstandard.ZstdDecompressor().decompress
+    for i, packed in enumerate(col(x, "text").to_pylist()):
+        text = None if packed is None else get(packed)
+        kept = words = (text or b"").split()
         if at[i].is_valid:
-            a, m = np.array(at[i].as_py()), np.array(n[i].as_py())
+            gone = np.zeros(len(words) + 1, np.int64)
+            a = at[i].values.to_numpy()
             np.add.at(gone, a, 1)
-            np.subtract.at(gone, a + m + window - 1, 1)
-            gone = np.cumsum(gone) > 0
-            kept = [w for w, g in zip(words, gone.tolist(), strict=False) if not g]
-        else:
-            kept = words
-        yield i, len(words), len(words) - len(kept), b" ".join(kept)
+            np.subtract.at(gone, a + n[i].values.to_numpy() + (window - 1), 1)
+            keep = np.cumsum(gone) == 0
+            kept = [w for w, k in zip(words, keep.tolist(), strict=False) if k]
+        yield text, len(words), len(words) - len(kept), b" ".join(kept)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The contract's columns: doc_id, n_words, n_removed, kept_sha256 of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in slices([batch]):
-                rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for _, n, gone, kept in _cut(window, x)]
-                n, gone, sha = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([col(x, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for x in batches:
+            rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for _, n, gone, kept in _cut(window, x)]
+            n, gone, sha = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([col(x, "doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _with_factors(rows, window).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -169,10 +189,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in slices(batches):
-            new = [kept.decode() if gone else None for _, _, gone, kept in _cut(window, x)]
-            text = pa.array([a if a is not None else b for a, b in zip(new, col(x, "text").to_pylist(), strict=True)], pa.string())
+        for x in batches:
+            new = [kept if gone else text for text, _, gone, kept in _cut(window, x)]
+            text = pa.array([None if t is None else t.decode() for t in new], pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else col(x, c) for c in names], names)
 
-    schema = StructType([StructField("text", StringType()) if f.name == "text" else StructField(f.name, f.dataType) for f in rows.schema])
-    return _with_factors(rows, window).mapInArrow(run, schema)
+    return _with_factors(rows, window).mapInArrow(run, rows.schema)
