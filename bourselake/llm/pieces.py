@@ -5,7 +5,7 @@ each piece found in it; the log probability of a piece follows Zipf's law over t
 A character that no piece covers is an edge of its UTF-8 byte pieces, each with the score of the last rank less BYTE_PENALTY. A "▁"
 that is in the text itself goes by its bytes, so that decoding gives every text back exactly.
 
-Segmentation: a forward Viterbi pass gives each position's best score. Those scores are exact heuristics for a backward A* search from
+Segmentation: a forward Viterbi pass gives each position's best score (and its second, for the gap). Those scores are exact heuristics for a backward A* search from
 the end: hypotheses leave the queue in the order of their complete scores, so the first n that reach the start are the n best.
 
 Pieces never cross some borders: where no piece holds two neighbouring characters, the lattice falls apart. It is searched in such
@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -51,7 +52,8 @@ class Pieces:
         last = -float(np.log(len(normal) + ZIPF)) - BYTE_PENALTY
         self.byte_ids, self.byte_score = [bytes_[b] for b in range(256)], last
         self.edges = {names[i]: ((i,), self.scores[i]) for i in normal}
-        self.longest = max(map(len, self.edges))
+        # every prefix of a piece: its edge, or None where it is only a prefix
+        self.prefixes = {p[:i]: self.edges.get(p[:i]) for p in self.edges for i in range(1, len(p) + 1)}
         self.inner = {p[i : i + 2] for p in self.edges for i in range(len(p) - 1)}
         self.raw = [b""] * n  # what decoding an id gives
         for i in normal:
@@ -60,35 +62,71 @@ class Pieces:
             self.raw[i] = bytes([b])
         # a word: blanks and what follows up to the next blank or line end. Only valid where no piece has a blank after something else.
         self.words = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n") if not any(p[1] == BLANK != p[0] or "\n" in p for p in self.inner) else re.compile("(?s).+")
-        self.memo: dict[str, tuple[bytes, float, float, int]] = {}
-        self.parts: dict[str, tuple[bytes, float, float, int]] = {}
+        self.memo: dict[str, tuple[bytes, float, float]] = {}
+        self.near: dict[tuple[str, int], list[float]] = {}
+        self.parts: dict[str, tuple[bytes, float, float]] = {}
 
     # ---- one segment
 
-    def _edge(self, text: str, s: int, e: int) -> tuple[tuple[int, ...], float] | None:
-        found = self.edges.get(text[s:e])
-        if found is None and e == s + 1:
-            raw = (BLANK if text[s] == _LITERAL else text[s]).encode()
-            found = tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)
-        return found
+    def _bytes(self, c: str) -> tuple[tuple[int, ...], float]:
+        raw = (BLANK if c == _LITERAL else c).encode()
+        return tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)
+
+    def edges_from(self, text: str, s: int) -> Iterator[tuple[int, tuple[tuple[int, ...], float]]]:
+        """(end, edge) of all edges that start at s."""
+        prefixes, missing = self.prefixes, 0
+        for e in range(s + 1, len(text) + 1):
+            edge = prefixes.get(text[s:e], missing)
+            if edge is missing:
+                break
+            if edge is not None:
+                yield e, edge
+        if text[s] not in self.edges:
+            yield s + 1, self._bytes(text[s])
+
+    def viterbi(self, text: str) -> tuple[list[int], float, float]:
+        """(ids, score, gap to the second best) of a segment: one forward pass that keeps each position's two best scores."""
+        n, low, missing = len(text), -1e300, 0
+        one, two, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        one[0] = 0.0
+        get, single = self.prefixes.get, self.edges
+        for s in range(n):
+            first, second = one[s], two[s]
+            for e in range(s + 1, n + 1):
+                edge = get(text[s:e], missing)
+                if edge is None:
+                    continue
+                if edge is missing:
+                    break
+                score = edge[1]
+                new = first + score
+                if new > one[e]:
+                    two[e] = max(one[e], second + score)
+                    one[e] = new
+                    back[e] = s, edge[0]
+                elif new > two[e]:
+                    two[e] = new
+            if text[s] not in single:
+                ids, score = self._bytes(text[s])
+                if first + score > one[s + 1]:
+                    two[s + 1] = max(one[s + 1], second + score)
+                    one[s + 1] = first + score
+                    back[s + 1] = s, ids
+                elif first + score > two[s + 1]:
+                    two[s + 1] = first + score
+        parts, at = [], n
+        while at:
+            at, ids = back[at]
+            parts.append(ids)
+        return [i for ids in reversed(parts) for i in ids], one[n], one[n] - two[n] if two[n] > -1e299 else np.inf
 
     def lattice(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
         """Edges by their end, and the best score of each position."""
-        n, longest, edges = len(text), self.longest, self.edges
-        by_end, best = [[]], [0.0]
-        for e in range(1, n + 1):
-            here, top = [], -1e300
-            for s in range(max(0, e - longest), e):
-                found = edges.get(text[s:e])
-                if found is None:
-                    if s < e - 1:
-                        continue
-                    found = self._edge(text, s, e)
-                here.append((s, *found))
-                if best[s] + found[1] > top:
-                    top = best[s] + found[1]
-            by_end.append(here)
-            best.append(top)
+        by_end, best = [[] for _ in range(len(text) + 1)], [0.0] + [-1e300] * len(text)
+        for s in range(len(text)):
+            for e, (ids, score) in self.edges_from(text, s):
+                by_end[e].append((s, ids, score))
+                best[e] = max(best[e], best[s] + score)
         return by_end, best
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -122,24 +160,23 @@ class Pieces:
         out.append(word[at:])
         return out
 
-    def _part(self, text: str) -> tuple[bytes, float, float, int]:
-        """(packed ids, score, gap to the second best, tokens) of a segment."""
+    def _part(self, text: str) -> tuple[bytes, float, float]:
+        """(packed ids, score, gap to the second best) of a segment."""
         found = self.parts.get(text)
         if found is None:
             if len(self.parts) > CACHE:
                 self.parts.clear()
-            two = self.n_best(text, 2)
-            gap = two[0][0] - two[1][0] if len(two) > 1 else np.inf
-            found = self.parts[text] = np.array(two[0][1], "<u4").tobytes(), two[0][0], gap, len(two[0][1])
+            ids, score, gap = self.viterbi(text)
+            found = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids), score, gap
         return found
 
-    def _word(self, word: str) -> tuple[bytes, float, float, int]:
+    def _word(self, word: str) -> tuple[bytes, float, float]:
         found = self.memo.get(word)
         if found is None:
             if len(self.memo) > CACHE:
                 self.memo.clear()
             parts = [self._part(p) for p in self._split(word)]
-            found = parts[0] if len(parts) == 1 else (b"".join(p[0] for p in parts), sum(p[1] for p in parts), min(p[2] for p in parts), sum(p[3] for p in parts))
+            found = parts[0] if len(parts) == 1 else (b"".join(p[0] for p in parts), sum(p[1] for p in parts), min(p[2] for p in parts))
             self.memo[word] = found
         return found
 
@@ -164,12 +201,21 @@ class Pieces:
             scores = [s for s, _ in self._combined(words, [r[2] for r in rows], total, n)]
         return b"".join([r[0] for r in rows]), scores, words
 
+    def _near(self, text: str, n: int) -> list[float]:
+        """Scores of a segment's n best."""
+        found = self.near.get((text, n))
+        if found is None:
+            if len(self.near) > CACHE // 4:
+                self.near.clear()
+            found = self.near[text, n] = [s for s, _ in self.n_best(text, n)]
+        return found
+
     def _combined(self, words: list[str], gaps: list[float], total: float, n: int) -> list[tuple[float, dict[int, int]]]:
         """(score, {(word, segment): which of its n best}) of the n best segmentations of all words."""
         near = heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__)
         spots = [((i, j), p) for i in near if gaps[i] < np.inf for j, p in enumerate(self._split(words[i]))]
         spots = heapq.nsmallest(n - 1, spots, key=lambda x: self._part(x[1])[2])
-        lists = [(key, [s for s, _ in self.n_best(p, n)]) for key, p in spots]
+        lists = [(key, self._near(p, n)) for key, p in spots]
         lists = [(key, [x[0] - v for v in x]) for key, x in lists]
         queue, seen, out = [(0.0, (0,) * len(lists))], {(0,) * len(lists)}, []
         while queue and len(out) < n:

@@ -8,10 +8,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, lm, sharding, simhash, substrings, token_counts, token_files
+from . import ann, decontaminate, langid, lm, pieces, sharding, simhash, substrings, token_counts, token_files
 from .common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +49,22 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_token_files, op4_lm_scores, op5_token_counts, op6_substrings, op7_simhash, op8_ann, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_token_files, op4_lm_scores, op5_token_counts, op6_substrings, op7_simhash, op8_ann, op9_sentencepiece, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
