@@ -1,6 +1,6 @@
 """All queries of the reference's operators."""
 
-from . import relational  # noqa: F401  registers its queries
+from . import enrichment, relational, search, streams  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

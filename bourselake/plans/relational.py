@@ -307,7 +307,7 @@ def W2_best_order_per_symbol(t: Tables) -> DataFrame:
     return ranking.top(best, [F.coalesce("value", F.lit(0)).desc(), F.col("symbol")], 12).select("symbol", "id", "value")
 
 
-@query("SELECT symbol, id, rn FROM (SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY broadcast_date DESC, id DESC) AS rn FROM announcements) WHERE rn <= 5")
+@query("SELECT symbol, id, CAST(rn AS INT) AS rn FROM (SELECT symbol, id, row_number() OVER (PARTITION BY symbol ORDER BY broadcast_date DESC, id DESC) AS rn FROM announcements) WHERE rn <= 5")
 def W3_last_n(t: Tables) -> DataFrame:
     ranked = ranking.with_rank(t.announcements, ["symbol"], [F.desc("broadcast_date"), F.desc("id")], "rn")
     return ranked.where("rn <= 5").select("symbol", "id", "rn")
@@ -366,7 +366,7 @@ def K1_insert_ignore(t: Tables) -> DataFrame:
     return merge.insert_ignore(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"), ["symbol", "broadcast_date", "subject"], [F.col("id")])
 
 
-@query("""SELECT symbol, signal_date, volume FROM (SELECT symbol, signal_date, volume + 1 AS volume FROM breakouts WHERE volume % 2 = 0 UNION ALL SELECT symbol, signal_date, volume FROM breakouts WHERE volume % 2 <> 0)""")
+@query("""SELECT symbol, signal_date, CAST(volume AS BIGINT) AS volume FROM (SELECT symbol, signal_date, volume + 1 AS volume FROM breakouts WHERE volume % 2 = 0 UNION ALL SELECT symbol, signal_date, volume FROM breakouts WHERE volume % 2 <> 0)""")
 def K7_upsert(t: Tables) -> DataFrame:
     rows = t.breakouts.select("symbol", "signal_date", "volume")
     batch = rows.where("volume % 2 = 0").select("symbol", "signal_date", F.explode(F.array(F.col("volume"), F.col("volume") + 1)).alias("volume"))
