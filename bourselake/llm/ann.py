@@ -2,7 +2,8 @@
 
 * Lists: k-means centroids of a bounded sample; every vector goes to its nearest centroid's list. A query probes the lists whose
   centroids have the largest inner product with it, PROBED of all lists at least and until they hold ENOUGH vectors.
-* Scan: vectors are rotated at random, so that any columns are a fair sample of a distance. Columns are read in blocks of BLOCK. After d
+* Scan: vectors are rotated at random, so that any columns are a fair sample of a distance. Columns are read in blocks: FIRST, which a matrix product reads for all pairs, then BLOCK by BLOCK
+  for the pairs left. After d
   of D columns, the distance to a candidate is estimated as D / d times its part so far; the hypothesis that the candidate
   still reaches the query's threshold is rejected where that exceeds the threshold's distance times (1 + EPSILON / sqrt(d)) ** 2.
   Rejected candidates are read no further. An inner product p means the squared distance |q|^2 + |x|^2 - 2 p.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import col
 
-K, BLOCK, EPSILON = 20, 16, 2.1
+K, FIRST, BLOCK, EPSILON = 20, 32, 16, 1.8
 SAMPLE, THRESHOLD_SAMPLE = 20_000, 4_096
 VECTORS_A_LIST, MOST_LISTS = 400, 2_048
 PROBED, ENOUGH = 0.65, 1_000
@@ -72,27 +73,30 @@ def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
-def scan(queries: np.ndarray, thresholds: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, block: int = BLOCK, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+def scan(queries: np.ndarray, thresholds: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) places of the pairs that no test has abandoned."""
     width = vectors.shape[1]
-    q, x = queries @ rotation, vectors @ rotation
-    # what the squared distance may be for the pair to reach the threshold
-    room = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None] - 2 * thresholds[:, None] + 1e-9
-    i, j, part, done = None, None, None, 0
+    q, x = (queries @ rotation).astype(np.float32), (vectors @ rotation).astype(np.float32)
+    qq, xx = (q**2).sum(axis=1), (x**2).sum(axis=1)
+    # what the squared distance may be for the pair to reach the threshold, less |x|^2; single precision gets some room
+    room = qq - 2 * thresholds.astype(np.float32) + np.float32(1e-4) * (1 + qq)
+    done = min(FIRST, width)
+    slack = np.float32((1 + epsilon / np.sqrt(done)) ** 2 if done < width else 1.0)
+    a, b = q[:, :done], x[:, :done]
+    grow = np.float32(width / done)
+    # part * grow <= (room + xx) * slack, with part = |a|^2 + |b|^2 - 2 a.b
+    found = a @ b.T
+    found *= -2 * grow
+    found += (grow * (a**2).sum(axis=1) - slack * room)[:, None]
+    i, j = np.nonzero(found <= (slack * (xx * np.float32(1 + 1e-4)) - grow * (b**2).sum(axis=1))[None])
+    part = ((a[i] - b[j]) ** 2).sum(axis=1)
     while done < width:
-        cut = slice(done, min(done + block, width))
-        if i is None:  # the first columns, for all pairs at once
-            a, b = q[:, cut], x[:, cut]
-            first = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * (a @ b.T)
-            done = cut.stop
-            i, j = np.nonzero(first * (width / done) <= room * (1 + epsilon / np.sqrt(done)) ** 2 + 1e-9)
-            part, room = first[i, j], room[i, j]
-        else:
-            part = part + ((q[i, cut] - x[j, cut]) ** 2).sum(axis=1)
-            done = cut.stop
-            slack = (1 + epsilon / np.sqrt(done)) ** 2 if done < width else 1.0
-            keep = part * (width / done) <= room * slack + 1e-9
-            i, j, part, room = i[keep], j[keep], part[keep], room[keep]
+        cut = slice(done, min(done + BLOCK, width))
+        part += ((q[i, cut] - x[j, cut]) ** 2).sum(axis=1)
+        done = cut.stop
+        slack = np.float32((1 + epsilon / np.sqrt(done)) ** 2 if done < width else 1.0)
+        keep = part * np.float32(width / done) <= (room[i] + xx[j] * np.float32(1 + 1e-4)) * slack
+        i, j, part = i[keep], j[keep], part[keep]
     return i, j
 
 
@@ -171,7 +175,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probed: float = PROB
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x, q = _matrix(vectors["v"], width), _matrix(queries["q"], width)
         low = queries["low"].to_numpy()
-        i, j = scan(q, np.where(np.isfinite(low), low, -1e300), x, setup.value[1])
+        i, j = scan(q, np.where(np.isfinite(low), low, -1e30), x, setup.value[1])
         other = ids[j] != asked_by[i]
         i, j = i[other], j[other]
         s = dots(q[i], x[j])
