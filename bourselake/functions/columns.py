@@ -140,7 +140,8 @@ def prior_period(period: Column) -> Column:
     space = F.when(period.rlike(r"(?i)^Q[1-4]\s+FY"), " ").otherwise("")
     back = lambda pattern, n: (F.nullif(F.regexp_extract(period, pattern, n), F.lit("")).try_cast("int") - 1).cast("string")
     yearly = F.concat(F.lit("FY"), back(r"(?i)^FY(\d{4})", 1))
-    quarter = F.concat(F.upper(q), space, F.lit("FY"), F.lpad(back(r"(?i)^Q[1-4]\s*FY(\d{2,4})", 1), 2, "0"))
+    year = back(r"(?i)^Q[1-4]\s*FY(\d{2,4})", 1)
+    quarter = F.concat(F.upper(q), space, F.lit("FY"), F.when(F.length(year) < 2, F.concat(F.lit("0"), year)).otherwise(year))
     dashed = F.concat(back(r"^(\d{4})-Q[1-4]", 1), F.lit("-"), F.regexp_extract(period, r"^\d{4}-(Q[1-4])", 1))
     span = F.concat(back(r"^(\d{4})-\d{2,4}", 1), F.lit("-"), F.regexp_extract(period, r"^\d{4}-(\d{2,4})", 1))
     return F.coalesce(quarter, dashed, yearly, span)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,10 +140,14 @@ def results(lines: DataFrame, key: str, factor: Column) -> DataFrame:
 def annexure(rows: Column) -> Column:
     """map of field -> text from table rows [number, particulars, description, ...]: the first row whose particulars hold a field's words, its last filled cell."""
     cells = lambda r: F.filter(F.slice(r, 3, F.greatest(F.size(r) - 2, F.lit(0))), lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")
+
+    def filled(names: list[str]):
+        said = lambda r: F.lower(F.coalesce(F.get(r, 1), F.lit("")))
+        return lambda r: reduce(lambda a, b: a | b, [said(r).contains(n) for n in names]) & (F.size(cells(r)) > 0)
+
     pairs = []
     for field, names in ANNEXURE_ROWS.items():
-        says = lambda r, names=names: F.coalesce(*[F.when(F.lower(F.coalesce(F.get(r, 1), F.lit(""))).contains(n), F.lit(True)) for n in names], F.lit(False))
-        row = F.get(F.filter(rows, lambda r, says=says: says(r) & (F.size(cells(r)) > 0)), 0)
+        row = F.get(F.filter(rows, filled(names)), 0)
         pairs.append(F.struct(F.lit(field).alias("k"), F.trim(F.try_element_at(cells(row), F.lit(-1))).alias("v")))
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.v.isNotNull()))
 
