@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rules
 from .columns import half_up, labels, number
 
 # Patterns, labels and keyword lists must be these for the results to be right.
@@ -165,3 +166,44 @@ def highlights(text: Column) -> Column:
     pairs = F.transform(F.filter(items, lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("v")))
     last = F.aggregate(pairs, F.array().cast("array<struct<k:string,v:string>>"), lambda acc, p: F.array_append(F.filter(acc, lambda a: a.k != p.k), p))
     return F.map_from_entries(last)
+
+
+def buyback(text: Column) -> Column:
+    """struct of size_cr, max_price, method; null without a size. A size may stand before or after the word."""
+    around = F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)buyback\s+size[^.]*?" + AMOUNT, 0), F.lit("")), F.nullif(F.regexp_extract(text, "(?i)" + AMOUNT + r"[^.]*?buyback", 0), F.lit("")))
+    size = to_crore(number(F.nullif(F.regexp_extract(around, "(?i)" + AMOUNT, 1), F.lit(""))), F.regexp_extract(around, "(?i)" + AMOUNT, 2))
+    method = F.initcap(F.nullif(F.regexp_extract(text, "(?i)" + rules.BUYBACK_METHOD, 1), F.lit("")))
+    return F.when(size > 0, F.struct(size.alias("size_cr"), number(F.nullif(F.regexp_extract(text, "(?i)" + rules.BUYBACK_PRICE, 1), F.lit(""))).alias("max_price"), method.alias("method")))
+
+
+def credit_rating(text: Column) -> Column:
+    """struct of agency, rating, previous, direction; the direction goes by the ratings' order from best to worst."""
+    agency = F.nullif(F.regexp_extract(text, "(?i)" + rules.RATING, 1), F.lit(""))
+    now, before = F.upper(F.regexp_extract(text, "(?i)" + rules.RATING, 2)), F.upper(F.nullif(F.regexp_extract(text, "(?i)" + rules.PREVIOUS_RATING, 1), F.lit("")))
+    place = lambda c: F.nullif(F.array_position(F.array(*map(F.lit, rules.RATINGS)), c), F.lit(0).cast("long"))
+    direction = F.when(place(now) < place(before), "upgrade").when(place(now) > place(before), "downgrade").when(place(now) == place(before), "unchanged")
+    return F.when(agency.isNotNull(), F.struct(agency.alias("agency"), now.alias("rating"), before.alias("previous"), direction.alias("direction")))
+
+
+def sanitised(text: Column) -> Column:
+    """Injected instructions become [removed], runs of four non-ASCII characters or more a blank."""
+    return F.regexp_replace(F.regexp_replace(text, "(?i)" + rules.INJECTION, "[removed]"), r"[^\x00-\x7F]{4,}", " ")
+
+
+def question_kind(text: Column) -> Column:
+    """order_win, financials, volume_breakout, announcements or all, by the words of a question."""
+    said = F.split(F.lower(text), r"[^a-z0-9_]+")
+    has = lambda words: F.arrays_overlap(said, F.array(*map(F.lit, words)))
+    order, money, breakout = has(rules.ORDER_WORDS), has(rules.FINANCIAL_WORDS), has(rules.BREAKOUT_WORDS)
+    subject = F.lower(text).rlike("|".join(rules.SUBJECT_WORDS))
+    return F.when(breakout & ~order & ~money, "volume_breakout").when(order & ~money, "order_win").when(money & ~order, "financials").when(subject & ~order & ~money, "announcements").otherwise("all")
+
+
+def ungrounded(answers: DataFrame, context: DataFrame, key: str, tolerance: float = 0.06) -> DataFrame:
+    """key, value: amounts of 1 crore or more in an answer (column text) that no value of its context is near to; amounts after 'above Rs', 'over Rs' and the like are thresholds, not claims."""
+    plain = F.regexp_replace(F.col("text"), r"(?i)\b(?:above|over|below|under|more\s+than|less\s+than|exceeding|minimum|minimum\s+of|at\s+least|upto|up\s+to|greater\s+than|smaller\s+than)\s+Rs\.?\s*[\d,.]+\s*(?:Cr|Crore)\b", "")
+    said = F.regexp_extract_all(plain, F.lit(r"(?i)Rs\.?\s*([\d,]+(?:\.\d+)?)\s*(?:Crore|Cr)\b"), 1)
+    claims = answers.select(key, F.explode(said).alias("v")).select(key, number(F.col("v")).alias("value")).where("value >= 1").distinct()
+    known = context.where("value > 0").select(F.col(key).alias("_key"), F.col("value").alias("_known"))
+    near = F.abs(F.col("value") - F.col("_known")) / F.greatest(F.col("_known"), F.lit(1.0)) < tolerance
+    return claims.join(known, (F.col(key) == F.col("_key")) & near, "left_anti")

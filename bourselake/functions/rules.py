@@ -204,3 +204,48 @@ RERANK = {"keyword": 0.35, "score": 0.25, "recency": 0.15, "diversity": 0.10, "v
 UNITS = r"(?:Rs\.?|₹|INR|Rupees?)\s*[.,]?\s*in\s*(million|mn|lakh|lakhs?|lacs?|crore|cr\.?)|All\s+amounts\s+are\s+in\s+INR\s+(million|lakh|lacs?|crore)|\([^)]*\bin\s+(million|mn|lakh|lacs?|lakhs?|crore|cr\.?)\b[^)]*\)|(?:Rs\.?|₹|INR)\s+(million|lakh|lacs?|crore)|\bin\s+(lakh|lakhs?|lacs?|crore|cr\.?|million|mn)\b"
 LAKH_NUMBER = r"\b\d{1,2},\d{2},\d{3}(?:\.\d+)?\b"
 NIL = ["", "-", "--", "—", "Nil", "NIL", "NA", "N/A", "Not Applicable"]
+
+EXTRACTION_TYPES = {
+    "Outcome of Board Meeting": "financial_results",
+    "Bagging/Receiving of orders/contracts": "order_win",
+    "Awarding of order(s)/contract(s)": "order_win",
+    "Press Release": "press_release",
+    "Press Release (Revised)": "press_release",
+    "General Updates": "press_release",
+    "Updates": "press_release",
+    "Analysts/Institutional Investor Meet/Con. Call Updates": "concall",
+    "Acquisition": "acquisition",
+    "Amalgamation/Merger": "restructuring",
+    "Demerger": "restructuring",
+    "Scheme of Arrangement": "restructuring",
+    "Scheme of Amalgamation - NCLT Order": "restructuring",
+    "Qualified Institutional Placement": "fundraising",
+    "Rights Issue": "fundraising",
+    "Fund Raising - Preferential Issue": "fundraising",
+    "Buyback": "buyback",
+    "Public Announcement-Open Offer": "open_offer",
+    "Credit Rating- Revision": "credit_rating",
+    "Credit Rating- New": "credit_rating",
+    "Corporate Insolvency Resolution Process": "cirp",
+    "Resolution Plan (for CIRP companies)": "cirp",
+    "Investor Presentation": "summary_only",
+    "Monthly Business Updates": "summary_only",
+    "Capacity addition": "summary_only",
+    "Commencement of commercial production/operations": "summary_only",
+    "Agreements": "summary_only",
+    "Memorandum of Understanding/Agreements": "summary_only",
+    "Diversification/Disinvestment": "summary_only",
+    "Sale or disposal": "summary_only",
+    "Adoption of new line(s) of business": "summary_only",
+}
+
+ORDER_WORDS = ["order", "orders", "contract", "contracts", "win", "wins", "bagged", "awarded", "l1", "loa"]
+BREAKOUT_WORDS = ["breakout", "breakouts", "hvy", "volume", "surge", "signal", "signals", "move", "momentum", "spike"]
+FINANCIAL_WORDS = ["revenue", "profit", "pat", "quarterly", "quarter", "results", "financial", "earnings", "ebitda", "margin", "sales", "income", "eps", "dividend", "annual", "q1", "q2", "q3", "q4", "fy"]
+SUBJECT_WORDS = ["acquisition", "merger", "amalgamation", "demerger", "insolvency", "nclt", "cirp", "buyback", "qip", "rights issue", "open offer", "credit rating", "management", "appointment", "appointed", "resignation", "resigned", "director", "ceo", "cfo", "cto", "md", "kmp", "fundraising", "allotment", "preferential", "dividend"]
+INJECTION = r"ignore (?:all |any )?(?:previous|prior|above) (?:instructions|prompts)|system prompt|you are now|disregard (?:all|the) (?:previous|above)"
+BUYBACK_PRICE = r"maximum\s+(?:buyback\s+)?price[^.]*?(?:Rs\.?|₹)\s*([\d,]+(?:\.\d+)?)"
+BUYBACK_METHOD = r"(open\s+market|tender\s+offer)"
+RATING = r"(?:rated?|rating|assigned?|reaffirmed?|upgraded?|downgraded?|revised?)[^.]{0,80}?(CRISIL|ICRA|CARE|India\s+Ratings|Brickwork|Acuite)\s+([A-D][A-D+\-]*)"
+PREVIOUS_RATING = r"(?:from|previous(?:ly)?|earlier)\s+([A-D][A-D+\-]+)"
+RATINGS = ["AAA", "AA+", "AA", "AA-", "A+", "A", "A-", "BBB+", "BBB", "BBB-", "BB+", "BB", "BB-", "B+", "B", "B-", "C", "D"]
