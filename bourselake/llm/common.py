@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,7 +17,19 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, and a batch is held as a whole on both sides.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; a smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +73,32 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker keeps from task to task: one thing, made when it is first asked for. Another key drops it."""
+    if key not in _kept:
+        _kept.clear()
+        release_memory()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """For tasks that keep nothing: drops what another operator's tasks have left in this worker."""
+    if _kept:
+        _kept.clear()
+        release_memory()
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system: a worker that is kept for later tasks doesn't hold on to its largest moment."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column holds at most so many bytes, or a single row."""
     for batch in batches:
@@ -70,6 +110,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release_memory()
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:

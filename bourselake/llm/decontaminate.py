@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import col, flat, slices
+from .common import col, flat, kept, slices
 from .words import LOWER, NOT_ALNUM, find_words, joined
 
 WINDOW = 10
@@ -47,20 +47,18 @@ def windows(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[s
     return {k.decode("latin-1"): (n, tuple(sorted(s))) for k, (n, s) in found.items()}
 
 
-_built: dict[str, ahocorasick.Automaton] = {}
-
-
 def automaton(patterns: dict[str, tuple[int, tuple[str, ...]]], key: str) -> ahocorasick.Automaton:
     """Built once in each worker."""
-    if key not in _built:
-        _built.clear()
+
+    def make() -> ahocorasick.Automaton:
         made = ahocorasick.Automaton()
         for pattern, value in patterns.items():
             made.add_word(pattern, value)
         if patterns:
             made.make_automaton()
-        _built[key] = made
-    return _built[key]
+        return made
+
+    return kept(("benchmark", key), make)
 
 
 def scan(raw: np.ndarray, offs: np.ndarray, machine: ahocorasick.Automaton) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, set[str]]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, flat, held_out, slices
+from .common import col, flat, forget, held_out, slices
 
 #: Labelled rows that classifiers are fitted on, at most about so many.
 SAMPLE_ROWS = 40_000
@@ -118,6 +118,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
     some = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < part * (1 << 20))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         found: dict[str, list] = {}
         for x in slices(batches):
             for lang, f in zip(col(x, "lang").to_pylist(), features(*flat(col(x, "text"))), strict=True):
@@ -144,6 +145,7 @@ def predict(docs: DataFrame, classifier: Classifier) -> DataFrame:
     letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         of: Classifier = sent.value
         for x in slices(batches):
             ok = np.array(col(x, "__letters").to_pylist(), bool) & bool(of.languages)

@@ -27,16 +27,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices
+from .common import col, kept, slices
 from .tokenizer import load
 
 N_BEST = 4
+#: Bytes of text that are encoded before their rows are passed on.
+SLICE_BYTES = 1 << 20
 ZIPF, BYTE_PENALTY = 2.7, 10.0
 BLANK = "▁"
 #: Stands for a BLANK that is in the text: a lone surrogate, which no text holds.
 _LITERAL = "\ud800"
-#: Entries of a worker's caches.
-CACHE = 400_000
+#: Entries of a generation of a worker's caches.
+CACHE = 200_000
+
+
+class Cache:
+    """The latest entries and those before them: a full generation becomes the old one, and what is asked for again stays."""
+
+    def __init__(self, most: int = CACHE):
+        self.new, self.old, self.most = {}, {}, most
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value):
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
 
 
 class Pieces:
@@ -62,9 +85,8 @@ class Pieces:
             self.raw[i] = bytes([b])
         # a word: blanks and what follows up to the next blank or line end. Only valid where no piece has a blank after something else.
         self.words = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n") if not any(p[1] == BLANK != p[0] or "\n" in p for p in self.inner) else re.compile("(?s).+")
-        self.memo: dict[str, tuple[bytes, float, float]] = {}
-        self.near: dict[tuple[str, int], list[float]] = {}
-        self.parts: dict[str, tuple[bytes, float, float]] = {}
+        # of words and of their segments: a word of one segment is there once
+        self.memo, self.near = Cache(), Cache(CACHE // 10)
 
     # ---- one segment
 
@@ -162,22 +184,20 @@ class Pieces:
 
     def _part(self, text: str) -> tuple[bytes, float, float]:
         """(packed ids, score, gap to the second best) of a segment."""
-        found = self.parts.get(text)
+        found = self.memo.get(text)
         if found is None:
-            if len(self.parts) > CACHE:
-                self.parts.clear()
             ids, score, gap = self.viterbi(text)
-            found = self.parts[text] = struct.pack(f"<{len(ids)}I", *ids), score, gap
+            found = self.memo.put(text, (struct.pack(f"<{len(ids)}I", *ids), score, gap))
         return found
 
     def _word(self, word: str) -> tuple[bytes, float, float]:
         found = self.memo.get(word)
         if found is None:
-            if len(self.memo) > CACHE:
-                self.memo.clear()
-            parts = [self._part(p) for p in self._split(word)]
-            found = parts[0] if len(parts) == 1 else (b"".join(p[0] for p in parts), sum(p[1] for p in parts), min(p[2] for p in parts))
-            self.memo[word] = found
+            split = self._split(word)
+            if len(split) == 1:
+                return self._part(word)
+            parts = [self._part(p) for p in split]
+            found = self.memo.put(word, (b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), min([p[2] for p in parts])))
         return found
 
     def prepared(self, text: str) -> list[str]:
@@ -193,8 +213,8 @@ class Pieces:
         words = self.prepared(text)
         if not words:
             return b"", [0.0], words
-        memo, word = self.memo, self._word
-        rows = [memo.get(w) or word(w) for w in words]
+        new, word = self.memo.new.get, self._word
+        rows = [new(w) or word(w) for w in words]
         total = float(sum(r[1] for r in rows))
         scores = [total]
         if n > 1:
@@ -205,9 +225,7 @@ class Pieces:
         """Scores of a segment's n best."""
         found = self.near.get((text, n))
         if found is None:
-            if len(self.near) > CACHE // 4:
-                self.near.clear()
-            found = self.near[text, n] = [s for s, _ in self.n_best(text, n)]
+            found = self.near.put((text, n), [s for s, _ in self.n_best(text, n)])
         return found
 
     def _combined(self, words: list[str], gaps: list[float], total: float, n: int) -> list[tuple[float, dict[int, int]]]:
@@ -250,15 +268,8 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
 
 
-_made: dict[int, Pieces] = {}
-
-
 def pieces(source: bytes) -> Pieces:
-    key = hash(source)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Pieces(source)
-    return _made[key]
+    return kept(("pieces", hash(source)), lambda: Pieces(source))
 
 
 def encoded(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
@@ -270,7 +281,7 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = pieces(source.value)
-        for x in slices(batches):
+        for x in slices(batches, most=SLICE_BYTES):
             packed, scores, decoded = [], [], []
             for text in col(x, "text").to_pylist():
                 ids, best, _ = of.encode(text or "", n)
@@ -293,7 +304,7 @@ def digests(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
         import hashlib
 
         of = pieces(source.value)
-        for x in slices(batches):
+        for x in slices(batches, most=SLICE_BYTES):
             out = []
             for text in col(x, "text").to_pylist():
                 ids, best, _ = of.encode(text or "", n)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, lm, pieces, sharding, simhash, substrings, token_counts, token_files
+from . import ann, decontaminate, langid, lm, oracles, pieces, sharding, simhash, substrings, token_counts, token_files
 from .common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substrings": oracles.SUBSTRINGS, "op10_decontaminate": oracles.DECONTAMINATE}

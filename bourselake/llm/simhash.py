@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, flat, longs, slices, written
+from .common import col, flat, forget, longs, slices, written
 from .graph import connected_components
 from .words import LOWER, U, find_words, joined
 
@@ -81,6 +81,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row. A null or blank text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for x in slices(batches):
             fp = fingerprints(*flat(col(x, "text")))
             yield pa.RecordBatch.from_arrays([col(x, "doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, StructField, StructType
 
-from .common import col, flat, longs, slices
+from .common import col, flat, forget, longs, slices
 from .words import U, find_words, run_hashes, word_hashes
 
 WINDOW, ANCHOR = 20, 5
@@ -61,6 +61,7 @@ def _parse(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for x in slices(batches, most=BLOCK_BYTES):
             d, k = longs(col(x, "d"), LAST), longs(col(x, "k"), 0)
             order = np.lexsort((k, d))
@@ -139,6 +140,7 @@ def _with_factors(docs: DataFrame, window: int) -> DataFrame:
     names = rows.columns
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         put = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         for x in batches:
             text = pa.array([None if t is None else put(t.encode()) for t in col(x, "text").to_pylist()], pa.binary())

@@ -8,6 +8,8 @@ import re
 
 import numpy as np
 
+from .common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Printable ASCII and the letters of Latin-1: composed, so NFC leaves them, and lower-casing goes letter by letter.
@@ -97,20 +99,15 @@ class Whole:
         return np.array(self._run(text.decode()), "<u4").tobytes()
 
 
-_made: dict[int, Chunks | Whole] = {}
-
-
 def encoder(source: bytes, name: str) -> Chunks | Whole:
     """The encoder of a vocabulary file's content, kept by the worker with its caches."""
-    key = hash((source, name))
-    if key not in _made:
-        _made.clear()
-        made = None
-        if name.endswith(".json"):
-            made = Chunks(source)
-            made = made if made.independent() else None
-        _made[key] = made or Whole(source, name)
-    return _made[key]
+
+    def make() -> Chunks | Whole:
+        if name.endswith(".json") and (made := Chunks(source)).independent():
+            return made
+        return Whole(source, name)
+
+    return kept(("tokenizer", hash((source, name))), make)
 
 
 def load(path: str) -> tuple[bytes, str]:
