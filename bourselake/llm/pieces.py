@@ -18,9 +18,10 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import string
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ BLANK = "▁"
 #: Stands for a BLANK that is in the text: a lone surrogate, which no text holds.
 _LITERAL = "\ud800"
 #: Entries of a generation of a worker's caches.
-CACHE = 200_000
+CACHE = 60_000
 
 
 class Cache:
@@ -75,16 +76,32 @@ class Pieces:
         last = -float(np.log(len(normal) + ZIPF)) - BYTE_PENALTY
         self.byte_ids, self.byte_score = [bytes_[b] for b in range(256)], last
         self.edges = {names[i]: ((i,), self.scores[i]) for i in normal}
-        # every prefix of a piece: its edge, or None where it is only a prefix
-        self.prefixes = {p[:i]: self.edges.get(p[:i]) for p in self.edges for i in range(1, len(p) + 1)}
+        # a trie, character by character: nodes are [children, ids or None where it is only a prefix, score]
+        self.trie: dict[str, list] = {}
+        for p, edge in self.edges.items():
+            children, node = self.trie, None
+            for c in p:
+                node = children.setdefault(c, [{}, None, 0.0])
+                children = node[0]
+            node[1:] = edge
         self.inner = {p[i : i + 2] for p in self.edges for i in range(len(p) - 1)}
         self.raw = [b""] * n  # what decoding an id gives
         for i in normal:
             self.raw[i] = names[i].replace(BLANK, " ").encode()
         for b, i in bytes_.items():
             self.raw[i] = bytes([b])
-        # a word: blanks and what follows up to the next blank or line end. Only valid where no piece has a blank after something else.
-        self.words = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n") if not any(p[1] == BLANK != p[0] or "\n" in p for p in self.inner) else re.compile("(?s).+")
+        # a word: blanks and what follows up to the next blank, line end or border between marks (ASCII punctuation that no
+        # piece holds next to a letter) and letters. Where pieces have a blank after something else, it is the whole text.
+        ascii_, pairs = set(string.punctuation), [p for p in self.inner if p[0] != BLANK]
+        glue = {c for p in pairs if (p[0] in ascii_) != (p[1] in ascii_) for c in p} & ascii_
+        k, g = (re.escape("".join(sorted(x))) for x in (ascii_ - glue, glue))
+        run = f"(?:[^{BLANK}\n{k}{g}]+" + (f"|[{k}]+)" if k else ")")
+        if any(p[1] == BLANK or "\n" in p for p in pairs):
+            self.words = re.compile("(?s).+")
+        elif g:
+            self.words = re.compile(f"{BLANK}*{run}(?:[{g}]+{run}?)*|{BLANK}*(?:[{g}]+{run}?)+|{BLANK}+|\n")
+        else:
+            self.words = re.compile(f"{BLANK}*{run}|{BLANK}+|\n")
         # of words and of their segments: a word of one segment is there once
         self.memo, self.near = Cache(), Cache(CACHE // 10)
 
@@ -96,46 +113,51 @@ class Pieces:
 
     def edges_from(self, text: str, s: int) -> Iterator[tuple[int, tuple[tuple[int, ...], float]]]:
         """(end, edge) of all edges that start at s."""
-        prefixes, missing = self.prefixes, 0
-        for e in range(s + 1, len(text) + 1):
-            edge = prefixes.get(text[s:e], missing)
-            if edge is missing:
+        children = self.trie
+        for e in range(s, len(text)):
+            node = children.get(text[e])
+            if node is None:
                 break
-            if edge is not None:
-                yield e, edge
+            children, ids, score = node
+            if ids is not None:
+                yield e + 1, (ids, score)
         if text[s] not in self.edges:
             yield s + 1, self._bytes(text[s])
 
     def viterbi(self, text: str) -> tuple[list[int], float, float]:
         """(ids, score, gap to the second best) of a segment: one forward pass that keeps each position's two best scores."""
-        n, low, missing = len(text), -1e300, 0
+        n, low = len(text), -1e300
         one, two, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
         one[0] = 0.0
-        get, single = self.prefixes.get, self.edges
+        trie, single = self.trie, self.edges
         for s in range(n):
-            first, second = one[s], two[s]
-            for e in range(s + 1, n + 1):
-                edge = get(text[s:e], missing)
-                if edge is None:
-                    continue
-                if edge is missing:
+            first, second, children, e = one[s], two[s], trie, s
+            for c in text[s:] if s else text:
+                node = children.get(c)
+                if node is None:
                     break
-                score = edge[1]
+                children, ids, score = node
+                e += 1
+                if ids is None:
+                    continue
                 new = first + score
-                if new > one[e]:
-                    two[e] = max(one[e], second + score)
+                best = one[e]
+                if new > best:
+                    other = second + score
+                    two[e] = best if best > other else other
                     one[e] = new
-                    back[e] = s, edge[0]
+                    back[e] = s, ids
                 elif new > two[e]:
                     two[e] = new
             if text[s] not in single:
                 ids, score = self._bytes(text[s])
-                if first + score > one[s + 1]:
+                new = first + score
+                if new > one[s + 1]:
                     two[s + 1] = max(one[s + 1], second + score)
-                    one[s + 1] = first + score
+                    one[s + 1] = new
                     back[s + 1] = s, ids
-                elif first + score > two[s + 1]:
-                    two[s + 1] = first + score
+                elif new > two[s + 1]:
+                    two[s + 1] = new
         parts, at = [], n
         while at:
             at, ids = back[at]
@@ -214,12 +236,12 @@ class Pieces:
         if not words:
             return b"", [0.0], words
         new, word = self.memo.new.get, self._word
-        rows = [new(w) or word(w) for w in words]
-        total = float(sum(r[1] for r in rows))
-        scores = [total]
+        ids, scores, gaps = zip(*[new(w) or word(w) for w in words], strict=True)
+        total = float(sum(scores))
+        best = [total]
         if n > 1:
-            scores = [s for s, _ in self._combined(words, [r[2] for r in rows], total, n)]
-        return b"".join([r[0] for r in rows]), scores, words
+            best = [s for s, _ in self._combined(words, gaps, total, n)]
+        return b"".join(ids), best, words
 
     def _near(self, text: str, n: int) -> list[float]:
         """Scores of a segment's n best."""
@@ -228,9 +250,10 @@ class Pieces:
             found = self.near.put((text, n), [s for s, _ in self.n_best(text, n)])
         return found
 
-    def _combined(self, words: list[str], gaps: list[float], total: float, n: int) -> list[tuple[float, dict[int, int]]]:
+    def _combined(self, words: list[str], gaps: Sequence[float], total: float, n: int) -> list[tuple[float, dict[int, int]]]:
         """(score, {(word, segment): which of its n best}) of the n best segmentations of all words."""
-        near = heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__)
+        values = np.array(gaps)
+        near = np.argpartition(values, n - 2)[: n - 1].tolist() if len(values) >= n > 1 else range(len(values))
         spots = [((i, j), p) for i in near if gaps[i] < np.inf for j, p in enumerate(self._split(words[i]))]
         spots = heapq.nsmallest(n - 1, spots, key=lambda x: self._part(x[1])[2])
         lists = [(key, self._near(p, n)) for key, p in spots]

@@ -7,7 +7,7 @@ import numpy as np
 U = np.uint64
 _M1, _M2 = U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)
 _BYTE, _WORD = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 #: Separators [\x20\x09-\x0D].
@@ -54,7 +54,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        factors = np.full(max(n, 1 << 16), U(base & (2**64 - 1)))
+        factors = np.full(max(n, 1 << 14), U(base & (2**64 - 1)))
         factors[0] = 1
         have = _powers[base] = np.multiply.accumulate(factors)
     return have[:n]
