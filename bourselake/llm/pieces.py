@@ -64,7 +64,7 @@ class Cache:
 
 
 class Pieces:
-    def __init__(self, source: bytes):
+    def __init__(self, source: bytes, cache: int = CACHE):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_proto=source)
@@ -103,7 +103,7 @@ class Pieces:
         else:
             self.words = re.compile(f"{BLANK}*{run}|{BLANK}+|\n")
         # of words and of their segments: a word of one segment is there once
-        self.memo, self.near = Cache(), Cache(CACHE // 10)
+        self.memo, self.near = Cache(cache), Cache(cache // 10)
 
     # ---- one segment
 
@@ -291,11 +291,11 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
 
 
-def pieces(source: bytes) -> Pieces:
-    return kept(("pieces", hash(source)), lambda: Pieces(source))
+def pieces(source: bytes, cache: int = CACHE) -> Pieces:
+    return kept(("pieces", hash(source), cache), lambda: Pieces(source, cache))
 
 
-def encoded(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
+def encoded(docs: DataFrame, model: str, n: int = N_BEST, cache: int = CACHE) -> DataFrame:
     """doc_id, ids (best segmentation), n_tokens, n_best_scores (best first), decoded (the text that the ids give back) of every row.
 
     A null or empty text has no ids, the score 0 and decodes to an empty text. Repeated rows are encoded as often as they are there.
@@ -303,7 +303,7 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
     source = docs.sparkSession.sparkContext.broadcast(load(model)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = pieces(source.value)
+        of = pieces(source.value, cache)
         for x in slices(batches, most=SLICE_BYTES):
             packed, scores, decoded = [], [], []
             for text in col(x, "text").to_pylist():
@@ -319,14 +319,14 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_best_scores array<double>, decoded string")
 
 
-def digests(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
+def digests(docs: DataFrame, model: str, n: int = N_BEST, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), score, n_best, gap (best to last of the n best), decoded_sha256 (of the decoded text)."""
     source = docs.sparkSession.sparkContext.broadcast(load(model)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        of = pieces(source.value)
+        of = pieces(source.value, cache)
         for x in slices(batches, most=SLICE_BYTES):
             out = []
             for text in col(x, "text").to_pylist():
