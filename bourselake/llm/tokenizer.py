@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-
-import numpy as np
+import struct
 
 from .common import kept
 
@@ -27,6 +26,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Chunks:
     """ids of chunks of text without ASCII white space, for tokenizers that treat white space only as a border."""
 
@@ -35,7 +38,8 @@ class Chunks:
 
         self.library = Tokenizer.from_str(source.decode())
         spec = json.loads(source)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(added) or "(?!)")
         self.letters = _byte_letters()
         self.plain = self._matches_plain(spec)
         self.parts: dict[str, bytes] = {}
@@ -65,8 +69,8 @@ class Chunks:
         return found
 
     def _ids(self, text: str) -> bytes:
-        if not self.plain or not _PLAIN.fullmatch(text) or any(a in text for a in self.added):
-            return np.array(self.encode(text), "<u4").tobytes()
+        if not self.plain or not _PLAIN.fullmatch(text) or self.added.search(text):
+            return _packed(self.encode(text))
         parts, out = self.parts, []
         for part in _SPLIT.findall(text.lower()):
             found = parts.get(part)
@@ -74,7 +78,7 @@ class Chunks:
                 if len(parts) > CACHE:
                     parts.clear()
                 mapped = "".join(map(self.letters.__getitem__, part.encode()))
-                found = parts[part] = np.array([t.id for t in self.library.model.tokenize(mapped)], "<u4").tobytes()
+                found = parts[part] = _packed([t.id for t in self.library.model.tokenize(mapped)])
             out.append(found)
         return b"".join(out)
 
@@ -96,7 +100,7 @@ class Whole:
             self._run = Chunks(source).encode
 
     def text_ids(self, text: bytes) -> bytes:
-        return np.array(self._run(text.decode()), "<u4").tobytes()
+        return _packed(self._run(text.decode()))
 
 
 def encoder(source: bytes, name: str) -> Chunks | Whole:
