@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,15 +18,19 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
-#: Rows of an Arrow batch between Spark and Python: texts are long, and a batch is held as a whole on both sides.
-BATCH_ROWS = 2_000
+#: Rows and bytes of an Arrow batch between Spark and Python: texts are long, and a batch is held as a whole on both sides.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches; a smaller setting of the session's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bounds the session's Arrow batches in rows and bytes; a smaller setting of the session's own stays."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(size, "0") or "0", re.I)
+    if now and not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or what setCheckpointDir has set. Only a master on this
+    machine gets one of its own where neither is there; on a cluster nobody else would see it, so that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="bourselake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -52,6 +58,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """id (doc_id as a long), text (string) and row: a struct of all columns of docs but text. Nothing that a stage adds can clash with a name in docs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("row"))
+
+
+def together(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` of what apart() has taken apart."""
+    return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names))
+
+
 def held_out(doc_id, parts: int, part: int):
     """True where crc32(doc_id as text) mod parts is part; a null doc_id is never held out."""
     crc = F.crc32(doc_id.cast("string").cast("binary"))

@@ -1,40 +1,48 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Tokens are words (A-Z lower-cased) and one end after each text. Over all training documents:
+Tokens are words (A-Z lower-cased) and one end after each text; n-grams are tokens and pairs of neighbours (the end stands before
+each text). The filter holds an n-gram with its count on a log scale: a count at level q (base BASE) is q entries (n-gram, 1) ..
+(n-gram, q). Reading a count means probing levels until one is missing. It holds every token and every pair of the training texts that
+occurs LEAST times or more: no vocabulary, no cap. A pair below that is one that only its own text has, and is the same as unseen.
 
-* every token is counted exactly (a shuffle of per-block counts; tokens go by 64-bit hashes);
-* pairs of the VOCABULARY most frequent tokens are counted exactly. That vocabulary is the model's, as is usual; there are
-  VOCABULARY ** 2 pairs at most.
+The filter grows with the corpus, so no single broadcast could hold it. It is cut by n-gram hash into parts of about PART_TOKENS
+training tokens each; a part is what a worker is sent, with the exact counts of its tokens for the base score:
 
-The filter holds each n-gram with its count on a log scale: a count at level q (base BASE) is q entries (n-gram, 1) .. (n-gram, q).
-Reading a count means probing levels until one is missing. The filter has the FREQUENT most frequent tokens and the pairs, so its
-size is bounded whatever the corpus, and it is broadcast. A token outside it belongs to the rare class, whose mean count is known.
-The model interpolates: p(w | v) = PAIR * c(v w) / c(v) + (1 - PAIR) * p(w) for v in the vocabulary, otherwise p(w) with one added.
+1. count: each block of texts sends its distinct n-grams, packed, to their parts, where they add up. A part becomes one filter.
+2. probe: texts are dealt into blocks by hash, and a block sends its distinct n-grams to the parts. Each part reads them off its filter.
+3. score: the levels return to their blocks, where all texts are scored.
 
-The add-one base score needs exact counts of all tokens: frequent ones come from a bounded broadcast table, the others meet the
-counts in a join on the token's hash, so that no table of all tokens is ever gathered.
+How frequent an n-gram is makes no difference: a block names it once, so no part and no block is hot. Nothing but three totals is
+gathered on the driver.
+
+Model: p(w | v) = PAIR * low(v w) / high(v) + (1 - PAIR) * (low(w) + 1) / (N + V + 1), where low and high are the least and the largest
+count that a level stands for, and v's count is 0 if it is unknown (no first term then). So p sums to at most one over all words and one
+unseen, but for false positives of the filter (a pair needs two of them at 10 bits an entry: about 1 in 10 000).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, flat, forget, held_out, longs, slices, written
+from .common import col, flat, forget, held_out, longs, release_memory, slices, written
 from .words import LOWER, U, find_words, mix, word_hashes
 
-FREQUENT, VOCABULARY = 1 << 17, 1 << 11
-BASE, PAIR = 1.5, 0.25
-#: Probes for each entry, bits for each entry, and most bits of the filter.
-PROBES, BITS, MOST_BITS = 5, 10, 1 << 30
+BASE, PAIR, LEAST = 1.5, 0.5, 2
+#: Probes and bits for each entry.
+PROBES, BITS = 5, 10
+#: Training tokens for each part of the filter, and bytes of text in a block.
+PART_TOKENS, BLOCK_BYTES = 4 << 20, 8 << 20
 #: The end of a text; no word has this hash by construction of its own.
 END = U(0x5EED0F0E0D0C0B0A)
-#: Bytes of text whose words are counted together before the shuffle.
-BLOCK_BYTES = 16 << 20
+#: Pairs go by the upper bits of their hash.
+_SHORT = U(16)
 
 
 def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +55,25 @@ def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U(0xD6E8FEB86659FD93) + mix(b))
+
+
+def pairs_of(seq: np.ndarray) -> np.ndarray:
+    """The pair that ends at each token. A text's first token follows an end: that of the text before, or of nothing."""
+    return pair_hash(np.append(END, seq[:-1]), seq) >> _SHORT
+
+
 class Filter:
     """Bloom filter over (n-gram hash, level)."""
 
-    def __init__(self, bits: int):
-        self.mask = U(bits - 1)
-        self.words = np.zeros(bits >> 6, U)
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, U(len(words) * 64 - 1)
+
+    @classmethod
+    def sized(cls, entries: int, bits: int = BITS) -> Filter:
+        size = max(10, (bits * max(entries, 1) - 1).bit_length())
+        return cls(np.zeros((1 << size) >> 6, U))
 
     def _places(self, h: np.ndarray, level: int) -> Iterator[np.ndarray]:
         a = mix(h + U(level * 0x9E3779B97F4A7C15 % 2**64))
@@ -66,13 +87,16 @@ class Filter:
                 np.bitwise_or.at(self.words, at >> U(6), U(1) << (at & U(63)))
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
+        """The last level of each n-gram that has no missing one before it. What one probe misses is probed no further."""
+        out = np.zeros(len(h), np.uint8)
         live, level = np.arange(len(h)), 1
         while len(live):
-            keep = np.ones(len(live), bool)
-            for at in self._places(h[live], level):
-                keep &= (self.words[at >> U(6)] >> (at & U(63))) & U(1) == 1
-            live = live[keep]
+            a = mix(h[live] + U(level * 0x9E3779B97F4A7C15 % 2**64))
+            b = mix(a) | U(1)
+            for i in range(PROBES):
+                at = (a + U(i) * b) & self.mask
+                hit = (self.words[at >> U(6)] >> (at & U(63))) & U(1) == 1
+                live, a, b = live[hit], a[hit], b[hit]
             out[live] = level
             level += 1
         return out
@@ -83,152 +107,207 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def count_at(levels: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the mean of the whole numbers it holds; 0 for none."""
-    low = np.ceil(BASE ** (levels - 1) - 1e-9)
-    high = np.maximum(np.ceil(BASE**levels - 1e-9) - 1, low)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+def low_of(levels: np.ndarray) -> np.ndarray:
+    """The least count at a level; 0 for none."""
+    return np.where(levels > 0, np.ceil(BASE ** (levels - 1.0) - 1e-9), 0.0)
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * U(0xD6E8FEB86659FD93) + mix(b))
+def high_of(levels: np.ndarray) -> np.ndarray:
+    """The largest count at a level; 0 for none."""
+    return np.where(levels > 0, np.maximum(np.ceil(BASE ** (levels * 1.0) - 1e-9) - 1, low_of(levels)), 0.0)
+
+
+# ---- numbers on their way
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, compressed: small ones cost about their size."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8").astype(U)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=U(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=U)
+
+
+def _cuts(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where each part's keys begin among sorted ones: parts are equal ranges of the hash."""
+    part = ((keys >> U(bits - 32)) * U(parts)) >> U(32)
+    return np.searchsorted(part, np.arange(parts + 1).astype(U))
+
+
+def _parted(tokens_: np.ndarray, pairs: np.ndarray, parts: int) -> Iterator[tuple[int, slice, slice]]:
+    """(part, its tokens, its pairs) of sorted keys; only parts that have some."""
+    a, b = _cuts(tokens_, 64, parts), _cuts(pairs, 48, parts)
+    for p in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
+        yield p, slice(a[p], a[p + 1]), slice(b[p], b[p + 1])
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for x in batches:
+        for i in range(x.num_rows):
+            yield {c: col(x, c)[i].as_py() for c in x.schema.names}
+
+
+# ---- 1 count
 
 
 class Model:
-    """What is broadcast: totals, the exact counts of frequent tokens, the vocabulary and the filter. All of bounded size."""
-
-    def __init__(self, total: int, distinct: int, frequent: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]):
-        """frequent: hashes, most frequent first. pairs: hashes and levels of the vocabulary's pairs."""
-        self.total, self.distinct = total, distinct
-        rest_types, rest = distinct - len(frequent), total - int(counts.sum())
-        self.rare = rest / rest_types if rest_types else 0.0
-        levels = level_of(counts)
-        entries = int(levels.sum() + pairs[1].sum())
-        self.filter = Filter(1 << max(10, min(MOST_BITS.bit_length() - 1, (BITS * max(entries, 1) - 1).bit_length())))
-        self.filter.add(frequent, levels)
-        self.filter.add(*pairs)
-        self.vocabulary = np.sort(frequent[:VOCABULARY])
-        order = np.argsort(frequent)
-        self.frequent, self.counts = frequent[order], counts[order]
-
-    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(is frequent, exact count) of token hashes."""
-        if not len(self.frequent):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        here = self.frequent[at] == h
-        return here, np.where(here, self.counts[at], 0)
-
-    def in_vocabulary(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(h), bool)
-        return self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)] == h
-
-    def log10(self, seq: np.ndarray, distinct: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """log10 p of each token given the one before; distinct[which] is seq."""
-        levels = self.filter.levels(distinct)
-        count = np.where(levels > 0, count_at(levels), self.rare)
-        single = (count + 1) / (self.total + self.distinct + 1)
-        p = single[which]
-        inside = self.in_vocabulary(distinct)[which]
-        before = np.append(True, inside[:-1])  # the end stands before a text; it is a token of the vocabulary wherever there is training
-        at = np.flatnonzero(before)
-        p[at] *= 1 - PAIR
-        both = at[inside[at]]
-        previous = np.where(both > 0, seq[both - 1], END)
-        pair, back = np.unique(pair_hash(previous, seq[both]), return_inverse=True)
-        two = count_at(self.filter.levels(pair))[back]
-        one = np.where(both > 0, count[which[both - 1]], count_at(self.filter.levels(np.array([END])))[0])
-        p[both] += PAIR * np.minimum(1.0, two / np.maximum(one, 1.0))
-        return np.log10(p)
-
-
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forget()
-    for x in slices(batches, most=BLOCK_BYTES):
-        h, n = np.unique(tokens(*flat(col(x, "text")))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-
-def train(train_docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the exact count of every token (h long, n long) as a table in the shared folder."""
-    spark = train_docs.sparkSession
-    counts = written(train_docs.mapInArrow(_count_tokens, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "token-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    frequent, n = longs(top["h"].combine_chunks(), 0).view(U), longs(top["n"].combine_chunks(), 0)
-    vocabulary = spark.sparkContext.broadcast(np.sort(frequent[:VOCABULARY]))
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.value
-        sums = np.zeros(len(words) ** 2, np.int64)
-        for x in slices(batches):
-            seq, begins = tokens(*flat(col(x, "text")))
-            at = np.minimum(np.searchsorted(words, seq), len(words) - 1)
-            at[words[at] != seq] = -1
-            before = np.append(np.searchsorted(words, END), at[:-1])
-            both = (at >= 0) & (before >= 0)
-            sums += np.bincount(before[both] * len(words) + at[both], minlength=len(sums))
-        found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(sums[found])], ["pair", "n"])
-
-    if len(frequent):
-        pairs = train_docs.mapInArrow(count_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        pairs = pairs.select("pair", (1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BASE)) + 1e-9)).cast("byte").alias("q")).toArrow()
-        key, q = longs(pairs["pair"].combine_chunks(), 0), longs(pairs["q"].combine_chunks(), 0)
-        words = vocabulary.value
-        hashed = pair_hash(words[key // len(words)], words[key % len(words)]), q
-    else:
-        hashed = np.empty(0, U), np.empty(0, np.int64)
-    return Model(int(total), int(distinct), frequent, n, hashed), counts
-
-
-def scores(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """parts (DataFrame: part, bits, tokens, counts), how many, and totals: training tokens, distinct tokens."""
+
+    def __init__(self, table: DataFrame, parts: int, total: int, distinct: int):
+        self.table, self.parts, self.total, self.distinct = table, parts, total, distinct
+
+
+def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.empty(0, U), np.empty(0, np.int64)
+    all_, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return all_, np.bincount(back, weights=np.concatenate(counts), minlength=len(all_)).astype(np.int64)
+
+
+def train(train_docs: DataFrame) -> Model:
+    """Counts all n-grams of the texts and builds the parts of the filter, as a table in the shared folder."""
+    size = train_docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
+    parts, bits = 1 + int(size) // 5 // PART_TOKENS, BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for x in slices(batches, most=BLOCK_BYTES):
+            seq, _ = tokens(*flat(col(x, "text")))
+            u, n = np.unique(seq, return_counts=True)
+            p, m = np.unique(pairs_of(seq), return_counts=True)
+            out = [(k, _pack_sorted(u[a]), _pack(n[a]), _pack_sorted(p[b]), _pack(m[b])) for k, a, b in _parted(u, p, parts)]
+            k, *data = (list(v) for v in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *(pa.array(v, pa.binary()) for v in data)], ["part", "u", "n", "p", "m"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for part, rows in groupby(_rows_of(batches), key=lambda r: r["part"]):
+            sums: list[list[list[np.ndarray]]] = [[[], []], [[], []]]
+            for i, r in enumerate(rows):
+                for (keys, counts), k, n in zip(sums, ("u", "p"), ("n", "m"), strict=True):
+                    keys.append(_unpack_sorted(r[k]))
+                    counts.append(_unpack(r[n]).astype(np.int64))
+                if i % 32 == 31:  # what has come so far adds up, so that a part never holds more than its own n-grams and some blocks' worth
+                    sums = [[[k], [n]] for k, n in (_sum(*s) for s in sums)]
+            (u, n), (p, m) = (_sum(*s) for s in sums)
+            seen = m >= LEAST
+            p, m = p[seen], m[seen]
+            levels = level_of(n), level_of(m)
+            made = Filter.sized(int(levels[0].sum() + levels[1].sum()), bits)
+            made.add(u, levels[0])
+            made.add(p, levels[1])
+            arrays = [pa.array([part], pa.int32()), *(pa.array([v], pa.binary()) for v in (made.words.tobytes(), _pack_sorted(u), _pack(n))), pa.array([int(n.sum())]), pa.array([len(u)])]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "bits", "u", "n", "total", "types"])
+        release_memory()
+
+    counted = train_docs.mapInArrow(count, "part int, u binary, n binary, p binary, m binary")
+    built = counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(build, "part int, bits binary, u binary, n binary, total long, types long")
+    table = written(built, "lm-filter")
+    total, distinct = table.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    return Model(table, parts, int(total), int(distinct))
+
+
+# ---- 2 probe, 3 score
+
+
+def _asked(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """tokens in order, where texts begin, distinct tokens and pairs (sorted), and which of them each token is and ends."""
+    seq, begins = tokens(*flat(texts))
+    u, which = np.unique(seq, return_inverse=True)
+    p, pair = np.unique(pairs_of(seq), return_inverse=True)
+    return seq, begins, u, which, p, pair
+
+
+def log10(levels: np.ndarray, previous: np.ndarray, pairs: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 p of each token from the levels of the token, of the one before it and of the pair."""
+    single = (low_of(levels) + 1) / (total + distinct + 1)
+    both = np.where((pairs >= 2) & (previous > 0), low_of(pairs) / np.maximum(high_of(previous), 1.0), 0.0)
+    return np.log10(PAIR * np.minimum(both, 1.0) + (1 - PAIR) * single)
+
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; docs has doc_id, text and held_out.
 
-    A null or empty text is its end alone. Repeated rows are scored as often as they are there. With no training document all counts
-    are zero. Scores are finite for every text.
+    A null or empty text is its end alone. Repeated rows are scored as often as they are there; rows of one doc_id are texts of their
+    own. With no training document all counts are zero. Scores are finite for every text. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: Model = sent.value
-        for x in slices(batches):
-            seq, begins = tokens(*flat(col(x, "text")))
-            distinct, which = np.unique(seq, return_inverse=True)
-            frequent, n = of.known(distinct)
-            sums = lambda v: np.add.reduceat(v, begins[:-1])  # noqa: E731  each text has an end, so no run is empty
-            common = frequent[which]
-            base = sums(np.where(common, np.log10(n + 1.0)[which], 0.0))
-            known = sums(common.astype(np.int64))
-            score = sums(of.log10(seq, distinct, which))
-            rare = np.flatnonzero(~common)
-            doc = np.searchsorted(begins, rare, "right") - 1
-            h = seq[rare]
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.empty(0, bool)
-            at = np.flatnonzero(new)
-            many = np.diff(np.append(at, len(h)))
-            lists = pa.array(np.searchsorted(doc[at], np.arange(x.num_rows + 1)), pa.int32())
-            arrays = [col(x, "rid"), col(x, "doc_id"), col(x, "held_out"), pa.array(np.diff(begins)), pa.array(known), pa.array(base), pa.array(score)]
-            arrays += [pa.ListArray.from_arrays(lists, pa.array(h[at].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(many, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "h", "n"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
-    parts = written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, h array<long>, n array<int>"), "lm-parts")
-    rare = parts.select("rid", F.explode(F.arrays_zip("h", "n")).alias("x")).select("rid", "x.h", F.col("x.n").alias("times"))
-    seen = rare.join(counts, "h").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum(F.col("times").cast("long")).alias("also"))
-    each = float(np.log10(model.total + model.distinct + 1))
-    zero = F.lit(0)
-    return parts.drop("h", "n").join(seen, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", zero)).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score",
-    )
+    parts, total, distinct = model.parts, model.total, model.distinct
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count("*")).first()[0]
+    blocks = 1 + int(size) // BLOCK_BYTES
+    # Copies, however many, are dealt out: a row's number takes part in the hash. Both uses below read one and the same shuffle.
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+
+    def ask(key: tuple, x: pa.Table) -> pa.Table:
+        forget()
+        _, _, u, _, p, _ = _asked(x["text"].combine_chunks())
+        out = [(key[0].as_py(), k, _pack_sorted(u[a]), _pack_sorted(p[b])) for k, a, b in _parted(u, p, parts)]
+        block, k, a, b = (list(v) for v in zip(*out, strict=True))
+        release_memory()
+        return pa.table({"part": pa.array(k, pa.int32()), "block": pa.array(block, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "c": pa.nulls(len(k), pa.binary())})
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by part: its filter first (block -1), then what is asked of it. A part that training has not filled knows nothing."""
+        forget()
+        now, made, types, counts = None, Filter.sized(0), np.empty(0, U), np.empty(0, U)
+        for r in _rows_of(batches):
+            if r["part"] != now:
+                now, made, types, counts = r["part"], Filter.sized(0), np.empty(0, U), np.empty(0, U)
+            if r["block"] < 0:
+                made, types, counts = Filter(np.frombuffer(r["a"], U)), _unpack_sorted(r["b"]), _unpack(r["c"])
+                continue
+            u, p = _unpack_sorted(r["a"]), _unpack_sorted(r["b"])
+            n = np.zeros(len(u), U)
+            if len(types):
+                at = np.minimum(np.searchsorted(types, u), len(types) - 1)
+                n = np.where(types[at] == u, counts[at], U(0))
+            said = [_pack(n), _pack(made.levels(u)), _pack(made.levels(p))]
+            yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int32()), pa.array([now], pa.int32()), *(pa.array([v], pa.binary()) for v in said)], ["block", "part", "n", "u", "p"])
+        release_memory()
+
+    probes = dealt.groupBy("block").applyInArrow(ask, "part int, block int, a binary, b binary, c binary")
+    filters = model.table.select("part", F.lit(-1).alias("block"), F.col("bits").alias("a"), F.col("u").alias("b"), F.col("n").alias("c"))
+    met = probes.unionByName(filters).repartition(parts, "part").sortWithinPartitions("part", "block")
+    answers = met.mapInArrow(answer, "block int, part int, n binary, u binary, p binary")
+
+    def score(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        forget()
+        if not texts.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        seq, begins, u, which, p, pair = _asked(texts["text"].combine_chunks())
+        levels = levels.sort_by("part")
+        n, a, b = (np.concatenate([_unpack(v) for v in levels[c].to_pylist()]) for c in ("n", "u", "p"))
+        if len(n) != len(u) or len(a) != len(u) or len(b) != len(p):
+            raise RuntimeError("a block's answers are not for its texts")
+        sums = lambda v: np.add.reduceat(v, begins[:-1])  # noqa: E731  each text has an end, so no run is empty
+        base = np.log10((n.astype(np.int64) + 1) / (total + distinct + 1))[which]
+        level = a.astype(np.int64)[which]
+        first = int(np.searchsorted(u, END))
+        previous = np.append(a.astype(np.int64)[first], level[:-1])  # the end stands before the first text, too
+        model_score = log10(level, previous, b.astype(np.int64)[pair], total, distinct)
+        out = {
+            "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": pa.array(np.diff(begins)), "n_known": pa.array(sums((n > 0)[which].astype(np.int64))),
+            "base_score": pa.array(sums(base)), "score": pa.array(sums(model_score)),
+        }
+        release_memory()
+        return pa.table(out)
+
+    found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """The contract's columns; training is on documents whose crc32(doc_id) mod 7 is not 2."""
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
-    model, counts = train(rows.where(~F.col("held_out")).select(F.col("text").cast("string").alias("text")))
-    return scores(rows, model, counts)
+    return scores(rows, train(rows.where(~F.col("held_out")).select(F.col("text").cast("string").alias("text"))))

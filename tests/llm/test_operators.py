@@ -140,34 +140,85 @@ def test_token_files_round_trip(spark, odd, small, empty, expected):
 # ---- 4 language-model scores
 
 
-def _check_lm(docs, monkeypatch=None):
+def _check_lm(docs):
+    """All columns against dictionaries of counts: the score too, as the filter has bits enough to be free of false positives here."""
     got = collections.defaultdict(list)
     for r in lm.digests(docs).collect():
-        got[r.doc_id].append(r)
-    counts = collections.Counter()
+        got[r.doc_id].append(tuple(r))
+    one, two = collections.Counter(), collections.Counter()
     rows = [(i, [*brute.WORD.findall(brute.low(t)), None]) for i, t in pairs(docs)]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     for i, w in rows:
         if not held(i):
-            counts.update(w)
-    n, v = sum(counts.values()), len(counts)
+            one.update(w)
+            two.update(zip([None, *w[:-1]], w, strict=True))
+    n, v = sum(one.values()), len(one)
+    low = lambda c: math.ceil(lm.BASE ** math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) - 1e-9) if c else 0
+    high = lambda c: max(low(c), math.ceil(lm.BASE ** (math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) + 1) - 1e-9) - 1) if c else 0
+    want = collections.defaultdict(list)
     for i, w in rows:
-        base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)
-        r = got[i].pop()
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (held(i), len(w), n)
-        assert r.n_known == sum(counts[x] > 0 for x in w) and math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isfinite(r.score) and r.score <= 0
+        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
+        score = 0.0
+        for a, b in zip([None, *w[:-1]], w, strict=True):
+            c = two[a, b] if two[a, b] >= lm.LEAST else 0
+            score += math.log10(lm.PAIR * (low(c) / high(one[a]) if c and one[a] else 0.0) + (1 - lm.PAIR) * (low(one[b]) + 1) / (n + v + 1))
+        want[i].append((i, held(i), len(w), sum(one[x] > 0 for x in w), n, base, score))
+    assert got.keys() == want.keys()
+    for i in want:
+        for g, x in zip(sorted(got[i]), sorted(want[i]), strict=True):
+            assert g[:5] == x[:5] and math.isclose(g[5], x[5], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(g[6], x[6], rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_lm_base_and_score(small, odd, monkeypatch):
+    monkeypatch.setattr(lm, "BITS", 64)
     _check_lm(small)
-    monkeypatch.setattr(lm, "FREQUENT", 50)  # most tokens take the way of rare ones
-    _check_lm(small)
-    _check_lm(odd.dropDuplicates(["doc_id"]))
+    _check_lm(odd)
+    monkeypatch.setattr(lm, "PART_TOKENS", 3_000)  # many parts of the filter, many blocks
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    _check_lm(small.unionByName(small))
+
+
+def test_lm_false_positives_are_rare(small, monkeypatch):
+    got = {r.doc_id: r.score for r in lm.digests(small).collect()}
+    monkeypatch.setattr(lm, "BITS", 64)
+    exact = {r.doc_id: r.score for r in lm.digests(small).collect()}
+    assert sum(abs(got[i] - exact[i]) < 0.01 * abs(exact[i]) for i in exact) > 0.95 * len(exact)
+
+
+def test_lm_probabilities_sum_to_at_most_one(spark):
+    """p(w | v) over all words and one unseen, for every v."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{min(int(x), 30)}" for x in rng.zipf(1.4, 60))) for i in range(60)]
+    one, two = collections.Counter(), collections.Counter()
+    for _, t in docs:
+        w = [*t.split(), None]
+        one.update(w)
+        two.update(zip([None, *w[:-1]], w, strict=True))
+    words = [*one, "unseen"]
+    level = lambda c: np.array([int(lm.level_of(np.array([x]))[0]) if x else 0 for x in c])
+    for v in words:
+        p = 10 ** lm.log10(level([one[w] for w in words]), level([one[v]] * len(words)), level([two[v, w] for w in words]), sum(one.values()), len(one))
+        assert p.sum() <= 1 + 1e-12
+
+
+def test_lm_parts_texts_that_repeat(spark):
+    """Texts that the training set holds twice score better by word than others of their kind; base scores don't part them."""
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join(f"v{x}" for x in rng.integers(0, 400, 80))
+    rows = [(i, text()) for i in range(600)]
+    rows += [(10_000 + i, rows[i][1]) for i in range(60)]
+    got = {r.doc_id: (r.base_score / r.n_tokens, r.score / r.n_tokens, r.held_out) for r in lm.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = [got[i] for i in range(60) if not got[i][2] and not got[10_000 + i][2]]
+    rest = [got[i] for i in range(60, 600)]
+    assert min(t[1] for t in twice) > max(r[1] for r in rest)
+    assert min(t[0] for t in twice) < max(r[0] for r in rest)
 
 
 def test_lm_empty(spark, empty):
     assert lm.digests(empty).count() == 0
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)  # the only row is held out: nothing to learn from
+    (r,) = lm.digests(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
+    assert (r.train_tokens, r.n_known, r.n_tokens) == (0, 0, 3) and r.base_score == 0.0 and math.isfinite(r.score)
 
 
 def test_filter_gives_back_levels():
@@ -175,12 +226,12 @@ def test_filter_gives_back_levels():
     h = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     counts = rng.integers(1, 5_000, len(h))
     levels = lm.level_of(counts)
-    made = lm.Filter(1 << 22)
+    made = lm.Filter.sized(int(levels.sum()))
     made.add(h, levels)
     got = made.levels(h)
     assert (got >= levels).all() and (got == levels).mean() > 0.98
     assert (made.levels(rng.integers(0, 2**63, 5_000).astype(np.uint64)) == 0).mean() > 0.95
-    assert (np.abs(np.log(lm.count_at(levels) / counts)) < math.log(lm.BASE) + 0.01).all()
+    assert (lm.low_of(levels) <= counts).all() and (counts <= lm.high_of(levels)).all() and (lm.high_of(levels) <= lm.low_of(levels) * lm.BASE + 1).all()
 
 
 # ---- 6 substrings
