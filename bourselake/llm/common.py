@@ -28,7 +28,7 @@ def small_batches(spark: SparkSession) -> None:
     if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
     size = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(size, "0") or "0", re.I)
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(size), re.I)
     if now and not 0 < int(now[1]) <= BATCH_BYTES:
         spark.conf.set(size, str(BATCH_BYTES))
 
