@@ -69,6 +69,12 @@ def together(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names))
 
 
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    """id (doc_id as a long), t (a hash of the text; id and t tell rows of one doc_id apart) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+
+
 def held_out(doc_id, parts: int, part: int):
     """True where crc32(doc_id as text) mod parts is part; a null doc_id is never held out."""
     crc = F.crc32(doc_id.cast("string").cast("binary"))

@@ -19,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from .common import col, flat, kept, slices
+from .common import apart, col, flat, kept, release_memory, slices, together
 from .words import LOWER, NOT_ALNUM, find_words, joined
 
 WINDOW = 10
 PART_BYTES = 4 << 20
-_NEW = ("__words", "__from", "__to", "__items")
+_NEW = ("n_words", "hit_from", "hit_to", "items")
 
 
 def _words(text: str) -> list[bytes]:
@@ -95,9 +95,8 @@ def _parts(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | No
         yield part
 
 
-def _scanned(docs: DataFrame, patterns, key: str) -> DataFrame:
-    """docs with __from and __to (bytes of the hit stretches), __items, __hit (words hit), __words."""
-    names = docs.columns
+def _scanned(rows: DataFrame, patterns, key: str) -> DataFrame:
+    """rows (id, text, row) with n_words, hit_from and hit_to (bytes of the hit words) and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(patterns.value, key)
@@ -110,46 +109,54 @@ def _scanned(docs: DataFrame, patterns, key: str) -> DataFrame:
                     out.append((n, starts[hit].tolist(), ends[hit].tolist(), sorted(items)))
             n, a, b, items = (list(v) for v in zip(*out, strict=True))
             new = [pa.array(n, pa.int64()), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(col(x, c) for c in names), *new], [*names, "__words", "__from", "__to", "__items"])
+            yield pa.RecordBatch.from_arrays([col(x, "id"), col(x, "text"), col(x, "row"), *new], ["id", "text", "row", *_NEW])
 
-    schema = StructType([*docs.schema, StructField("__words", LongType()), StructField("__from", ArrayType(IntegerType())), StructField("__to", ArrayType(IntegerType())), StructField("__items", ArrayType(StringType()))])
-    return docs.mapInArrow(run, schema)
+    found = ", ".join(f"{c} {k}" for c, k in zip(_NEW, ("long", "array<int>", "array<int>", "array<string>"), strict=True))
+    return rows.mapInArrow(run, _with(rows, found))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
-    """docs with __words, __from, __to (byte offsets of each hit word in the original text) and __items (item ids, sorted strings).
+def _with(rows: DataFrame, more: str) -> StructType:
+    return StructType([*rows.select("id", "text", "row").schema, *StructType.fromDDL(more)])
 
-    A null or empty text has no words. Items that are null, or have no word, never occur. An empty benchmark hits nothing. Several
-    items of one id count as one id. Byte offsets are those of the UTF-8 text; further columns pass through.
-    """
-    spark, names = docs.sparkSession, docs.columns
-    found = None
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, part_bytes: int) -> DataFrame:
+    """id, text, row of apart(docs) with n_words, hit_from, hit_to and items."""
+    spark, rows, found = docs.sparkSession, apart(docs), None
     for part in _parts(benchmark, part_bytes):
         patterns = windows(part, window)
         key = hashlib.sha256(repr(patterns).encode()).hexdigest()
-        before = docs if found is None else found.withColumnsRenamed({c: f"{c}_before" for c in _NEW})
-        of = _scanned(before, spark.sparkContext.broadcast(patterns), key)
-        if found is not None:  # one more part: what either has found
-            of = of.select(*names, "__words", *(F.array_sort(F.array_union(c, f"{c}_before")).alias(c) for c in _NEW[1:]))
+        if found is not None:  # one more part: what the parts before have found goes with the row
+            rows = found.select("id", "text", F.struct("row", *_NEW[1:]).alias("row"))
+        of = _scanned(rows, spark.sparkContext.broadcast(patterns), key)
+        if found is not None:
+            both = [F.array_sort(F.array_union(c, F.col("row").getField(c))).alias(c) for c in _NEW[1:]]
+            of = of.select("id", "text", F.col("row.row").alias("row"), "n_words", *both)
         found = of
-    return _scanned(docs, spark.sparkContext.broadcast({}), "") if found is None else found
+    return _scanned(rows, spark.sparkContext.broadcast({}), "") if found is None else found
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, text, n_words, hit_from, hit_to (byte offsets of each hit word in the original text) and items (item ids, sorted strings) of every row.
+
+    A null or empty text has no words. Items that are null, or have no word, never occur. An empty benchmark hits nothing. Several
+    items of one id count as one id. Byte offsets are those of the UTF-8 text.
+    """
+    return _hits(docs, benchmark, window, part_bytes).select(F.col("id").alias("doc_id"), "text", *_NEW)
 
 
 def digests(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The contract's columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_hit = F.size("__from").cast("long")
-    return hits(rows, benchmark, window).select("doc_id", F.col("__words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__items").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    n_hit = F.size("hit_from").cast("long")
+    return hits(docs.select("doc_id", "text"), benchmark, window).select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with every hit word cut from its text; what separates it from the next word goes with it. Clean texts stay as they are."""
-    names = docs.columns
+    """docs with every hit word cut from its text; what separates it from the next word goes with it. Clean texts stay as they are, and so do further columns, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             out = []
-            for text, a, b in zip(col(x, "text").to_pylist(), col(x, "__from").to_pylist(), col(x, "__to").to_pylist(), strict=True):
+            for text, a, b in zip(col(x, "text").to_pylist(), col(x, "hit_from").to_pylist(), col(x, "hit_to").to_pylist(), strict=True):
                 if a:
                     raw, kept, at = text.encode(), [], 0
                     for s, e in zip(a, b, strict=True):
@@ -159,11 +166,11 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                     kept.append(raw[at:])
                     text = b"".join(kept).decode()
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else col(x, c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), col(x, "row")], ["text", "row"])
+        release_memory()
 
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    schema = StructType([StructField("text", StringType()) if f.name == "text" else StructField(f.name, f.dataType) for f in rows.schema])
-    return hits(rows, benchmark, window).mapInArrow(run, schema)
+    found = _hits(docs, benchmark, window, PART_BYTES)
+    return together(found.mapInArrow(run, found.select("text", "row").schema), docs.columns)
 
 
 #: Separators become blanks.

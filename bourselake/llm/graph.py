@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import apart, together, written
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -46,3 +46,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def keep_least(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id. of: id, t and component of every row (see with_text_hash).
+
+    Of several rows of that doc_id the one with the smaller hash of its text stays, of rows that repeat that one, the smaller hash of all
+    else. Rows without a doc_id all stay. Everything adds up before it is shuffled, so copies in masses are no burden.
+    """
+    chosen = of.where("id is not null").groupBy("component").agg(F.min(F.struct("id", "t")).alias("x")).select("x.id", "x.t")
+    rows = apart(docs).withColumn("t", F.xxhash64("text"))
+    kept = rows.where("id is not null").join(chosen, ["id", "t"], "left_semi").groupBy("id", "t").agg(F.min_by(F.struct("text", "row"), F.xxhash64("row")).alias("x"))
+    return together(kept.select("x.text", "x.row").unionByName(rows.where("id is null").select("text", "row")), docs.columns)

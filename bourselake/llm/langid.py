@@ -6,8 +6,8 @@ by how well its classifier parts the languages, and the language with the least
 near, the answer is flagged as ambiguous.
 
 Classifiers are linear: weights are log odds of n-gram frequencies between the two groups of languages, each document
-counting alike and each language alike. A margin is scaled so that the mean of a bit's weaker group is 1. Learning takes at most
-SAMPLE_ROWS labelled rows, chosen by a hash of the text; prediction reads every whole text.
+counting alike and each language alike. A margin is scaled so that the mean of a bit's weaker group is 1. Learning takes about
+SAMPLE_ROWS labelled texts at most, an equal share for each language, chosen by a hash of the text; prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import col, flat, forget, held_out, slices
+from .common import apart, col, flat, forget, held_out, slices, together
 
 #: Labelled rows that classifiers are fitted on, at most about so many.
 SAMPLE_ROWS = 40_000
@@ -28,6 +29,8 @@ SAMPLE_ROWS = 40_000
 FEATURES, LENGTHS = 1 << 14, (1, 2, 3)
 #: The answer is ambiguous where the runner-up's share of the score is within this of the winner's.
 AMBIGUOUS = 0.2
+#: A text of so many letters is rejected where its least loss is over FAR: ln 2 is what margins of zero have.
+LETTERS, FAR = 200, float(np.log(2))
 #: Steepness of the score.
 SHARPNESS = 4.0
 UNKNOWN = "und"
@@ -101,21 +104,27 @@ class Classifier:
         self.bit_weight /= self.bit_weight.sum()
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language number, score, ambiguous) of each row of margins."""
+        """(language number, score, ambiguous, the least loss) of each row of margins."""
         loss = np.log1p(np.exp(-np.clip(margins[:, None, :] * self.code[None], -30, 30) * 2))
         total = (loss * self.bit_weight).sum(axis=2)
         share = np.exp(-SHARPNESS * (total - total.min(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         order = np.sort(share, axis=1)
         second = order[:, -2] if share.shape[1] > 1 else np.zeros(len(share))
-        return total.argmin(axis=1), order[:, -1], order[:, -1] - second < AMBIGUOUS
+        return total.argmin(axis=1), order[:, -1], order[:, -1] - second < AMBIGUOUS, total.min(axis=1)
 
 
 def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
-    """From text and lang of rows with both; a bounded sample of them."""
+    """From text and lang of rows with both: a bounded sample of distinct texts, an equal share of it for each language.
+
+    A language with few texts is learned from all of them; a text that repeats, however often, counts once for its language.
+    """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    part = min(1.0, sample_rows / max(rows.count(), 1))
-    some = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < part * (1 << 20))
+    keyed = rows.withColumn("h", F.xxhash64("text", F.lit(1)))
+    # one row for each language
+    sizes = keyed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    share = sizes.crossJoin(F.broadcast(sizes.agg(F.count("*").alias("langs")))).select("lang", F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.col("langs") / F.col("n")).alias("part"))
+    some = keyed.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("part") * (1 << 20)).dropDuplicates(["lang", "h"]).select("text", "lang")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -139,47 +148,49 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
 
 
 def predict(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous. A text that is null or has no letter, and any text where nothing was learned, is `und` with score 0."""
-    names = docs.columns
+    """The rows of apart(docs) (id, text, row) with lang_pred, score (0 to 1), loss (of the chosen codeword, 0 at its best) and ambiguous.
+
+    A text that is null or has no letter, and any text where nothing was learned, is `und` with score 0.
+    """
+    rows = apart(docs)
     sent = docs.sparkSession.sparkContext.broadcast(classifier)
-    letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         of: Classifier = sent.value
         for x in slices(batches):
-            ok = np.array(col(x, "__letters").to_pylist(), bool) & bool(of.languages)
+            ok = np.array(col(x, "letters").to_pylist(), bool) & bool(of.languages)
             margins = np.zeros((x.num_rows, len(of.bias)))
             for i, f in enumerate(features(*flat(col(x, "text")))):
                 at = np.flatnonzero(f)
                 margins[i] = f[at] @ of.weights[at] + of.bias
             if of.languages:
-                best, score, unsure = of.decode(margins)
+                best, score, unsure, loss = of.decode(margins)
             else:
-                best, score, unsure = np.zeros(x.num_rows, int), np.zeros(x.num_rows), np.zeros(x.num_rows, bool)
+                best, score, unsure, loss = np.zeros(x.num_rows, int), np.zeros(x.num_rows), np.zeros(x.num_rows, bool), np.zeros(x.num_rows)
             lang = [of.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), ok.tolist(), strict=True)]
-            new = [pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, unsure, True))]
-            yield pa.RecordBatch.from_arrays([*(col(x, c) for c in names), *new], [*names, "lang_pred", "score", "ambiguous"])
-
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+            new = [pa.array(lang, pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(loss), pa.array(np.where(ok, unsure, True))]
+            yield pa.RecordBatch.from_arrays([col(x, "id"), col(x, "text"), col(x, "row"), *new], ["id", "text", "row", "lang_pred", "score", "loss", "ambiguous"])
 
-    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())])
-    return docs.withColumn("__letters", letters).mapInArrow(run, schema)
+    schema = StructType([*rows.schema, *StructType.fromDDL("lang_pred string, score double, loss double, ambiguous boolean")])
+    return rows.withColumn("letters", letters).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """The contract's columns; learned from documents whose crc32(doc_id) mod 4 is not 2."""
-    out = held_out(F.col("doc_id"), 4, 2)
-    classifier = learn(docs.where(~out))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return predict(rows, classifier).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+    classifier = learn(docs.where(~held_out(F.col("doc_id"), 4, 2)))
+    found = predict(docs.select("doc_id", "text"), classifier)
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs whose language can be told: rows that are `und` go. Learned from the rows of docs that have a lang."""
-    taken = {"lang_pred": "__lang_pred", "score": "__score", "ambiguous": "__ambiguous"}
-    back = {v: k for k, v in taken.items() if k in docs.columns}
-    rows = docs.withColumnsRenamed({k: f"__own_{k}" for k in back.values()})
-    classifier = learn(docs.where(~held_out(F.col("doc_id"), 4, 2)))
-    found = predict(rows, classifier).where(F.col("lang_pred") != UNKNOWN).drop(*taken)
-    return found.withColumnsRenamed({f"__own_{k}": k for k in back.values()})
+    """docs whose language can be told, with all their columns. Learned from the rows of docs that have a lang.
+
+    A row goes if it is `und`, or if no codeword is near: a text of LETTERS letters or more whose classifiers' margins disagree with
+    even the nearest codeword by a loss over FAR, the loss that a margin of zero has on every bit. Short texts are too little to
+    judge by and stay.
+    """
+    found = predict(docs, learn(docs.where(~held_out(F.col("doc_id"), 4, 2))))
+    far = (F.col("loss") > FAR) & (F.length(F.regexp_replace("text", r"\P{L}+", "")) >= LETTERS)
+    return together(found.where((F.col("lang_pred") != UNKNOWN) & ~far), docs.columns)

@@ -38,7 +38,7 @@ BASE, PAIR, LEAST = 1.5, 0.5, 2
 #: Probes and bits for each entry.
 PROBES, BITS = 5, 10
 #: Training tokens for each part of the filter, and bytes of text in a block.
-PART_TOKENS, BLOCK_BYTES = 4 << 20, 8 << 20
+PART_TOKENS, BLOCK_BYTES = 1 << 20, 8 << 20
 #: The end of a text; no word has this hash by construction of its own.
 END = U(0x5EED0F0E0D0C0B0A)
 #: Pairs go by the upper bits of their hash.

@@ -1,12 +1,15 @@
 """SentencePiece pieces: n-best segmentation, encoding and exact decoding.
 
 The vocabulary is a public SentencePiece model, read as it is. A text is "▁" and the text with "▁" for each blank. Its lattice has an edge for
-each piece found in it; the log probability of a piece follows Zipf's law over the vocabulary's order, score = -log(rank + ZIPF).
-A character that no piece covers is an edge of its UTF-8 byte pieces, each with the score of the last rank less BYTE_PENALTY. A "▁"
-that is in the text itself goes by its bytes, so that decoding gives every text back exactly.
+each piece found in it, with the score of the model's file where that is a log probability (unigram models). The scores in the file of a
+merge model are ranks (0, -1, -2, ...) and no probabilities: a sum of them says nothing on a segmentation. There a piece's log
+probability follows from its rank by Zipf's law, score = -log(rank + ZIPF). A character that no piece covers is an edge of its UTF-8
+byte pieces, each with the least score less BYTE_PENALTY. A "▁" that is in the text itself goes by its bytes, and no normaliser is
+applied, so that decoding gives every text back exactly. Scores are multiples of 2 ** -16: sums are exact, and ties are ties.
 
-Segmentation: a forward Viterbi pass gives each position's best score (and its second, for the gap). Those scores are exact heuristics for a backward A* search from
-the end: hypotheses leave the queue in the order of their complete scores, so the first n that reach the start are the n best.
+Segmentation: a forward Viterbi pass gives each position's best score (and its second, for the gap). Those scores are exact heuristics
+for a backward A* search from the end: hypotheses leave the queue in the order of their complete scores, of equal ones the nearest to
+the start first, so the first n that reach the start are the n best, and ties are not searched in breadth.
 
 Pieces never cross some borders: where no piece holds two neighbouring characters, the lattice falls apart. It is searched in such
 segments, each once in a worker's cache. The n best of a text come from its segments: only the n - 1 segments with the
@@ -21,7 +24,9 @@ import re
 import string
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +43,19 @@ ZIPF, BYTE_PENALTY = 2.7, 10.0
 BLANK = "▁"
 #: Stands for a BLANK that is in the text: a lone surrogate, which no text holds.
 _LITERAL = "\ud800"
-#: Entries of a generation of a worker's caches.
-CACHE = 60_000
+#: Entries of a generation of a worker's caches, bytes of one entry on average at most, and characters of the longest word that is kept there.
+CACHE, ENTRY_BYTES, CACHED = 60_000, 400, 256
+#: Characters of a segment from which on Viterbi scores are kept in packed arrays.
+LONG = 4_096
 
 
 class Cache:
-    """The latest entries and those before them: a full generation becomes the old one, and what is asked for again stays."""
+    """The latest entries and those before them: a full generation becomes the old one, and what is asked for again stays. Entries and bytes are bounded."""
 
     def __init__(self, most: int = CACHE):
-        self.new, self.old, self.most = {}, {}, most
+        self.new, self.old, self.most, self.most_bytes, self.bytes = {}, {}, most, most * ENTRY_BYTES, 0
 
-    def get(self, key):
+    def get(self, key: str):
         found = self.new.get(key)
         if found is None:
             found = self.old.get(key)
@@ -56,9 +63,12 @@ class Cache:
                 self.put(key, found)
         return found
 
-    def put(self, key, value):
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
+    def put(self, key: str, value):
+        if len(key) > CACHED:  # rare, and as large as texts can be
+            return value
+        self.bytes += 200 + 6 * len(key)
+        if len(self.new) >= self.most or self.bytes > self.most_bytes:
+            self.old, self.new, self.bytes = self.new, {}, 0
         self.new[key] = value
         return value
 
@@ -72,18 +82,19 @@ class Pieces:
         names = [model.id_to_piece(i) for i in range(n)]
         bytes_ = {int(names[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         normal = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        self.scores = {i: -float(np.log(r + ZIPF)) for r, i in enumerate(normal)}
-        last = -float(np.log(len(normal) + ZIPF)) - BYTE_PENALTY
-        self.byte_ids, self.byte_score = [bytes_[b] for b in range(256)], last
+        try:
+            model.nbest_encode_as_ids("a", 1)
+            score = {i: float(model.get_score(i)) for i in normal}  # a unigram model: log probabilities
+        except RuntimeError:
+            score = {i: -float(np.log(r + ZIPF)) for r, i in enumerate(normal)}
+        exact = lambda x: round(x * 65536) / 65536
+        self.scores = {i: exact(x) for i, x in score.items()}
+        self.byte_ids, self.byte_score = [bytes_[b] for b in range(256)], exact(min(score.values()) - BYTE_PENALTY)
         self.edges = {names[i]: ((i,), self.scores[i]) for i in normal}
-        # a trie, character by character: nodes are [children, ids or None where it is only a prefix, score]
-        self.trie: dict[str, list] = {}
-        for p, edge in self.edges.items():
-            children, node = self.trie, None
-            for c in p:
-                node = children.setdefault(c, [{}, None, 0.0])
-                children = node[0]
-            node[1:] = edge
+        self.longest = max(map(len, self.edges))
+        # tries, character by character, from a piece's front and from its back: nodes are [children, ids or None where it is only a prefix, score, length]
+        self.trie, self.back = self._trie(lambda p: p), self._trie(lambda p: p[::-1])
+        self.odd: dict[str, list] = {}  # nodes of characters that go by their bytes
         self.inner = {p[i : i + 2] for p in self.edges for i in range(len(p) - 1)}
         self.raw = [b""] * n  # what decoding an id gives
         for i in normal:
@@ -105,38 +116,55 @@ class Pieces:
         # of words and of their segments: a word of one segment is there once
         self.memo, self.near = Cache(cache), Cache(cache // 10)
 
-    # ---- one segment
+    def _trie(self, order: Callable[[str], str]) -> dict[str, list]:
+        root: dict[str, list] = {}
+        for p, edge in self.edges.items():
+            children, node = root, None
+            for c in order(p):
+                node = children.setdefault(c, [{}, None, 0.0, 0])
+                children = node[0]
+            node[1:] = *edge, len(p)
+        return root
 
-    def _bytes(self, c: str) -> tuple[tuple[int, ...], float]:
-        raw = (BLANK if c == _LITERAL else c).encode()
-        return tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw)
+    # ---- one segment
 
-    def edges_from(self, text: str, s: int) -> Iterator[tuple[int, tuple[tuple[int, ...], float]]]:
-        """(end, edge) of all edges that start at s."""
-        children = self.trie
-        for e in range(s, len(text)):
-            node = children.get(text[e])
+    def _bytes(self, c: str) -> list:
+        """The node of a character that no piece covers."""
+        node = self.odd.get(c)
+        if node is None:
+            if len(self.odd) > CACHE:
+                self.odd.clear()
+            raw = (BLANK if c == _LITERAL else c).encode()
+            node = self.odd[c] = [None, tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw), 1]
+        return node
+
+    def edges_to(self, text: str, e: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
+        """(start, ids, score) of all edges that end at e."""
+        children = self.back
+        for s in range(e - 1, max(-1, e - 1 - self.longest), -1):
+            node = children.get(text[s])
             if node is None:
                 break
-            children, ids, score = node
+            children, ids, score, _ = node
             if ids is not None:
-                yield e + 1, (ids, score)
-        if text[s] not in self.edges:
-            yield s + 1, self._bytes(text[s])
+                yield s, ids, score
+        if text[e - 1] not in self.edges:
+            _, ids, score, _ = self._bytes(text[e - 1])
+            yield e - 1, ids, score
 
-    def viterbi(self, text: str) -> tuple[list[int], float, float]:
-        """(ids, score, gap to the second best) of a segment: one forward pass that keeps each position's two best scores."""
+    def forward(self, text: str) -> tuple[Sequence[float], Sequence[float], list]:
+        """Of each position its best score, its second best, and the node of the best edge that ends there."""
         n, low = len(text), -1e300
-        one, two, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        one, two, back = ([low] * (n + 1), [low] * (n + 1), [None] * (n + 1)) if n < LONG else (array("d", [low]) * (n + 1), array("d", [low]) * (n + 1), [None] * (n + 1))
         one[0] = 0.0
-        trie, single = self.trie, self.edges
+        trie, single, longest = self.trie, self.edges, self.longest
         for s in range(n):
             first, second, children, e = one[s], two[s], trie, s
-            for c in text[s:] if s else text:
+            for c in text[s : s + longest]:
                 node = children.get(c)
                 if node is None:
                     break
-                children, ids, score = node
+                children, ids, score, _ = node
                 e += 1
                 if ids is None:
                     continue
@@ -146,41 +174,43 @@ class Pieces:
                     other = second + score
                     two[e] = best if best > other else other
                     one[e] = new
-                    back[e] = s, ids
+                    back[e] = node
                 elif new > two[e]:
                     two[e] = new
             if text[s] not in single:
-                ids, score = self._bytes(text[s])
-                new = first + score
-                if new > one[s + 1]:
-                    two[s + 1] = max(one[s + 1], second + score)
-                    one[s + 1] = new
-                    back[s + 1] = s, ids
-                elif new > two[s + 1]:
-                    two[s + 1] = new
-        parts, at = [], n
+                node = self._bytes(text[s])
+                new, e = first + node[2], s + 1
+                if new > one[e]:
+                    two[e] = max(one[e], second + node[2])
+                    one[e] = new
+                    back[e] = node
+                elif new > two[e]:
+                    two[e] = new
+        return one, two, back
+
+    def viterbi(self, text: str) -> tuple[list[int], float, float]:
+        """(ids, score, gap to the second best) of a segment: one forward pass that keeps each position's two best scores."""
+        one, two, back = self.forward(text)
+        parts, at = [], len(text)
         while at:
-            at, ids = back[at]
-            parts.append(ids)
-        return [i for ids in reversed(parts) for i in ids], one[n], one[n] - two[n] if two[n] > -1e299 else np.inf
-
-    def lattice(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
-        """Edges by their end, and the best score of each position."""
-        by_end, best = [[] for _ in range(len(text) + 1)], [0.0] + [-1e300] * len(text)
-        for s in range(len(text)):
-            for e, (ids, score) in self.edges_from(text, s):
-                by_end[e].append((s, ids, score))
-                best[e] = max(best[e], best[s] + score)
-        return by_end, best
+            node = back[at]
+            parts.append(node[1])
+            at -= node[3]
+        return [i for ids in reversed(parts) for i in ids], one[-1], one[-1] - two[-1] if two[-1] > -1e299 else np.inf
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """(score, ids) of the n best segmentations of a segment, best first; fewer if there are no more."""
-        by_end, best = self.lattice(text)
+        """(score, ids) of the n best segmentations of a segment, best first; fewer if there are no more.
+
+        A* from the end: a hypothesis at `at` has the score g of what it has read and best[at] still to come, exactly. A position is left at
+        most n times: what reaches it later is in none of the n best.
+        """
+        best = self.forward(text)[0]
         order = itertools.count()
-        queue = [(-best[-1], next(order), len(text), 0.0, None)]
+        queue = [(-best[-1], len(text), next(order), 0.0, None)]
+        left: Counter[int] = Counter()
         out = []
         while queue and len(out) < n:
-            f, _, at, g, link = heapq.heappop(queue)
+            f, at, _, g, link = heapq.heappop(queue)
             if at == 0:
                 ids = []
                 while link is not None:
@@ -188,8 +218,11 @@ class Pieces:
                     link = link[1]
                 out.append((-f, tuple(ids)))
                 continue
-            for s, ids, score in by_end[at]:
-                heapq.heappush(queue, (-(best[s] + score + g), next(order), s, g + score, (ids, link)))
+            left[at] += 1
+            if left[at] > n:
+                continue
+            for s, ids, score in self.edges_to(text, at):
+                heapq.heappush(queue, (-(best[s] + score + g), s, next(order), g + score, (ids, link)))
         return out
 
     # ---- whole texts
@@ -245,9 +278,10 @@ class Pieces:
 
     def _near(self, text: str, n: int) -> list[float]:
         """Scores of a segment's n best."""
-        found = self.near.get((text, n))
+        key = f"{n} {text}"
+        found = self.near.get(key)
         if found is None:
-            found = self.near.put((text, n), [s for s, _ in self.n_best(text, n)])
+            found = self.near.put(key, [s for s, _ in self.n_best(text, n)])
         return found
 
     def _combined(self, words: list[str], gaps: Sequence[float], total: float, n: int) -> list[tuple[float, dict[int, int]]]:

@@ -3,7 +3,7 @@
 Bytes are aggregated by slot; there are SLOTS rows of that at most, whatever the input, and only these reach the driver. The first
 version of the map deals slots out by size, largest first, each to the shard with the fewest bytes. Rebalancing edits the map: it
 writes a new version in which few slots have moved, and records only move with their slot. The law is `bytes`: shards get nearly
-equal sizes. A third of all rows in one source or one group of copies does no harm: slots come from doc_id.
+equal sizes. A third of all rows in one source or one group of copies does no harm: slots come from doc_id and text.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ MAP = "version int, virtual_slot int, shard int, bytes long, rows long, first_sl
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """docs with size (UTF-8 bytes of text, none for null, and one) and virtual_slot (from doc_id alone; null ids share one)."""
+    """docs with size (UTF-8 bytes of text, none for null, and one) and virtual_slot.
+
+    The slot comes from doc_id and a hash of the text, so that rows without an id, or of one id, spread too. Rows equal in both are one
+    record, repeated, and share a slot: a doc_id repeated with one text in masses makes one slot that is larger than others.
+    """
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
-    return docs.withColumns({"size": size, "virtual_slot": F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots)).cast("int")})
+    return docs.withColumns({"size": size, "virtual_slot": F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(slots)).cast("int")})
 
 
 def slot_sizes(rows: DataFrame) -> list[tuple[int, int, int]]:

@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, flat, forget, longs, slices, written
-from .graph import connected_components
+from .common import col, flat, forget, longs, slices, with_text_hash, written
+from .graph import connected_components, keep_least
 from .words import LOWER, U, find_words, joined
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -78,15 +78,15 @@ def fingerprints(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row. A null or blank text has fingerprint zero."""
+    """id (doc_id), t (hash of the text) and fp (the fingerprint as a signed long) of every row. A null or blank text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for x in slices(batches):
             fp = fingerprints(*flat(col(x, "text")))
-            yield pa.RecordBatch.from_arrays([col(x, "doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([col(x, "id"), col(x, "t"), pa.array(fp.view(np.int64))], ["id", "t", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return with_text_hash(docs).mapInArrow(run, "id long, t long, fp long")
 
 
 # ---- Golay keys
@@ -225,19 +225,25 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     return near.unionByName(far).distinct()
 
 
+def _components(docs: DataFrame) -> DataFrame:
+    """id, t (hash of the text), fp, component (a fingerprint of it) and component_id of every row."""
+    prints = written(with_fingerprints(docs), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    found = connected_components(links(distinct.select("fp", F.col("fp").alias("node"))))
+    of = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(of.select("fp", "component").join(least, "component"), "fp", "left")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) and component_id (the smallest doc_id reachable through links) of every document.
+    """doc_id, fp (long) and component_id (the smallest doc_id reachable through links) of every row.
 
-    Null and blank texts share fingerprint zero and link like any other. Rows that repeat stay as many rows. A null
-    doc_id cannot name a component: such rows get the component of their fingerprint, or null if nobody else has it.
-    Further columns of docs are not read. An empty table gives no rows.
+    Nodes are fingerprints: null and blank texts share fingerprint zero and link like any other, repeated rows stay as many rows, and rows
+    of one doc_id with several texts go each by its own fingerprint (a shared doc_id is no link). A null doc_id cannot name a
+    component: such rows get the component of their fingerprint, which is null if no row of it has a doc_id. Further columns of
+    docs are not read. An empty table gives no rows.
     """
-    prints = written(with_fingerprints(docs), "fingerprints")
-    distinct = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    # A doc_id that stands for several fingerprints (repeated ids) joins them: one document is one node.
-    found = connected_components(links(distinct))
-    of = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    return _components(docs).select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 def op7(spark, docs: DataFrame) -> DataFrame:
@@ -246,7 +252,5 @@ def op7(spark, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with only the smallest doc_id of each component. Repeated rows of that id: one stays. Rows without a doc_id all stay."""
-    of = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(of, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each component: see graph.keep_least."""
+    return keep_least(docs, _components(docs))

@@ -58,7 +58,9 @@ def frequent(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, most: int = FREQUE
     """The most frequent pre-tokens of a sample of the documents, at most so many."""
     total = docs.count()
     part = min(1.0, sample_rows / max(total, 1))
-    some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part * (1 << 20)))
+    keyed = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    # distinct texts: one that repeats, however often, is in the sample once or not at all
+    some = keyed.where(F.pmod("h", F.lit(1 << 20)) < part * (1 << 20)).dropDuplicates(["h"]).select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter[bytes] = Counter()

@@ -16,13 +16,14 @@ ROWS = [
     (10, "12 34 56", None, "d", 10),
     (11, "intro words here then The quick brown fox jumps over the lazy dog again and again until the day is done and everyone goes home for the night at last", "en", "d", 11),
 ]
-NAMES = ["doc_id", "text", "lang", "source", "score", "__at", "g", "fp"]
-SCHEMA = "doc_id long, text string, lang string, source string, score int, __n2 string, g string, fp string"
+#: Columns whose names the operators use themselves.
+OWN = ["id", "row", "t", "h", "d", "k", "at", "n", "p", "w", "g", "f", "fp", "a", "b", "u", "x", "ids", "node", "size", "bands", "component", "component_id", "lang_pred", "score", "loss", "ambiguous", "letters", "n_words", "hit_from", "hit_to", "items", "text_crc32", "virtual_slot", "shard", "slot", "version", "block", "part", "held_out", "rest", "ref_d", "_kept", "__d", "__k", "__at", "__n", "__fd", "__words", "__from", "__to", "__items", "__letters", "__score", "n.m"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{c}` string" for c in OWN)
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame([(*r, "x", "y", None) for r in ROWS], SCHEMA)
+    return spark.createDataFrame([(*r, *(f"{c} of {r[0]}" for c in OWN)) for r in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="session")
