@@ -1,17 +1,22 @@
 """Approximate search by largest inner product: inverted lists, scanned by adaptive dimensions.
 
-* Lists: k-means centroids of a bounded sample; every vector goes to its nearest centroid's list. A query probes the lists whose
-  centroids have the largest inner product with it, PROBED of all lists at least and until they hold ENOUGH vectors.
-* Scan: vectors are rotated at random, so that any columns are a fair sample of a distance. Columns are read in blocks: FIRST, which a matrix product reads for all pairs, then BLOCK by BLOCK
-  for the pairs left. After d
-  of D columns, the distance to a candidate is estimated as D / d times its part so far; the hypothesis that the candidate
-  still reaches the query's threshold is rejected where that exceeds the threshold's distance times (1 + EPSILON / sqrt(d)) ** 2.
-  Rejected candidates are read no further. An inner product p means the squared distance |q|^2 + |x|^2 - 2 p.
+* Copies: of vectors that are equal in all components only the k + 1 smallest vec_ids can be among anyone's k nearest, as ties go to
+  the smaller id. No others are candidates; they still are queries. So one vector that a third of all rows share is no hot list.
+* Lists: k-means centroids of a bounded sample; every vector goes to its nearest centroid's list. There is a list for VECTORS_A_LIST
+  vectors, up to MOST_LISTS (their centroids are broadcast). A query probes the lists whose centroids have the largest inner product
+  with it, until they hold ENOUGH vectors and are as many as the sample says: so many that TARGET of the nearest neighbours of sample
+  queries within the sample are in them. A sample of a share f stands for the k nearest with its own k * f nearest, so the share of
+  lists that is probed falls as the table grows and neighbours come closer.
+* Scan: vectors are rotated at random, once, so that any columns are a fair sample of a distance. Columns are read in blocks: FIRST, which
+  a matrix product reads for all pairs, then BLOCK by BLOCK for the pairs left. After d of D columns, the distance to a candidate is
+  estimated as D / d times its part so far; the hypothesis that the candidate still reaches the query's threshold is rejected where
+  that exceeds the threshold's distance times (1 + EPSILON / sqrt(d)) ** 2. Rejected candidates are read no further. An inner
+  product p means the squared distance |q|^2 + |x|^2 - 2 p.
 * Threshold: the query's K-th best among a bounded sample. Those K are in the result's pool themselves, so a query always finds K.
 * What survives is scored in double precision on the original vectors.
 
 A list is cut into chunks of CHUNK vectors and its queries into blocks of QUERIES, whatever its size; each chunk meets each block of
-queries in a group of its own. So one vector that a third of all rows share makes more groups, not a larger one.
+queries in a group of its own, in strips of STRIP queries, so that the pairs at hand are bounded too.
 """
 
 from __future__ import annotations
@@ -22,19 +27,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import col
+from .common import col, release_memory, written
 
 K, FIRST, BLOCK, EPSILON = 20, 32, 16, 1.8
-SAMPLE, THRESHOLD_SAMPLE = 20_000, 4_096
-VECTORS_A_LIST, MOST_LISTS = 400, 2_048
-PROBED, ENOUGH = 0.65, 1_000
-CHUNK, QUERIES = 4_096, 1_024
+#: The sample on the driver: rows and bytes at most; rows of it that thresholds come from, and that are queries for the number of lists.
+SAMPLE, SAMPLE_BYTES, THRESHOLD_SAMPLE, TRIALS = 20_000, 32 << 20, 4_096, 512
+VECTORS_A_LIST, MOST_LISTS = 400, 8_192
+TARGET, ENOUGH = 0.95, 1_000
+CHUNK, QUERIES, STRIP = 2_048, 1_024, 128
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of all vectors that take part: no null, zero or non-finite ones, none without an id."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, v (single components stay single, others are double) of all vectors that take part: no null, zero or non-finite ones, none without an id."""
+    kind = vectors.schema["embedding"].dataType
+    v = F.col("embedding").cast("array<float>" if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else "array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
 
@@ -73,10 +81,9 @@ def dots(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
-def scan(queries: np.ndarray, thresholds: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) places of the pairs that no test has abandoned."""
-    width = vectors.shape[1]
-    q, x = (queries @ rotation).astype(np.float32), (vectors @ rotation).astype(np.float32)
+def scan(q: np.ndarray, thresholds: np.ndarray, x: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) places of the pairs of rotated rows that no test has abandoned."""
+    width = x.shape[1]
     qq, xx = (q**2).sum(axis=1), (x**2).sum(axis=1)
     # what the squared distance may be for the pair to reach the threshold, less |x|^2; single precision gets some room
     room = qq - 2 * thresholds.astype(np.float32) + np.float32(1e-4) * (1 + qq)
@@ -100,39 +107,60 @@ def scan(queries: np.ndarray, thresholds: np.ndarray, vectors: np.ndarray, rotat
     return i, j
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = K, probed: float = PROBED) -> DataFrame:
+def lists_to_probe(known: np.ndarray, centers: np.ndarray, k: int, total: int, target: float) -> int:
+    """How many lists a query must probe so that `target` of the nearest neighbours of the sample's first rows, within the sample, are in them."""
+    near = max(1, round(k * len(known) / max(total, 1)))
+    own, needed = nearest(known, centers), []
+    for at in range(0, min(TRIALS, len(known)), 64):
+        q = known[at : at + 64]
+        s = q @ known.T
+        s[np.arange(len(q)), at + np.arange(len(q))] = -np.inf
+        best = np.argpartition(-s, min(near, s.shape[1] - 1), axis=1)[:, :near]
+        place = np.argsort(np.argsort(-(q @ centers.T), axis=1, kind="stable"), axis=1)
+        needed.append(np.take_along_axis(place, own[best], axis=1).ravel())
+    return 1 + int(np.quantile(np.concatenate(needed), target, method="higher")) if needed else 1
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = K, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id divisible by `every`) its k nearest found.
 
-    Vectors of another length than most of the sample take no part. Rows that repeat one vec_id and vector count once. An empty table,
-    or a single vector, gives no rows.
+    Vectors of another length than most of the sample take no part. Rows that repeat one vec_id and vector count once; of a vec_id with several
+    vectors the nearest counts. An empty table, or a single vector, gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
-    total = rows.count()
-    part = min(1.0, SAMPLE / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < part * (1 << 20)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE).toArrow()
+    total, wide = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    many = int(max(100, min(SAMPLE, SAMPLE_BYTES // (8 * wide))))
+    part = min(1.0, many / max(total, 1))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < part * (1 << 20)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(many).toArrow()
     lengths = np.diff(sample["v"].combine_chunks().offsets.to_numpy()) if sample.num_rows else np.zeros(0, int)
     width = int(np.bincount(lengths).argmax()) if len(lengths) else 0
     sample = sample.filter(pa.array(lengths == width))
-    known, known_ids = _matrix(sample["v"], max(width, 1)), sample["vec_id"].to_numpy()
+    known, known_ids = _matrix(sample["v"], max(width, 1)).astype(np.float64), sample["vec_id"].to_numpy()
     n = int(np.clip(total // VECTORS_A_LIST, 1, MOST_LISTS))
     centers = kmeans(known, n) if len(known) else np.zeros((1, max(width, 1)))
+    least = lists_to_probe(known, centers, k, total, target)
     rotation = np.linalg.qr(np.random.default_rng(11).standard_normal((max(width, 1), max(width, 1))))[0]
     some, some_ids = known[:THRESHOLD_SAMPLE], known_ids[:THRESHOLD_SAMPLE]
     setup = spark.sparkContext.broadcast((centers, rotation, some, some_ids))
-    rows = rows.where(F.size("v") == width)
+    rows = rows.where(F.size("v") == width).distinct()
+    kind = rows.schema["v"].dataType.simpleString()
+
+    def turned(x: np.ndarray) -> pa.Array:
+        r = (x @ setup.value[1]).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * width), pa.array(r.ravel()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = setup.value[0]
         for x in batches:
-            own = nearest(_matrix(col(x, "v"), width), centers)
-            yield pa.RecordBatch.from_arrays([col(x, "vec_id"), col(x, "v"), pa.array(own, pa.int32())], ["vec_id", "v", "list"])
+            m = _matrix(col(x, "v"), width).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([col(x, "vec_id"), col(x, "v"), turned(m), pa.array(nearest(m, setup.value[0]), pa.int32())], ["vec_id", "v", "r", "list"])
 
-    placed = rows.mapInArrow(place, "vec_id long, v array<double>, list int").distinct()
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    candidates = rows.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")
+    placed = written(candidates.mapInArrow(place, f"vec_id long, v {kind}, r array<float>, list int"), "ann-placed")
     sizes = dict(placed.groupBy("list").count().collect())  # MOST_LISTS rows at most
-    many = np.array([sizes.get(i, 0) for i in range(len(centers))])
-    least = max(1, int(np.ceil(probed * len(centers))))
-    size_of = spark.sparkContext.broadcast(many)
+    held = np.array([sizes.get(i, 0) for i in range(len(centers))])
+    size_of = spark.sparkContext.broadcast(held)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, _, some, ids = setup.value
@@ -140,7 +168,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probed: float = PROB
         for x in batches:
             for at in range(0, x.num_rows, 512):
                 part = x.slice(at, 512)
-                q, own = _matrix(col(part, "v"), width), col(part, "vec_id").to_numpy()
+                q, own = _matrix(col(part, "v"), width).astype(np.float64), col(part, "vec_id").to_numpy()
                 order = np.argsort(-(q @ centers.T), axis=1, kind="stable")
                 near = q @ some.T
                 near[own[:, None] == ids[None]] = -np.inf
@@ -157,33 +185,39 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, probed: float = PROB
                     lists = [int(c) for c in order[i, :stop] if many[c]]
                     out.append((lists, low, [f[0] for f in found], [f[1] for f in found]))
                 lists, low, f, s = (list(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([col(part, "vec_id"), col(part, "v"), pa.array(lists, pa.list_(pa.int32())), pa.array(low, pa.float64()), pa.array(f, pa.list_(pa.int64())), pa.array(s, pa.list_(pa.float64()))], ["query_id", "v", "lists", "low", "f", "s"])
+                yield pa.RecordBatch.from_arrays([col(part, "vec_id"), col(part, "v"), turned(q), pa.array(lists, pa.list_(pa.int32())), pa.array(low, pa.float64()), pa.array(f, pa.list_(pa.int64())), pa.array(s, pa.list_(pa.float64()))], ["query_id", "v", "r", "lists", "low", "f", "s"])
 
-    queries = rows.where(F.col("vec_id") % every == 0).distinct().mapInArrow(probe, "query_id long, v array<double>, lists array<int>, low double, f array<long>, s array<double>")
-    asked = queries.select("query_id", "v", "low", F.explode("lists").alias("list"))
+    queries = rows.where(F.col("vec_id") % every == 0).mapInArrow(probe, f"query_id long, v {kind}, r array<float>, lists array<int>, low double, f array<long>, s array<double>")
+    queries = written(queries, "ann-queries")
+    asked = queries.select("query_id", "v", "r", "low", F.explode("lists").alias("list"))
     loads = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
-    chunks = spark.createDataFrame([(int(c), int(-(-m // CHUNK))) for c, m in enumerate(many) if m], "list int, chunks int").join(loads, "list")
+    chunks = spark.createDataFrame([(int(c), int(-(-m // CHUNK))) for c, m in enumerate(held) if m], "list int, chunks int").join(loads, "list")
     # one row for each list: bounded by MOST_LISTS
     chunks = F.broadcast(chunks)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(chunks, "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), each("blocks").alias("block"))
-    right = asked.join(chunks, "list").select("query_id", F.col("v").alias("q"), "low", "list", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), each("chunks").alias("chunk"))
+    left = placed.join(chunks, "list").select("vec_id", "v", "r", "list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), each("blocks").alias("block"))
+    right = asked.join(chunks, "list").select("query_id", "v", "r", "low", "list", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), each("chunks").alias("chunk"))
 
     def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        ids, asked_by = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        if not len(ids) or not len(asked_by):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, q = _matrix(vectors["v"], width), _matrix(queries["q"], width)
-        low = queries["low"].to_numpy()
-        i, j = scan(q, np.where(np.isfinite(low), low, -1e30), x, setup.value[1])
-        other = ids[j] != asked_by[i]
-        i, j = i[other], j[other]
-        s = dots(q[i], x[j])
-        order = np.lexsort((ids[j], -s, i))
-        i, j, s = i[order], j[order], s[order]
-        begins = np.searchsorted(i, i)
-        keep = np.arange(len(i)) - begins < k
-        return pa.table({"query_id": asked_by[i[keep]], "vec_id": ids[j[keep]], "score": s[keep]})
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if vectors.num_rows and queries.num_rows:
+            ids, asked_by = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+            x, r, q, t = (_matrix(c, width) for c in (vectors["v"], vectors["r"], queries["v"], queries["r"]))
+            low = queries["low"].to_numpy()
+            low = np.where(np.isfinite(low), low, -1e30)
+            for at in range(0, len(q), STRIP):
+                i, j = scan(t[at : at + STRIP], low[at : at + STRIP], r)
+                i += at
+                other = ids[j] != asked_by[i]
+                i, j = i[other], j[other]
+                s = np.concatenate([np.empty(0), *(dots(q[i[b : b + 65536]].astype(np.float64), x[j[b : b + 65536]].astype(np.float64)) for b in range(0, len(i), 65536))])
+                order = np.lexsort((ids[j], -s, i))
+                i, j, s = i[order], j[order], s[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((asked_by[i[keep]], ids[j[keep]], s[keep]))
+            release_memory()
+        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"query_id": a, "vec_id": b, "score": s})
 
     group = ["list", "chunk", "block"]
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, "query_id long, vec_id long, score double")

@@ -362,6 +362,40 @@ def test_ann_recall_and_scores(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_fewer_lists_as_neighbours_come_closer():
+    """Clustered vectors: the share of lists that the sample asks for falls as tables grow, and covers the true neighbours at either size."""
+    rng = np.random.default_rng(1)
+    middles = rng.standard_normal((60, 16))
+    shares = []
+    for total in (2_000, 40_000):
+        x = middles[rng.integers(0, 60, total)] + 0.25 * rng.standard_normal((total, 16))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        known = x[:2_000]
+        centers = ann.kmeans(known, 50)
+        least = ann.lists_to_probe(known, centers, 20, total, 0.95)
+        q, own = x[-100:], ann.nearest(x, centers)
+        s = q @ x.T
+        s[np.arange(100), total - 100 + np.arange(100)] = -9
+        best = np.argsort(-s, axis=1)[:, :20]
+        place = np.argsort(np.argsort(-(q @ centers.T), axis=1), axis=1)
+        assert (np.take_along_axis(place, own[best], axis=1) < least).mean() >= 0.9
+        shares.append(least / len(centers))
+    assert shares[1] <= shares[0] < 0.5
+
+
+def test_ann_copies_in_masses(spark):
+    """One vector that most rows share: its smallest ids are everyone's, and copies that are queries are answered."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [0.6, 0.8, 0.1] if i % 3 else rng.standard_normal(3).round(3).tolist()) for i in range(900)]
+    table = {i: np.array(np.array(v, np.float32), float) for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 900, 20):
+        want = sorted(((-float(table[q] @ v), i) for i, v in table.items() if i != q))[:20]
+        assert [i for i, _ in got[q]] == [i for _, i in want]
+
+
 def test_ann_odd_vectors(spark):
     nan = float("nan")
     rows = [(i, [1.0, float(i % 3), 0.5]) for i in range(60)] + [(100, None), (120, [0.0, 0.0, 0.0]), (140, [1.0, None, 0.0]), (160, [nan, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (180, [1.0, 2.0])]
