@@ -100,10 +100,14 @@ def P20_candidate_counts(t: Tables) -> DataFrame:
     return t.announcements.join(stored, "attachment", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_returnflag, l_linestatus, CAST(SUM(l_quantity) AS BIGINT) AS sum_qty, COUNT(*) AS count_order FROM lineitem WHERE l_shipdate <= CAST('1998-09-02' AS DATE) GROUP BY 1, 2")
+@query("""SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE status = 'ok') AS ok, COUNT(*) FILTER (WHERE status = 'too_large') AS too_large, COUNT(*) FILTER (WHERE status = 'no_attachment') AS no_attachment, COUNT(*) FILTER (WHERE status NOT IN ('ok', 'too_large', 'no_attachment')) AS failed
+FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'no_attachment' WHEN l_quantity > 45 THEN 'too_large' WHEN l_returnflag = 'N' AND l_tax > 0.07 THEN 'parse_failed' ELSE 'ok' END AS status FROM lineitem)""")
 def A13_status_tally(t: Tables) -> DataFrame:
-    rows = t.table("lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("bigint").alias("sum_qty"), F.count("*").alias("count_order"))
+    """Counters of a run: how each item ended."""
+    status = F.when(F.col("l_returnflag") == "R", "no_attachment").when(F.col("l_quantity") > 45, "too_large").when((F.col("l_returnflag") == "N") & (F.col("l_tax") > 0.07), "parse_failed").otherwise("ok")
+    known = ["ok", "too_large", "no_attachment"]
+    rows = t.table("lineitem").select(status.alias("status"))
+    return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == k).alias(k) for k in known], F.count_if(~F.col("status").isin(known)).alias("failed"))
 
 
 # ---- predicates
@@ -186,10 +190,11 @@ def J3_breakouts_sector(t: Tables) -> DataFrame:
     return t.breakouts.join(known, "symbol", "left").select("symbol", "signal_date", F.coalesce("sector", "known").alias("sector"))
 
 
-@query("SELECT o.id, coalesce(a.subject, 'Order') AS subject FROM order_wins o LEFT JOIN announcements a ON a.attachment = o.source_url AND a.symbol = o.symbol WHERE o.value > 350000")
+@query("SELECT o.id, coalesce(a.subject, 'Order') AS subject, a.id AS said FROM order_wins o LEFT JOIN announcements a ON a.attachment = o.source_url")
 def J4_orders_left_url(t: Tables) -> DataFrame:
-    other = t.announcements.select("symbol", F.col("attachment").alias("source_url"), "subject")
-    return t.order_wins.where("value > 350000").join(other, ["symbol", "source_url"], "left").select("id", F.coalesce("subject", F.lit("Order")).alias("subject"))
+    """An order has a row for every announcement with its URL."""
+    other = t.announcements.select(F.col("attachment").alias("source_url"), "subject", F.col("id").alias("said"))
+    return t.order_wins.select("id", "source_url").join(other, "source_url", "left").select("id", F.coalesce("subject", F.lit("Order")).alias("subject"), "said")
 
 
 @query(f"""SELECT o.id, CASE WHEN a.subject IN ({_quoted(rules.GENUINE_ORDER_SUBJECTS)}) THEN 1 ELSE 0 END AS from_genuine FROM order_wins o
@@ -283,12 +288,13 @@ def J18_merged_lists(t: Tables) -> DataFrame:
     return ranking.merged_first(lists, "id", [F.col("id")])
 
 
-@query("""SELECT c.symbol, coalesce(s.sector, c.sector, '') AS sector, CASE WHEN c.market_cap >= 280000 THEN 'Large' WHEN c.market_cap >= 250000 THEN 'Mid' WHEN c.market_cap > 0 THEN 'Small' END AS cap
-FROM companies c LEFT JOIN stock_sectors s ON s.symbol = c.symbol""")
+@query("""SELECT b.symbol, b.signal_date, coalesce(b.sector, s.sector, c.sector, '') AS sector, CASE WHEN lower(t) LIKE '%small%' THEN 'Small' WHEN lower(t) LIKE '%mid%' THEN 'Mid' WHEN lower(t) LIKE '%large%' THEN 'Large'
+WHEN v >= 20000 THEN 'Large' WHEN v >= 5000 THEN 'Mid' WHEN v > 0 THEN 'Small' END AS cap FROM (SELECT *, CASE volume % 5 WHEN 0 THEN 'Small Cap' WHEN 1 THEN 'MIDCAP 100' WHEN 2 THEN 'large' WHEN 3 THEN NULL ELSE '' END AS t, (volume % 40) * 1000.0::DOUBLE AS v FROM breakouts) b
+LEFT JOIN stock_sectors s ON s.symbol = b.symbol LEFT JOIN companies c ON c.symbol = b.symbol""")
 def J19_cap_sector_fallback(t: Tables) -> DataFrame:
-    known = t.stock_sectors.select("symbol", F.col("sector").alias("known"))
-    cap = F.when(F.col("market_cap") >= 280000, "Large").when(F.col("market_cap") >= 250000, "Mid").when(F.col("market_cap") > 0, "Small")
-    return t.companies.join(known, "symbol", "left").select("symbol", F.coalesce("known", "sector", F.lit("")).alias("sector"), cap.alias("cap"))
+    text = F.element_at(F.array(F.lit("Small Cap"), F.lit("MIDCAP 100"), F.lit("large"), F.lit(None), F.lit("")), (F.col("volume") % 5 + 1).cast("int"))
+    rows = t.breakouts.join(t.stock_sectors.select("symbol", F.col("sector").alias("known")), "symbol", "left").join(t.companies.select("symbol", F.col("sector").alias("said")), "symbol", "left")
+    return rows.select("symbol", "signal_date", F.coalesce("sector", "known", "said", F.lit("")).alias("sector"), C.cap_class(text, (F.col("volume") % 40) * 1000.0).alias("cap"))
 
 
 # ---- windows and orders
@@ -345,9 +351,9 @@ def O6_top_by_pat(t: Tables) -> DataFrame:
     return ranking.top(t.results.where("pat is not null").select("symbol", "period", "pat"), [F.desc("pat"), F.col("symbol"), F.col("period")], 10)
 
 
-@query("""SELECT kind, id, day FROM (SELECT 'order' AS kind, id, broadcast_date AS day FROM order_wins WHERE symbol = '5' UNION ALL SELECT 'announcement' AS kind, id, broadcast_date AS day FROM announcements WHERE symbol = '5') ORDER BY day DESC, id, kind LIMIT 30""")
+@query("""SELECT kind, id, day FROM (SELECT 'order' AS kind, id, broadcast_date AS day FROM order_wins UNION ALL SELECT 'announcement' AS kind, id, broadcast_date AS day FROM announcements) ORDER BY day DESC, id, kind LIMIT 30""")
 def O7_concat_sort_limit(t: Tables) -> DataFrame:
-    part = lambda df, kind: df.where("symbol = '5'").select(F.lit(kind).alias("kind"), "id", F.col("broadcast_date").alias("day"))
+    part = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", F.col("broadcast_date").alias("day"))
     return ranking.top(part(t.order_wins, "order").unionByName(part(t.announcements, "announcement")), [F.desc("day"), F.col("id"), F.col("kind")], 30)
 
 

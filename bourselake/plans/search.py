@@ -10,37 +10,60 @@ from ..operators import ranking, retrieval
 from .registry import Tables, query
 
 _TERMS = ["the", "les", "und"]
-_IN = ", ".join(f"'{w}'" for w in _TERMS)
-_BM25 = f"""tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), dl AS (SELECT doc_id, len(ws) AS dl FROM tok WHERE len(ws) > 0),
-st AS (SELECT COUNT(*)::DOUBLE AS n, AVG(dl)::DOUBLE AS mean FROM dl), tf AS (SELECT doc_id, w, COUNT(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM tok) WHERE w IN ({_IN}) GROUP BY 1, 2),
-df AS (SELECT w, COUNT(*) AS df FROM tf GROUP BY w),
-sc AS (SELECT tf.doc_id, SUM(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / st.mean))) AS s, COUNT(*) AS hit FROM tf JOIN df USING (w) JOIN dl USING (doc_id), st GROUP BY tf.doc_id)"""
+_BOTH = ["the", "and"]
+
+
+def _bm25_sql(terms: list[str], pattern: str, idf: str, k1: str, extra: str = "") -> str:
+    """sc: doc_id, s, hit. Texts are taken apart, counted and joined; nothing here follows the plan of the Spark side."""
+    words = f"regexp_extract_all(lower(text), '{pattern}')"
+    return f"""tok AS (SELECT doc_id, {extra or words} AS ws FROM documents), dl AS (SELECT doc_id, len(ws) AS dl FROM tok WHERE len(ws) > 0),
+st AS (SELECT COUNT(*)::DOUBLE AS n, AVG(dl)::DOUBLE AS mean FROM dl), alltf AS (SELECT doc_id, w, COUNT(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM tok) GROUP BY 1, 2),
+alldf AS (SELECT w, COUNT(*) AS df FROM alltf GROUP BY w), mi AS (SELECT AVG(ln((n - df + 0.5) / (df + 0.5))) AS mean_idf FROM alldf, st), tf AS (SELECT * FROM alltf WHERE w IN ({", ".join(f"'{t}'" for t in terms)})),
+sc AS (SELECT tf.doc_id, SUM({idf} * tf.tf * ({k1}::DOUBLE + 1) / (tf.tf + {k1}::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / st.mean))) AS s, COUNT(*) AS hit FROM tf JOIN alldf df USING (w) JOIN dl USING (doc_id), st, mi GROUP BY tf.doc_id)"""
+
+
+_FLOORED = "greatest(ln((st.n - df.df + 0.5) / (df.df + 0.5)), 0.000001::DOUBLE)"
+_OKAPI = "(CASE WHEN ln((st.n - df.df + 0.5) / (df.df + 0.5)) < 0 THEN 0.25::DOUBLE * mi.mean_idf ELSE ln((st.n - df.df + 0.5) / (df.df + 0.5)) END)"
+_MIXED = "list_concat(list_transform(regexp_extract_all(text, '[A-Za-z0-9&]+'), lambda x: lower(x)), list_filter(regexp_extract_all(text, '[A-Za-z0-9&]+'), lambda x: lower(x) <> x))"
+_BM25 = _bm25_sql(_TERMS, "[a-z0-9]+", _OKAPI, "1.5", _MIXED)
 _KNN = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0), kn AS (SELECT vec_id, floor((1 - list_dot_product(CAST(embedding AS DOUBLE[]), q.e) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q.e, q.e)))) * 10000 + 0.5) / 10000 AS distance FROM embeddings, q)"""
 
 
-def _index(t: Tables) -> DataFrame:
-    return retrieval.postings(t.table("documents"), "doc_id", "text")
+def _okapi(t: Tables, terms: list[str]) -> DataFrame:
+    """The in-memory ranking: Okapi with k1 1.5, b .75; terms of most documents are worth a quarter of the vocabulary's mean idf."""
+    docs = t.table("documents")
+    counts = retrieval.term_counts(docs, "doc_id", "text", terms, retrieval.mixed_tokens)
+    first = counts.agg(F.count("*"), *[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).first()  # one row
+    least = None
+    if any(2 * df > first[0] for df in first[1:]):
+        mean = retrieval.mean_idf(docs, "doc_id", "text", retrieval.mixed_tokens).first()[0]  # one row
+        least = F.lit(0.25 * mean)
+    return retrieval.bm25(counts, "doc_id", len(terms), 1.5, 0.75, "okapi", least)
 
 
 def _query_vector(t: Tables, vec_id: int = 0) -> list[float]:
     return list(t.table("embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
-@query("WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS w FROM tok) SELECT w AS token, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS tf FROM e GROUP BY w HAVING COUNT(*) >= 50")
+@query("""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS w FROM tok), st AS (SELECT COUNT(*) AS n, floor(AVG(len(ws)) * 1000000 + 0.5) / 1000000 AS mean FROM tok WHERE len(ws) > 0)
+SELECT w AS token, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS tf, MIN(st.n) AS n_docs, MIN(st.mean) AS mean_length FROM e, st GROUP BY w""")
 def A16_corpus_stats(t: Tables) -> DataFrame:
-    return _index(t).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("tf >= 50")
+    listed = t.table("documents").select(retrieval.tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    index = retrieval.postings(t.table("documents"), "doc_id", "text")
+    corpus = listed.agg(F.count("*").alias("n_docs"), half_up(F.avg(F.size("ws")), 6).alias("mean_length"))
+    return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).crossJoin(F.broadcast(corpus))
 
 
-@query(f"WITH {_BM25} SELECT doc_id, floor(s * 10000 + 0.5) / 10000 AS score FROM sc WHERE hit = 1")
+@query(f"WITH {_bm25_sql(_BOTH, '[a-z0-9]+', _FLOORED, '1.2')} SELECT doc_id, -floor(s * 10000 + 0.5) / 10000 AS score FROM sc WHERE hit = 2")
 def R1_bm25_all_terms(t: Tables) -> DataFrame:
-    one = retrieval.bm25(_index(t), "doc_id", _TERMS)
-    hits = _index(t).where(F.col("token").isin(_TERMS)).groupBy("doc_id").agg(F.count("*").alias("hit")).where("hit = 1")
-    return one.join(hits, "doc_id", "left_semi").select("doc_id", half_up(F.col("score"), 4).alias("score"))
+    """Documents with every term; the score is negative, the best has the least."""
+    counts = retrieval.term_counts(t.table("documents"), "doc_id", "text", _BOTH)
+    return retrieval.bm25(counts, "doc_id", len(_BOTH), 1.2, 0.75, "floored", match_all=True).select("doc_id", (-half_up(F.col("score"), 4)).alias("score"))
 
 
-@query(f"WITH {_BM25} SELECT doc_id, floor(s * 10000 + 0.5) / 10000 AS score FROM sc ORDER BY score DESC, doc_id LIMIT 50")
+@query(f"WITH {_BM25} SELECT doc_id, floor(s * 10000 + 0.5) / 10000 AS score FROM sc WHERE s > 0 ORDER BY score DESC, doc_id LIMIT 50")
 def R2_bm25(t: Tables) -> DataFrame:
-    scored = retrieval.bm25(_index(t), "doc_id", _TERMS).select("doc_id", half_up(F.col("score"), 4).alias("score"))
+    scored = _okapi(t, _TERMS).where("score > 0").select("doc_id", half_up(F.col("score"), 4).alias("score"))
     return ranking.top(scored, [F.desc("score"), F.col("doc_id")], 50)
 
 
@@ -50,26 +73,26 @@ def R3_cosine_knn(t: Tables) -> DataFrame:
 
 
 @query("""SELECT id, floor((coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0)) * 1000000000 + 0.5) / 1000000000 AS score FROM
-(SELECT id, row_number() OVER (ORDER BY value DESC NULLS LAST, id) AS a FROM order_wins WHERE symbol = '3') x FULL JOIN (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS b FROM announcements WHERE symbol = '3') y USING (id)""")
+(SELECT id, row_number() OVER (PARTITION BY symbol ORDER BY value DESC NULLS LAST, id) AS a FROM order_wins) x FULL JOIN (SELECT id, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, id) AS b FROM announcements) y USING (id)""")
 def R4_rrf(t: Tables) -> DataFrame:
-    a = ranking.with_rank(t.order_wins.where("symbol = '3'"), ["symbol"], [F.desc_nulls_last("value"), F.col("id")])
-    b = ranking.with_rank(t.announcements.where("symbol = '3'"), ["symbol"], [F.desc("score"), F.col("id")])
+    a = ranking.with_rank(t.order_wins, ["symbol"], [F.desc_nulls_last("value"), F.col("id")])
+    b = ranking.with_rank(t.announcements, ["symbol"], [F.desc("score"), F.col("id")])
     return retrieval.rrf([(a, 1.0), (b, 1.0)], "id").select("id", half_up(F.col("score"), 9).alias("score"))
 
 
 @query("""SELECT id, floor((coalesce(0.5::DOUBLE / (60 + a), 0) + coalesce(0.5::DOUBLE / (60 + b), 0)) * 1000000000 + 0.5) / 1000000000 AS score, CAST(CASE WHEN a IS NULL OR b IS NULL THEN 1 ELSE 2 END AS BIGINT) AS n_sources FROM
-(SELECT id, row_number() OVER (ORDER BY value DESC NULLS LAST, id) AS a FROM order_wins WHERE symbol = '4') x FULL JOIN (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS b FROM announcements WHERE symbol = '4') y USING (id)""")
+(SELECT id, row_number() OVER (PARTITION BY symbol ORDER BY value DESC NULLS LAST, id) AS a FROM order_wins) x FULL JOIN (SELECT id, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, id) AS b FROM announcements) y USING (id)""")
 def R5_weighted_rrf(t: Tables) -> DataFrame:
-    a = ranking.with_rank(t.order_wins.where("symbol = '4'"), ["symbol"], [F.desc_nulls_last("value"), F.col("id")])
-    b = ranking.with_rank(t.announcements.where("symbol = '4'"), ["symbol"], [F.desc("score"), F.col("id")])
+    a = ranking.with_rank(t.order_wins, ["symbol"], [F.desc_nulls_last("value"), F.col("id")])
+    b = ranking.with_rank(t.announcements, ["symbol"], [F.desc("score"), F.col("id")])
     return retrieval.rrf([(a, 0.5), (b, 0.5)], "id").select("id", half_up(F.col("score"), 9).alias("score"), "n_sources")
 
 
-@query(f"""WITH {_BM25}, {_KNN}, l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS a FROM (SELECT doc_id, floor(s * 10000 + 0.5) / 10000 AS score FROM sc ORDER BY score DESC, doc_id LIMIT 60)),
+@query(f"""WITH {_BM25}, {_KNN}, l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS a FROM (SELECT doc_id, floor(s * 10000 + 0.5) / 10000 AS score FROM sc WHERE s > 0 ORDER BY score DESC, doc_id LIMIT 60)),
 d AS (SELECT doc_id, distance, row_number() OVER (ORDER BY distance, doc_id) AS b FROM (SELECT vec_id AS doc_id, distance FROM kn ORDER BY distance, vec_id LIMIT 60))
 SELECT doc_id, floor((coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0)) * 1000000 + 0.5) / 1000000 AS score, coalesce(distance, 1.0::DOUBLE) AS distance FROM l FULL JOIN d USING (doc_id) ORDER BY coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0) DESC, doc_id LIMIT 20""")
 def R6_hybrid(t: Tables) -> DataFrame:
-    lexical = ranking.top(retrieval.bm25(_index(t), "doc_id", _TERMS).select("doc_id", half_up(F.col("score"), 4).alias("score")), [F.desc("score"), F.col("doc_id")], 60)
+    lexical = ranking.top(_okapi(t, _TERMS).where("score > 0").select("doc_id", half_up(F.col("score"), 4).alias("score")), [F.desc("score"), F.col("doc_id")], 60)
     dense = retrieval.knn(t.table("embeddings"), "vec_id", "embedding", _query_vector(t), 60).withColumnRenamed("vec_id", "doc_id")
     return retrieval.hybrid(lexical, dense, "doc_id", 20).select("doc_id", half_up(F.col("score"), 6).alias("score"), "distance")
 
@@ -77,10 +100,10 @@ def R6_hybrid(t: Tables) -> DataFrame:
 _RW = "list_distinct(regexp_extract_all(lower(details), '[a-z]{3,}'))"
 
 
-@query(f"""WITH c AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY id)) AS base, {_RW} AS w, score, broadcast_date AS day, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS n, order_value_cr AS v FROM announcements WHERE symbol = '6' AND broadcast_date BETWEEN CAST('1998-05-01' AS DATE) AND CAST('1998-06-01' AS DATE)), m AS (SELECT MAX(v) AS top FROM c)
+@query(f"""WITH c AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY symbol ORDER BY id)) AS base, {_RW} AS w, score, broadcast_date AS day, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS n, order_value_cr AS v FROM announcements WHERE broadcast_date <= CAST('1998-06-01' AS DATE)), m AS (SELECT MAX(v) AS top FROM c)
 SELECT id, floor(base * (1 + 0.35::DOUBLE * (len(list_intersect(w, ['railway', 'order']))::DOUBLE / len(list_distinct(list_concat(w, ['railway', 'order'])))) + 0.25::DOUBLE * least(score / 13.0::DOUBLE, 1.0) + 0.15::DOUBLE * least(1.0, greatest(0.0, 1 - (CAST('1998-06-01' AS DATE) - day) / 7.0::DOUBLE)) + CASE WHEN n > 1 THEN 0.10::DOUBLE ELSE 0.0 END + 0.15::DOUBLE * least(v / top, 1.0)) * 1000000 + 0.5) / 1000000 AS ranked FROM c, m""")
 def R8_rerank(t: Tables) -> DataFrame:
-    rows = t.announcements.where("symbol = '6' and broadcast_date between date'1998-05-01' and date'1998-06-01'")
+    rows = t.announcements.where("broadcast_date <= date'1998-06-01'")
     ranked = ranking.with_rank(rows, ["symbol"], [F.col("id")])
     c = ranked.select("id", (1.0 / (60 + F.col("rank"))).alias("base"), words(F.col("details")).alias("text_words"), "score", F.col("broadcast_date").alias("day"), F.when(F.col("id") % 2 == 0, 2).otherwise(1).alias("n_sources"), F.col("order_value_cr").alias("order_value"))
     return retrieval.rerank(c, ["railway", "order"], F.lit("1998-06-01").cast("date"), True).select("id", half_up(F.col("ranked"), 6).alias("ranked"))
