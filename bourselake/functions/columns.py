@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,9 +38,30 @@ def catalyst_type(subject: Column, details: Column) -> Column:
     return first_label(F.concat_ws(" ", F.coalesce(subject, F.lit("")), F.coalesce(details, F.lit(""))), rules.CATALYSTS, "general")
 
 
+_PLAIN = re.compile(r"[A-Za-z0-9 &]+")
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def found_in(low: Column, pattern: str) -> Column:
+    """Whether an alternation is found in a text whose A-Z are lower-cased: plain alternatives by substring search, the others by one expression."""
+    parts = pattern.split("|") if "(" not in pattern else [pattern]
+    plain = [p.lower() for p in parts if _PLAIN.fullmatch(p)]
+    # an alternative that holds another is found with it
+    plain = [p for p in plain if not any(q != p and q in p for q in plain)]
+    rest = [p for p in parts if not _PLAIN.fullmatch(p)]
+    tests = [low.contains(p) for p in dict.fromkeys(plain)] + ([low.rlike(_i("|".join(rest)))] if rest else [])
+    return reduce(lambda a, b: a | b, tests)
+
+
 def labels(text: Column, table: list[tuple[str, str]]) -> Column:
     """All labels whose pattern is found, sorted."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(_i(p)), F.lit(label)) for label, p in table])))
+    of = lambda low: F.array_sort(F.array_compact(F.array(*[F.when(found_in(low, p), F.lit(label)) for label, p in table])))
+    return let(F.translate(text, _CAPITALS, _CAPITALS.lower()), of)
 
 
 def sector_tags(company: Column, subject: Column, details: Column) -> Column:

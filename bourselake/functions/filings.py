@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rules
-from .columns import half_up, labels, number
+from .columns import half_up, let, number
 
 # Patterns, labels and keyword lists must be these for the results to be right.
 
@@ -67,16 +67,17 @@ def without_order_book(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, SENTENCE_END), lambda s: ~s.rlike("(?i)" + ORDER_BOOK)), " ")
 
 
+def _amounts(found: Column) -> Column:
+    """The least positive value of matches that end in an amount."""
+    amount = "(?i)" + AMOUNT + "$"
+    value = F.transform(found, lambda m: to_crore(number(F.regexp_extract(m, amount, 1)), F.regexp_extract(m, amount, 2)))
+    return F.array_min(F.filter(value, lambda v: v > 0))
+
+
 def order_value(text: Column) -> Column:
-    """In crore: the least positive amount of the first pattern that gives one."""
-    clean = without_order_book(text)
-    tiers = []
-    for p in ORDER_VALUES:
-        found = F.regexp_extract_all(clean, F.lit("(?i)" + p), 0)
-        # an amount ends its match, so its parts can be read from there
-        value = F.transform(found, lambda m: to_crore(number(F.regexp_extract(m, "(?i)" + AMOUNT + "$", 1)), F.regexp_extract(m, "(?i)" + AMOUNT + "$", 2)))
-        tiers.append(F.array_min(F.filter(value, lambda v: v > 0)))
-    return F.coalesce(*tiers)
+    """In crore: the least positive amount of the first pattern that gives one. Texts without an amount are left at once."""
+    tiers = lambda clean: F.coalesce(*[_amounts(F.regexp_extract_all(clean, F.lit("(?i)" + p), F.lit(0))) for p in ORDER_VALUES])
+    return F.when(text.rlike("(?i)" + AMOUNT), let(without_order_book(text), tiers))
 
 
 def duration_months(text: Column) -> Column:
@@ -88,11 +89,15 @@ def duration_months(text: Column) -> Column:
 
 def order_win(text: Column) -> Column:
     """struct of value_cr, client_type, sector, months; null where there is no value."""
-    value = order_value(text)
     client = F.when(text.rlike("(?i)" + GOVERNMENT_CLIENT), "Government / PSU").otherwise("Private sector")
-    found = F.array_join(labels(text, ORDER_SECTORS), ", ")
-    made = F.struct(value.alias("value_cr"), client.alias("client_type"), F.when(found == "", "general").otherwise(found).alias("sector"), duration_months(text).alias("months"))
-    return F.when(value.isNotNull(), made)
+    sector = F.coalesce(F.nullif(F.array_join(labels_by_pattern(text, ORDER_SECTORS), ", "), F.lit("")), F.lit("general"))
+    made = lambda value: F.when(value.isNotNull(), F.struct(value.alias("value_cr"), client.alias("client_type"), sector.alias("sector"), duration_months(text).alias("months")))
+    return let(order_value(text), made)
+
+
+def labels_by_pattern(text: Column, table: list[tuple[str, str]]) -> Column:
+    """All labels whose pattern is found, sorted: each pattern is one expression with word borders around it."""
+    return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), F.lit(label)) for label, p in table])))
 
 
 def first_number(text: Column) -> Column:

@@ -1,62 +1,69 @@
-"""Questions to filters: what a question names is read on the driver (one short text), what it asks for comes back as a DataFrame."""
+"""A question's way through the strategies: what it names comes from functions.questions, each strategy is a DataFrame of candidates."""
 
 from __future__ import annotations
 
 import datetime as dt
-import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import THEMES
+from ..functions import questions
 from .filters import all_of
-from .ranking import top
-
-# Signal words and patterns must be these for the results to be right.
-FINANCIAL = r"\b(revenue|PAT|EBITDA|EPS|profit|quarterly\s+result|annual\s+result|earnings|growth|margin|guidance|dividend)\b"
-STRUCTURED = r"\b(score|ep\s+score|today|yesterday|\d{4}-\d{2}-\d{2}|top\s+\d+|largest|biggest|highest\s+score)\b"
-SEMANTIC = r"\b(similar|like|about|related|theme|sector|trend|outlook|explain|why)\b"
-MIN_SCORE = r"\b(?:score|ep\s+score)\s*(?:>=?|above|over|min(?:imum)?)\s*(\d+)"
-HIGH_SCORE = r"\b(?:high|top|best)\s+(?:score[sd]?|rated)\b"
-ORDER_VALUE = r"(?:above|over|more\s+than|greater\s+than|>=?|atleast|at\s+least)\s*(?:rs\.?\s*|inr\s*|₹\s*)?([\d,]+(?:\.\d+)?)\s*(crore|cr\.?|lakh|lakhs|million|mn|thousand)?"
-UNITS = {"lakh": 100.0, "lakhs": 100.0, "million": 10.0, "mn": 10.0, "thousand": 1000.0}
-
-
-@dataclass
-class Question:
-    intent: str
-    symbols: list[str] = field(default_factory=list)
-    day: str | None = None
-    min_score: int | None = None
-    order_value: float | None = None
-    themes: list[str] = field(default_factory=list)
-
-
-def classify(text: str, as_of: dt.date, known_symbols: set[str] | None = None) -> Question:
-    """known_symbols: if given, only those count as symbols; otherwise any word of two to ten capitals does."""
-    has = lambda p: re.search(p, text, re.I)
-    symbols = [s for s in re.findall(r"\b([A-Z]{2,10})\b", text) if known_symbols is None or s in known_symbols]
-    day = None
-    if has(r"\btoday\b"):
-        day = as_of.isoformat()
-    elif m := has(r"\b(\d{4}-\d{2}-\d{2})\b"):
-        day = m[1]
-    elif m := has(r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"):
-        day = f"{'20' + m[3] if len(m[3]) == 2 else m[3]}-{m[2].zfill(2)}-{m[1].zfill(2)}"
-    m = has(MIN_SCORE)
-    score = int(m[1]) if m else 8 if has(HIGH_SCORE) else None
-    m = has(ORDER_VALUE)
-    value = float(m[1].replace(",", "")) / UNITS.get((m[2] or "cr").lower().strip("."), 1.0) if m else None
-    fin, struc, sem = bool(has(FINANCIAL)), bool(has(STRUCTURED)) or bool(symbols) or day is not None, bool(has(SEMANTIC))
-    intent = "compound" if fin and (struc or sem) else "financial" if fin else "structured" if struc and not sem else "semantic" if sem and not struc else "hybrid"
-    return Question(intent, symbols, day, score, value, [label for p, label in THEMES if has(p)])
-
-
-def structured(announcements: DataFrame, q: Question, n: int) -> DataFrame:
+from .ranking import merged_first, top
+from .retrieval import post_filters
+
+CANDIDATE = ["id", "symbol", "subject", "score", "day", "base", "sources"]
+
+
+def ask(spark: SparkSession, text: str, as_of: dt.date) -> Row:
+    """All that is read from one question."""
+    return questions.read(spark.createDataFrame([(text, as_of)], "text string, as_of date"), "text", "as_of").first()
+
+
+def has_themes(tags: Column, themes: list[str]) -> Column | None:
+    """Every theme occurs in the tags, as a part of them; no condition without themes."""
+    return all_of(*(tags.contains(t) for t in themes)) if themes else None
+
+
+def structured(announcements: DataFrame, q: Row, n: int) -> DataFrame:
     """Best-scored announcements that pass every filter the question sets."""
     conditions = [
         F.col("symbol").isin(q.symbols) if q.symbols else None, F.col("broadcast_date") == F.lit(q.day).cast("date") if q.day else None,
         F.col("score") >= q.min_score if q.min_score is not None else None, F.col("order_value_cr") >= q.order_value if q.order_value is not None else None,
     ]
     return top(announcements.where(all_of(*conditions)), [F.desc("score"), F.desc("broadcast_date"), F.col("id")], n)
+
+
+def financial(results: DataFrame, q: Row, n: int = 20) -> DataFrame:
+    """Latest results of the symbols since the day: candidates of one score and one base."""
+    conditions = [F.col("symbol").isin(q.symbols) if q.symbols else None, F.col("broadcast_date") >= F.lit(q.day).cast("date") if q.day else None]
+    rows = top(results.where(all_of(*conditions)), [F.desc("broadcast_date"), F.col("symbol"), F.col("period")], n)
+    return rows.select(
+        F.concat(F.lit("fin_"), "symbol", F.lit("_"), "period").alias("id"), "symbol", F.concat(F.lit("Financial Results "), F.col("period")).alias("subject"),
+        F.lit(8).alias("score"), F.col("broadcast_date").alias("day"), F.lit(0.5).alias("base"), F.array(F.lit("financial")).alias("sources"),
+    )
+
+
+def broker(q: Row, announcements: DataFrame, results: DataFrame, hybrid: Callable[[int], DataFrame], n: int = 10) -> DataFrame:
+    """Candidates for a question by its intent.
+
+    structured: filters alone. semantic: what the vectors found. financial: results. compound: both lists, announcements first.
+    hybrid: everything. hybrid(n) gives id, base, sources; filters of the question apply to what was fused.
+    """
+    def fused() -> DataFrame:
+        found = hybrid(4 * n).join(announcements, "id")
+        found = post_filters(found, q.min_score, q.day, q.symbols or None)
+        found = found.where(all_of(has_themes(F.col("tags"), q.themes))) if "tags" in found.columns else found
+        return found.select(F.col("id").cast("string").alias("id"), "symbol", "subject", "score", F.col("broadcast_date").alias("day"), "base", "sources")
+
+    if q.intent == "structured":
+        rows = structured(announcements, q, 4 * n)
+        return rows.select(F.col("id").cast("string").alias("id"), "symbol", "subject", "score", F.col("broadcast_date").alias("day"), (F.col("score") / 13.0).alias("base"), F.array(F.lit("sql")).alias("sources"))
+    if q.intent == "financial":
+        return financial(results, q)
+    if q.intent == "semantic":
+        return fused().where(F.array_contains("sources", "vector"))
+    if q.intent == "compound":
+        return merged_first([fused(), financial(results, q, n)], "id", [F.col("id")])
+    return fused()

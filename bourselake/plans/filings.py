@@ -19,25 +19,26 @@ _TEXT = """concat('Order book crosses Rs. 25,750 crore. The company has received
 CASE WHEN o_orderkey % 2 = 0 THEN 'roads' ELSE 'power' END AS sector, CAST(1 + o_orderkey % 30 AS INT) AS months FROM orders WHERE length({_TEXT}) > 0""")
 def F25_order_win(t: Tables) -> DataFrame:
     texts = t.spark.sql(f"SELECT o_orderkey AS id, {_TEXT} AS txt FROM {{orders}}", orders=t.table("orders"))
-    return texts.select("id", X.order_win(F.col("txt")).alias("x")).where("x is not null").select("id", "x.*")
+    # a generator, not a filter on the struct: a filter would be pushed below and work everything out twice
+    return texts.select("id", F.inline(F.array_compact(F.array(X.order_win(F.col("txt"))))))
 
 
-@query("""SELECT o_orderkey AS id, concat('C', CAST(o_custkey AS STRING)) AS client, CAST(o_totalprice AS STRING) IS NOT NULL AS has_value FROM orders WHERE o_orderkey % 4 = 0""")
+@query("""SELECT o_orderkey AS id, concat('C', CAST(o_custkey AS STRING)) AS client, CAST(o_totalprice AS STRING) IS NOT NULL AS has_value FROM orders""")
 def F26_highlights(t: Tables) -> DataFrame:
     text = F.concat(F.lit('["Client: old", "Value: '), F.col("o_totalprice").cast("string"), F.lit('", "no pair", "Client: C'), F.col("o_custkey").cast("string"), F.lit('"]'))
-    rows = t.table("orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("id"), X.highlights(text).alias("m"))
+    rows = t.table("orders").select(F.col("o_orderkey").alias("id"), X.highlights(text).alias("m"))
     return rows.select("id", F.col("m")["Client"].alias("client"), F.col("m")["Value"].isNotNull().alias("has_value"))
 
 
-@query("""SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS DOUBLE) / 100 AS revenue_cr, -CAST(floor(o_totalprice / 10) AS DOUBLE) / 100 AS pat_cr FROM orders WHERE o_totalprice >= 1100 AND o_orderkey % 5 = 0""")
+@query("""SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS DOUBLE) / 100 AS revenue_cr, -CAST(floor(o_totalprice / 10) AS DOUBLE) / 100 AS pat_cr FROM orders WHERE floor(o_totalprice) >= 100""")
 def F37_statement_results(t: Tables) -> DataFrame:
     number = lambda c: F.floor(c).cast("bigint").cast("string")
     text = F.concat(F.lit("Particulars\n1. Revenue from operations\n"), number(F.col("o_totalprice")), F.lit("\n(Loss)\nNet profit for the period ("), number(F.col("o_totalprice") / 10), F.lit(") 5"))
-    pages = t.table("orders").where("o_totalprice >= 1100 and o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), text.alias("text"))
+    pages = t.table("orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
     return X.results(X.statement_lines(pages, "id", "text"), "id", F.lit(0.01)).select("id", "revenue_cr", "pat_cr")
 
 
 @query("SELECT id, score, broadcast_date FROM announcements WHERE broadcast_date = CAST('1998-05-14' AS DATE) AND score >= 6 AND order_value_cr >= 150.0 ORDER BY score DESC, broadcast_date DESC, id LIMIT 20")
 def R10_structured_question(t: Tables) -> DataFrame:
-    q = routing.classify("top orders above 150 crore with score above 6 on 14/5/1998", dt.date(1998, 6, 1), known_symbols=set())
+    q = routing.ask(t.spark, "top orders above 150 crore with score above 6 on 14/5/1998", dt.date(1998, 6, 1))
     return routing.structured(t.announcements, q, 20).select("id", "score", "broadcast_date")

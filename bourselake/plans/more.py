@@ -44,9 +44,9 @@ def J12_match_documents(t: Tables) -> DataFrame:
     return first(t.announcements.where("score >= 12"), "dense_id").join(first(t.announcements.where("subject = 'Updates'"), "word_id"), ["symbol", "day"], "full_outer")
 
 
-@query("SELECT id, order_value_cr, order_value_cr / MAX(order_value_cr) OVER (PARTITION BY symbol) AS share FROM announcements WHERE broadcast_date = CAST('1997-03-03' AS DATE)")
+@query("SELECT id, order_value_cr, order_value_cr / MAX(order_value_cr) OVER (PARTITION BY symbol) AS share FROM announcements")
 def A17_share_of_largest(t: Tables) -> DataFrame:
-    rows = t.announcements.where(F.col("broadcast_date") == F.lit("1997-03-03").cast("date"))
+    rows = t.announcements
     top = rows.groupBy("symbol").agg(F.max("order_value_cr").alias("top"))
     return rows.join(top, "symbol").select("id", "order_value_cr", (F.col("order_value_cr") / F.col("top")).alias("share"))
 
@@ -84,10 +84,10 @@ def K13_incremental_since(t: Tables) -> DataFrame:
     return rows.join(F.broadcast(latest), F.col("broadcast_date") >= F.col("since")).drop("since")
 
 
-@query("SELECT id, concat('[', lpad(CAST(score AS STRING), 2, ' '), '] ', repeat('#', least(score, 13)), '  ', rpad(symbol, 12, ' '), ' ', rpad(company, 34, ' ')) AS line FROM announcements WHERE broadcast_date = CAST('1997-03-03' AS DATE)")
+@query("SELECT id, concat('[', lpad(CAST(score AS STRING), 2, ' '), '] ', repeat('#', least(score, 13)), '  ', rpad(symbol, 12, ' '), ' ', rpad(company, 34, ' ')) AS line FROM announcements")
 def K18_report_lines(t: Tables) -> DataFrame:
     line = F.concat(F.lit("["), F.lpad(F.col("score").cast("string"), 2, " "), F.lit("] "), F.repeat(F.lit("#"), F.least("score", F.lit(13))), F.lit("  "), F.rpad("symbol", 12, " "), F.lit(" "), F.rpad("company", 34, " "))
-    return t.announcements.where(F.col("broadcast_date") == F.lit("1997-03-03").cast("date")).select("id", line.alias("line"))
+    return t.announcements.select("id", line.alias("line"))
 
 
 @query("SELECT symbol, period, revenue FROM results ORDER BY revenue DESC, symbol, period LIMIT 12")
@@ -108,23 +108,6 @@ def F14_embed_documents(t: Tables) -> DataFrame:
 
 
 
-@query("SELECT c_custkey AS id, CAST(c_nationkey AS STRING) AS symbol FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 3 = 0")
-def F22_company_to_symbol(t: Tables) -> DataFrame:
-    names = t.table("nation").select(F.lower("n_name").alias("gram"), F.col("n_nationkey").cast("string").alias("symbol"))
-    asked = t.table("customer").where("c_custkey % 3 = 0").join(t.table("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("id"), F.concat(F.lit("results of "), F.lower("n_name"), F.lit(" please")).alias("txt"))
-    return joins_by_gram(asked, names)
-
-
-def joins_by_gram(asked: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
-    """id, symbol: the name found in a question as a run of words; longer runs first, then earlier ones."""
-    said = asked.select("id", F.split(F.lower("txt"), r"\s+").alias("ws"))
-    starts = said.select("id", "ws", F.posexplode("ws").alias("at", "_w")).drop("_w")
-    grams = starts.select("id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("ws") - F.col("at")))).alias("n"), "ws")
-    grams = grams.select("id", "at", "n", F.array_join(F.slice("ws", F.col("at") + 1, F.col("n")), " ").alias("gram"))
-    return ranking.first_n(grams.join(names, "gram"), ["id"], [F.desc("n"), F.col("at"), F.col("symbol")]).select("id", "symbol")
-
-
-
 @query("""SELECT id, CASE id % 5 WHEN 0 THEN 'order_win' WHEN 1 THEN 'financials' WHEN 2 THEN 'volume_breakout' WHEN 3 THEN 'announcements' ELSE 'all' END AS kind FROM announcements""")
 def F19_question_kind(t: Tables) -> DataFrame:
     text = F.element_at(F.array(*map(F.lit, ("contracts bagged by ABC", "quarterly earnings/revenue", "volume surge today", "any merger news", "orders and profit of ABC"))), (F.col("id") % 5 + 1).cast("int"))
@@ -137,23 +120,23 @@ def F48_extraction_type(t: Tables) -> DataFrame:
     return t.announcements.join(F.broadcast(known), "subject", "left").select("id", F.coalesce("extraction", F.lit("order_win")).alias("extraction"))
 
 
-@query("""SELECT o_orderkey AS id, CAST(floor(o_totalprice / 100) AS DOUBLE) AS size_cr, 300.0::DOUBLE AS max_price, 'Tender Offer' AS method FROM orders WHERE o_orderkey % 6 = 0 AND o_totalprice >= 100""")
+@query("""SELECT o_orderkey AS id, CAST(floor(o_totalprice / 100) AS DOUBLE) AS size_cr, 300.0::DOUBLE AS max_price, 'Tender Offer' AS method FROM orders WHERE o_totalprice >= 100""")
 def F42_buyback(t: Tables) -> DataFrame:
     text = F.concat(F.lit("The buyback size is Rs. "), F.floor(F.col("o_totalprice") / 100).cast("bigint").cast("string"), F.lit(" crore through the tender offer route. Maximum buyback price Rs. 300 per share"))
-    rows = t.table("orders").where("o_orderkey % 6 = 0 and o_totalprice >= 100")
+    rows = t.table("orders").where("o_totalprice >= 100")
     return rows.select(F.col("o_orderkey").alias("id"), X.buyback(text).alias("x")).select("id", "x.*")
 
 
 _R = ["AAA", "AA", "A+", "BBB-", "D"]
 
 
-@query("""SELECT o_orderkey AS id, r[1 + o_orderkey % 5] AS rating, r[1 + (o_orderkey * 3 + 1) % 5] AS previous, CASE WHEN o_orderkey % 5 < (o_orderkey * 3 + 1) % 5 THEN 'upgrade' WHEN o_orderkey % 5 > (o_orderkey * 3 + 1) % 5 THEN 'downgrade' ELSE 'unchanged' END AS direction
-FROM (SELECT o_orderkey, ['AAA', 'AA', 'A+', 'BBB-', 'DD'] AS r FROM orders WHERE o_orderkey % 5 <> 4 AND (o_orderkey * 3 + 1) % 5 <> 4)""")
+@query("""SELECT o_orderkey AS id, r[1 + o_orderkey % 5] AS rating, nullif(r[1 + (o_orderkey * 3 + 1) % 5], 'D') AS previous, CASE WHEN (o_orderkey * 3 + 1) % 5 = 4 THEN NULL WHEN o_orderkey % 5 < (o_orderkey * 3 + 1) % 5 THEN 'upgrade'
+WHEN o_orderkey % 5 > (o_orderkey * 3 + 1) % 5 THEN 'downgrade' ELSE 'unchanged' END AS direction FROM (SELECT o_orderkey, ['AAA', 'AA', 'A+', 'BBB-', 'D'] AS r FROM orders)""")
 def F42_credit_rating(t: Tables) -> DataFrame:
+    """A previous rating is read from two letters on, so a former D is not one."""
     r = F.array(*map(F.lit, _R))
     text = F.concat(F.lit("CRISIL Limited revised its rating to CRISIL "), F.element_at(r, (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit(" / Stable, from "), F.element_at(r, ((F.col("o_orderkey") * 3 + 1) % 5 + 1).cast("int")), F.lit(" earlier"))
-    rows = t.table("orders").where("o_orderkey % 5 <> 4 and (o_orderkey * 3 + 1) % 5 <> 4").select(F.col("o_orderkey").alias("id"), X.credit_rating(text).alias("x"))
-    return rows.select("id", "x.rating", "x.previous", "x.direction")
+    return t.table("orders").select(F.col("o_orderkey").alias("id"), X.credit_rating(text).alias("x")).select("id", "x.rating", "x.previous", "x.direction")
 
 
 @query("SELECT event_id AS id, concat('do ', CASE WHEN event_id % 2 = 0 THEN '[removed]' ELSE 'list all' END, ' now') AS clean FROM events")
@@ -189,17 +172,3 @@ def F24_unit_conversions(t: Tables) -> DataFrame:
 def F12_formatted_stamp(t: Tables) -> DataFrame:
     raw = F.when(F.col("symbol").cast("int") % 2 == 0, F.date_format("broadcast_ts", "dd-MMM-yyyy HH:mm:ss")).otherwise("raw")
     return t.announcements.select("id", F.coalesce(F.date_format(C.timestamp(raw), "yyyy-MM-dd HH:mm"), raw).alias("stamp"))
-
-
-@query("""SELECT kind, id, day FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY day DESC, id) AS rn FROM (SELECT 'order' AS kind, id, broadcast_date AS day FROM order_wins WHERE value >= 200000 UNION ALL
-SELECT 'announcement' AS kind, id, broadcast_date AS day FROM announcements WHERE subject = 'Acquisition')) WHERE rn <= 25""")
-def R7_typed_searches(t: Tables) -> DataFrame:
-    orders = t.order_wins.where("value >= 200000").select(F.lit("order").alias("kind"), "id", F.col("broadcast_date").alias("day"))
-    said = t.announcements.where("subject = 'Acquisition'").select(F.lit("announcement").alias("kind"), "id", F.col("broadcast_date").alias("day"))
-    return ranking.first_n(orders.unionByName(said), ["kind"], [F.desc("day"), F.col("id")], 25)
-
-
-@query("SELECT symbol, period, 8 AS score, 0.5::DOUBLE AS rrf FROM results WHERE broadcast_date >= CAST('2001-01-01' AS DATE) AND period_type = 'quarterly'")
-def R11_financial_strategy(t: Tables) -> DataFrame:
-    rows = t.results.where(F.col("period_type").isin("quarterly", "financial_results") & (F.col("broadcast_date") >= F.lit("2001-01-01").cast("date")))
-    return rows.select("symbol", "period", F.lit(8).alias("score"), F.lit(0.5).alias("rrf"))

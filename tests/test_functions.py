@@ -110,8 +110,8 @@ def test_ranking_metrics(spark):
     assert (got["q"].hit, got["q"].mrr, round(got["q"].ndcg, 6)) == (1, 0.5, 0.63093) and (got["r"].hit, got["r"].mrr, got["r"].ndcg) == (0, 0.0, 0.0)
 
 
-def test_classify():
-    q = routing.classify("ABC orders above Rs. 100 crore on 3/4/26 in solar", dt.date(2026, 4, 23))
+def test_classify(spark):
+    q = routing.ask(spark, "ABC orders above Rs. 100 crore on 3/4/26 in solar", dt.date(2026, 4, 23))
     assert (q.symbols, q.day, q.order_value, q.themes) == (["ABC"], "2026-04-03", 100.0, ["solar_renewables"])
-    assert routing.classify("revenue growth", dt.date(2026, 4, 23)).intent == "financial"
-    assert routing.classify("top rated today", dt.date(2026, 4, 23)).min_score == 8
+    assert routing.ask(spark, "revenue growth", dt.date(2026, 4, 23)).intent == "financial"
+    assert routing.ask(spark, "top rated today", dt.date(2026, 4, 23)).min_score == 8
