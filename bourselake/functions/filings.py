@@ -212,3 +212,21 @@ def ungrounded(answers: DataFrame, context: DataFrame, key: str, tolerance: floa
     known = context.where("value > 0").select(F.col(key).alias("_key"), F.col("value").alias("_known"))
     near = F.abs(F.col("value") - F.col("_known")) / F.greatest(F.col("_known"), F.lit(1.0)) < tolerance
     return claims.join(known, (F.col(key) == F.col("_key")) & near, "left_anti")
+
+
+#: What statement lines of revenue and profit are called.
+REVENUE_LINES = ["revenue from operations", "total revenue from operations", "net sales", "net revenue", "total income from operations"]
+PROFIT_LINES = ["profit for the period", "profit for the year", "profit/(loss) for the period", "profit/(loss) for the year", "net profit", "profit after tax"]
+
+
+def statement_values(items: Column) -> Column:
+    """struct of revenue_now, revenue_before, pat_now, pat_before from a JSON object of line -> values: this period is the first value, the
+    same one a year before the third. The first line of three values or more whose name holds one of the words counts."""
+    lines = F.map_entries(F.from_json(items, "map<string,array<double>>"))
+
+    def of(names: list[str]) -> Column:
+        named = lambda x: reduce(lambda a, b: a | b, [F.lower(x.key).contains(n) for n in names]) & (F.size(x.value) >= 3)
+        return F.get(F.filter(lines, named), 0).getField("value")
+
+    revenue, profit = of(REVENUE_LINES), of(PROFIT_LINES)
+    return F.struct(F.get(revenue, 0).alias("revenue_now"), F.get(revenue, 2).alias("revenue_before"), F.get(profit, 0).alias("pat_now"), F.get(profit, 2).alias("pat_before"))

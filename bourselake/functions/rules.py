@@ -94,6 +94,57 @@ KEEP_SUBJECTS = [
     "Corrigendum",
 ]
 
+LEGACY_KEEP = [
+    "Outcome of Board Meeting",
+    "Bagging/Receiving of orders/contracts",
+    "Acquisition",
+    "Commencement of commercial production/operations",
+    "Capacity addition",
+    "Press Release",
+    "Press Release (Revised)",
+    "General Updates",
+    "Updates",
+    "Scheme of Arrangement",
+    "Sale or disposal",
+    "Dividend",
+    "Change in Management",
+    "Appointment",
+    "Cessation",
+    "Resignation",
+]
+
+LEGACY_DROP = [
+    "Copy of Newspaper Publication",
+    "Trading Window",
+    "Disclosure under SEBI Takeover Regulations",
+    "Analysts/Institutional Investor Meet/Con. Call Updates",
+    "ESOP/ESOS/ESPS",
+    "Record Date",
+    "Monitoring Agency Report",
+    "Statement of deviation(s) or variation(s) under Reg. 32",
+    "Clarification - Financial Results",
+    "Reply to Clarification- Financial results",
+    "Shareholders meeting",
+    "Registrar & Share Transfer Agent Update",
+    "Investor Presentation",
+    "Allotment of Securities",
+    "Options to purchase securities",
+    "Credit Rating",
+    "Action(s) initiated or orders passed",
+    "Price movement",
+    "Spurt in Volume",
+    "Forfeiture",
+    "Corporate Insolvency Resolution Process",
+    "Disclosure of material issue",
+    "Pendency of Litigation(s)/dispute(s) or the outcome impacting the Company",
+    "Resignation of Director/KMP/SMP",
+    "Change in Director(s)",
+    "Change in Company Secretary/Compliance Officer",
+    "Allotment",
+    "Giving guarantees/indemnity/ becoming a surety for third party",
+    "Monthly Business Updates",
+]
+
 GENUINE_ORDER_SUBJECTS = ["Bagging/Receiving of orders/contracts", "Awarding of order(s)/contract(s)"]
 
 RECURRING_SUBJECTS = [

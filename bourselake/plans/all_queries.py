@@ -1,6 +1,6 @@
 """All queries of the reference's operators."""
 
-from . import enrichment, filings, more, questions, relational, search, streams  # noqa: F401  they register their queries
+from . import enrichment, filings, more, questions, relational, search, streams, writes  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

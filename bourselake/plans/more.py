@@ -56,19 +56,6 @@ def A15_pass_rates(t: Tables) -> DataFrame:
     return t.results.where("pat is not null").groupBy("period_type").agg(F.avg((F.col("pat") > 0).cast("double")).alias("pass_rate"), F.count("*").alias("n"))
 
 
-@query("""SELECT 'order_wins' AS target, COUNT(*) AS n FROM results WHERE period_type = 'order_win' UNION ALL SELECT 'financial_results' AS target, COUNT(*) AS n FROM results WHERE period_type <> 'order_win'""")
-def K4_routed_writes(t: Tables) -> DataFrame:
-    target = F.when(F.col("period_type") == "order_win", "order_wins").otherwise("financial_results")
-    return t.results.groupBy(target.alias("target")).agg(F.count("*").alias("n"))
-
-
-@query("""SELECT symbol, period, revenue FROM (SELECT symbol, period, revenue FROM results WHERE period_no % 3 <> 0 UNION ALL SELECT symbol, period, revenue * 2 AS revenue FROM results WHERE period_no % 3 = 0)""")
-def K5_update_or_insert(t: Tables) -> DataFrame:
-    rows = t.results.select("symbol", "period", "revenue", "period_no")
-    batch = rows.where("period_no % 3 = 0").withColumn("revenue", F.col("revenue") * 2)
-    return merge.upsert(rows, batch, ["symbol", "period"], [F.col("period_no")]).select("symbol", "period", "revenue")
-
-
 @query("SELECT symbol FROM companies WHERE CAST(symbol AS INT) < 12 AND symbol NOT IN ('3', '4')")
 def K9_watchlist(t: Tables) -> DataFrame:
     wanted = t.companies.where("cast(symbol as int) < 12").select(F.upper(F.trim("symbol")).alias("symbol"))
@@ -96,12 +83,6 @@ def O4_chosen_order(t: Tables) -> DataFrame:
     return ranking.top(t.results, [key, F.col("symbol"), F.col("period")], 12).select("symbol", "period", "revenue")
 
 
-@query("SELECT broadcast_date AS day, COUNT(*) AS n FROM announcements WHERE broadcast_date = (SELECT MAX(broadcast_date) FROM announcements) GROUP BY 1")
-def O9_latest_brief(t: Tables) -> DataFrame:
-    days = t.announcements.groupBy(F.col("broadcast_date").alias("day")).agg(F.count("*").alias("n"))
-    return ranking.top(days, [F.desc("day")], 1)
-
-
 @query("SELECT id, concat(company, ' (', symbol, '): ', subject, '. ', substr(details, 1, 40)) AS doc FROM announcements")
 def F14_embed_documents(t: Tables) -> DataFrame:
     return t.announcements.select("id", F.concat(F.col("company"), F.lit(" ("), F.col("symbol"), F.lit("): "), F.col("subject"), F.lit(". "), F.substring("details", 1, 40)).alias("doc"))

@@ -66,3 +66,15 @@ def fixtures(spark: SparkSession, path: str, schema: str) -> DataFrame:
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
     parsed = lines.select(F.from_json("value", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("x")).select("x.*")
     return parsed.where("_broken is null").drop("_broken")
+
+
+def cache_stats(spark: SparkSession, path: str) -> DataFrame:
+    """files, total_mb of a folder with all below it. binaryFile's content column is pruned, so only the listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("length").agg(F.count("*").alias("files"), (F.coalesce(F.sum("length"), F.lit(0)) / 1e6).alias("total_mb"))
+
+
+def cache_key(url: Column) -> Column:
+    """A filing's name in the cache, null for what is no link to a PDF."""
+    fine = F.lower(url).startswith("http") & F.lower(url).endswith(".pdf")
+    return F.when(fine, F.concat(F.substring(F.sha1(url), 1, 16), F.lit(".pdf")))
