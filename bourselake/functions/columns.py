@@ -196,6 +196,12 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]{3,})"), 1))
 
 
+def ranked_words(text: Column) -> Column:
+    """Distinct runs of two letters or digits or more, lower-cased, without stop words."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]{2,})"), 1)
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin(rules.STOP_WORDS)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
@@ -237,3 +243,21 @@ def catalyst_score(subject: Column, details: Column) -> Column:
         .when(subject == "Acquisition", bought).when(subject.isin("Commencement of commercial production/operations", "Scheme of Arrangement", "Capacity addition"), base)
         .otherwise(F.when(has(rules.HIGH_VALUE), F.greatest(other, F.lit(7))).otherwise(other))
     )
+
+
+def legacy_score(subject: Column, details: Column) -> Column:
+    """The older gate's score, 0 to 13: unknown subjects have 2, acquisitions and sales their base, whatever the details say."""
+    text = F.coalesce(details, F.lit(""))
+    has = lambda p: text.rlike(_i(p))
+    amount, paid = number(group(text, rules.MONEY[0][0])), group(text, rules.DIVIDEND).try_cast("double")
+    high = has(rules.HIGH_VALUE_LEGACY)
+    board = F.when(high, 9).when(has(rules.RESULTS), 8).otherwise(6)
+    said = F.when(has(rules.LOW_VALUE), 0).when(high, 8).otherwise(3)
+    orders = F.when(amount >= 1000, 13).when(amount >= 500, 12).when(amount >= 100, 11).otherwise(10)
+    dividend = F.when(paid >= 5, 5).when(paid >= 1, 4).when(paid.isNotNull(), 2).otherwise(4)
+    base = F.coalesce(*[F.when(subject == k, v) for k, v in rules.BASE_SCORES.items()], F.lit(2))
+    return (
+        F.when(subject == "Outcome of Board Meeting", board).when(subject.isin("General Updates", "Updates", "Press Release", "Press Release (Revised)"), said)
+        .when(subject == "Bagging/Receiving of orders/contracts", orders).when(subject == "Dividend", dividend)
+        .when(subject.isin("Appointment", "Change in Management", "Cessation", "Resignation"), F.when(has(rules.C_SUITE), 5).otherwise(1)).otherwise(base)
+    )

@@ -202,6 +202,7 @@ RESULTS = r"financial\s+results|audited\s+results|quarterly\s+results|annual\s+r
 C_SUITE = r"Managing Director|Chief Executive|\bMD\b|\bCEO\b|\bCFO\b|Chief Financial|\bCTO\b|Chief Technology|Chairman"
 LOW_VALUE = r"trading\s+window|newspaper|IEPF|demat\s+report|KYC|scrutinizer|postal\s+ballot|annual\s+report|100.?days|saksham|reminder\s+letter|non.?applicab|large\s+entity|compliance\s+report|board\s+comments\s+on\s+fine|security\s+cover|physical\s+shares"
 HIGH_VALUE = r"order[s]?\s*(received|won|bagged|secured|awarded|bag)|contract[s]?\s*(received|won|bagged|secured|awarded)|commission(ing|ed|s)?|commercial\s+production|government|ministry|defence|defense|tender|bid\s+win|export\s+order|joint\s+venture|collaboration|\bMOU\b|memorandum\s+of\s+understanding|plant\s+(commission|capacity|expansion|launch)|new\s+(plant|facility|unit|product|line)|USFDA|US\s*FDA|\bFDA\b|\bWHO\b|\bANDA\b|\bNDA\b|drug\s+approval|regulatory\s+approval|patent|acquisition|merger|amalgamation|demerger|takeover|spin.?off|buyback|QIP|fund.?rais|stake\s+(acqui|purchas|increas)|letter\s+of\s+(award|intent)|\bLOA\b|strategic\s+(partner|acqui|tie.?up)|subsidiary.*incorporat|new.*market|Rs\.?\s*\d[\d,\.]*\s*(?:crore|cr\.?|billion|lakh)|[Rr]s\.\s*\d"
+HIGH_VALUE_LEGACY = HIGH_VALUE + r"|₹\s*\d"
 DIVIDEND = r"(?:Rs\.?|[Rr]s\.)\s*([\d\.]+)\s*per\s+(?:equity\s+)?share"
 
 BASE_SCORES = {
@@ -300,3 +301,4 @@ BUYBACK_METHOD = r"(open\s+market|tender\s+offer)"
 RATING = r"(?:rated?|rating|assigned?|reaffirmed?|upgraded?|downgraded?|revised?)[^.]{0,80}?(CRISIL|ICRA|CARE|India\s+Ratings|Brickwork|Acuite)\s+([A-D][A-D+\-]*)"
 PREVIOUS_RATING = r"(?:from|previous(?:ly)?|earlier)\s+([A-D][A-D+\-]+)"
 RATINGS = ["AAA", "AA+", "AA", "AA-", "A+", "A", "A-", "BBB+", "BBB", "BBB-", "BB+", "BB", "BB-", "B+", "B", "B-", "C", "D"]
+STOP_WORDS = ["a", "an", "the", "and", "or", "of", "in", "on", "at", "to", "for", "by", "with", "from", "is", "are", "was", "were", "which", "that", "this", "has", "have", "had", "be", "been", "its", "it", "as", "if", "so", "but", "not", "no"]

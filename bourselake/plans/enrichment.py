@@ -24,10 +24,6 @@ _MONEY_SQL = "coalesce(" + ", ".join(
 _SIZE_SQL = "CASE WHEN v IS NULL THEN 'unknown' WHEN v >= 1000 THEN 'mega' WHEN v >= 500 THEN 'large' WHEN v >= 100 THEN 'medium' WHEN v >= 20 THEN 'small' ELSE 'tiny' END"
 
 
-def _rows(t: Tables, sql: str) -> DataFrame:
-    return t.spark.sql(sql)
-
-
 def _has(pattern: str, column: str = "details") -> str:
     return f"regexp_matches({column}, '{pattern}', 'i')"
 
@@ -133,11 +129,6 @@ def F20_date_ranges(t: Tables) -> DataFrame:
     return t.announcements.select("id", C.range_start(phrase, F.col("broadcast_date")).alias("first_day"))
 
 
-@query("""SELECT id, CASE WHEN regexp_matches(details, '\\d+ year') THEN 24 WHEN regexp_matches(details, '\\d+ week') THEN 8 WHEN regexp_matches(details, '\\d+ month') THEN 18 END AS months FROM announcements""")
-def F27_exec_months(t: Tables) -> DataFrame:
-    return t.announcements.select("id", C.execution_months(F.col("details")).alias("months"))
-
-
 @query("""SELECT id, concat('Q', CAST(quarter(broadcast_date - INTERVAL 3 MONTH) AS STRING), ' FY', CAST(CASE WHEN month(broadcast_date) >= 4 THEN year(broadcast_date) + 1 ELSE year(broadcast_date) END AS STRING)) AS label FROM announcements""")
 def F28_period_label(t: Tables) -> DataFrame:
     return t.announcements.select("id", C.period_label(F.col("broadcast_date")).alias("label"))
@@ -148,35 +139,6 @@ def F30_prior_period(t: Tables) -> DataFrame:
     return t.results.select("period", C.prior_period(F.col("period")).alias("prior")).distinct()
 
 
-_CELLS = "('2,94,270', 294270.0), ('(3,900)', -3900.0), ('412 72', 412.72), ('2 248 39', 2248.39), ('1 234', 1234.0), ('-', NULL), ('Nil', NULL), ('abc', NULL), ('-12.5', -12.5), ('3,900.50', 3900.5)"
-
-
-@query(f"SELECT cell, CAST(want AS DOUBLE) AS value FROM (VALUES {_CELLS}) AS v(cell, want)")
-def F32_indian_numbers(t: Tables) -> DataFrame:
-    return _rows(t, f"SELECT cell FROM VALUES {_CELLS} AS v(cell, want)").select("cell", C.indian_number(F.col("cell")).alias("value"))
-
-
-_UNIT_TEXTS = "('(Rs. in lakhs)', 0.01), ('All amounts are in INR million', 0.1), ('figures in crore', 1.0), ('2,94,270 1,00,000 3,00,000 4,00,000 5,00,000 6,00,000 7,00,000', 0.01), ('no unit 12,345', 1.0)"
-
-
-@query(f"SELECT txt, CAST(want AS DOUBLE) AS factor FROM (VALUES {_UNIT_TEXTS}) AS v(txt, want)")
-def F34_unit_detect(t: Tables) -> DataFrame:
-    return _rows(t, f"SELECT txt FROM VALUES {_UNIT_TEXTS} AS v(txt, want)").select("txt", C.unit_factor(F.col("txt")).cast("double").alias("factor"))
-
-
-@query("""SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS letters, CAST(len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x IN ('the', 'and', 'of', 'to', 'in'))) AS BIGINT) AS common FROM documents""")
-def F40_text_quality(t: Tables) -> DataFrame:
-    text = F.col("text")
-    common = F.size(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x.isin("the", "and", "of", "to", "in"))).cast("bigint")
-    return t.table("documents").select("doc_id", F.length(text).cast("bigint").alias("n"), F.length(F.regexp_replace(text, "[^a-zA-Z]", "")).cast("bigint").alias("letters"), common.alias("common"))
-
-
-@query("""SELECT symbol, period, revenue, CASE WHEN abs(pat - revenue * -0.01) <= 0.02 * abs(revenue) THEN 1 ELSE 0 END AS within, CASE WHEN revenue > 0 THEN 'high' ELSE 'none' END AS confidence FROM results WHERE pat IS NOT NULL""")
-def F46_eval_scores(t: Tables) -> DataFrame:
-    near = F.abs(F.col("pat") - F.col("revenue") * -0.01) <= 0.02 * F.abs("revenue")
-    return t.results.where("pat is not null").select("symbol", "period", "revenue", near.cast("int").alias("within"), F.when(F.col("revenue") > 0, "high").otherwise("none").alias("confidence"))
-
-
 @query("SELECT symbol, CASE WHEN market_cap >= 20000 THEN 'Large' WHEN market_cap >= 5000 THEN 'Mid' WHEN market_cap > 0 THEN 'Small' END AS cap FROM companies")
 def F47_cap_class(t: Tables) -> DataFrame:
     return t.companies.select("symbol", C.cap_class(F.lit(None).cast("string"), F.col("market_cap")).alias("cap"))
