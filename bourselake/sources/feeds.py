@@ -25,6 +25,12 @@ def announcements_csv(spark: SparkSession, path: str, guardrails: bool = True) -
     return canonical(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), guardrails)
 
 
+def csv_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of CSV files as a stream: columns as in the files that are there now, all of them text."""
+    options = {"header": True, "multiLine": True, "escape": '"'}
+    return spark.readStream.options(**options).schema(spark.read.options(**options).csv(path).schema).csv(path)
+
+
 def canonical(raw: DataFrame, guardrails: bool = True) -> DataFrame:
     """A feed's own columns as the canonical ones; missing fields are empty. Without guardrails: symbols and long texts as they are."""
     found = header_map(raw.columns)

@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or "file://" + tempfile.mkdtemp(prefix="bourselake-stream-")
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a master on this machine does without it; on a cluster nobody else would see another folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: tables on their way need a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="bourselake-stream-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -89,4 +107,4 @@ def ingest(stream: DataFrame, target: str, key: list[str], order: list[str], day
         q.stop()
 
 
-__all__ = ["alerts", "deduplicated", "ingest", "read_events", "run_to_table", "sessions", "shared_folder", "tumbling"]
+__all__ = ["alerts", "deduplicated", "ingest", "read_events", "run_to_table", "sessions", "setting", "shared_folder", "tumbling"]
