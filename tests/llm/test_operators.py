@@ -1,6 +1,7 @@
 import collections
 import math
 import os
+import random
 import sys
 import time
 import zlib
@@ -48,6 +49,60 @@ def test_langid_odd_rows(odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 6, 7, None, 9, 11}
 
 
+def test_texts_far_from_every_codeword_go(spark):
+    """Long strings of letters that are no language go; prose of all four languages, and short junk, stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(4)
+    junk = [(10**6 + i, "".join(rng.choice("qxzjkvwyhgfb") + (" " if rng.random() < 0.15 else "") for _ in range(n)), None, "j", 0) for i, n in enumerate([900] * 20 + [60] * 5)]
+    rows = docs.unionByName(spark.createDataFrame(junk, docs.schema))
+    kept = {r.doc_id for r in langid.keep_known(rows).collect()}
+    assert {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} <= kept
+    assert not kept & {10**6 + i for i in range(20)} and kept >= {10**6 + i for i in range(20, 25)}
+
+
+def test_langid_against_a_plain_version(spark, small):
+    """The same classifier, text by text and bit by bit in plain Python: margins, losses and answers."""
+    rows = [(r.doc_id, r.text, r.lang) for r in small.collect()]
+    learned = langid.learn(small)
+    got = {r.id: (r.lang_pred, r.score) for r in langid.predict(small, learned).collect()}
+
+    def grams(text):
+        folded = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()]
+        counts = collections.Counter()
+        for n in langid.LENGTHS:
+            for i in range(len(folded) - n + 1):
+                v = 0
+                for c in folded[i : i + n]:
+                    v = (v * 0x01000193 + c + 1) % 2**32 if v else c + 1
+                v = v * 0x9E3779B1 % 2**32
+                v ^= v >> 15
+                counts[(v * 0x85EBCA77 % 2**32) >> 18] += 1
+        return counts
+
+    for i, text, _ in rows[:40]:
+        counts = grams(text or "")
+        total = sum(counts.values())
+        if not total:
+            continue
+        losses = []
+        for code in learned.code:
+            loss = 0.0
+            for bit, sign in enumerate(code):
+                margin = sum(c / total * float(learned.weights[f, bit]) for f, c in counts.items()) + learned.bias[bit]
+                loss += learned.bit_weight[bit] * math.log1p(math.exp(-2 * max(-30.0, min(30.0, margin * sign))))
+            losses.append(loss)
+        best = min(range(len(losses)), key=losses.__getitem__)
+        share = [math.exp(-langid.SHARPNESS * (x - losses[best])) for x in losses]
+        assert got[i][0] == learned.languages[best] and math.isclose(got[i][1], share[best] / sum(share), rel_tol=1e-5)
+
+
+def test_langid_sample_is_bounded_and_fair(spark):
+    """One text in masses is one text, and a language of few texts is learned."""
+    rows = [(i, "the same words of one text again", "en") for i in range(500)] + [(1000 + i, f"nur wenige deutsche Sätze über {i}", "de") for i in range(5)] + [(2000 + i, f"many english words about {i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.learn(docs, 20).languages == ["de", "en"]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 7, 8, 12):
         code = langid.codewords(n)
