@@ -154,7 +154,7 @@ _CANDIDATES = f"""f AS (SELECT * FROM ({_FUSED})), w AS (SELECT id, row_number()
 v AS (SELECT id, row_number() OVER (PARTITION BY symbol ORDER BY order_value_cr DESC, id) AS b FROM announcements WHERE order_value_cr > 300),
 h AS (SELECT n.id, n.symbol, n.score, n.broadcast_date, coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0) AS base, b IS NOT NULL AS vec FROM announcements n LEFT JOIN (SELECT * FROM w WHERE a <= 40) w ON w.id = n.id LEFT JOIN (SELECT * FROM v WHERE b <= 40) v ON v.id = n.id WHERE a IS NOT NULL OR b IS NOT NULL),
 fin AS (SELECT 'fin_' || symbol || '_' || period AS id, broadcast_date, row_number() OVER (ORDER BY broadcast_date DESC, symbol, period) AS rn FROM results),
-s AS (SELECT id, score / 13.0::DOUBLE AS base FROM announcements WHERE broadcast_date = CAST('1998-05-14' AS DATE) AND score >= 7 ORDER BY score DESC, broadcast_date DESC, id LIMIT 40)"""
+s AS (SELECT id, score / 13.0::DOUBLE AS base FROM announcements WHERE broadcast_date = CAST('1998-05-14' AS DATE) AND score >= 6 AND order_value_cr >= 6 ORDER BY score DESC, broadcast_date DESC, id LIMIT 40)"""
 _ROUTED = ["top orders with score above 6 on 14/5/1998", "stocks like the best of the theme", "earnings and margin", "dividend of companies that grow", "tell me a story"]
 
 
