@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import col, kept, slices
 from .tokenizer import load
+from .words import U
 
 N_BEST = 4
 #: Bytes of text that are encoded before their rows are passed on.
@@ -45,6 +47,8 @@ BLANK = "▁"
 _LITERAL = "\ud800"
 #: Entries of a generation of a worker's caches, bytes of one entry on average at most, and characters of the longest word that is kept there.
 CACHE, ENTRY_BYTES, CACHED = 60_000, 400, 256
+#: Characters of the longest segment that is worked out together with others; the base of hashes of characters.
+BATCHED, _BASE = 64, 0x9E3779B97F4A7C15
 #: Characters of a segment from which on Viterbi scores are kept in packed arrays.
 LONG = 4_096
 
@@ -92,9 +96,17 @@ class Pieces:
         self.byte_ids, self.byte_score = [bytes_[b] for b in range(256)], exact(min(score.values()) - BYTE_PENALTY)
         self.edges = {names[i]: ((i,), self.scores[i]) for i in normal}
         self.longest = max(map(len, self.edges))
-        # tries, character by character, from a piece's front and from its back: nodes are [children, ids or None where it is only a prefix, score, length]
+        # tries, character by character, from a piece's front and from its back: nodes are (children, ids or None where it is only a prefix, score, length)
         self.trie, self.back = self._trie(lambda p: p), self._trie(lambda p: p[::-1])
-        self.odd: dict[str, list] = {}  # nodes of characters that go by their bytes
+        self.odd: dict[str, tuple] = {}  # nodes of characters that go by their bytes
+        # the front trie as a sorted table: hash of a prefix -> id of the piece that it is, or -1
+        nodes = {p[:n]: -1 for p in self.edges for n in range(1, len(p))} | {p: ids[0] for p, (ids, _) in self.edges.items()}
+        hashes = np.array([self._hash(p) for p in nodes], U)
+        order = np.argsort(hashes)
+        self.nodes, self.node_ids = hashes[order], np.array(list(nodes.values()), np.int64)[order]
+        self.score_of = np.zeros(n)
+        self.score_of[normal] = [self.scores[i] for i in normal]
+        self.single = np.array(sorted(ord(p) for p in self.edges if len(p) == 1), np.uint32)
         self.inner = {p[i : i + 2] for p in self.edges for i in range(len(p) - 1)}
         self.raw = [b""] * n  # what decoding an id gives
         for i in normal:
@@ -116,7 +128,7 @@ class Pieces:
         # of words and of their segments: a word of one segment is there once
         self.memo, self.near = Cache(cache), Cache(cache // 10)
 
-    def _trie(self, order: Callable[[str], str]) -> dict[str, list]:
+    def _trie(self, order: Callable[[str], str]) -> dict[str, tuple]:
         root: dict[str, list] = {}
         for p, edge in self.edges.items():
             children, node = root, None
@@ -124,18 +136,99 @@ class Pieces:
                 node = children.setdefault(c, [{}, None, 0.0, 0])
                 children = node[0]
             node[1:] = *edge, len(p)
-        return root
+        fixed = lambda nodes: {c: (fixed(children), *rest) for c, (children, *rest) in nodes.items()}
+        return fixed(root)
+
+    # ---- many segments at once
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * _BASE + ord(c) + 1) % 2**64
+        return h
+
+    def viterbi_all(self, texts: list[str]) -> list[tuple[bytes, float, float]]:
+        """(packed ids, score, gap) of segments of which every character is a piece: viterbi() for all of them together, start by start."""
+        n = np.array([len(t) for t in texts])
+        cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
+        begins, seg = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        until = (begins + n)[seg]
+        # edges: every stretch that is a piece, found by lengthening what is a prefix of one
+        live, h, found = np.arange(len(cp)), np.zeros(len(cp), U), []
+        for length in range(1, self.longest + 1):
+            fits = live + length <= until[live]
+            live, h = live[fits], h[fits]
+            if not len(live):
+                break
+            h = h * U(_BASE) + cp[live + length - 1] + U(1)
+            at = np.minimum(np.searchsorted(self.nodes, h), len(self.nodes) - 1)
+            known = self.nodes[at] == h
+            live, h, ids = live[known], h[known], self.node_ids[at[known]]
+            piece = ids >= 0
+            found.append((live[piece], np.full(int(piece.sum()), length), ids[piece]))
+        start, length, ids = (np.concatenate(v) for v in zip(*found, strict=True))
+        place = start - begins[seg[start]]
+        order = np.lexsort((length, place))
+        start, length, ids, place = start[order], length[order], ids[order], place[order]
+        # positions: one more than characters in each segment
+        source = start + seg[start]
+        target, score = source + length, self.score_of[ids]
+        first, last = begins + np.arange(len(n)), begins + np.arange(len(n)) + n
+        one, two, back = np.full(len(cp) + len(n), -1e300), np.full(len(cp) + len(n), -1e300), np.full(len(cp) + len(n), -1)
+        one[first] = 0.0
+        cuts = np.searchsorted(place, np.arange(int(n.max()) + 1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            s, t = source[a:b], target[a:b]  # one start in each segment, so targets differ
+            new, old = one[s] + score[a:b], one[t]
+            better = new > old
+            two[t] = np.where(better, np.maximum(old, two[s] + score[a:b]), np.maximum(two[t], new))
+            one[t] = np.where(better, new, old)
+            back[t] = np.where(better, np.arange(a, b), back[t])
+        # from the ends back, all segments together
+        own, at, steps = np.arange(len(n)), last.copy(), []
+        while len(own):
+            edge = back[at]
+            steps.append((own, ids[edge]))
+            at = source[edge]
+            more = at != first[own]
+            own, at = own[more], at[more]
+        own, number = np.concatenate([o for o, _ in steps]), np.repeat(np.arange(len(steps)), [len(o) for o, _ in steps])
+        order = np.lexsort((-number, own))
+        data = np.concatenate([i for _, i in steps])[order].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(own, minlength=len(n))) * 4).tolist()
+        gap = np.where(two[last] > -1e299, one[last] - two[last], np.inf)
+        return [(data[a:b], s, g) for a, b, s, g in zip([0, *ends[:-1]], ends, one[last].tolist(), gap.tolist(), strict=True)]
+
+    def warm(self, texts: list[str]) -> list[list[str]]:
+        """The words of texts; those that the cache does not know are worked out together."""
+        words = [self.prepared(t) for t in texts]
+        new, old = self.memo.new, self.memo.old
+        missing = {w for ws in words for w in ws if w not in new and w not in old}
+        parts = {p for w in missing if len(w) <= CACHED for p in self._split(w)}
+        parts = [p for p in parts if len(p) <= BATCHED and p not in new and p not in old]
+        if parts:
+            cp = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
+            odd = self.single[np.minimum(np.searchsorted(self.single, cp), len(self.single) - 1)] != cp
+            n = np.array([len(p) for p in parts])
+            plain = np.flatnonzero(~np.logical_or.reduceat(odd, np.cumsum(n) - n))
+            parts = [parts[i] for i in plain.tolist()]
+            for at in range(0, len(parts), 1 << 14):
+                some = parts[at : at + (1 << 14)]
+                for p, found in zip(some, self.viterbi_all(some), strict=True):
+                    self.memo.put(p, found)
+        return words
 
     # ---- one segment
 
-    def _bytes(self, c: str) -> list:
+    def _bytes(self, c: str) -> tuple:
         """The node of a character that no piece covers."""
         node = self.odd.get(c)
         if node is None:
             if len(self.odd) > CACHE:
                 self.odd.clear()
             raw = (BLANK if c == _LITERAL else c).encode()
-            node = self.odd[c] = [None, tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw), 1]
+            node = self.odd[c] = (None, tuple(self.byte_ids[b] for b in raw), self.byte_score * len(raw), 1)
         return node
 
     def edges_to(self, text: str, e: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
@@ -229,13 +322,11 @@ class Pieces:
 
     def _split(self, word: str) -> list[str]:
         """The segments of a word."""
-        inner, out, at = self.inner, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in inner:
-                out.append(word[at:i])
-                at = i
-        out.append(word[at:])
-        return out
+        inner = self.inner
+        cuts = [i for i, pair in enumerate(map(add, word, word[1:]), 1) if pair not in inner]
+        if not cuts:
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def _part(self, text: str) -> tuple[bytes, float, float]:
         """(packed ids, score, gap to the second best) of a segment."""
@@ -263,9 +354,9 @@ class Pieces:
             text = text.replace(BLANK, _LITERAL)
         return self.words.findall(BLANK + text.replace(" ", BLANK))
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[float], list[str]]:
-        """(packed ids of the best segmentation, scores of the n best, the words)."""
-        words = self.prepared(text)
+    def encode(self, text: str, n: int = N_BEST, words: list[str] | None = None) -> tuple[bytes, list[float], list[str]]:
+        """(packed ids of the best segmentation, scores of the n best, the words). words: what prepared() gives, where it is known."""
+        words = self.prepared(text) if words is None else words
         if not words:
             return b"", [0.0], words
         new, word = self.memo.new.get, self._word
@@ -340,8 +431,9 @@ def encoded(docs: DataFrame, model: str, n: int = N_BEST, cache: int = CACHE) ->
         of = pieces(source.value, cache)
         for x in slices(batches, most=SLICE_BYTES):
             packed, scores, decoded = [], [], []
-            for text in col(x, "text").to_pylist():
-                ids, best, _ = of.encode(text or "", n)
+            texts = [t or "" for t in col(x, "text").to_pylist()]
+            for text, words in zip(texts, of.warm(texts), strict=True):
+                ids, best, _ = of.encode(text, n, words)
                 packed.append(ids)
                 scores.append(best)
                 decoded.append(of.decode(np.frombuffer(ids, "<u4")))
@@ -363,8 +455,9 @@ def digests(docs: DataFrame, model: str, n: int = N_BEST, cache: int = CACHE) ->
         of = pieces(source.value, cache)
         for x in slices(batches, most=SLICE_BYTES):
             out = []
-            for text in col(x, "text").to_pylist():
-                ids, best, _ = of.encode(text or "", n)
+            texts = [t or "" for t in col(x, "text").to_pylist()]
+            for text, words in zip(texts, of.warm(texts), strict=True):
+                ids, best, _ = of.encode(text, n, words)
                 back = of.decode(np.frombuffer(ids, "<u4"))
                 out.append((len(ids) // 4, zlib.crc32(ids), best[0], len(best), best[0] - best[-1], hashlib.sha256(back.encode()).hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.string()]

@@ -14,7 +14,7 @@ from .common import shared_folder, table
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 #: Words that a worker remembers where it has nothing else to hold: time only, results are the same.
-PIECE_CACHE = 250_000
+PIECE_CACHE = 600_000
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
