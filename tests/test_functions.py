@@ -1,10 +1,13 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from bourselake.functions import columns as C
 from bourselake.functions import filings as X
+from bourselake.functions import rules
+from bourselake.functions import statements as S
 from bourselake.operators import filters, merge, retrieval, routing
 
 
@@ -115,3 +118,33 @@ def test_classify(spark):
     assert (q.symbols, q.day, q.order_value, q.themes) == (["ABC"], "2026-04-03", 100.0, ["solar_renewables"])
     assert routing.ask(spark, "revenue growth", dt.date(2026, 4, 23)).intent == "financial"
     assert routing.ask(spark, "top rated today", dt.date(2026, 4, 23)).min_score == 8
+
+
+def test_written_postings_are_those_of_the_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two two"), (2, "two three"), (3, None)], "k long, t string")
+    path = f"file://{tmp_path}/index"
+    retrieval.write_index(docs, "k", "t", path, 4)
+    got = retrieval.read_index(spark, path, ["two", "never"], 4)
+    assert sorted((r.k, r.token, r.tf, r.length) for r in got.collect()) == [(1, "two", 2, 3), (2, "two", 1, 2)]
+    counts = {r.k: (r.length, r.tf) for r in retrieval.term_counts(docs, "k", "t", ["two", "three"]).collect()}
+    assert counts == {1: (3, [2, 0]), 2: (2, [1, 1])}
+
+
+def test_periods_as_written(spark):
+    raw = ["Quarter ended June 30, 2026 (Consolidated)", "q3 fy2026", "Half year ended September 2026", "six months ended March 31, 2026", "Year ended 31 March 2027", "Year ended March 2027", "", "H2FY2025", "odd"]
+    assert values(spark, raw, S.period) == ["Q1 FY2027", "Q3 FY2026", "H1 FY2027", "H2 FY2026", "Year ended 31 March 2027", "FY2027", "", "H2 FY2025", "odd"]
+    assert values(spark, ["Q1 FY2027", "FY2027", "H1 FY2027", "half"], S.period_kind) == ["quarterly", "annual", "annual", "half-yearly"]
+
+
+def test_labels_equal_their_patterns(spark):
+    """Substring search and one expression give what the whole alternation gives."""
+    texts = ["Power TRANSMISSION line", "powerful", "An IT firm", "it is", "L&T bags metro", "bELt of Hals", "AI", "said", "Rail-coach, BANK and fmcg", ""]
+    whole = [sorted(n for n, p in rules.SECTORS if re.search(p, t, re.I)) for t in texts]
+    assert values(spark, texts, lambda x: C.labels(x, rules.SECTORS)) == whole
+
+
+def test_update_by_url_can_lose_a_row(spark):
+    old = spark.createDataFrame([("u1", "a", 1), ("u2", "b", 2)], "url string, k string, v int")
+    batch = spark.createDataFrame([("u1", "b", 3), ("u3", "c", 4), ("u3", "d", 5)], "url string, k string, v int")
+    got = merge.update_or_insert(old, batch, "url", ["k"], F.col("v"))
+    assert sorted(tuple(r) for r in got.collect()) == [("u2", "b", 2), ("u3", "d", 5)]
