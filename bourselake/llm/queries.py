@@ -8,11 +8,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, langid, lm, oracles, pieces, sharding, simhash, substrings, token_counts, token_files
+from . import ann, byte_bpe, decontaminate, langid, lm, oracles, pieces, resample, sharding, simhash, substrings, token_counts, token_files, variants
 from .common import shared_folder, table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 #: Words that a worker remembers where it has nothing else to hold: time only, results are the same.
 PIECE_CACHE = 600_000
 
@@ -59,6 +60,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,8 +79,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_sharding, op3_token_files, op4_lm_scores, op5_token_counts, op6_substrings, op7_simhash, op8_ann, op9_sentencepiece, op10_decontaminate, pipeline)}
+    named = (op1_language_id, op2_sharding, op3_token_files, op4_lm_scores, op5_token_counts, op6_substrings, op7_simhash, op8_ann, op9_sentencepiece, op10_decontaminate)
+    new = (op11_importance_resampling, op12_byte_bpe, op13_spelling_variants)
+    return {f.__name__: f for f in (*named, *new, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substrings": oracles.SUBSTRINGS, "op10_decontaminate": oracles.DECONTAMINATE}
+    return {"op6_substrings": oracles.SUBSTRINGS, "op10_decontaminate": oracles.DECONTAMINATE, "op11_importance_resampling": oracles.RESAMPLE, "op13_spelling_variants": oracles.VARIANTS}

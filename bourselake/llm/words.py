@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 U = np.uint64
@@ -25,9 +27,15 @@ def find_words(raw: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE
     """starts and ends of all words in raw, and for each text the index of its first word (with the count of all at the end)."""
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
-    inside = ~separators[raw]
+    return find_runs(~separators[raw], offs)
+
+
+def find_runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """starts and ends of all runs of bytes that are inside, none across a text's border, and for each text the index of its first run."""
+    if not len(inside):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
     cuts = offs[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
+    cuts = cuts[(cuts > 0) & (cuts < len(inside))]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
@@ -100,3 +108,35 @@ def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes
     source = np.arange(len(shift)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     out[source + shift] = raw[source]
     return out.tobytes(), to, to + lengths
+
+
+def _crc_table() -> np.ndarray:
+    """The 256 remainders of CRC-32's reflected polynomial."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> np.uint32(1)) ^ np.uint32(0xEDB88320), t >> np.uint32(1)).astype(np.uint32)
+    return t
+
+
+_CRC = _crc_table()
+#: Spans beyond so many bytes go one by one through zlib.
+_LONG = 48
+
+
+def span_crcs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Unsigned CRC-32 of each span of raw, all spans together byte by byte; `before`: the CRC-32 of what stands in front of each."""
+    lengths = ends - starts
+    order = np.argsort(-lengths, kind="stable")
+    s, n = starts[order], lengths[order]
+    state = np.full(len(s), 0xFFFFFFFF, np.uint32) if before is None else ~before.astype(np.uint32)[order]
+    long = int(np.searchsorted(-n, -_LONG, "left"))
+    for i in range(long):
+        state[i] = zlib.crc32(raw[s[i] : s[i] + n[i]], int(~state[i])) ^ 0xFFFFFFFF
+    s, n, short = s[long:], n[long:], state[long:]
+    for p in range(int(n[0]) if len(n) else 0):
+        k = int(np.searchsorted(-n, -p, "left"))
+        now = short[:k]
+        short[:k] = _CRC[(now ^ raw[s[:k] + p]) & 0xFF] ^ (now >> 8)
+    out = np.empty(len(order), np.uint32)
+    out[order] = ~state
+    return out
