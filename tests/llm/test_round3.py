@@ -145,6 +145,26 @@ def test_bpe_long_and_odd_texts(library, monkeypatch):
     assert all(own.encode(t[:3000]) == library.encode_ordinary(t[:3000]) for t in texts)
 
 
+def test_forest_equals_single_trees():
+    """Words worked out together, of every length, and a pair table that probes."""
+    own, rng = byte_bpe.ByteBpe(open(RANKS, "rb").read()), random.Random(8)
+    for size in (2, 4, 8, 16, 32):
+        words = ["".join(rng.choice("abcdenorstié日 0") for _ in range(40)).encode()[: rng.randrange(2, size + 1)] for _ in range(400)] + [b"aa" * (size // 2), b"\xff\xfe"]
+        trees = [byte_bpe.RankTree(w, own.ranks) for w in words]
+        for tree in trees:
+            while tree.merge():
+                pass
+        assert byte_bpe.forest(words, size, own.pairs, own.of_byte) == [[own.ranks[p] for p in tree.parts()] for tree in trees]
+    ids = {t: r for t, r in own.ranks.items() if len(t) > 1}
+    some = rng.sample(sorted(ids), 2000)
+    cuts = [(own.ranks.get(t[:i]), own.ranks.get(t[i:]), ids[t]) for t in some for i in range(1, len(t))]
+    a, b, want = map(np.array, zip(*(c for c in cuts if None not in c), strict=True))
+    assert (own.pairs.ranks(a, b) == want).all()
+    a, b = np.array([rng.randrange(50_000) for _ in range(5000)]), np.array([rng.randrange(50_000) for _ in range(5000)])
+    want = [own.ranks.get(own.tokens[x] + own.tokens[y], byte_bpe._NO_RANK) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert own.pairs.ranks(a, b).tolist() == want
+
+
 def test_rank_tree_merges_leftmost_first():
     tree = byte_bpe.RankTree(b"abababc", {b"ab": 5, b"abab": 7, b"bc": 9, b"ba": 6})
     seen = []
