@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
-from ..operators import joins
+from ..operators import joins, setjoin
 from .registry import Tables, query
 
 # The oracle's texts are made from the same rule tables.
@@ -113,6 +113,16 @@ def F10_jaccard_pairs(t: Tables) -> DataFrame:
     return shared.where("k >= 2").select("a", "b", C.half_up(F.col("k").cast("double") / (F.col("n") + F.col("m") - F.col("k")), 4).alias("sim"))
 
 
+@query("""WITH w AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}'))) AS w FROM documents), c AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN doc_id ELSE MIN(doc_id) OVER (PARTITION BY w) END AS class_id FROM w),
+e AS (SELECT class_id AS k, len(w) AS n, unnest(w) AS word FROM c WHERE doc_id = class_id), p AS (SELECT a.k AS a, b.k AS b, COUNT(*) AS s, MIN(a.n + b.n) AS n FROM e a JOIN e b ON a.word = b.word AND a.k <> b.k GROUP BY 1, 2),
+l AS (SELECT a, COUNT(*) AS n_links, MAX(s::DOUBLE / (n - s)) AS nearest FROM p WHERE s * 5 >= (n - s) * 3 GROUP BY a)
+SELECT c.doc_id, c.class_id, coalesce(l.n_links, 0) AS n_links, floor(l.nearest * 1000000 + 0.5) / 1000000 AS nearest FROM c LEFT JOIN l ON l.a = c.class_id""")
+def F10_similar_documents(t: Tables) -> DataFrame:
+    """Documents by their word sets: classes of equal sets, and links of 0.6 or more between classes."""
+    rows = t.table("documents").select("doc_id", C.words(F.col("text")).alias("words"))
+    return setjoin.links(rows, "doc_id", "words", 3, 5).withColumn("nearest", C.half_up(F.col("nearest"), 6))
+
+
 @query("SELECT id, CAST(replace(substr(CAST(broadcast_date AS STRING), 1, 10), '-', '') AS INT) AS date_int FROM announcements")
 def F11_date_int(t: Tables) -> DataFrame:
     return t.announcements.select("id", C.date_int(F.col("broadcast_date").cast("string")).alias("date_int"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import half_up, words
 from ..operators import ranking, retrieval
+from ..operators.textindex import TextIndex, full_text, index_of
+from ..streaming.jobs import shared_folder
 from .registry import Tables, query
 
 _TERMS = ["the", "les", "und"]
@@ -29,16 +31,15 @@ _BM25 = _bm25_sql(_TERMS, "[a-z0-9]+", _OKAPI, "1.5", _MIXED)
 _KNN = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0), kn AS (SELECT vec_id, floor((1 - list_dot_product(CAST(embedding AS DOUBLE[]), q.e) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q.e, q.e)))) * 10000 + 0.5) / 10000 AS distance FROM embeddings, q)"""
 
 
-def _okapi(t: Tables, terms: list[str]) -> DataFrame:
+def _indexed(t: Tables, tokeniser: str) -> TextIndex:
+    """The index of `documents` with these tokens."""
+    return index_of(t.spark, shared_folder(t.spark), "documents", tokeniser, t.table("documents"), "doc_id", F.col("text"))
+
+
+def _okapi(t: Tables, terms: list[str], n: int) -> DataFrame:
     """The in-memory ranking: Okapi with k1 1.5, b .75; terms of most documents are worth a quarter of the vocabulary's mean idf."""
-    docs = t.table("documents")
-    counts = retrieval.term_counts(docs, "doc_id", "text", terms, retrieval.mixed_tokens)
-    first = counts.agg(F.count("*"), *[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).first()  # one row
-    least = None
-    if any(2 * df > first[0] for df in first[1:]):
-        mean = retrieval.mean_idf(docs, "doc_id", "text", retrieval.mixed_tokens).first()[0]  # one row
-        least = F.lit(0.25 * mean)
-    return retrieval.bm25(counts, "doc_id", len(terms), 1.5, 0.75, "okapi", least)
+    found = _indexed(t, "mixed").search(terms, n, 1.5, 0.75, "okapi", epsilon=0.25, least=0.0, digits=4)
+    return found.withColumnRenamed("key", "doc_id")
 
 
 def _query_vector(t: Tables, vec_id: int = 0) -> list[float]:
@@ -57,14 +58,47 @@ def A16_corpus_stats(t: Tables) -> DataFrame:
 @query(f"WITH {_bm25_sql(_BOTH, '[a-z0-9]+', _FLOORED, '1.2')} SELECT doc_id, -floor(s * 10000 + 0.5) / 10000 AS score FROM sc WHERE hit = 2")
 def R1_bm25_all_terms(t: Tables) -> DataFrame:
     """Documents with every term; the score is negative, the best has the least."""
-    counts = retrieval.term_counts(t.table("documents"), "doc_id", "text", _BOTH)
-    return retrieval.bm25(counts, "doc_id", len(_BOTH), 1.2, 0.75, "floored", match_all=True).select("doc_id", (-half_up(F.col("score"), 4)).alias("score"))
+    found = _indexed(t, "plain").search(_BOTH, None, 1.2, 0.75, "floored", match_all=True)
+    return found.select(F.col("key").alias("doc_id"), (-half_up(F.col("score"), 4)).alias("score"))
+
+
+def _announcement_index(t: Tables) -> TextIndex:
+    line = F.concat_ws(" ", "symbol", "company", "subject", "details")
+    return index_of(t.spark, shared_folder(t.spark), "announcements", "stemmed", t.announcements, "id", line)
+
+
+_FTS = """tok AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', symbol, company, subject, details)), '[a-z0-9]+') AS ws FROM announcements), st AS (SELECT COUNT(*)::DOUBLE AS n, AVG(len(ws))::DOUBLE AS mean FROM tok),
+tf AS (SELECT id, len(ws) AS dl, len(list_filter(ws, lambda x: x IN ('order', 'orders'))) AS a, len(list_filter(ws, lambda x: x = 'railway')) AS b FROM tok),
+df AS (SELECT COUNT(*) FILTER (WHERE a > 0) AS a, COUNT(*) FILTER (WHERE b > 0) AS b FROM tf),
+w AS (SELECT greatest(ln((n - df.a + 0.5) / (df.a + 0.5)), 0.000001::DOUBLE) AS a, greatest(ln((n - df.b + 0.5) / (df.b + 0.5)), 0.000001::DOUBLE) AS b, mean FROM df, st),
+found AS (SELECT id, -(w.a * tf.a * 2.2::DOUBLE / (tf.a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean)) + w.b * tf.b * 2.2::DOUBLE / (tf.b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS rank FROM tf, w WHERE tf.a > 0 AND tf.b > 0)"""
+
+
+@query(f"""WITH {_FTS} SELECT f.id, a.symbol, a.subject, a.score, floor(f.rank * 1000000 + 0.5) / 1000000 AS rank FROM found f JOIN announcements a ON a.id = f.id""")
+def J15_fts_content(t: Tables) -> DataFrame:
+    """Every announcement that a stemmed question finds, with its row."""
+    index = _announcement_index(t)
+    found = index.search(index.question_terms("Railways ORDERED"), None, 1.2, 0.75, "floored", match_all=True)
+    ranked = found.select(F.col("key").alias("id"), half_up(-F.col("score"), 6).alias("rank"))
+    return t.announcements.join(ranked, "id").select("id", "symbol", "subject", "score", "rank")
+
+
+@query(f"""WITH {_FTS} SELECT f.id, floor(f.rank * 1000000 + 0.5) / 1000000 AS rank FROM found f JOIN announcements a ON a.id = f.id WHERE a.score >= 4 AND a.symbol IN ('3', '7', '11', '19') ORDER BY f.rank, f.id LIMIT 25""")
+def R1_fts_filtered(t: Tables) -> DataFrame:
+    """The 25 best for a stemmed question, among announcements of some companies with a least score."""
+    found = full_text(_announcement_index(t), t.announcements, "railways ordering", 25, min_score=4, symbols=["3", "7", "11", "19"])
+    return found.select("id", half_up(F.col("rank"), 6).alias("rank"))
+
+
+@query("SELECT id, floor(-score / 13.0::DOUBLE * 1000000 + 0.5) / 1000000 AS rank FROM announcements WHERE symbol IN ('3', '7') ORDER BY score DESC, broadcast_date DESC, id LIMIT 40")
+def R1_empty_question(t: Tables) -> DataFrame:
+    found = full_text(_announcement_index(t), t.announcements, "  ", 40, symbols=["3", "7"])
+    return found.select("id", half_up(F.col("rank"), 6).alias("rank"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, floor(s * 10000 + 0.5) / 10000 AS score FROM sc WHERE s > 0 ORDER BY score DESC, doc_id LIMIT 50")
 def R2_bm25(t: Tables) -> DataFrame:
-    scored = _okapi(t, _TERMS).where("score > 0").select("doc_id", half_up(F.col("score"), 4).alias("score"))
-    return ranking.top(scored, [F.desc("score"), F.col("doc_id")], 50)
+    return _okapi(t, _TERMS, 50)
 
 
 @query(f"WITH {_KNN} SELECT vec_id, distance FROM kn ORDER BY distance, vec_id LIMIT 20")
@@ -92,7 +126,7 @@ def R5_weighted_rrf(t: Tables) -> DataFrame:
 d AS (SELECT doc_id, distance, row_number() OVER (ORDER BY distance, doc_id) AS b FROM (SELECT vec_id AS doc_id, distance FROM kn ORDER BY distance, vec_id LIMIT 60))
 SELECT doc_id, floor((coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0)) * 1000000 + 0.5) / 1000000 AS score, coalesce(distance, 1.0::DOUBLE) AS distance FROM l FULL JOIN d USING (doc_id) ORDER BY coalesce(1.0::DOUBLE / (60 + a), 0) + coalesce(1.0::DOUBLE / (60 + b), 0) DESC, doc_id LIMIT 20""")
 def R6_hybrid(t: Tables) -> DataFrame:
-    lexical = ranking.top(_okapi(t, _TERMS).where("score > 0").select("doc_id", half_up(F.col("score"), 4).alias("score")), [F.desc("score"), F.col("doc_id")], 60)
+    lexical = _okapi(t, _TERMS, 60)
     dense = retrieval.knn(t.table("embeddings"), "vec_id", "embedding", _query_vector(t), 60).withColumnRenamed("vec_id", "doc_id")
     return retrieval.hybrid(lexical, dense, "doc_id", 20).select("doc_id", half_up(F.col("score"), 6).alias("score"), "distance")
 

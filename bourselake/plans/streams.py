@@ -44,15 +44,15 @@ def T6_watchlist_alerts(t: Tables) -> DataFrame:
 _WORDS = "list_distinct(regexp_extract_all(lower(details), '[a-z]{3,}'))"
 
 
-@query(f"""WITH r AS (SELECT id, concat(symbol, '|', subject) AS key, broadcast_date AS day, {_WORDS} AS w, CASE WHEN subject IN ('Trading Window') THEN 0.1::DOUBLE WHEN regexp_matches(concat(subject, ' ', details), '{rules.REPEATED}', 'i') THEN 0.2::DOUBLE END AS fixed FROM announcements WHERE score >= 12),
+@query(f"""WITH r AS (SELECT id, concat(symbol, '|', subject) AS key, broadcast_date AS day, {_WORDS} AS w, CASE WHEN subject IN ('Trading Window') THEN 0.1::DOUBLE WHEN regexp_matches(concat(subject, ' ', details), '{rules.REPEATED}', 'i') THEN 0.2::DOUBLE END AS fixed FROM announcements),
 p AS (SELECT a.id, b.id AS old_id, b.day AS old_day, len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS sim FROM r a JOIN r b ON a.key = b.key AND a.day - b.day BETWEEN 0 AND 30 AND (b.day < a.day OR b.id < a.id)),
 s AS (SELECT id, COUNT(*) AS n, arg_min(sim, old_day * 1000000000000 + old_id) FILTER (WHERE sim > 0.6) AS sim FROM (SELECT id, old_id, CAST(old_day - CAST('1970-01-01' AS DATE) AS BIGINT) AS old_day, sim FROM p) GROUP BY id)
 SELECT r.id, r.fixed IS NULL AND s.sim IS NULL AS is_novel, coalesce(r.fixed, floor((1 - s.sim) * 100 + 0.5) / 100, CASE WHEN s.n > 0 THEN 0.65::DOUBLE ELSE 0.95::DOUBLE END) AS novelty FROM r LEFT JOIN s ON s.id = r.id""")
 def T5_novelty_stream(t: Tables) -> DataFrame:
-    """Highly scored announcements, landed and read as a stream: state by key, pruned by event time."""
+    """The announcements, landed and read as a stream: state by key, taken in event order and pruned by event time."""
     path = f"{jobs.shared_folder(t.spark)}/landed-announcements-{uuid.uuid4().hex}"
-    rows = t.announcements.where("score >= 12").select("id", "symbol", "subject", "details", F.col("broadcast_date").alias("day"))
-    rows.write.parquet(path)
+    rows = t.announcements.select("id", "symbol", "subject", "details", F.col("broadcast_date").alias("day"))
+    rows.unionByName(novelty.closing_row(rows)).write.parquet(path)
     stream = t.spark.readStream.schema(rows.schema).parquet(path)
     with jobs.setting(t.spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
         return jobs.run_to_table(novelty.novelty(stream))

@@ -61,8 +61,15 @@ def alerts(events: DataFrame, watched: DataFrame, key: str) -> DataFrame:
     return events.join(watched.select(key).distinct(), key, "left_semi")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", timeout: int = 300) -> DataFrame:
-    """Runs all there is. Append mode leaves files; complete mode keeps the last batch's rows."""
+def _ended(q, timeout: int | None) -> None:
+    if timeout is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout):
+        raise TimeoutError("the stream has not ended")
+
+
+def run_to_table(stream: DataFrame, mode: str = "append", timeout: int | None = None) -> DataFrame:
+    """Runs all there is, however long it takes (timeout: seconds). Append mode leaves files; complete mode keeps the last batch's rows."""
     spark = stream.sparkSession
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
@@ -71,14 +78,13 @@ def run_to_table(stream: DataFrame, mode: str = "append", timeout: int = 300) ->
     else:
         q = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).start()
     try:
-        if not q.awaitTermination(timeout):
-            raise TimeoutError("the stream has not ended")
+        _ended(q, timeout)
     finally:
         q.stop()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def ingest(stream: DataFrame, target: str, key: list[str], order: list[str], day: str, checkpoint: str, timeout: int = 300, enrich: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def ingest(stream: DataFrame, target: str, key: list[str], order: list[str], day: str, checkpoint: str, timeout: int | None = None, enrich: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Insert-or-ignore of each batch into a Parquet table partitioned by `day`.
 
     A batch is compared with the partitions of its own days only, and only those are written again; a batch that is run twice changes nothing.
@@ -101,8 +107,7 @@ def ingest(stream: DataFrame, target: str, key: list[str], order: list[str], day
 
     q = stream.writeStream.option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).foreachBatch(write).start()
     try:
-        if not q.awaitTermination(timeout):
-            raise TimeoutError("the ingest has not ended")
+        _ended(q, timeout)
     finally:
         q.stop()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 from collections.abc import Iterator
 
@@ -15,6 +14,9 @@ from ..functions import columns as C
 from ..functions import rules
 
 OUT = "id long, is_novel boolean, novelty double"
+_DAY_MS = 86_400_000
+#: Rows that are handed on at once.
+_CHUNK = 5_000
 
 
 def _alike(a: set[str], b: set[str]) -> float:
@@ -22,47 +24,98 @@ def _alike(a: set[str], b: set[str]) -> float:
 
 
 class Novelty(StatefulProcessor):
-    """Rows of a key, in order of (day, id) within a batch, against those before them within so many days.
+    """Rows of a key, in order of (day, id), against those before them within so many days.
 
-    State is the rows of the last `days` days by the latest day seen: it is pruned by event time, however many batches there are.
-    A row that comes later than rows of its own day or after is compared with what came before it by day and id, as in a batch job.
+    A row waits in a map by day until the watermark has passed its day; an event-time timer then takes the days in order. So the result does not
+    depend on how rows are cut into Arrow batches or micro-batches, as long as none comes later than the watermark's delay. What has been
+    said is a map by day too: of each day the different word sets, each with its first id, which is all that a later row can be
+    compared with. While days are taken, those that fall out of the window go: one day of rows and one window of word sets are held.
     """
 
     def __init__(self, days: int):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getListState("seen", "day date, id long, words array<string>")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "day int", "ids array<long>, words array<string>, fixed array<double>")
+        self.said = handle.getMapState("said", "day int", "ids array<long>, words array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = [(d, i, set(w)) for d, i, w in self.seen.get()] if self.seen.exists() else []
-        reach = dt.timedelta(self.days)
+        least = None
         for batch in rows:
-            out = []
-            for r in sorted(batch.itertuples(index=False), key=lambda r: (r.day, r.id)):
-                words = set(r.words)
-                before = [s for s in seen if r.day - reach <= s[0] <= r.day and (s[0], s[1]) < (r.day, r.id)]
-                hit = min((s for s in before if _alike(words, s[2]) > 0.6), key=lambda s: s[:2], default=None)
-                if not math.isnan(r.fixed):
-                    score = r.fixed
-                elif hit is not None:
-                    score = math.floor((1 - _alike(words, hit[2])) * 100 + 0.5) / 100
-                else:
-                    score = 0.65 if before else 0.95
-                out.append((int(r.id), bool(math.isnan(r.fixed) and hit is None), float(score)))
-                seen.append((r.day, int(r.id), words))
+            for day, some in batch[batch.id.notna()].groupby("day"):
+                at, day = (int(day),), int(day)
+                ids, words, fixed = self.waiting.getValue(at) or ([], [], [])
+                self.waiting.updateValue(at, ([*ids, *some.id.astype("int64").tolist()], [*words, *some.words.tolist()], [*fixed, *some.fixed.tolist()]))
+                least = day if least is None else min(day, least)
+        if least is not None:
+            self.handle.registerTimer((least + 1) * _DAY_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() // _DAY_MS
+        waiting = sorted(int(k[0]) for k in self.waiting.keys()) if self.waiting.exists() else []
+        due, later = [d for d in waiting if d < passed], [d for d in waiting if d >= passed]
+        if later:
+            self.handle.registerTimer((later[0] + 1) * _DAY_MS)
+        if not due:
+            return
+        window = {}
+        for at, (ids, words) in list(self.said.iterator()) if self.said.exists() else []:
+            window[int(at[0])] = [(int(i), set(w.split())) for i, w in zip(ids, words, strict=True)]
+        kept, out = set(window), []
+        for day in due:
+            ids, words, fixed = self.waiting.getValue((day,))
+            window = {d: s for d, s in sorted(window.items()) if d >= day - self.days}
+            for row in self._day(day, sorted(zip(ids, words, fixed, strict=True), key=lambda r: r[0]), window):
+                out.append(row)
+                if len(out) >= _CHUNK:
+                    yield pd.DataFrame(out, columns=["id", "is_novel", "novelty"])
+                    out = []
+            self.waiting.removeKey((day,))
+        for day in kept - set(window):
+            self.said.removeKey((day,))
+        for day in set(due) & set(window):
+            self.said.updateValue((day,), ([i for i, _ in window[day]], [" ".join(sorted(w)) for _, w in window[day]]))
+        if out:
             yield pd.DataFrame(out, columns=["id", "is_novel", "novelty"])
-        if seen:
-            least = max(s[0] for s in seen) - reach
-            self.seen.put([(d, i, sorted(w)) for d, i, w in seen if d >= least])
+
+    @staticmethod
+    def _day(day: int, rows: list[tuple], window: dict[int, list[tuple[int, set[str]]]]) -> Iterator[tuple[int, bool, float]]:
+        """The day's rows in order of their ids; the window takes the word sets that are new on that day."""
+        for i, text, fixed in rows:
+            words = set(text.split())
+            hit = next((s for said in window.values() for _, s in said if _alike(words, s) > 0.6), None)
+            if not math.isnan(fixed):
+                score = fixed
+            elif hit is not None:
+                score = math.floor((1 - _alike(words, hit)) * 100 + 0.5) / 100
+            else:
+                score = 0.65 if window else 0.95
+            yield int(i), bool(math.isnan(fixed) and hit is None), float(score)
+            today = window.setdefault(day, [])
+            if all(s != words for _, s in today):
+                today.append((int(i), words))
 
     def close(self) -> None:
         pass
 
 
-def novelty(stream: DataFrame, days: int = 30) -> DataFrame:
-    """id, is_novel, novelty of a stream of id, symbol, subject, details, day. Recurring subjects and repeat words have fixed scores."""
+def novelty(stream: DataFrame, days: int = 30, delay: str = "0 days") -> DataFrame:
+    """id, is_novel, novelty of a stream of id, symbol, subject, details, day. Recurring subjects and repeat words have fixed scores.
+
+    A day's rows come out when rows have come that are later by more than the delay; rows that come later than that are dropped. A row without
+    an id has no result but moves the time on: closing_row() makes one that lets a whole feed out. A null day has no order: such rows are left out.
+    """
     repeated = F.concat_ws(" ", "subject", "details").rlike("(?i)" + rules.REPEATED)
     fixed = F.when(F.col("subject").isin(rules.RECURRING_SUBJECTS), 0.1).when(repeated, 0.2)
-    rows = stream.select(F.concat_ws("\u0001", "symbol", "subject").alias("key"), "id", "day", C.words(F.col("details")).alias("words"), fixed.alias("fixed"))
-    return rows.groupBy("key").transformWithStateInPandas(Novelty(days), OUT, "Append", "none")
+    day = F.unix_date(F.col("day"))
+    rows = stream.where("day is not null").select(F.timestamp_seconds(day.cast("long") * 86400).alias("ts"), F.concat_ws("\u0001", "symbol", "subject").alias("key"), "id", day.alias("day"), F.array_join(C.words(F.col("details")), " ").alias("words"), F.coalesce(fixed, F.lit(float("nan"))).alias("fixed"))
+    return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(Novelty(days), OUT, "Append", "EventTime")
+
+
+def closing_row(feed: DataFrame, delay_days: int = 0) -> DataFrame:
+    """One row of feed's columns without an id, so late that every row before it comes out."""
+    last = feed.agg(F.max("day").alias("day"))
+    of = {f.name: f.dataType for f in feed.schema.fields}
+    return last.where("day is not null").select(*(F.date_add("day", delay_days + 2).alias("day") if c == "day" else F.lit(None).cast(k).alias(c) for c, k in of.items()))
