@@ -16,7 +16,7 @@ def all_of(*conditions: Column | None) -> Column:
 
 
 def where_tree(tree: dict) -> Column:
-    """A tree of $and, $or, $eq, $ne, $gt, $gte, $lt, $lte over columns. A missing value fails every test but $ne."""
+    """A filter from a tree of $and, $or, $eq, $ne, $gt, $gte, $lt, $lte over columns. A missing value fails every test but $ne. Plain comparisons, so it reaches the scan."""
     parts = []
     for key, value in tree.items():
         if key in ("$and", "$or"):
@@ -25,9 +25,9 @@ def where_tree(tree: dict) -> Column:
         elif isinstance(value, dict):
             for op, operand in value.items():
                 c, v = F.col(key), F.lit(operand)
-                parts.append(~c.eqNullSafe(v) if op == "$ne" else F.coalesce(_RANGES[op](c, v), F.lit(False)))
+                parts.append(~c.eqNullSafe(v) if op == "$ne" else _RANGES[op](c, v))
         else:
-            parts.append(F.coalesce(F.col(key) == F.lit(value), F.lit(False)))
+            parts.append(F.col(key) == F.lit(value))
     return all_of(*parts)
 
 

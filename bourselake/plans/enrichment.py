@@ -159,9 +159,9 @@ def F49_json_field(t: Tables) -> DataFrame:
     return t.table("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("""SELECT symbol, COUNT(*) AS n, array_to_string(list(concat('[', CAST(score AS STRING), '] ', subject) ORDER BY score DESC, id), '; ') AS line FROM announcements WHERE score >= 13 GROUP BY symbol""")
+@query("""SELECT symbol, COUNT(*) AS n, array_to_string(list(concat('[', CAST(score AS STRING), '] ', subject) ORDER BY score DESC, id), '; ') AS line FROM announcements GROUP BY symbol""")
 def F45_brief_lines(t: Tables) -> DataFrame:
-    rows = t.announcements.where("score >= 13")
+    rows = t.announcements
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", F.concat(F.lit("["), F.col("score").cast("string"), F.lit("] "), F.col("subject")).alias("text"))))
     return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x.text), "; ").alias("line"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import rules
 from ..operators import filters, joins, merge, ranking
+from ..operators.bucketed import BucketTable
+from ..streaming.jobs import shared_folder
 from .registry import Tables, query
 
 _DAY = "CAST('1998-06-01' AS DATE)"
@@ -376,7 +380,10 @@ def K1_insert_ignore(t: Tables) -> DataFrame:
 def K7_upsert(t: Tables) -> DataFrame:
     rows = t.breakouts.select("symbol", "signal_date", "volume")
     batch = rows.where("volume % 2 = 0").select("symbol", "signal_date", F.explode(F.array(F.col("volume"), F.col("volume") + 1)).alias("volume"))
-    return merge.upsert(rows, batch, ["symbol", "signal_date"], [F.col("volume")])
+    table = BucketTable(t.spark, f"{shared_folder(t.spark)}/breakouts-{uuid.uuid4().hex}", ["symbol", "signal_date"], 16)
+    table.upsert(rows, [F.col("volume")])
+    table.upsert(batch, [F.col("volume")])
+    return table.read()
 
 
 @query("""SELECT symbol, day, id FROM (SELECT a.symbol, a.broadcast_date AS day, a.id FROM announcements a WHERE a.id % 10 = 3 UNION ALL

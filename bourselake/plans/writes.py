@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import filings as X
 from ..functions import rules
-from ..operators import merge, ranking
+from ..operators import filters, merge, ranking
+from ..operators.bucketed import BucketTable
 from ..sources import feeds
 from ..streaming.jobs import shared_folder
 from .registry import Tables, query
@@ -78,7 +79,64 @@ def K5_update_or_insert(t: Tables) -> DataFrame:
         "symbol", F.when(F.col("period_no") % 8 == 1, F.concat("period", F.lit("R"))).otherwise(F.col("period")).alias("period"), (F.col("revenue") * 2).alias("revenue"), "period_no",
         url(F.col("period_no") % 40 - F.when(F.col("period_no") % 4 == 1, 1).otherwise(0)).alias("url"),
     )
-    return merge.update_or_insert(old, batch, "url", ["symbol", "period"], F.col("period_no")).select("url", "symbol", "period", "revenue")
+    table = BucketTable(t.spark, _folder(t, "results"), ["symbol", "period"], 16, unique="url")
+    table.upsert(old.withColumn("period_no", F.lit(0).cast(rows.schema["period_no"].dataType)), [F.col("period_no")])
+    table.update_or_insert(batch, F.col("period_no"))
+    return table.read().select("url", "symbol", "period", "revenue")
+
+
+@query("""SELECT symbol, period, MIN(CASE WHEN period_no % 3 = 0 THEN revenue ELSE revenue + 1 END) AS revenue FROM results GROUP BY symbol, period""")
+def K2_insert_results(t: Tables) -> DataFrame:
+    """Insert or ignore by (symbol, period): known statements stay, of new ones that repeat in a batch the first stays."""
+    rows = t.results.select("symbol", "period", "revenue", "period_no")
+    table = BucketTable(t.spark, _folder(t, "statements"), ["symbol", "period"], 16)
+    table.insert_ignore(rows.where("period_no % 3 = 0").drop("period_no"), [F.col("revenue")])
+    table.insert_ignore(rows.select("symbol", "period", F.explode(F.array(F.col("revenue") + 2, F.col("revenue") + 1)).alias("revenue")), [F.col("revenue")])
+    return table.read()
+
+
+@query("""WITH x AS (SELECT symbol, source_url, id % 2 AS turn, id, CASE WHEN id % 2 = 0 THEN -1 ELSE coalesce(value, 0) END AS value FROM order_wins)
+SELECT symbol, source_url, value FROM (SELECT *, row_number() OVER (PARTITION BY symbol, source_url ORDER BY turn DESC, id DESC) AS rn FROM x) WHERE rn = 1""")
+def K6_replace_statements(t: Tables) -> DataFrame:
+    """Insert or replace by (symbol, source_url): the later batch wins, and within a batch its last row."""
+    rows = t.order_wins.select("symbol", "source_url", "id", F.coalesce("value", F.lit(0)).alias("value"))
+    table = BucketTable(t.spark, _folder(t, "statements"), ["symbol", "source_url"], 16)
+    table.upsert(rows.where("id % 2 = 0").withColumn("value", F.lit(-1).cast("long")), [F.col("id")])
+    table.upsert(rows.where("id % 2 = 1"), [F.col("id")])
+    return table.read().select("symbol", "source_url", "value")
+
+
+@query("""SELECT brief_date, CASE WHEN month(brief_date) % 2 = 0 THEN concat('new ', CAST(n AS VARCHAR)) ELSE concat('old ', CAST(n AS VARCHAR)) END AS brief FROM (SELECT broadcast_date AS brief_date, COUNT(*) AS n FROM announcements GROUP BY 1)""")
+def K8_replace_brief(t: Tables) -> DataFrame:
+    """A brief a day: one that is written again takes the old one's place."""
+    days = t.announcements.groupBy(F.col("broadcast_date").alias("brief_date")).agg(F.count("*").cast("string").alias("n"))
+    brief = lambda word: days.select("brief_date", F.concat(F.lit(word), "n").alias("brief"))
+    table = BucketTable(t.spark, _folder(t, "briefs"), ["brief_date"], 16)
+    table.upsert(brief("old "), [F.col("brief")])
+    table.upsert(brief("new ").where("month(brief_date) % 2 = 0"), [F.col("brief")])
+    return table.read()
+
+
+@query("SELECT vec_id, floor(CAST(embedding[1] AS DOUBLE) * 1000 + 0.5) / 1000.0::DOUBLE AS first FROM embeddings WHERE vec_id IN (SELECT item_id * 3 FROM benchmark)")
+def S10_get_by_ids(t: Tables) -> DataFrame:
+    """Vectors by ids, from the buckets of those ids only."""
+    table = _vectors(t)
+    wanted = t.table("benchmark").select((F.col("item_id") * 3).alias("vec_id"))
+    return table.get(wanted).select("vec_id", C.half_up(F.col("embedding")[0].cast("double"), 3).alias("first"))
+
+
+@query("SELECT vec_id, label FROM (SELECT vec_id, 'v' || CAST(vec_id % 5 AS VARCHAR) AS label FROM embeddings) WHERE (label = 'v3' OR vec_id < 40) AND label <> 'v1'")
+def S10_get_where(t: Tables) -> DataFrame:
+    """Vectors by a tree of conditions on their metadata."""
+    tree = {"$and": [{"$or": [{"label": "v3"}, {"vec_id": {"$lt": 40}}]}, {"label": {"$ne": "v1"}}]}
+    return _vectors(t).read().where(filters.where_tree(tree)).select("vec_id", "label")
+
+
+def _vectors(t: Tables) -> BucketTable:
+    rows = t.table("embeddings").select("vec_id", F.concat(F.lit("v"), (F.col("vec_id") % 5).cast("string")).alias("label"), "embedding")
+    table = BucketTable(t.spark, _folder(t, "vectors"), ["vec_id"], 32)
+    table.upsert(rows, [F.col("label")])
+    return table
 
 
 # ---- vectors
@@ -93,7 +151,10 @@ def K10_vector_upsert(t: Tables) -> DataFrame:
     batch = merge.suffixed(rows.select(F.md5(F.concat_ws("|", "symbol", F.col("broadcast_date").cast("string"), "subject")).alias("key"), "id", F.concat(F.lit("new "), "subject").alias("text")), "key", [F.col("id")])
     target = rows.where("score = 3").select(F.concat(F.lit("old"), F.col("id").cast("string")).alias("key"), "id", F.lit("old").alias("text"))
     known = batch.where("id % 7 = 0").withColumn("text", F.lit("stale"))
-    return merge.upsert(target.unionByName(known), batch, ["key"], [F.col("id")])
+    table = BucketTable(t.spark, _folder(t, "vectors"), ["key"], 16)
+    table.upsert(target.unionByName(known), [F.col("id")])
+    table.upsert(batch, [F.col("id")])
+    return table.read()
 
 
 @query("""SELECT COUNT(DISTINCT concat(symbol, '|', CAST(broadcast_date AS VARCHAR), '|', subject)) AS new_rows, COUNT(*) AS vectors FROM announcements""")
@@ -120,19 +181,19 @@ def K14_metadata_patch(t: Tables) -> DataFrame:
 # ---- exports
 
 
-@query("""SELECT CAST(score AS VARCHAR) AS score, CASE WHEN id % 2 = 0 THEN 'order' END AS tags, symbol, company, subject, details, attachment FROM announcements WHERE score >= 12""")
+@query("""SELECT CAST(score AS VARCHAR) AS score, CASE WHEN id % 2 = 0 THEN 'order' END AS tags, symbol, company, subject, details, attachment FROM announcements""")
 def K16_csv_export(t: Tables) -> DataFrame:
     """The report's eight fields as CSV with a header, read back as text; an empty cell reads as null."""
-    rows = t.announcements.where("score >= 12").select("score", F.when(F.col("id") % 2 == 0, "order").alias("tags"), "symbol", "company", "subject", F.date_format("broadcast_ts", "yyyy-MM-dd HH:mm").alias("datetime"), "details", "attachment")
+    rows = t.announcements.select("score", F.when(F.col("id") % 2 == 0, "order").alias("tags"), "symbol", "company", "subject", F.date_format("broadcast_ts", "yyyy-MM-dd HH:mm").alias("datetime"), "details", "attachment")
     path = _folder(t, "export")
     rows.write.option("header", True).option("escape", '"').csv(path)
     return t.spark.read.option("header", True).option("escape", '"').csv(path).drop("datetime")
 
 
-@query("SELECT CAST(id AS VARCHAR) AS id, symbol, CASE WHEN id % 3 = 0 THEN 'old' ELSE 'new' END AS notes FROM announcements WHERE score >= 11 AND (id % 3 = 0 OR id % 7 <> 0)")
+@query("SELECT CAST(id AS VARCHAR) AS id, symbol, CASE WHEN id % 3 = 0 THEN 'old' ELSE 'new' END AS notes FROM announcements WHERE id % 3 = 0 OR id % 7 <> 0")
 def K20_fixture_append(t: Tables) -> DataFrame:
     """New cases go behind the old ones as JSON lines; known ids, and cases whose values are those of a skipped fingerprint, do not."""
-    rows = t.announcements.where("score >= 11").select(F.col("id").cast("string").alias("id"), "symbol", F.when(F.col("id") % 3 == 0, "old").otherwise("new").alias("notes"), (F.col("id") % 7).alias("print"))
+    rows = t.announcements.select(F.col("id").cast("string").alias("id"), "symbol", F.when(F.col("id") % 3 == 0, "old").otherwise("new").alias("notes"), (F.col("id") % 7).alias("print"))
     path = _folder(t, "fixtures")
     rows.where("notes = 'old'").drop("print").write.json(path)
     fresh = rows.withColumn("notes", F.lit("new")).where("print <> 0").drop("print").join(t.spark.read.schema("id string").json(path), "id", "left_anti")
@@ -155,11 +216,12 @@ def J10_statement_lookup(t: Tables) -> DataFrame:
     return t.order_wins.select("id", "symbol", "broadcast_date").join(values, ["symbol", "broadcast_date"], "left").select("id", F.col("x.revenue_now").alias("revenue_now"), F.col("x.revenue_before").alias("revenue_before"), F.col("x.pat_now").alias("pat_now"))
 
 
-@query("SELECT COUNT(*) AS files, 0.0::DOUBLE + COUNT(*) * 1000 / 1000000.0 AS total_mb FROM nation WHERE n_nationkey % 2 = 0")
+@query("SELECT COUNT(DISTINCT page_id % 20) AS files, SUM(strlen(coalesce(html, '')) + 1) / 1000000.0::DOUBLE AS total_mb FROM pages")
 def A18_cache_stats(t: Tables) -> DataFrame:
-    """Files of a cache folder and their size: the listing only, no content is read."""
+    """Files of a cache folder and their size: the listing only, no content is read. The cache holds all pages, in twenty files."""
     path = _folder(t, "cache")
-    t.table("nation").where("n_nationkey % 2 = 0").select(F.rpad(F.lit("x"), 999, "x").alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").text(path)
+    pages = t.table("pages").select(F.coalesce("html", F.lit("")).alias("value"), (F.col("page_id") % 20).alias("k"))
+    pages.repartition("k").write.partitionBy("k").text(path)
     return feeds.cache_stats(t.spark, path)
 
 
