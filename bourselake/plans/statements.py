@@ -10,6 +10,7 @@ from ..functions import filings as X
 from ..functions import rules
 from ..functions import statements as S
 from ..functions.stemming import plain_tokens, stemmed
+from ..operators.full_statements import clean_number, full_statements, page_units
 from .registry import Tables, query
 
 
@@ -197,3 +198,54 @@ def F40_text_quality(t: Tables) -> DataFrame:
     text = F.col("text")
     common = F.size(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x.isin("the", "and", "of", "to", "in"))).cast("bigint")
     return t.table("documents").select("doc_id", F.length(text).cast("bigint").alias("n"), F.length(F.regexp_replace(text, "[^a-zA-Z]", "")).cast("bigint").alias("letters"), common.alias("common"), F.size(F.array_distinct(F.split(text, ""))).cast("bigint").alias("characters"))
+
+
+# ---- whole statements
+
+
+def _statement(head: str, v: F.Column, p: F.Column) -> F.Column:
+    """A page whose cells stand on lines of their own: six items, five of them known, in three columns."""
+    first = _text(head, "\nStatement of results for the quarter ended\n30.06.2026 31.03.2026 30th June, 2025\nParticulars\n1. Revenue from operations\n", v, "\n", p, "\n(12.5)\nOther\nincome\n10\n20\n30\nTotal income\n")
+    return F.concat(first, v, F.lit("\n1,09,483,82\n("), p, F.lit(")\nExpenses\nEmployee benefit expense\n1\n2\n3\nProfit before tax\n5\nProfit after tax\n7\n8\n9\n. . .\nUnaudited\nEarnings per equity share\n1.5"))
+
+
+@query(f"""SELECT id, CASE WHEN k IN (0, 1, 5) THEN 'standalone' ELSE 'unknown' END AS kind, CASE k WHEN 0 THEN 'Lakhs' WHEN 2 THEN 'Mn' ELSE 'Cr' END AS unit, CASE WHEN k = 1 THEN '30.06.2026' ELSE '30.06.2026 31.03.2026 30.06.2025' END AS headers,
+CASE WHEN k = 1 THEN 2 ELSE 5 END AS quality, CASE WHEN k = 1 THEN 5 ELSE 6 END AS n_items, CAST(CASE WHEN k = 1 THEN {_P} ELSE {_V} END AS DOUBLE) AS revenue, CASE WHEN k <> 1 THEN 109483.82::DOUBLE END AS total_before, CASE WHEN k = 1 THEN 4.0::DOUBLE ELSE -CAST({_P} AS DOUBLE) END AS third,
+CASE WHEN k = 1 THEN 'Net profit, Other income, Revenue from operations, Tax, Total income' ELSE 'Earnings per equity share, Expenses Employee benefit expense, Other income, Profit before tax Profit after tax, Revenue from operations, Total income' END AS labels
+FROM (SELECT *, o_orderkey AS id, o_orderkey % 6 AS k FROM orders) WHERE k <> 4""")
+def F36_full_statements(t: Tables) -> DataFrame:
+    """Whole statements of documents with several pages and tables; standalone ones go first, then the better ones, then the earlier ones."""
+    row = lambda *cells: F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cells])
+    v, p = F.col("v"), F.col("p")
+    none = F.lit(None).cast("array<array<array<string>>>")
+    table = F.array(row("Sr", "Particulars", "quarter ended 30.06.2026"), row("1", "Revenue from operations", p), row("", "Other income", "(3,900)", "4"), row("", "Total income", "", "", "4"), row("", "Tax", "Nil", "2"), row("", "Net profit", "5"), row("6", "7", "8"))
+    page = lambda n, text, tables=none: F.struct(F.lit(n).alias("page_no"), text.alias("text"), tables.alias("tables"))
+    full = lambda head: _statement(head, v, p)
+    pages = F.when(F.col("id") % 6 == 0, F.array(page(1, full("Standalone, Rs. in Lakhs")))).when(F.col("id") % 6 == 1, F.array(page(1, full("Consolidated")), page(2, F.lit("Standalone income of the quarter"), F.array(table))))
+    pages = pages.when(F.col("id") % 6 == 2, F.array(page(2, full("Results")), page(1, F.lit("All amounts in million")))).when(F.col("id") % 6 == 3, F.array(page(1, full("Results"), F.array(table, F.slice(table, 1, 3)))))
+    pages = pages.when(F.col("id") % 6 == 4, F.array(page(1, full("Key Parameters")))).otherwise(F.array(page(2, _statement("Standalone", p, v)), page(1, full("Standalone, not consolidated"))))
+    rows = _orders(t).select(F.col("id").alias("doc"), F.inline(pages))
+    found = full_statements(rows)
+    value = lambda label, i: F.get(F.col("items")[label], F.lit(i))
+    labels = F.array_join(F.array_sort(F.map_keys("items")), ", ")
+    return found.select(F.col("doc").alias("id"), "kind", "unit", F.array_join("headers", " ").alias("headers"), "quality", "n_items", value("Revenue from operations", 0).alias("revenue"), value("Total income", 1).alias("total_before"), value("Total income", 2).alias("third"), labels.alias("labels"))
+
+
+@query("""SELECT id, page_no, CASE k WHEN 0 THEN CASE page_no WHEN 1 THEN 0.1::DOUBLE WHEN 2 THEN 0.01::DOUBLE ELSE 0.1::DOUBLE END WHEN 1 THEN CASE page_no WHEN 2 THEN 0.01::DOUBLE ELSE 1.0::DOUBLE END WHEN 2 THEN CASE page_no WHEN 1 THEN 0.01::DOUBLE ELSE 1.0::DOUBLE END ELSE CASE page_no WHEN 3 THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END END AS factor
+FROM (SELECT o_orderkey AS id, o_orderkey % 4 AS k, unnest([1, 2, 3]) AS page_no FROM orders)""")
+def F34_unit_by_document(t: Tables) -> DataFrame:
+    """Three pages a document. What a page declares decides, then how its numbers are grouped, then what the document declares first."""
+    lakhs = " ".join(f"{n},00,000" for n in range(1, 8))
+    texts = F.when(F.col("id") % 4 == 0, F.array(_text("(INR in million) ", "v"), F.lit(lakhs), _text("total ", "v"))).when(F.col("id") % 4 == 1, F.array(_text("no unit ", "p"), F.lit(lakhs), _text("Rs. in crore ", "v")))
+    texts = texts.when(F.col("id") % 4 == 2, F.array(F.lit(lakhs), _text("6 numbers ", F.lit(lakhs[:-9])), _text("nothing ", "v"))).otherwise(F.array(_text("v", " only"), _text("All amounts are in INR lakh ", "v"), _text("in mn. ", F.lit(lakhs))))
+    pages = _orders(t).withColumns({"v": F.col("v"), "p": F.col("p")}).select(F.col("id").alias("doc"), F.posexplode(texts).alias("at", "text")).select("doc", (F.col("at") + 1).alias("page_no"), "text")
+    return page_units(pages).select(F.col("doc").alias("id"), "page_no", "factor")
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN w + c / 100.0::DOUBLE WHEN 1 THEN w * 100.0::DOUBLE + c WHEN 2 THEN -(w + c / 100.0::DOUBLE) WHEN 3 THEN w + c / 100.0::DOUBLE WHEN 4 THEN w * 1000.0::DOUBLE + 5 WHEN 5 THEN NULL ELSE w * 1.0::DOUBLE END AS value
+FROM (SELECT *, CAST(floor(p_retailprice) AS BIGINT) AS w, p_partkey % 90 + 10 AS c FROM part)""")
+def F32_comma_decimals(t: Tables) -> DataFrame:
+    """The second reader of cells: a comma in front of two last digits marks decimals, unless there is a period."""
+    w, c = F.floor("p_retailprice").cast("string"), (F.col("p_partkey") % 90 + 10).cast("string")
+    cell = F.element_at(F.array(_text(w, ",", c), _text(w, ",", c, ".0"), _text(" (", w, ",", c, ") "), _text(w, " ", c), _text(w, " 005"), _text("- ", w, "x"), _text(w, ".")), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return t.table("part").select(F.col("p_partkey").alias("id"), clean_number(cell).alias("value"))
