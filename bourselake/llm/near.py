@@ -7,8 +7,10 @@ verified on the sets themselves. Candidates come in three rounds, each of which
   by a spanning forest, so that large groups of them cost no pairs later.
 * bands, stars: BANDS keys of ROWS min-hashes each; all rows of a key meet its smallest and its largest node.
 * bands, rest: where a key still has several components, its nodes are compared by sketches of BINS minima each, in numpy, in
-  chunks of GROUP nodes against each other; for each two components only their most similar pair is passed on, if its estimate
+  chunks of GROUP nodes against each other; for each two components their most similar pairs are passed on, if their estimate
   is ESTIMATE or more. So no join makes pairs within a group, and what leaves a group is no more than its components need.
+  This is done again until no two components have a pair left that has not been verified: first the best one of each, then
+  MORE times as many whenever all that was passed on has failed before.
 
 At similarity 0.8 SimHash differs in 15 % of bits, about 10 of 64: Golay keys that reach so far would be hundreds for each document,
 with 12 bits a segment. A pair at similarity s meets in a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99997 at 0.8. A
@@ -22,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, flat, forget, longs, slices, with_text_hash, written
@@ -34,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Minima in a sketch, the least estimate of a candidate, and nodes of a key that are compared at once.
 BINS, ESTIMATE, GROUP = 256, 0.7, 1024
+#: How many times more pairs of two components are verified where fewer have not linked them.
+MORE = 16
 _seeds = mix(np.arange(1, BANDS * ROWS + 1).astype(U))
 
 
@@ -98,8 +102,8 @@ def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, t long, fp long, node long, size long, bands array<long>, bins binary")
 
 
-def _closest(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (g, side), all of a group in one partition: for each two components the pair with the best estimate."""
+def _closest(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by (g, side), all of a group in one partition: for each two components the `most` pairs with the best estimates, and whether there are more."""
 
     def fits(i: np.ndarray, j: np.ndarray, c: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (c[i] != c[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
@@ -136,9 +140,12 @@ def _closest(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         i, j = np.where(turn, j, i), np.where(turn, i, j)
         order = np.lexsort((-e, c[j], c[i]))
         i, j, e = i[order], j[order], e[order]
-        first = np.append(True, (c[i][1:] != c[i][:-1]) | (c[j][1:] != c[j][:-1])) if len(i) else np.empty(0, bool)
-        i, j, e = i[first], j[first], e[first]
-        return pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(c[j]), pa.array(node[i]), pa.array(node[j]), pa.array(e)], ["ca", "cb", "a", "b", "e"])
+        first = np.flatnonzero(np.append(True, (c[i][1:] != c[i][:-1]) | (c[j][1:] != c[j][:-1]))) if len(i) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(first, len(i)))
+        best = np.arange(len(i)) - np.repeat(first, sizes) < most
+        more = np.repeat(sizes > most, sizes)[best]
+        i, j, e = i[best], j[best], e[best]
+        return pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(c[j]), pa.array(node[i]), pa.array(node[j]), pa.array(e), pa.array(more)], ["ca", "cb", "a", "b", "e", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -160,8 +167,8 @@ def _closest(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _rest(ends: DataFrame, sketches_of: DataFrame, similarity: float, group: int) -> DataFrame:
-    """Candidates (a, b) among the nodes of keys that still have several components. ends: key, node, c, size."""
+def _rest(ends: DataFrame, sketches_of: DataFrame, similarity: float, group: int, most: int = 1) -> DataFrame:
+    """Candidates (a, b) among the nodes of keys that still have several components: of each two components the best `most`. more: whether there are others. ends: key, node, c, size."""
     open_ = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "n")
     rows = ends.join(open_, "key").join(sketches_of, "node")
     chunks = F.ceil(F.col("n") / group).cast("int")
@@ -170,8 +177,12 @@ def _rest(ends: DataFrame, sketches_of: DataFrame, similarity: float, group: int
     split = rows.select("key", "node", "c", "size", "bins", own.alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
     side = F.when(F.col("i") == F.col("o"), 0).when(F.col("i") < F.col("o"), 1).otherwise(2)
     split = split.select(F.xxhash64("key", F.least("i", "o"), F.greatest("i", "o")).alias("g"), side.alias("side"), "node", "c", "size", "bins")
-    found = split.repartition("g").sortWithinPartitions("g", "side").mapInArrow(_closest(similarity), "ca long, cb long, a long, b long, e double")
-    return found.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("e", "a", "b")).alias("x")).select("x.a", "x.b")
+    found = split.repartition("g").sortWithinPartitions("g", "side").mapInArrow(_closest(similarity, most), "ca long, cb long, a long, b long, e double, more boolean")
+    # two components meet in several groups; no more than `most` pairs come from each
+    one = found.select("ca", "cb", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "e", "more").groupBy("ca", "cb", "a", "b").agg(F.max("e").alias("e"), F.max("more").alias("more"))
+    of = Window.partitionBy("ca", "cb")
+    ranked = one.withColumns({"nth": F.row_number().over(of.orderBy(F.desc("e"), "a", "b")), "more": F.max("more").over(of) | (F.count("*").over(of) > most)})
+    return ranked.where(F.col("nth") <= most).select("a", "b", "more")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -220,8 +231,23 @@ def _components(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     stars = ends.join(lead, "key").where((F.col("c") != F.col("ca")) & fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     found = found.unionByName(_verified(stars.distinct(), texts, owners, shingle, similarity))
 
-    ends = written(placed(found).select("key", "node", "c", "size"), "near-rest")
-    found = found.unionByName(_verified(_rest(ends, nodes.select("node", "bins"), similarity, GROUP), texts, owners, shingle, similarity))
+    tried, most = None, 1
+    while True:
+        ends = written(placed(found).select("key", "node", "c", "size"), "near-rest")
+        passed = written(_rest(ends, nodes.select("node", "bins"), similarity, GROUP, most), "near-passed")
+        fresh = passed if tried is None else written(passed.join(tried, ["a", "b"], "left_anti"), "near-fresh")
+        told = passed.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
+        if not told.n or not (told.more or (fresh is passed or not fresh.isEmpty())):
+            break
+        if fresh is passed or not fresh.isEmpty():
+            fresh = fresh.select("a", "b")
+            links_found = _verified(fresh, texts, owners, shingle, similarity)
+            found, tried = found.unionByName(links_found), fresh if tried is None else tried.unionByName(fresh)
+            if not links_found.isEmpty():
+                continue  # components have grown: the best of each two may be others now
+            if not told.more:
+                break
+        most *= MORE
 
     of = owners.join(connected_components(found), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     named = of.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -85,3 +85,53 @@ def test_odd_rows(odd, empty):
     assert got.columns == odd.columns
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 3, 6, 7, 9, 10]  # 11 holds 21 of its 25 shingles in common with 1
     assert near.keep_one(empty).count() == 0
+
+
+def test_a_link_behind_a_better_estimate_is_found(spark, monkeypatch):
+    """The best estimates of two components fail on the sets, a worse one holds: all pairs are verified in the end, one or a few at a time."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+
+    def changed(words, places):
+        words = list(words)
+        for i, at in enumerate(places):
+            words[at] = f"x{rng.randrange(10**6)}"
+        return words
+
+    rows = [(1, " ".join(base))]
+    # a chain of copies at about 0.85 from one end to the other: only neighbours are links
+    now = base
+    for i in range(2, 9):
+        now = changed(now, [i * 40 + 5 * j for j in range(6)])
+        rows.append((i, " ".join(now)))
+    true = near.estimates
+    turned = lambda a, b: np.where(true(a, b) >= 0.6, 1.7 - true(a, b), 0.0)  # noqa: E731  # the better a pair, the lower
+    monkeypatch.setattr(near, "estimates", turned)
+    for more in (2, 16):
+        monkeypatch.setattr(near, "MORE", more)
+        monkeypatch.setattr(near, "links", lambda prints: prints.selectExpr("node as a", "node as b").limit(0))
+        got = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in got.collect()) == sorted(kept(rows))
+
+
+def test_closest_passes_on_as_many_as_asked(spark):
+    rng = np.random.default_rng(5)
+    bins = rng.integers(1, 255, near.BINS).astype(np.uint8)
+    rows = []
+    for n in range(4):  # two components of two nodes: all four pairs are near
+        b = bins.copy()
+        b[: 3 * n] = 0
+        rows.append((7, 0, n, n % 2, 100, b.tobytes()))
+    df = spark.createDataFrame(rows, "g long, side int, node long, c long, size long, bins binary").coalesce(1)
+    schema = "ca long, cb long, a long, b long, e double, more boolean"
+    for most in (1, 3, 4, 9):
+        got = df.mapInArrow(near._closest(0.8, most), schema).collect()
+        assert len(got) == min(most, 4) and {r.more for r in got} == {most < 4} and [r.e for r in got] == sorted((r.e for r in got), reverse=True)
+
+
+def test_recall_on_a_larger_table(spark):
+    """Against brute force over all pairs of a table of 1 000 documents, copies and near copies among them."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == sorted(kept(rows))
