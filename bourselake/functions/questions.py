@@ -190,3 +190,32 @@ def read(questions: DataFrame, text: str, as_of: str) -> DataFrame:
     """questions with all that is read from them for routing."""
     t, d = F.col(text), F.col(as_of)
     return questions.select("*", intent(t, d).alias("intent"), symbols(t).alias("symbols"), day(t, d).alias("day"), min_score(t).alias("min_score"), order_value(t).alias("order_value"), themes(t).alias("themes"))
+
+
+# Patterns of time phrases, in the order in which they are tried.
+_DAY_PATTERN = r"(?i)\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b|\b(\d{4})-(\d{2})-(\d{2})\b|\b(\d{1,2})(?:st|nd|rd|th)?\s+(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+(\d{4})\b"
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+
+def date_range(text: Column, as_of: Column) -> Column:
+    """first and last day of the time a question names; both null where it names none, or a day that is in no calendar.
+
+    today, yesterday (and words that begin and end like it), this or last week, month and year (with or without a blank), last N days, then a day in
+    one of three spellings. Weeks begin on Monday; running ones end on the day of asking.
+    """
+    has = lambda p: text.rlike(f"(?i){p}")
+    span = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
+    week, month, year = F.trunc(as_of, "week"), F.trunc(as_of, "month"), F.trunc(as_of, "year")
+    last_days = F.regexp_extract(text, r"(?i)\blast\s+(\d+)\s+days?\b", 1).try_cast("int")
+    part = lambda n: F.nullif(F.regexp_extract(text, _DAY_PATTERN, n), F.lit(""))
+    named = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.left(part(8), F.lit(3))))
+    padded = lambda y, m, d: F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+    spelt = F.when(part(7).isNotNull(), padded(part(9), named.cast("string"), part(7))).when(part(4).isNotNull(), padded(part(4), part(5), part(6))).when(part(1).isNotNull(), padded(part(3), part(2), part(1)))
+    day_ = spelt.try_cast("date")
+    return (
+        F.when(has(r"\btoday\b"), span(as_of, as_of)).when(has(r"\by\w{4,10}day\b"), span(F.date_sub(as_of, 1), F.date_sub(as_of, 1)))
+        .when(has(r"\b(?:this|current)\s*week\b"), span(week, as_of)).when(has(r"\blast\s*week\b"), span(F.date_sub(week, 7), F.date_sub(week, 1)))
+        .when(has(r"\b(?:this|current)\s*month\b"), span(month, as_of)).when(has(r"\blast\s*month\b"), span(F.add_months(month, -1), F.date_sub(month, 1)))
+        .when(has(r"\b(?:this|current)\s*year\b"), span(year, as_of)).when(has(r"\blast\s*year\b"), span(F.add_months(year, -12), F.date_sub(year, 1)))
+        .when(last_days.isNotNull(), span(F.date_sub(as_of, last_days), as_of)).otherwise(span(day_, day_))
+    )

@@ -56,3 +56,10 @@ def T5_novelty_stream(t: Tables) -> DataFrame:
     stream = t.spark.readStream.schema(rows.schema).parquet(path)
     with jobs.setting(t.spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
         return jobs.run_to_table(novelty.novelty(stream))
+
+
+@query("""SELECT start, event_type, COUNT(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00'), time_bucket(INTERVAL 6 HOUR, CAST(ts AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00') - INTERVAL 6 HOUR]) AS start FROM events) GROUP BY 1, 2""")
+def T4_sliding(t: Tables) -> DataFrame:
+    """Windows of twelve hours, one each six hours."""
+    found = jobs.run_to_table(jobs.sliding(_events(t), "12 hours", "6 hours", "40 days", "event_type"), mode="complete")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -51,6 +51,12 @@ def tumbling(events: DataFrame, width: str, delay: str, *keys: str) -> DataFrame
     return counted.select(F.col("window.start").cast("date").alias("day"), *keys, "n")
 
 
+def sliding(events: DataFrame, width: str, step: str, delay: str, *keys: str) -> DataFrame:
+    """Counts in windows that overlap: each event is in width / step of them. A row is dropped from the windows that the watermark has passed, from no other."""
+    counted = events.withWatermark("ts", delay).groupBy(F.window("ts", width, step), *keys).agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("start"), *keys, "n")
+
+
 def sessions(events: DataFrame, gap: str, delay: str, key: str) -> DataFrame:
     counted = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n"))
     return counted.select(key, F.col("session_window.start").alias("start"), "n")
@@ -112,4 +118,4 @@ def ingest(stream: DataFrame, target: str, key: list[str], order: list[str], day
         q.stop()
 
 
-__all__ = ["alerts", "deduplicated", "ingest", "read_events", "run_to_table", "sessions", "setting", "shared_folder", "tumbling"]
+__all__ = ["alerts", "deduplicated", "ingest", "read_events", "run_to_table", "sessions", "setting", "shared_folder", "sliding", "tumbling"]
