@@ -261,3 +261,26 @@ def legacy_score(subject: Column, details: Column) -> Column:
         .when(subject == "Bagging/Receiving of orders/contracts", orders).when(subject == "Dividend", dividend)
         .when(subject.isin("Appointment", "Change in Management", "Cessation", "Resignation"), F.when(has(rules.C_SUITE), 5).otherwise(1)).otherwise(base)
     )
+
+
+# ---- narratives
+
+
+def plain_number(x: Column) -> Column:
+    """A number of two digits at most as text: without an exponent, one digit behind the point at least."""
+    return F.regexp_replace(F.regexp_replace(x.cast("decimal(38,2)").cast("string"), "0$", ""), r"\.$", ".0")
+
+
+def narrative(company: Column, symbol: Column, period: Column, revenue: Column, revenue_growth: Column, pat: Column, pat_growth: Column, summary: Column | None = None, margin: Column | None = None, eps: Column | None = None, highlights: Column | None = None, guidance: Column | None = None) -> Column:
+    """A result as a text to be found by: who and when, what was said, the figures that are there (none is 0) with their growth, highlights, guidance."""
+    there = lambda x: x.isNotNull() & (x != 0)
+    nothing = F.lit(None).cast("string")
+    amount = lambda name, x: F.when(there(x), F.concat(F.lit(f"{name} Rs."), plain_number(x), F.lit(" cr")))
+    grown = lambda x: F.when(x.isNotNull(), F.concat(F.lit("("), F.format_string("%+.1f", x), F.lit("% YoY)")))
+    ebitda = nothing if margin is None else F.when(there(margin), F.concat(F.lit("EBITDA margin "), F.format_string("%.1f", margin), F.lit("%")))
+    a_share = nothing if eps is None else F.when(there(eps), F.concat(F.lit("EPS Rs."), plain_number(eps)))
+    figures = F.concat_ws(" ", amount("Revenue", revenue), grown(revenue_growth), F.lit("|"), amount("PAT", pat), grown(pat_growth), F.lit("|"), ebitda, a_share)
+    head = F.concat(company, F.lit(" ("), symbol, F.lit(") "), period, F.lit(":"))
+    marks = nothing if highlights is None else F.array_join(highlights, " | ")
+    said = [F.nullif(x, F.lit("")) for x in (nothing if summary is None else summary, figures, marks, nothing if guidance is None else guidance)]
+    return F.concat_ws(" ", head, *said)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import half_up, words
-from ..operators import ranking, retrieval
+from ..functions.columns import date_int, growth, half_up, narrative, sector_tags, words
+from ..functions.rules import STOP_WORDS
+from ..operators import hybrid_search, ranking, retrieval, routing
 from ..operators.textindex import TextIndex, full_text, index_of
 from ..streaming.jobs import shared_folder
 from .registry import Tables, query
@@ -151,3 +154,134 @@ def A14_ranking_metrics(t: Tables) -> DataFrame:
     retrieved = ranking.with_rank(t.announcements, ["symbol"], [F.desc("score"), F.col("id")]).select(F.col("symbol").alias("case_id"), F.col("id").alias("item"), "rank")
     found = retrieval.ranking_metrics(retrieved, relevant, 5)
     return found.select("case_id", "hit", half_up(F.col("mrr"), 6).alias("mrr"), half_up(F.col("ndcg"), 6).alias("ndcg"))
+
+
+# ---- whole retrieval for questions
+
+_QUESTIONS = ["software firm stake", "railway coaches like these", "top 10 orders with score above 6 on 14/5/1998", "earnings and margin", "strong profit growth related to audited results"]
+_AS_OF = "1998-08-05"
+
+
+def _broker_sql() -> str:
+    """Everything in one statement: hashed vectors, stemmed words (the one question whose words all occur), fusion, enrichment, boosts."""
+    texts = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_QUESTIONS))
+    hashed = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16 AS d, CASE WHEN CAST('0x' || substr(md5(w), 9, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s"
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    ranked = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({stop})))"
+    return f"""WITH qs AS (SELECT * FROM (VALUES {texts}) AS q(qi, txt)), tok AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', symbol, company, subject, details)), '[a-z0-9]+') AS ws FROM announcements),
+e AS (SELECT id, unnest(ws) AS w FROM tok), qe AS (SELECT qi, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS w FROM qs), h AS (SELECT w, {hashed} FROM (SELECT w FROM e UNION SELECT w FROM qe)),
+vec AS (SELECT id, d, SUM(s)::DOUBLE AS x FROM e JOIN h USING (w) GROUP BY 1, 2), nv AS (SELECT id, sqrt(SUM(x * x)) AS n FROM vec GROUP BY 1 HAVING SUM(x * x) > 0), qvec AS (SELECT qi, d, SUM(s)::DOUBLE AS x FROM qe JOIN h USING (w) GROUP BY 1, 2), qn AS (SELECT qi, sqrt(SUM(x * x)) AS n FROM qvec GROUP BY 1),
+dots AS (SELECT qi, id, SUM(v.x * q.x) AS dot FROM vec v JOIN qvec q USING (d) GROUP BY 1, 2), dist AS (SELECT qn.qi, nv.id, floor((1 - coalesce(dot, 0) / (nv.n * qn.n)) * 10000 + 0.5) / 10000 AS distance FROM nv CROSS JOIN qn LEFT JOIN dots ON dots.qi = qn.qi AND dots.id = nv.id WHERE qn.qi IN (0, 1, 4)),
+vr AS (SELECT qi, a.*, rn - 1 AS place FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY distance, id) AS rn FROM dist) x JOIN announcements a ON a.id = x.id WHERE rn <= 80),
+st AS (SELECT COUNT(*)::DOUBLE AS n, AVG(len(ws))::DOUBLE AS mean FROM tok), tf AS (SELECT id, len(ws) AS dl FROM tok WHERE list_contains(ws, 'software') AND list_contains(ws, 'firm') AND list_contains(ws, 'stake')), df AS (SELECT COUNT(*) AS df FROM tf),
+br AS (SELECT 0 AS qi, a.*, row_number() OVER (ORDER BY -(3 * greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001::DOUBLE) * 2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), a.id) - 1 AS place FROM tf JOIN announcements a ON a.id = tf.id, df, st QUALIFY place < 80),
+bf AS (SELECT qi, symbol, broadcast_date, subject, arg_min(id, place) AS id FROM br GROUP BY ALL),
+pt AS (SELECT qi, CAST(id AS VARCHAR) AS key, symbol, company, subject, details, score, broadcast_date AS day, 0.5::DOUBLE / (61 + place) AS part, 'bm25' AS source, place FROM br UNION ALL
+SELECT v.qi, coalesce(CAST(bf.id AS VARCHAR), concat(v.symbol, '|', CAST(v.broadcast_date AS VARCHAR), '|', substr(v.subject, 1, 20))) AS key, v.symbol, v.company, v.subject, '' AS details, v.score, v.broadcast_date AS day, 0.5::DOUBLE / (61 + v.place) AS part, 'vector' AS source, 1000 + v.place AS place FROM vr v LEFT JOIN bf ON bf.qi = v.qi AND bf.symbol = v.symbol AND bf.broadcast_date = v.broadcast_date AND bf.subject = v.subject),
+fu AS (SELECT qi, key AS id, arg_min(symbol, place) AS symbol, arg_min(company, place) AS company, arg_min(subject, place) AS subject, arg_min(details, place) AS details, arg_min(score, place) AS score, arg_min(day, place) AS day, SUM(part) AS base, COUNT(DISTINCT source) AS n_sources, MAX(CASE WHEN source = 'vector' THEN 1 ELSE 0 END) AS vec FROM pt GROUP BY qi, key),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY base DESC, id) AS rn FROM fu) WHERE rn <= 40),
+fin AS (SELECT *, row_number() OVER (ORDER BY broadcast_date DESC, symbol, period) AS rn FROM results),
+c AS (SELECT qi, id, symbol, company, subject, details, score, day, base, n_sources FROM top WHERE qi <> 1 OR vec = 1
+UNION ALL SELECT 2 AS qi, CAST(id AS VARCHAR) AS id, symbol, company, subject, details, score, broadcast_date AS day, score / 13.0::DOUBLE AS base, 1 AS n_sources FROM (SELECT * FROM announcements WHERE broadcast_date = CAST('1998-05-14' AS DATE) AND score >= 6 AND order_value_cr >= 6 ORDER BY score DESC, broadcast_date DESC, id LIMIT 50)
+UNION ALL SELECT q.qi, 'fin_' || symbol || '_' || period AS id, symbol, '' AS company, 'Financial Results ' || period AS subject, '' AS details, 8 AS score, broadcast_date AS day, 0.5::DOUBLE AS base, 1 AS n_sources FROM fin JOIN (VALUES (3, 20), (4, 10)) AS q(qi, most) ON rn <= q.most),
+ov AS (SELECT symbol, broadcast_date, subject, arg_max(order_value_cr, id) AS v FROM announcements GROUP BY 1, 2, 3), g AS (SELECT c.*, coalesce(ov.v, 0) AS v, MAX(coalesce(ov.v, 0)) OVER (PARTITION BY qi) AS most, {ranked("concat_ws(' ', c.subject, c.details, c.symbol, c.company)")} AS ws FROM c LEFT JOIN ov ON ov.symbol = c.symbol AND ov.broadcast_date = c.day AND ov.subject = c.subject),
+b AS (SELECT g.*, base * (1 + 0.35::DOUBLE * (len(list_intersect(ws, qw))::DOUBLE / len(list_distinct(list_concat(ws, qw)))) + 0.25::DOUBLE * least(score / 13.0::DOUBLE, 1.0) + 0.15::DOUBLE * least(1.0, greatest(0.0, 1 - (CAST('{_AS_OF}' AS DATE) - day) / 7.0::DOUBLE)) + CASE WHEN n_sources > 1 THEN 0.10::DOUBLE ELSE 0.0 END
++ CASE WHEN qi = 2 AND v > 0 THEN 0.15::DOUBLE * least(v / CASE WHEN most > 0 THEN most ELSE 1.0 END, 1.0) ELSE 0.0 END) AS ranked FROM g JOIN (SELECT qi, {ranked("txt")} AS qw FROM qs) USING (qi))
+SELECT qi AS question, nth, id, symbol, subject, n_sources, floor(ranked * 1000000 + 0.5) / 1000000 AS ranked FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY ranked DESC, id) AS nth FROM b) WHERE nth <= 10"""
+
+
+@query(_broker_sql())
+def R12_retrieval(t: Tables) -> DataFrame:
+    """Five questions, one of each intent, from the index and the vectors to the ten best after re-ranking."""
+    rows = t.announcements.withColumn("sector_tags", F.array_join(sector_tags(F.col("company"), F.col("subject"), F.col("details")), ","))
+    vectors = hybrid_search.hashed_vectors(rows, "id", F.concat_ws(" ", "symbol", "company", "subject", "details"))
+    out = None
+    for i, question in enumerate(_QUESTIONS):
+        q = routing.ask(t.spark, question, dt.date(1998, 8, 5))
+        found = hybrid_search.retrieve(q, question, _announcement_index(t), rows, vectors, hybrid_search.question_vector(question, rows), t.results, F.lit(_AS_OF).cast("date"))
+        nth = F.row_number().over(Window.orderBy(F.desc("ranked"), "id"))  # of ten rows
+        part = found.select(F.lit(i).alias("question"), nth.alias("nth"), "id", "symbol", "subject", F.size("sources").alias("n_sources"), half_up(F.col("ranked"), 6).alias("ranked"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# ---- typed searches over two collections
+
+_NUMBER = "regexp_replace(regexp_replace(CAST(CAST({x} AS DECIMAL(38, 2)) AS VARCHAR), '0$', ''), '\\.$', '.0')"
+_GROWN = "(SELECT a.symbol, a.period, a.period_no, a.period_type, a.broadcast_date, a.revenue, a.pat, floor((a.revenue - b.revenue) / abs(nullif(b.revenue, 0)) * 100 * 10 + 0.5) / 10 AS rg, floor((a.pat - b.pat) / abs(nullif(b.pat, 0)) * 100 * 10 + 0.5) / 10 AS pg FROM results a LEFT JOIN results b ON b.symbol = a.symbol AND b.period_no = a.period_no - 4)"
+_NARRATIVE = f"""concat_ws(' ', concat('Company ', symbol, ' (', symbol, ') ', period, ':'), concat_ws(' ', CASE WHEN revenue <> 0 THEN concat('Revenue Rs.', {_NUMBER.format(x="revenue")}, ' cr') END, CASE WHEN rg IS NOT NULL THEN concat('(', printf('%+.1f', rg), '% YoY)') END, '|',
+CASE WHEN pat <> 0 THEN concat('PAT Rs.', {_NUMBER.format(x="pat")}, ' cr') END, CASE WHEN pg IS NOT NULL THEN concat('(', printf('%+.1f', pg), '% YoY)') END, '|'))"""
+
+
+def _grown(t: Tables) -> DataFrame:
+    """Results with their growth over the same period a year before."""
+    old = t.results.select("symbol", (F.col("period_no") + 4).alias("period_no"), F.col("revenue").alias("_r"), F.col("pat").alias("_p"))
+    rows = t.results.join(old, ["symbol", "period_no"], "left")
+    return rows.withColumns({"rg": growth(F.col("revenue"), F.col("_r")), "pg": growth(F.col("pat"), F.col("_p"))}).drop("_r", "_p")
+
+
+def _narrated(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", narrative(F.concat(F.lit("Company "), "symbol"), F.col("symbol"), F.col("period"), F.col("revenue"), F.col("rg"), F.col("pat"), F.col("pg")))
+
+
+@query(f"SELECT symbol, period, {_NARRATIVE} AS doc FROM {_GROWN}")
+def F14_financial_narrative(t: Tables) -> DataFrame:
+    return _narrated(_grown(t)).select("symbol", "period", F.col("text").alias("doc"))
+
+
+@query("SELECT a.symbol, a.period, floor((a.revenue - b.revenue) / abs(nullif(b.revenue, 0)) * 100 * 10 + 0.5) / 10 AS revenue_growth, floor((a.pat - b.pat) / abs(nullif(b.pat, 0)) * 100 * 10 + 0.5) / 10 AS pat_growth FROM results a LEFT JOIN results b ON b.symbol = a.symbol AND b.period_no = a.period_no - 4")
+def F29_growth(t: Tables) -> DataFrame:
+    return _grown(t).select("symbol", "period", F.col("rg").alias("revenue_growth"), F.col("pg").alias("pat_growth"))
+
+
+_SEARCHES = {
+    "order_wins": ("fin", "large building order", {"$and": [{"period_type": {"$eq": "order_win"}}, {"order_value_cr": {"$gte": 200.0}}, {"sector": {"$eq": "BUILDING"}}, {"date_int": {"$gte": 19950101}}, {"date_int": {"$lte": 19980630}}]}, 15),
+    "financials": ("fin", "revenue and PAT of company 7", {"$and": [{"period_type": {"$eq": "quarterly"}}, {"revenue_cr": {"$gte": 1000.0}}, {"revenue_growth_pct": {"$gte": 0.1}}]}, 15),
+    "announcements": ("ann", "acquisition of a software firm", {"$and": [{"subject": {"$eq": "Acquisition"}}, {"date_int": {"$gte": 19960101}}]}, 15),
+    "all": ("ann", "railway growth", {}, 10), "all, financial": ("fin", "railway growth", {}, 10),
+}
+
+
+def _typed_sql() -> str:
+    fin = f"""fin AS (SELECT 'r|' || symbol || '|' || period AS id, {_NARRATIVE} AS txt, period_type, revenue AS revenue_cr, rg AS revenue_growth_pct, NULL::DOUBLE AS order_value_cr, NULL AS sector, CAST(strftime(broadcast_date, '%Y%m%d') AS INT) AS date_int, NULL AS subject FROM {_GROWN}
+UNION ALL SELECT 'o|' || CAST(id AS VARCHAR) AS id, concat_ws(' ', company, 'order win', order_sector, 'large') AS txt, 'order_win' AS period_type, NULL AS revenue_cr, NULL AS revenue_growth_pct, value / 1000.0::DOUBLE AS order_value_cr, order_sector AS sector, CAST(strftime(broadcast_date, '%Y%m%d') AS INT) AS date_int, NULL AS subject FROM order_wins)"""
+    ann = "ann AS (SELECT CAST(id AS VARCHAR) AS id, concat(company, ' (', symbol, '): ', subject, '. ', details) AS txt, CAST(strftime(broadcast_date, '%Y%m%d') AS INT) AS date_int, subject FROM announcements)"
+    mixed = "list_concat(list_transform(regexp_extract_all(txt, '[A-Za-z0-9&]+'), lambda x: lower(x)), list_filter(regexp_extract_all(txt, '[A-Za-z0-9&]+'), lambda x: lower(x) <> x))"
+    hashed = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16 AS d, CASE WHEN CAST('0x' || substr(md5(w), 9, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS s"
+    conditions = {
+        "order_wins": "period_type = 'order_win' AND order_value_cr >= 200 AND sector = 'BUILDING' AND date_int BETWEEN 19950101 AND 19980630", "financials": "period_type = 'quarterly' AND revenue_cr >= 1000 AND revenue_growth_pct >= 0.1",
+        "announcements": "subject = 'Acquisition' AND date_int >= 19960101", "all": "TRUE", "all, financial": "TRUE",
+    }
+    questions = ", ".join(f"('{kind}', '{c}', '{q}', {n})" for kind, (c, q, _, n) in _SEARCHES.items())
+    passed = " UNION ALL ".join(f"SELECT '{kind}' AS kind, id FROM {c} WHERE {conditions[kind]}" for kind, (c, *_) in _SEARCHES.items())
+    return f"""WITH {fin}, {ann}, al AS (SELECT 'fin' AS c, id, txt FROM fin UNION ALL SELECT 'ann' AS c, id, txt FROM ann), qs AS (SELECT * FROM (VALUES {questions}) AS q(kind, c, txt, n)), ok AS ({passed}),
+mt AS (SELECT c, id, {mixed} AS ws FROM al), ml AS (SELECT c, id, len(ws) AS dl FROM mt), ms AS (SELECT c, COUNT(*)::DOUBLE AS n, AVG(dl)::DOUBLE AS mean FROM ml WHERE dl > 0 GROUP BY c), mtf AS (SELECT c, id, w, COUNT(*) AS tf FROM (SELECT c, id, unnest(ws) AS w FROM mt) GROUP BY ALL), mdf AS (SELECT c, w, COUNT(*) AS df FROM mtf GROUP BY c, w),
+mi AS (SELECT c, AVG(ln((n - df + 0.5) / (df + 0.5))) AS mean_idf FROM mdf JOIN ms USING (c) GROUP BY c), mq AS (SELECT DISTINCT kind, c, w FROM (SELECT kind, c, unnest({mixed}) AS w FROM qs)),
+wq AS (SELECT kind, c, w, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) < 0 THEN 0.25::DOUBLE * mean_idf ELSE ln((n - df + 0.5) / (df + 0.5)) END AS worth FROM mq JOIN mdf USING (c, w) JOIN ms USING (c) JOIN mi USING (c)),
+sc AS (SELECT kind, id, SUM(worth * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS s FROM wq JOIN mtf USING (c, w) JOIN ml USING (c, id) JOIN ms USING (c) JOIN ok USING (kind, id) GROUP BY kind, id),
+lr AS (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY floor(s * 1000000 + 0.5) DESC, id) AS rn FROM sc WHERE floor(s * 1000000 + 0.5) > 0),
+e AS (SELECT c, id, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS w FROM al), qe AS (SELECT kind, c, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS w FROM qs), h AS (SELECT w, {hashed} FROM (SELECT w FROM e UNION SELECT w FROM qe)),
+vec AS (SELECT c, id, d, SUM(s)::DOUBLE AS x FROM e JOIN h USING (w) GROUP BY ALL), nv AS (SELECT c, id, sqrt(SUM(x * x)) AS n FROM vec GROUP BY ALL HAVING SUM(x * x) > 0), qvec AS (SELECT kind, c, d, SUM(s)::DOUBLE AS x FROM qe JOIN h USING (w) GROUP BY ALL), qn AS (SELECT kind, c, sqrt(SUM(x * x)) AS n FROM qvec GROUP BY ALL),
+dots AS (SELECT kind, id, SUM(v.x * q.x) AS dot FROM vec v JOIN qvec q USING (c, d) GROUP BY ALL), dist AS (SELECT ok.kind, ok.id, floor((1 - coalesce(dot, 0) / (nv.n * qn.n)) * 10000 + 0.5) / 10000 AS distance FROM ok JOIN qn USING (kind) JOIN nv ON nv.c = qn.c AND nv.id = ok.id LEFT JOIN dots ON dots.kind = ok.kind AND dots.id = ok.id),
+vr AS (SELECT kind, id, distance, row_number() OVER (PARTITION BY kind ORDER BY distance, id) AS rn FROM dist),
+fu AS (SELECT kind, id, coalesce(1.0::DOUBLE / (60 + l.rn), 0) + coalesce(1.0::DOUBLE / (60 + v.rn), 0) AS score, coalesce(distance, 1.0::DOUBLE) AS distance, q.n FROM (SELECT lr.* FROM lr JOIN qs USING (kind) WHERE rn <= 3 * qs.n) l FULL JOIN (SELECT vr.* FROM vr JOIN qs USING (kind) WHERE rn <= 3 * qs.n) v USING (kind, id) JOIN qs q USING (kind))
+SELECT kind, id, floor(score * 1000000 + 0.5) / 1000000 AS score, distance FROM fu QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) <= n"""
+
+
+@query(_typed_sql())
+def R7_typed_retrieval(t: Tables) -> DataFrame:
+    """Typed searches of the two collections, each by words and vectors behind its conditions; the search of both is their two lists."""
+    number = lambda c: date_int(F.col(c).cast("string"))
+    results = _narrated(_grown(t)).select(F.concat_ws("|", F.lit("r"), "symbol", "period").alias("id"), "text", "period_type", F.col("revenue").alias("revenue_cr"), F.col("rg").alias("revenue_growth_pct"), F.lit(None).cast("double").alias("order_value_cr"), F.lit(None).cast("string").alias("sector"), number("broadcast_date").alias("date_int"))
+    wins = t.order_wins.select(F.concat(F.lit("o|"), F.col("id").cast("string")).alias("id"), F.concat_ws(" ", "company", F.lit("order win"), "order_sector", F.lit("large")).alias("text"), F.lit("order_win").alias("period_type"), F.lit(None).cast("double").alias("revenue_cr"), F.lit(None).cast("double").alias("revenue_growth_pct"), (F.col("value") / 1000.0).alias("order_value_cr"), F.col("order_sector").alias("sector"), number("broadcast_date").alias("date_int"))
+    ann = t.announcements.select(F.col("id").cast("string").alias("id"), F.concat(F.col("company"), F.lit(" ("), F.col("symbol"), F.lit("): "), F.col("subject"), F.lit(". "), F.col("details")).alias("text"), number("broadcast_date").alias("date_int"), "subject")
+    out, kept = None, {}
+    for kind, (collection, question, tree, n) in _SEARCHES.items():
+        if collection not in kept:
+            rows = {"fin": results.unionByName(wins), "ann": ann}[collection]
+            kept[collection] = rows, index_of(t.spark, shared_folder(t.spark), f"collection-{collection}", "mixed", rows, "id", F.col("text")), hybrid_search.hashed_vectors(rows, "id", F.col("text"))
+        rows, index, vectors = kept[collection]
+        found = hybrid_search.typed_search(index, rows, vectors, index.question_terms(question), hybrid_search.question_vector(question, rows), tree, n)
+        part = found.select(F.lit(kind).alias("kind"), "id", half_up(F.col("score"), 6).alias("score"), "distance")
+        out = part if out is None else out.unionByName(part)
+    return out
