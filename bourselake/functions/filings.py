@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,34 +71,49 @@ def without_order_book(text: Column) -> Column:
 def _amounts(found: Column) -> Column:
     """The least positive value of matches that end in an amount."""
     amount = "(?i)" + AMOUNT + "$"
-    value = F.transform(found, lambda m: to_crore(number(F.regexp_extract(m, amount, 1)), F.regexp_extract(m, amount, 2)))
+    value = F.transform(found, lambda m: let(F.regexp_extract(m, amount, 2), lambda unit: to_crore(number(F.regexp_extract(m, amount, 1)), unit)))
     return F.array_min(F.filter(value, lambda v: v > 0))
 
 
-def order_value(text: Column) -> Column:
-    """In crore: the least positive amount of the first pattern that gives one. Texts without an amount are left at once."""
-    tiers = lambda clean: F.coalesce(*[_amounts(F.regexp_extract_all(clean, F.lit("(?i)" + p), F.lit(0))) for p in ORDER_VALUES])
-    return F.when(text.rlike("(?i)" + AMOUNT), let(without_order_book(text), tiers))
+def order_value(clean: Column) -> Column:
+    """In crore, from a text without sentences on the order book: the least positive amount of the first pattern that gives one."""
+    low = F.lower(clean)
+    about = low.contains("order") | low.contains("contract") | low.contains("loa") | low.contains("letter") | low.contains("project") | low.contains("work")
+    tiers = [_amounts(F.regexp_extract_all(clean, F.lit("(?i)" + p), F.lit(0))) for p in ORDER_VALUES]
+    return F.coalesce(*[F.when(about, t) for t in tiers[:-1]], tiers[-1])
 
 
 def duration_months(text: Column) -> Column:
     """Whole months of a stated duration; weeks / 4.3; days are not read."""
-    n = F.nullif(F.regexp_extract(text, "(?i)" + DURATION, 1), F.lit("")).try_cast("int")
-    unit = F.lower(F.regexp_extract(text, "(?i)" + DURATION, 2))
-    return F.when(unit == "week", F.floor(n / 4.3 + 0.5).cast("int")).when(unit == "year", n * 12).when(unit == "month", n)
 
+    def read(found: Column) -> Column:
+        n = F.nullif(F.regexp_extract(found, r"(\d+)\s*[A-Za-z]+$", 1), F.lit("")).try_cast("int")
+        low = F.lower(found)
+        return F.when(low.endswith("week"), F.floor(n / 4.3 + 0.5).cast("int")).when(low.endswith("year"), n * 12).when(low.endswith("month"), n)
 
-def order_win(text: Column) -> Column:
-    """struct of value_cr, client_type, sector, months; null where there is no value."""
-    client = F.when(text.rlike("(?i)" + GOVERNMENT_CLIENT), "Government / PSU").otherwise("Private sector")
-    sector = F.coalesce(F.nullif(F.array_join(labels_by_pattern(text, ORDER_SECTORS), ", "), F.lit("")), F.lit("general"))
-    made = lambda value: F.when(value.isNotNull(), F.struct(value.alias("value_cr"), client.alias("client_type"), sector.alias("sector"), duration_months(text).alias("months")))
-    return let(order_value(text), made)
+    return let(F.regexp_extract(text, "(?i)" + DURATION, 0), read)
 
 
-def labels_by_pattern(text: Column, table: list[tuple[str, str]]) -> Column:
-    """All labels whose pattern is found, sorted: each pattern is one expression with word borders around it."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(text.rlike("(?i)" + p), F.lit(label)) for label, p in table])))
+def order_wins(rows: DataFrame, text: str) -> DataFrame:
+    """rows whose text has an order's value, with value_cr, client_type, sector, months.
+
+    Each step is a generator over one value, which keeps the optimiser from working a step out again wherever the next one names it.
+    """
+    once = lambda df, value, name: df.select("*", F.explode(F.array_compact(F.array(value))).alias(name))
+    some = once(rows, F.when(F.col(text).rlike("(?i)" + AMOUNT), without_order_book(F.col(text))), "_clean")
+    found = once(some, order_value(F.col("_clean")), "value_cr").drop("_clean")
+    found = found.withColumn("_low", F.lower(text))
+    client = F.when(_word_of(F.col(text), F.col("_low"), GOVERNMENT_CLIENT), "Government / PSU").otherwise("Private sector")
+    labels = F.array_sort(F.array_compact(F.array(*[F.when(_word_of(F.col(text), F.col("_low"), p), F.lit(label)) for label, p in ORDER_SECTORS])))
+    sector = F.coalesce(F.nullif(F.array_join(labels, ", "), F.lit("")), F.lit("general"))
+    return found.withColumns({"client_type": client, "sector": sector, "months": duration_months(F.col(text))}).drop("_low")
+
+
+def _word_of(text: Column, low: Column, pattern: str) -> Column:
+    """text.rlike(pattern), for a pattern of words between borders: the expression is tried only where the lower-case text holds the beginning of one of the words."""
+    heads = {re.match(r"[A-Za-z0-9]+", word)[0].lower() for word in pattern.removeprefix(r"\b(").removesuffix(r")\b").split("|")}
+    heads = sorted(h for h in heads if not any(o != h and o in h for o in heads))
+    return reduce(lambda a, b: a | b, [low.contains(h) for h in heads]) & text.rlike("(?i)" + pattern)
 
 
 def first_number(text: Column) -> Column:

@@ -39,7 +39,7 @@ ELSE CASE WHEN {_has(rules.HIGH_VALUE)} THEN 7 ELSE 3 END END"""
 
 @query(f"""SELECT id, CAST({_SCORE_SQL} AS INT) AS catalyst FROM (SELECT id, subject, details, {_num(rules.MONEY[0][0])} AS a, TRY_CAST(nullif(regexp_extract(details, '{rules.DIVIDEND}', 1, 'i'), '') AS DOUBLE) AS d FROM announcements)""")
 def F1_catalyst_score(t: Tables) -> DataFrame:
-    return t.announcements.select("id", C.catalyst_score(F.col("subject"), F.col("details")).cast("int").alias("catalyst"))
+    return t.wide("announcements").select("id", C.catalyst_score(F.col("subject"), F.col("details")).cast("int").alias("catalyst"))
 
 
 _TAGS = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(txt, '{p}', 'i') THEN '{n}' END" for n, p in rules.SECTORS) + "], lambda x: x IS NOT NULL)), ',')"
@@ -47,12 +47,12 @@ _TAGS = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp
 
 @query(f"SELECT id, {_TAGS} AS tags FROM (SELECT id, concat(company, ' ', subject, ' ', details) AS txt FROM announcements)")
 def F3_multi_label_tags(t: Tables) -> DataFrame:
-    return t.announcements.select("id", F.array_join(C.sector_tags(F.col("company"), F.col("subject"), F.col("details")), ",").alias("tags"))
+    return t.wide("announcements").select("id", F.array_join(C.sector_tags(F.col("company"), F.col("subject"), F.col("details")), ",").alias("tags"))
 
 
 @query(f"SELECT id, {_MONEY_SQL} AS value_cr FROM announcements")
 def F4_money_parse(t: Tables) -> DataFrame:
-    return t.announcements.select("id", C.crore(F.col("details")).alias("value_cr"))
+    return t.wide("announcements").select("id", C.crore(F.col("details")).alias("value_cr"))
 
 
 @query(f"SELECT {_SIZE_SQL} AS size, COUNT(*) AS n FROM (SELECT {_MONEY_SQL} AS v FROM announcements) GROUP BY 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filings as X
 from ..operators import routing
+from ..sources.scratch import spread
 from .registry import Tables, query
 
 _TEXT = """concat('Order book crosses Rs. 25,750 crore. The company has received an order worth Rs. ', CAST(CAST(floor(o_totalprice / 100) AS BIGINT) AS STRING), CASE o_orderkey % 3 WHEN 0 THEN ' crore' WHEN 1 THEN ' lakh' ELSE ' million' END,
@@ -18,9 +19,8 @@ _TEXT = """concat('Order book crosses Rs. 25,750 crore. The company has received
 @query(f"""SELECT o_orderkey AS id, floor(floor(o_totalprice / 100) / CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 100 ELSE 10 END * 100 + 0.5) / 100 AS value_cr, CASE WHEN o_orderkey % 2 = 0 THEN 'Government / PSU' ELSE 'Private sector' END AS client_type,
 CASE WHEN o_orderkey % 2 = 0 THEN 'roads' ELSE 'power' END AS sector, CAST(1 + o_orderkey % 30 AS INT) AS months FROM orders WHERE length({_TEXT}) > 0""")
 def F25_order_win(t: Tables) -> DataFrame:
-    texts = t.spark.sql(f"SELECT o_orderkey AS id, {_TEXT} AS txt FROM {{orders}}", orders=t.table("orders"))
-    # a generator, not a filter on the struct: a filter would be pushed below and work everything out twice
-    return texts.select("id", F.inline(F.array_compact(F.array(X.order_win(F.col("txt"))))))
+    texts = t.spark.sql(f"SELECT o_orderkey AS id, {_TEXT} AS txt FROM {{orders}}", orders=spread(t.table("orders")))
+    return X.order_wins(texts, "txt").drop("txt")
 
 
 @query("""SELECT o_orderkey AS id, concat('C', CAST(o_custkey AS STRING)) AS client, CAST(o_totalprice AS STRING) IS NOT NULL AS has_value FROM orders""")

@@ -21,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
 
+    def wide(self, name: str) -> DataFrame:
+        """A view for much work a row: over all cores, however few files it has."""
+        return view(self.spark, self.sf_dir, name, wide=True)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 

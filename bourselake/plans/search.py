@@ -11,6 +11,7 @@ from ..functions.columns import date_int, growth, half_up, narrative, sector_tag
 from ..functions.rules import STOP_WORDS
 from ..operators import hybrid_search, ranking, retrieval, routing
 from ..operators.textindex import TextIndex, full_text, index_of
+from ..sources.scratch import spread
 from ..streaming.jobs import shared_folder
 from .registry import Tables, query
 
@@ -52,8 +53,9 @@ def _query_vector(t: Tables, vec_id: int = 0) -> list[float]:
 @query("""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents), e AS (SELECT doc_id, unnest(ws) AS w FROM tok), st AS (SELECT COUNT(*) AS n, floor(AVG(len(ws)) * 1000000 + 0.5) / 1000000 AS mean FROM tok WHERE len(ws) > 0)
 SELECT w AS token, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS tf, MIN(st.n) AS n_docs, MIN(st.mean) AS mean_length FROM e, st GROUP BY w""")
 def A16_corpus_stats(t: Tables) -> DataFrame:
-    listed = t.table("documents").select(retrieval.tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
-    index = retrieval.postings(t.table("documents"), "doc_id", "text")
+    docs = spread(t.table("documents"))
+    listed = docs.select(retrieval.tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    index = retrieval.postings(docs, "doc_id", "text")
     corpus = listed.agg(F.count("*").alias("n_docs"), half_up(F.avg(F.size("ws")), 6).alias("mean_length"))
     return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).crossJoin(F.broadcast(corpus))
 

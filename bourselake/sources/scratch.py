@@ -1,4 +1,4 @@
-"""Tables on their way: written once to the shared folder and read back, so that what uses them twice reads files and lost executors cost little."""
+"""Tables on their way: spread over the cores, or written once to the shared folder and read back, so that what uses them twice reads files and lost executors cost little."""
 
 from __future__ import annotations
 
@@ -22,3 +22,9 @@ class Scratch:
     def drop(self) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scanned table over as many partitions as there are cores, where its files give fewer: for much work a row. A table with more splits stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
