@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, together, written
+from .common import Scratch, apart, together, written
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 40, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """(node, component) for each node of the edges (a long, b long): component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each step keeps at most the edges it was given, hangs them on the
     smallest neighbour, and is written to the shared folder, so the lineage stays short. Loops and null ends
     are ignored; an empty edge list gives no rows. No edge reaches the driver, only a count and a sum of hashes.
+    keep writes the last step's edges, which the result reads; those of all steps before are deleted.
     """
+    with Scratch(edges.sparkSession, "edges") as steps:
+        return _stars(edges, rounds, steps.written, keep)
+
+
+def _stars(edges: DataFrame, rounds: int, written: Callable[[DataFrame, str], DataFrame], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     now = written(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _signature(now)
     for _ in range(rounds):
@@ -26,6 +34,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
+    now = keep(now, "components")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

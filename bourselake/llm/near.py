@@ -9,8 +9,8 @@ verified on the sets themselves. Candidates come in three rounds, each of which
 * bands, rest: where a key still has several components, its nodes are compared by sketches of BINS minima each, in numpy, in
   chunks of GROUP nodes against each other; for each two components their most similar pairs are passed on, if their estimate
   is ESTIMATE or more. So no join makes pairs within a group, and what leaves a group is no more than its components need.
-  This is done again until no two components have a pair left that has not been verified: first the best one of each, then
-  MORE times as many whenever all that was passed on has failed before.
+  Where two components have more pairs than FIRST, this is done again with MORE times as many, until none is left that has not
+  been verified.
 
 At similarity 0.8 SimHash differs in 15 % of bits, about 10 of 64: Golay keys that reach so far would be hundreds for each document,
 with 12 bits a segment. A pair at similarity s meets in a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99997 at 0.8. A
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, flat, forget, longs, slices, with_text_hash, written
+from .common import Scratch, col, flat, forget, longs, slices, with_text_hash, written
 from .graph import connected_components, keep_least
 from .simhash import _bit_counts, links
 from .words import _WORD, LOWER, U, _runs, find_words, mix, word_hashes
@@ -36,8 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Minima in a sketch, the least estimate of a candidate, and nodes of a key that are compared at once.
 BINS, ESTIMATE, GROUP = 256, 0.7, 1024
-#: How many times more pairs of two components are verified where fewer have not linked them.
-MORE = 16
+#: Pairs of two components that are verified at first, and how many times more where those have not been all.
+FIRST, MORE = 4, 64
 _seeds = mix(np.arange(1, BANDS * ROWS + 1).astype(U))
 
 
@@ -185,8 +185,13 @@ def _rest(ends: DataFrame, sketches_of: DataFrame, similarity: float, group: int
     return ranked.where(F.col("nth") <= most).select("a", "b", "more")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b: nodes) that are as similar as asked, by their sets. owners: node and a row (id, t) that has its set."""
+def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: int, similarity: float, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The pairs (a, b: nodes) that are as similar as asked, by their sets; keep writes them. owners: node and a row (id, t) that has its set."""
+    with Scratch(pairs.sparkSession, "near-sets") as scratch:
+        return keep(_by_sets(pairs, texts, owners, shingle, similarity, scratch.written), "links")
+
+
+def _by_sets(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: int, similarity: float, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -202,54 +207,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: in
     sets = written(rows.mapInArrow(run, "node long, h array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("sum"))
-    return written(common.where(F.col("n") >= F.lit(similarity) * (F.col("sum") - F.col("n")) - 1e-9).select("a", "b").distinct(), "near-links")
+    return common.where(F.col("n") >= F.lit(similarity) * (F.col("sum") - F.col("n")) - 1e-9).select("a", "b").distinct()
 
 
 def _components(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """id, t, component (a node of it) and component_id of every row with a doc_id. Nodes are sets, named by a hash of the whole."""
-    texts = with_text_hash(docs).where("id is not null")
-    prints = written(_sketched(texts, shingle), "near-prints")
+    with Scratch(docs.sparkSession, "near") as scratch:
+        return written(_grouped(with_text_hash(docs).where("id is not null"), shingle, similarity, scratch.written), "near-components")
+
+
+def _grouped(texts: DataFrame, shingle: int, similarity: float, written: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    prints = written(_sketched(texts, shingle), "prints")
     least = F.min(F.struct("id", "t")).alias("x")
-    nodes = written(prints.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bins").alias("bins")), "near-nodes")
+    nodes = written(prints.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("bins").alias("bins")), "nodes")
     owners = nodes.select("node", "x.id", "x.t")
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, texts, owners, shingle, similarity, written)
+
     prints_of = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     same = nodes.join(prints_of, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     close = links(prints_of.select("fp", F.col("rep").alias("node"))).where("a <> b").unionByName(same)
-    found = _verified(close.distinct(), texts, owners, shingle, similarity)
+    found = verified(close.distinct())
 
     keyed = nodes.where("size > 0").select("node", "size", F.explode("bands").alias("key"))
     many = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    keyed = written(keyed.join(many, "key"), "near-bands")
+    keyed = written(keyed.join(many, "key"), "bands")
 
     def placed(edges: DataFrame) -> DataFrame:
-        return keyed.join(connected_components(edges), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        return keyed.join(connected_components(edges, keep=written), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
     ends = placed(found).select("key", "node", "c", "size", "low", "high")
     lead = ends.where("node = low or node = high").select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("size").alias("sa"))
     fits = F.least("sa", "size") >= F.lit(similarity) * F.greatest("sa", "size") - 1e-9
     stars = ends.join(lead, "key").where((F.col("c") != F.col("ca")) & fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    found = found.unionByName(_verified(stars.distinct(), texts, owners, shingle, similarity))
+    found = found.unionByName(verified(stars.distinct()))
 
-    tried, most = None, 1
+    most, tried = FIRST, None
     while True:
-        ends = written(placed(found).select("key", "node", "c", "size"), "near-rest")
-        passed = written(_rest(ends, nodes.select("node", "bins"), similarity, GROUP, most), "near-passed")
-        fresh = passed if tried is None else written(passed.join(tried, ["a", "b"], "left_anti"), "near-fresh")
-        told = passed.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
-        if not told.n or not (told.more or (fresh is passed or not fresh.isEmpty())):
+        ends = written(placed(found).select("key", "node", "c", "size"), "rest")
+        passed = written(_rest(ends, nodes.select("node", "bins"), similarity, GROUP, most), "passed")
+        fresh = (passed if tried is None else passed.join(tried, ["a", "b"], "left_anti")).select("a", "b")
+        found = found.unionByName(verified(fresh))
+        if passed.where("more").isEmpty():  # every pair of two components has been verified
             break
-        if fresh is passed or not fresh.isEmpty():
-            fresh = fresh.select("a", "b")
-            links_found = _verified(fresh, texts, owners, shingle, similarity)
-            found, tried = found.unionByName(links_found), fresh if tried is None else tried.unionByName(fresh)
-            if not links_found.isEmpty():
-                continue  # components have grown: the best of each two may be others now
-            if not told.more:
-                break
-        most *= MORE
-
-    of = owners.join(connected_components(found), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+        tried, most = passed.select("a", "b"), most * MORE
+
+    of = owners.join(connected_components(found, keep=written), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     named = of.groupBy("component").agg(F.min("id").alias("component_id"))
     return prints.select("id", "t", "node").join(of.select("node", "component").join(named, "component"), "node").drop("node")
 

@@ -107,7 +107,8 @@ def test_a_link_behind_a_better_estimate_is_found(spark, monkeypatch):
     true = near.estimates
     turned = lambda a, b: np.where(true(a, b) >= 0.6, 1.7 - true(a, b), 0.0)  # noqa: E731  # the better a pair, the lower
     monkeypatch.setattr(near, "estimates", turned)
-    for more in (2, 16):
+    for first, more in ((1, 2), (1, 16), (4, 64)):
+        monkeypatch.setattr(near, "FIRST", first)
         monkeypatch.setattr(near, "MORE", more)
         monkeypatch.setattr(near, "links", lambda prints: prints.selectExpr("node as a", "node as b").limit(0))
         got = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
