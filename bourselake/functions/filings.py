@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
@@ -125,23 +125,8 @@ def first_number(text: Column) -> Column:
     return F.when(first.startswith("("), -plain).otherwise(plain)
 
 
-def statement_lines(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """key, field, value: each field's first line, in a text's order, that begins with one of its labels and holds a number there or on the next line."""
-    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    w = Window.partitionBy(key).orderBy("at")
-    low = F.regexp_replace(F.lower(F.trim("line")), r"^(?:\(?[ivx0-9a-e]{1,4}[.)]\s*)+", "")
-    lines = lines.select(key, "at", low.alias("low"), F.lead("line").over(w).alias("next"))
-    label = lambda names: F.coalesce(*[F.when(F.col("low").startswith(n), F.lit(n)) for n in sorted(names, key=len, reverse=True)])
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), label(names).alias("label")) for f, names in STATEMENT_ROWS.items()])
-    hits = lines.select(key, "at", "low", "next", F.explode(F.filter(fields, lambda x: x.label.isNotNull())).alias("x"))
-    after = F.expr("substring(low, length(x.label) + 1)")
-    bare = F.trim("next").rlike(r"^\(?-?[\d,]+(?:\.\d+)?\)?$")
-    value = F.coalesce(first_number(after), F.when(bare, first_number(F.col("next"))))
-    return hits.select(key, F.col("x.field").alias("field"), "at", value.alias("value")).where("value is not null").groupBy(key, "field").agg(F.min_by("value", "at").alias("value"))
-
-
 def results(lines: DataFrame, key: str, factor: Column) -> DataFrame:
-    """key, revenue_cr, pat_cr, ebitda_cr, ebitda_margin, eps, confidence from statement_lines; texts without revenue and profit, or beyond belief, give no row."""
+    """key, revenue_cr, pat_cr, ebitda_cr, ebitda_margin, eps, confidence from lines of key, field, value (statements.line_values); texts without revenue and profit, or beyond belief, give no row."""
     wide = lines.groupBy(key).pivot("field", list(STATEMENT_ROWS)).agg(F.first("value"))
     some = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit(0.0)) for n in names])
     crore = lambda x: F.nullif(half_up(x * factor, 2), F.lit(0.0))
@@ -246,3 +231,27 @@ def statement_values(items: Column) -> Column:
 
     revenue, profit = of(REVENUE_LINES), of(PROFIT_LINES)
     return F.struct(F.get(revenue, 0).alias("revenue_now"), F.get(revenue, 2).alias("revenue_before"), F.get(profit, 0).alias("pat_now"), F.get(profit, 2).alias("pat_before"))
+
+
+TEMPLATE_CLIENT = r"(?i)^['\"]?order\s*\(s\)\s*/\s*contract\s*\(s\)\s*['\"]?\s*[;,]?\s*"
+
+
+def client_name(cell: Column) -> Column:
+    """A client's cell as a name: blanks joined, 80 characters, without the form's own words, a leading acronym out of its parentheses; 'not disclosed' for none."""
+    joined = F.left(F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " ")), F.lit(80))
+    bare = F.trim(F.regexp_replace(joined, TEMPLATE_CLIENT, ""))
+    named = F.trim(F.regexp_replace(bare, r"^\(['\"]?(\w+)['\"]?\)\s+", "$1 "))
+    return let(named, lambda x: F.when(x == "", "not disclosed").otherwise(x))
+
+
+def duration_cell(cell: Column) -> Column:
+    """A time period's cell, blanks joined; beyond 80 characters the first 77 and dots."""
+    joined = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), r"\s+", " "))
+    return let(joined, lambda x: F.when(F.coalesce(cell, F.lit("")) == "", "not disclosed").when(F.length(x) <= 80, x).otherwise(F.concat(F.left(x, F.lit(77)), F.lit("..."))))
+
+
+def is_annexure(table: Column) -> Column:
+    """Four rows or more, the first four with particulars of an entity, order or contract."""
+    cells = F.flatten(F.transform(F.slice(table, 1, 4), lambda r: F.coalesce(r, F.array().cast("array<string>"))))
+    said = F.lower(F.array_join(F.filter(cells, lambda c: F.coalesce(c, F.lit("")) != ""), " "))
+    return (F.size(table) >= 4) & said.contains("particular") & (said.contains("entity") | said.contains("order") | said.contains("contract"))

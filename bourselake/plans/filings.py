@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filings as X
+from ..functions import statements as S
 from ..operators import routing
 from ..sources.scratch import spread
 from .registry import Tables, query
@@ -35,7 +36,23 @@ def F37_statement_results(t: Tables) -> DataFrame:
     number = lambda c: F.floor(c).cast("bigint").cast("string")
     text = F.concat(F.lit("Particulars\n1. Revenue from operations\n"), number(F.col("o_totalprice")), F.lit("\n(Loss)\nNet profit for the period ("), number(F.col("o_totalprice") / 10), F.lit(") 5"))
     pages = t.table("orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
-    return X.results(X.statement_lines(pages, "id", "text"), "id", F.lit(0.01)).select("id", "revenue_cr", "pat_cr")
+    return X.results(S.line_values(pages, "id", "text"), "id", F.lit(0.01)).select("id", "revenue_cr", "pat_cr")
+
+
+@query("""SELECT id, CASE k WHEN 0 THEN r WHEN 1 THEN r WHEN 3 THEN r END AS revenue_cr, CASE k WHEN 0 THEN p WHEN 1 THEN -p WHEN 3 THEN NULL END AS pat_cr, CASE k WHEN 0 THEN floor((p + 2.5 + 4) * 100 + 0.5) / 100 END AS ebitda_cr, CASE k WHEN 0 THEN CASE WHEN (floor((p + 2.5 + 4) * 100 + 0.5) / 100) / r <= 1 THEN floor((floor((p + 2.5 + 4) * 100 + 0.5) / 100) / r * 100 * 10 + 0.5) / 10 END END AS ebitda_margin,
+CASE k WHEN 1 THEN 4.25::DOUBLE END AS eps, CASE k WHEN 0 THEN 'high' WHEN 1 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT o_orderkey AS id, o_orderkey % 4 AS k, CAST(floor(o_totalprice) AS DOUBLE) + 200 AS r, floor(floor(o_totalprice) / 10) + 150.0::DOUBLE AS p FROM orders) WHERE k <> 2""")
+def F37_results_varied(t: Tables) -> DataFrame:
+    """Results from statements with operating profit made up of its parts, losses and earnings a share; amounts beyond belief give no row."""
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    r = (F.floor("o_totalprice").cast("bigint") + 200).cast("string")
+    p = (F.floor(F.floor("o_totalprice") / 10).cast("bigint") + 150).cast("string")
+    pages = F.element_at(F.array(
+        text("Revenue from operations ", r, "\nFinance costs 2.5\nDepreciation and amortisation expense\n4.0\nProfit before tax ", p, "\nProfit after tax ", p),
+        text("Net sales\n", r, "\nNet profit for the year (", p, ")\nBasic earnings per share 4.25"),
+        text("Revenue from operations 9,00,00,00,000\nNet profit ", p), text("Total income ", r, "\nTax 5.5"),
+    ), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    rows = t.table("orders").select(F.col("o_orderkey").alias("id"), pages.alias("text"))
+    return X.results(S.line_values(rows, "id", "text"), "id", F.lit(1.0)).select("id", "revenue_cr", "pat_cr", "ebitda_cr", "ebitda_margin", "eps", "confidence")
 
 
 @query("SELECT id, score, broadcast_date FROM announcements WHERE broadcast_date = CAST('1998-05-14' AS DATE) AND score >= 6 AND order_value_cr >= 150.0 ORDER BY score DESC, broadcast_date DESC, id LIMIT 20")

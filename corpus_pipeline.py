@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourselake.llm import decontaminate, langid, near, pieces, substrings
-from bourselake.llm.common import shared_folder, small_batches, table
+from bourselake.llm.common import Scratch, shared_folder, small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 #: No SQL: hashes, codes and the vocabulary's lattice are beyond it. Tested against brute force.
@@ -69,10 +69,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows: doc_id, ids, n_tokens, n_best_scores, decoded."""
+    """The last stage's rows: doc_id, ids, n_tokens, n_best_scores, decoded. What the stages before have written is deleted in the end."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    with Scratch(spark, "pipeline") as stages:
+        for _, stage in STAGES[:-1]:
+            docs = stages.written(stage(spark, docs, sf_dir), "stage")
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+        STAGES[-1][1](spark, docs, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
