@@ -70,7 +70,10 @@ def test_guardrails(spark):
 
 def test_order_win(spark):
     text = "Order Book crosses Rs.25,750 Crore. The company won an order worth Rs. 960 crore from NHAI for a highway, to be executed in 18 months."
-    assert [tuple(x) if x else None for x in values(spark, [text, "no value"], X.order_win)] == [(960.0, "Government / PSU", "roads", 18), None]
+    more = ["Contract of Rs 5 lakh", "LOA over 2 weeks amounting to INR 3 billion. Then Rs. 1 crore", "Rs. 7 cr for a coal india refinery", "Order book of Rs. 5 crore", None]
+    rows = spark.createDataFrame(list(enumerate([text, "no value", *more])), "i int, x string")
+    got = {r.i: (r.value_cr, r.client_type, r.sector, r.months) for r in X.order_wins(rows, "x").collect()}
+    assert got == {0: (960.0, "Government / PSU", "roads", 18), 2: (0.05, "Private sector", "general", None), 3: (300.0, "Private sector", "general", 0), 4: (7.0, "Government / PSU", "oil_gas", None)}
 
 
 def test_annexure_and_highlights(spark):
