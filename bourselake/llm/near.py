@@ -7,10 +7,10 @@ verified on the sets themselves. Candidates come in three rounds, each of which
   by a spanning forest, so that large groups of them cost no pairs later.
 * bands, stars: BANDS keys of ROWS min-hashes each; all rows of a key meet its smallest and its largest node.
 * bands, rest: where a key still has several components, its nodes are compared by sketches of BINS minima each, in numpy, in
-  chunks of GROUP nodes against each other; for each two components their most similar pairs are passed on, if their estimate
-  is ESTIMATE or more. So no join makes pairs within a group, and what leaves a group is no more than its components need.
-  Where two components have more pairs than FIRST, this is done again with MORE times as many, until none is left that has not
-  been verified.
+  chunks of GROUP nodes against each other. Of the pairs whose estimate is ESTIMATE or more a task passes on a spanning forest of the
+  components it has met, the most similar pairs first: no more pairs than components, however large a group is. What is verified joins components,
+  and the round is done again, with MORE times as many forests each time (the next one out of the pairs that are left), until no two
+  components have a pair that has not been verified.
 
 At similarity 0.8 SimHash differs in 15 % of bits, about 10 of 64: Golay keys that reach so far would be hundreds for each document,
 with 12 bits a segment. A pair at similarity s meets in a band with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99997 at 0.8. A
@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, col, flat, forget, longs, slices, with_text_hash, written
@@ -36,8 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Minima in a sketch, the least estimate of a candidate, and nodes of a key that are compared at once.
 BINS, ESTIMATE, GROUP = 256, 0.7, 1024
-#: Pairs of two components that are verified at first, and how many times more where those have not been all.
-FIRST, MORE = 4, 64
+#: Forests that a task passes on at first, and how many times more in each round after.
+FIRST, MORE = 1, 32
 _seeds = mix(np.arange(1, BANDS * ROWS + 1).astype(U))
 
 
@@ -102,13 +102,65 @@ def _sketched(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, t long, fp long, node long, size long, bands array<long>, bins binary")
 
 
+class Forests:
+    """Spanning forests over components, of pairs that come in portions: of each portion the first pairs that join what no pair of a forest has joined."""
+
+    def __init__(self, most: int):
+        self.parents: list[dict[int, int]] = [{} for _ in range(most)]
+
+    @staticmethod
+    def _root(parent: dict[int, int], x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def take(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Which of the pairs (components a and b, in order of preference) are in one of the forests, and whether others are left."""
+        taken, left = np.zeros(len(a), bool), np.arange(len(a))
+        for parent in self.parents:
+            if not len(left):
+                break
+            names, place = np.unique(np.concatenate([a[left], b[left]]), return_inverse=True)
+            roots, label = np.unique([self._root(parent, c) for c in names.tolist()], return_inverse=True)
+            x, y = label[place[: len(left)]], label[place[len(left) :]]
+            chosen = _spanning(x, y, len(roots))
+            for p, q in zip(a[left[chosen]].tolist(), b[left[chosen]].tolist(), strict=True):
+                p, q = self._root(parent, p), self._root(parent, q)
+                parent[max(p, q)] = min(p, q)
+            taken[left[chosen]] = True
+            left = left[~chosen]
+        return taken, len(left) > 0
+
+
+def _spanning(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The edges (x, y) of n nodes, in order of preference, that span what all of them connect: each tree takes its first edge outwards, until none has one."""
+    label, live, chosen = np.arange(n), np.arange(len(x)), np.zeros(len(x), bool)
+    while True:
+        p, q = label[x[live]], label[y[live]]
+        apart = p != q
+        live, p, q = live[apart], p[apart], q[apart]
+        if not len(live):
+            return chosen
+        first = np.full(n, len(x))
+        np.minimum.at(first, p, live)
+        np.minimum.at(first, q, live)
+        pick = np.unique(first[first < len(x)])
+        chosen[pick] = True
+        up = {}
+        for a, b in zip(label[x[pick]].tolist(), label[y[pick]].tolist(), strict=True):
+            a, b = Forests._root(up, a), Forests._root(up, b)
+            up[max(a, b)] = min(a, b)
+        label = np.array([Forests._root(up, c) for c in range(n)])[label]
+
+
 def _closest(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (g, side), all of a group in one partition: for each two components the `most` pairs with the best estimates, and whether there are more."""
+    """Rows sorted by (g, side), all of a group in one partition: the pairs of `most` forests of their components, and in every portion's first row whether more pairs are left."""
 
     def fits(i: np.ndarray, j: np.ndarray, c: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (c[i] != c[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
 
-    def within(g: np.ndarray, side: np.ndarray, node: np.ndarray, c: np.ndarray, size: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
+    def within(forests: Forests, g: np.ndarray, side: np.ndarray, node: np.ndarray, c: np.ndarray, size: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
         begins = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         sizes = np.diff(np.append(begins, len(g)))
         pairs = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -136,19 +188,17 @@ def _closest(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]
                     ok = fits(i, j, c, size)
                     take(i[ok], j[ok])
         i, j, e = (np.concatenate(v) for v in zip(*pairs, strict=True))
-        turn = c[i] > c[j]
-        i, j = np.where(turn, j, i), np.where(turn, i, j)
-        order = np.lexsort((-e, c[j], c[i]))
-        i, j, e = i[order], j[order], e[order]
-        first = np.flatnonzero(np.append(True, (c[i][1:] != c[i][:-1]) | (c[j][1:] != c[j][:-1]))) if len(i) else np.empty(0, np.int64)
-        sizes = np.diff(np.append(first, len(i)))
-        best = np.arange(len(i)) - np.repeat(first, sizes) < most
-        more = np.repeat(sizes > most, sizes)[best]
-        i, j, e = i[best], j[best], e[best]
-        return pa.RecordBatch.from_arrays([pa.array(c[i]), pa.array(c[j]), pa.array(node[i]), pa.array(node[j]), pa.array(e), pa.array(more)], ["ca", "cb", "a", "b", "e", "more"])
+        order = np.argsort(-e, kind="stable")
+        i, j = i[order], j[order]
+        taken, more = forests.take(c[i], c[j])
+        a, b = node[i[taken]], node[j[taken]]
+        # a row without nodes tells of pairs that are left
+        rows = [pa.array(np.append(v, 0), mask=np.append(np.zeros(len(v), bool), True)) for v in (np.minimum(a, b), np.maximum(a, b))]
+        return pa.RecordBatch.from_arrays([*rows, pa.array(np.append(np.zeros(len(a), bool), more))], ["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        forests = Forests(most)
         rest: tuple[np.ndarray, ...] | None = None
         for x in batches:
             if not x.num_rows:
@@ -160,15 +210,15 @@ def _closest(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]
             last = int(np.searchsorted(now[0], now[0][-1]))
             rest = tuple(v[last:] for v in now)
             if last:
-                yield within(*(v[:last] for v in now))
+                yield within(forests, *(v[:last] for v in now))
         if rest is not None:
-            yield within(*rest)
+            yield within(forests, *rest)
 
     return run
 
 
 def _rest(ends: DataFrame, sketches_of: DataFrame, similarity: float, group: int, most: int = 1) -> DataFrame:
-    """Candidates (a, b) among the nodes of keys that still have several components: of each two components the best `most`. more: whether there are others. ends: key, node, c, size."""
+    """Candidates (a, b) among the nodes of keys that still have several components: `most` spanning forests of each task. more: whether there are others. ends: key, node, c, size."""
     open_ = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "n")
     rows = ends.join(open_, "key").join(sketches_of, "node")
     chunks = F.ceil(F.col("n") / group).cast("int")
@@ -177,12 +227,8 @@ def _rest(ends: DataFrame, sketches_of: DataFrame, similarity: float, group: int
     split = rows.select("key", "node", "c", "size", "bins", own.alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
     side = F.when(F.col("i") == F.col("o"), 0).when(F.col("i") < F.col("o"), 1).otherwise(2)
     split = split.select(F.xxhash64("key", F.least("i", "o"), F.greatest("i", "o")).alias("g"), side.alias("side"), "node", "c", "size", "bins")
-    found = split.repartition("g").sortWithinPartitions("g", "side").mapInArrow(_closest(similarity, most), "ca long, cb long, a long, b long, e double, more boolean")
-    # two components meet in several groups; no more than `most` pairs come from each
-    one = found.select("ca", "cb", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "e", "more").groupBy("ca", "cb", "a", "b").agg(F.max("e").alias("e"), F.max("more").alias("more"))
-    of = Window.partitionBy("ca", "cb")
-    ranked = one.withColumns({"nth": F.row_number().over(of.orderBy(F.desc("e"), "a", "b")), "more": F.max("more").over(of) | (F.count("*").over(of) > most)})
-    return ranked.where(F.col("nth") <= most).select("a", "b", "more")
+    found = split.repartition("g").sortWithinPartitions("g", "side").mapInArrow(_closest(similarity, most), "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, owners: DataFrame, shingle: int, similarity: float, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -247,11 +293,12 @@ def _grouped(texts: DataFrame, shingle: int, similarity: float, written: Callabl
     while True:
         ends = written(placed(found).select("key", "node", "c", "size"), "rest")
         passed = written(_rest(ends, nodes.select("node", "bins"), similarity, GROUP, most), "passed")
-        fresh = (passed if tried is None else passed.join(tried, ["a", "b"], "left_anti")).select("a", "b")
+        pairs = passed.where("a is not null").select("a", "b")
+        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         found = found.unionByName(verified(fresh))
         if passed.where("more").isEmpty():  # every pair of two components has been verified
             break
-        tried, most = passed.select("a", "b"), most * MORE
+        tried, most = pairs, most * MORE
 
     of = owners.join(connected_components(found, keep=written), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     named = of.groupBy("component").agg(F.min("id").alias("component_id"))

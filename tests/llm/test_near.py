@@ -115,19 +115,50 @@ def test_a_link_behind_a_better_estimate_is_found(spark, monkeypatch):
         assert sorted(r.doc_id for r in got.collect()) == sorted(kept(rows))
 
 
-def test_closest_passes_on_as_many_as_asked(spark):
+def test_forests_span_what_pairs_connect():
+    """In any portions: each forest joins what all pairs join, has no circle, takes the first pairs; all pairs come in the end."""
+    rng = random.Random(5)
+    for most in (1, 2, 30):
+        forests, before, parents = near.Forests(most), [], [dict(enumerate(range(20))) for _ in range(most)]
+        for _ in range(6):
+            pairs = [(rng.randrange(20), rng.randrange(20)) for _ in range(rng.randrange(0, 25))]
+            pairs = [(a * 7, b * 7) for a, b in pairs if a != b]
+            taken, more = forests.take(*(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)))
+            want = []
+            left = list(range(len(pairs)))
+            for parent in parents:  # Kruskal's way, one forest after the other
+
+                def root(x, parent=parent):
+                    while parent[x] != x:
+                        x = parent[x]
+                    return x
+
+                rest = []
+                for k in left:
+                    a, b = root(pairs[k][0] // 7), root(pairs[k][1] // 7)
+                    if a == b:
+                        rest.append(k)
+                    else:
+                        parent[max(a, b)] = min(a, b)
+                        want.append(k)
+                left = rest
+            assert np.flatnonzero(taken).tolist() == sorted(want) and more == bool(left)
+            before += pairs
+
+
+def test_a_group_passes_on_no_more_pairs_than_components(spark):
     rng = np.random.default_rng(5)
-    bins = rng.integers(1, 255, near.BINS).astype(np.uint8)
+    base = rng.integers(1, 255, near.BINS).astype(np.uint8)
     rows = []
-    for n in range(4):  # two components of two nodes: all four pairs are near
-        b = bins.copy()
-        b[: 3 * n] = 0
-        rows.append((7, 0, n, n % 2, 100, b.tobytes()))
+    for n in range(300):  # one key, all alike, each a component of its own
+        b = base.copy()
+        b[rng.integers(0, near.BINS, 10)] = 7
+        rows.append((7, 0, n, n, 100, b.tobytes()))
     df = spark.createDataFrame(rows, "g long, side int, node long, c long, size long, bins binary").coalesce(1)
-    schema = "ca long, cb long, a long, b long, e double, more boolean"
-    for most in (1, 3, 4, 9):
-        got = df.mapInArrow(near._closest(0.8, most), schema).collect()
-        assert len(got) == min(most, 4) and {r.more for r in got} == {most < 4} and [r.e for r in got] == sorted((r.e for r in got), reverse=True)
+    for most in (1, 3):
+        got = df.mapInArrow(near._closest(0.8, most), "a long, b long, more boolean").collect()
+        pairs = [r for r in got if r.a is not None]
+        assert len(pairs) == len({(r.a, r.b) for r in pairs}) == 299 * most and any(r.more for r in got)
 
 
 def test_recall_on_a_larger_table(spark):

@@ -18,7 +18,7 @@ import tiktoken
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from bourselake.llm import byte_bpe, resample, variants  # noqa: E402
+from bourselake.llm import byte_bpe, decontaminate, resample, variants  # noqa: E402
 from bourselake.llm.words import span_crcs  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -243,3 +243,38 @@ def test_mask_bands():
         for v in (w[:i] + w[i + 1 :], w[:i] + c + w[i + 1 :], w[:i] + c + w[i:]):
             x = mask(w) ^ mask(v)
             assert x.bit_count() <= 2 and any(not x >> 21 * k & 0x1FFFFF for k in range(3))
+
+
+# ---- 10 benchmark decontamination, by blocks
+
+
+@pytest.mark.parametrize("window", [1, 4, 5, 10])
+@pytest.mark.parametrize("part_bytes", [60, 1 << 20])
+def test_blocks_find_every_window(spark, window, part_bytes):
+    """Few different words, so that blocks repeat, overlap and run over the ends of items and texts; items longer than a part."""
+    rng = random.Random(window)
+    say = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, say(rng.choice([0, 1, 3, window - 1, window, window + 1, 40]), "abc")) for i in range(12)] + [(50, "a " * 45), (51, None)]
+    texts = [(i, say(rng.randrange(0, 60), "abcd")) for i in range(40)] + [(40, "A a-A " * 30), (41, None)]
+    texts += [(60 + i, f"x {items[i][1]} y {items[(i + 3) % 12][1]}") for i in range(12)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.hits(docs, bench, window, part_bytes).collect()}
+    for d, text in texts:
+        words, hit, ids = brute.contamination(text, items, window)
+        spans = [m.span() for m in brute.ALNUM.finditer(brute.low(text))]
+        assert (got[d].n_words, got[d]["items"]) == (len(words), ids)
+        assert got[d].hit_from == [a for (a, _), h in zip(spans, hit, strict=True) if h], (d, text)
+
+
+def test_automaton_stays_small():
+    """As many nodes as the benchmark has characters at the most; a text in which an item runs on is followed once."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))).encode() for _ in range(30_000)]
+    items = [(str(i), b" ".join(rng.choice(words) for _ in range(2000))) for i in range(80)]
+    of = decontaminate.Machine(items, 10)
+    stats = of.automaton.get_stats()
+    size = sum(len(t) for _, t in items)
+    assert stats["nodes_count"] <= 1.3 * size and stats["total_size"] <= 80 * size
+    raw = np.frombuffer(b"start " + items[3][1] + b" end", np.uint8)
+    ((n, _, _, hit, found),) = decontaminate.scan(raw, np.array([0, len(raw)]), of)
+    assert n == 2002 and hit.sum() == 2000 and not hit[0] and not hit[-1] and found == {"3"}
