@@ -5,8 +5,10 @@ A segment is three tables. `docs` has each document's key, length and terms; `te
 0 being the best, so the weak postings of a frequent word stand in row groups of their own.
 
 Adding documents writes a segment; adding a key again, or deleting it, writes a tombstone for the segments that hold it, and what it takes from
-the document frequencies. Segments of one size class are merged when there are FAN_IN of them, without what is dead. Each change ends in one new
-version (sources.versions), which also has N, the total length and the mean idf of the whole vocabulary: a search counts nothing.
+the document frequencies. Segments of one size class are merged when there are FAN_IN of them, without what is dead. So a change reads the keys
+that are there and writes what is new; each document is written again as often as sizes have classes. Each change ends in one new
+version (sources.versions), which also has N and the total length: a search counts nothing. The mean idf of the vocabulary is worked out by the first search
+that needs it and kept with the version.
 
 A search reads the heads of its terms' blocks (no postings), scores the best classes for a threshold, and reads only classes that can still
 reach it. What it returns equals a scan of all live documents.
@@ -71,7 +73,7 @@ class TextIndex:
         """Writes the three tables; forward: key, length, terms."""
         name = self.versions.folder("segments")
         at = f"{self.path}/{name}"
-        forward.write.parquet(f"{at}/docs")
+        forward.sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{at}/docs")
         docs = self.spark.read.parquet(f"{at}/docs")
         size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
         if not size.n:
@@ -89,12 +91,12 @@ class TextIndex:
         blocks.repartitionByRange("term", "class", "block").sortWithinPartitions("term", "class", "block").write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/postings")
         return {"name": name, "docs": size.n, "length": size.length, "gone": []}
 
-    def _docs(self, segments: list[dict], all_rows: bool = False) -> DataFrame | None:
+    def _docs(self, segments: list[dict]) -> DataFrame | None:
         """segment, key, length, terms of the live documents of some segments."""
         out = None
         for s in segments:
             rows = self.spark.read.parquet(f"{self.path}/{s['name']}/docs").withColumn("segment", F.lit(s["name"]))
-            if s["gone"] and not all_rows:
+            if s["gone"]:
                 rows = rows.join(self._gone([s]).select("key"), "key", "left_anti")
             rows = rows.select("segment", "key", "length", "terms")
             out = rows if out is None else out.unionByName(rows)
@@ -115,16 +117,17 @@ class TextIndex:
         live = self._docs(segments)
         if live is None:
             return []
-        dead = live.join(keys, "key", "left_semi")
         name = self.versions.folder("gone")
         at = f"{self.path}/{name}"
-        dead.select("segment", "key", "length", "terms").write.parquet(f"{at}/docs")
-        dead = self.spark.read.parquet(f"{at}/docs")
-        sums = {r.segment: (r.n, r.length) for r in dead.groupBy("segment").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()}  # a row a segment
-        if not sums:
+        # the keys alone first: most batches are new documents, and no term is read for them
+        live.select("segment", "key").join(keys, "key", "left_semi").select("segment", "key").write.parquet(f"{at}/keys")
+        dead = self.spark.read.parquet(f"{at}/keys")
+        if dead.isEmpty():
             self.versions.drop([name])
             return segments
-        dead.select("segment", "key").write.parquet(f"{at}/keys")
+        self._docs(segments).join(dead, ["segment", "key"], "left_semi").select("segment", "key", "length", "terms").write.parquet(f"{at}/docs")
+        dead = self.spark.read.parquet(f"{at}/docs")
+        sums = {r.segment: (r.n, r.length) for r in dead.groupBy("segment").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()}  # a row a segment
         dead.select("segment", F.explode("terms").alias("t")).groupBy("segment", "t.term").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
         self.versions.drop([f"{name}/docs"])
         out = []
@@ -147,8 +150,15 @@ class TextIndex:
 
     def _commit(self, state: dict, segments: list[dict]) -> None:
         n, length = sum(s["docs"] for s in segments), sum(s["length"] for s in segments)
-        mean_idf = self._dfs(segments, None).agg(F.avg(IDF["okapi"](F.lit(n), F.col("df")))).first()[0] if n else 0.0
-        self.versions.commit({**state, "tokeniser": self.tokeniser, "segments": segments, "docs": n, "length": length, "mean_idf": mean_idf})
+        self.versions.commit({"version": state["version"], "tokeniser": self.tokeniser, "segments": segments, "docs": n, "length": length})
+
+    def _mean_idf(self, state: dict) -> float:
+        """The mean Okapi idf over the vocabulary of a state, kept in a version of its own when it is first asked for."""
+        if "mean_idf" not in state:
+            state["mean_idf"] = self._dfs(state["segments"], None).agg(F.avg(IDF["okapi"](F.lit(state["docs"]), F.col("df")))).first()[0]
+            with contextlib.suppress(Conflict):  # a newer version has come meanwhile
+                self.versions.commit(state)
+        return state["mean_idf"]
 
     def vacuum(self) -> None:
         """Deletes what only former versions have: for when nobody reads those any more."""
@@ -199,8 +209,9 @@ class TextIndex:
             return self._nothing()
         mean = state["length"] / state["docs"]
         worth = dict(zip(dfs, self.spark.range(1).select(*[IDF[idf](F.lit(state["docs"]), F.lit(df)) for df in dfs.values()]).first(), strict=True))
-        if epsilon is not None:
-            worth = {t: w if w >= 0 else epsilon * state["mean_idf"] for t, w in worth.items()}
+        if epsilon is not None and min(worth.values()) < 0:
+            mean_idf = self._mean_idf(state)
+            worth = {t: w if w >= 0 else epsilon * mean_idf for t, w in worth.items()}
         terms = sorted(dfs)
 
         def part(tf: Column, length: Column) -> Column:
