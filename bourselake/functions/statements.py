@@ -67,15 +67,16 @@ def period_kind(period_: Column) -> Column:
 # ---- lines
 
 
-def _after(line: Column, names: list[str]) -> Column:
-    """What stands behind the first of the names that a line holds; the whole line where it holds one only without blanks or with l' for r. Null for none."""
-    low = F.lower(line)
-    bare, clean = F.regexp_replace(low, r"\s+", ""), F.regexp_replace(low, "l['’`]", "r")
-    tests = []
-    for n in names:
-        tests.append(F.when(low.contains(n), F.substring(line, F.locate(n, low) + len(n), F.length(line))))
-        tests.append(F.when(bare.contains(n.replace(" ", "")) | ((clean != low) & clean.contains(n)), line))
-    return F.coalesce(*tests)
+def _after(names: list[str]) -> Column:
+    """What stands behind the first of the names that a line holds; the whole line where it holds one only without blanks or with l' for r. Null for none.
+
+    For rows with line, low (lower-cased), bare (low without blanks) and clean (low with r for l'). The names are one constant, so the code stays small.
+    """
+    low, bare, clean = F.col("low"), F.col("bare"), F.col("clean")
+    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(n.replace(" ", "")).alias("b")) for n in names])
+    first = F.get(F.filter(table, lambda x: low.contains(x.n) | bare.contains(x.b) | ((clean != low) & clean.contains(x.n))), 0)
+    behind = lambda x: F.when(low.contains(x.n), F.substring(F.col("line"), F.position(x.n, low) + F.length(x.n), F.length("line"))).when(x.isNotNull(), F.col("line"))
+    return let(first, behind)
 
 
 def _value(text: Column, line: Column) -> Column:
@@ -91,11 +92,12 @@ def line_values(pages: DataFrame, key: str, text: str) -> DataFrame:
     counts where no other names it. A row is a line; lines of a page meet their next one in a window over the page.
     """
     lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    lines = lines.withColumn("next", F.lead("line").over(Window.partitionBy(key).orderBy("at")))
+    low = F.lower("line")
+    lines = lines.withColumn("next", F.lead("line").over(Window.partitionBy(key).orderBy("at"))).withColumns({"low": low, "bare": F.regexp_replace(low, r"\s+", ""), "clean": F.regexp_replace(low, "l['’`]", "r")})
     header = F.col("line").rlike(r"^\s*\d*\s*\([a-zA-Z]\)")
     item = F.ltrim("next").rlike(r"^\([a-zA-Z0-9]{1,3}\)|^[ivxlIVXL]+[.)]\s|^[a-zA-Z]\)")
     garbled = F.when(F.col("line").rlike(OCR_LOSS), F.regexp_replace(F.col("line"), "^.*?" + OCR_LOSS.replace("(?i)", "(?i:") + ")", ""))
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(0).alias("rank"), _after(F.col("line"), names).alias("rest")) for f, names in FIELDS.items()], F.struct(F.lit("pat").alias("field"), F.lit(1).alias("rank"), garbled.alias("rest")))
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(0).alias("rank"), _after(names).alias("rest")) for f, names in FIELDS.items()], F.struct(F.lit("pat").alias("field"), F.lit(1).alias("rank"), garbled.alias("rest")))
     hits = lines.select(key, "at", "line", "next", header.alias("header"), item.alias("item"), F.inline(F.filter(fields, lambda x: x.rest.isNotNull())))
     there = F.when(F.col("next").isNotNull() & ~F.col("header") & ~F.col("item"), _value(F.col("next"), F.col("next")))
     values = hits.select(key, "field", "rank", "at", F.coalesce(_value(F.col("rest"), F.col("line")), there).alias("value")).where("value is not null")

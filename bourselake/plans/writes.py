@@ -255,3 +255,18 @@ def O9_latest_brief(t: Tables) -> DataFrame:
 def P2_legacy_gate(t: Tables) -> DataFrame:
     return t.announcements.where(C.subject_gate(F.col("subject"), rules.LEGACY_KEEP, rules.LEGACY_DROP)).select("id", "subject")
 
+
+
+@query("""SELECT 'table' AS target, md5(concat(symbol, '|', CAST(broadcast_date AS VARCHAR), '|', subject)) AS key, MIN(CASE WHEN id % 4 = 0 THEN id ELSE id + 1000000000 END) % 1000000000 AS id FROM announcements GROUP BY symbol, broadcast_date, subject
+UNION ALL SELECT 'vectors' AS target, CASE WHEN n > 0 THEN concat(k, '_', CAST(n AS VARCHAR)) ELSE k END AS key, id FROM (SELECT md5(concat(symbol, '|', CAST(broadcast_date AS VARCHAR), '|', subject)) AS k, id, row_number() OVER (PARTITION BY symbol, broadcast_date, subject ORDER BY id) - 1 AS n FROM announcements)""")
+def K12_dual_write_rows(t: Tables) -> DataFrame:
+    """Two batches to the table (insert or ignore) and one of all rows to the vectors (upsert by suffixed id): what each holds in the end."""
+    key = ["symbol", "broadcast_date", "subject"]
+    rows = t.announcements.select(*key, "id")
+    curated = BucketTable(t.spark, _folder(t, "curated"), key, 16)
+    curated.insert_ignore(rows.where("id % 4 = 0"), [F.col("id")])
+    curated.insert_ignore(rows, [F.col("id")])
+    named = F.md5(F.concat_ws("|", "symbol", F.col("broadcast_date").cast("string"), "subject")).alias("key")
+    vectors = BucketTable(t.spark, _folder(t, "vectors"), ["key"], 16)
+    vectors.upsert(merge.suffixed(rows.select(named, "id"), "key", [F.col("id")]), [F.col("id")])
+    return curated.read().select(F.lit("table").alias("target"), named, "id").unionByName(vectors.read().select(F.lit("vectors").alias("target"), "key", "id"))
