@@ -7,8 +7,8 @@ verified on the sets themselves. Candidates come in three rounds, each of which
   by a spanning forest, so that large groups of them cost no pairs later.
 * bands, stars: BANDS keys of ROWS min-hashes each; all rows of a key meet its smallest and its largest node.
 * bands, rest: where a key still has several components, its nodes are compared by sketches of BINS minima each, in numpy, in
-  chunks of GROUP nodes against each other. Of the pairs whose estimate is ESTIMATE or more a task passes on a spanning forest of the
-  components it has met, the most similar pairs first: no more pairs than components, however large a group is. What is verified joins components,
+  chunks of GROUP nodes against each other; a pair counts in the first band that it shares. Of the pairs whose estimate is ESTIMATE or more a task passes on
+  a spanning forest of the components it has met, the most similar pairs first: no more pairs than components, however large a group is. What is verified joins components,
   and the round is done again, with MORE times as many forests each time (the next one out of the pairs that are left), until no two
   components have a pair that has not been verified.
 
@@ -160,7 +160,7 @@ def _closest(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]
     def fits(i: np.ndarray, j: np.ndarray, c: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (c[i] != c[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
 
-    def within(forests: Forests, g: np.ndarray, side: np.ndarray, node: np.ndarray, c: np.ndarray, size: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
+    def within(forests: Forests, g: np.ndarray, side: np.ndarray, node: np.ndarray, c: np.ndarray, size: np.ndarray, bins: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
         begins = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         sizes = np.diff(np.append(begins, len(g)))
         pairs = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -169,7 +169,8 @@ def _closest(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]
             for at in range(0, len(i), 1 << 14):
                 a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                 e = estimates(bins[a], bins[b])
-                near = e >= ESTIMATE
+                near = np.flatnonzero(e >= ESTIMATE)
+                near = near[~(earlier[a[near]] == earlier[b[near]]).any(axis=1)]
                 pairs.append((a[near], b[near], e[near]))
 
         small = np.flatnonzero(np.repeat(sizes <= 8, sizes) & (side == 0))
@@ -204,7 +205,8 @@ def _closest(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]
             if not x.num_rows:
                 continue
             bins = np.frombuffer(b"".join(col(x, "bins").to_pylist()), np.uint8).reshape(-1, BINS)
-            now = (*(longs(col(x, k), 0) for k in ("g", "side", "node", "c", "size")), bins)
+            now = [longs(col(x, k), 0) for k in ("g", "side", "node", "c", "size")]
+            now = (*now, bins, _padded(col(x, "earlier"), now[2]))
             if rest is not None:
                 now = tuple(np.concatenate(p) for p in zip(rest, now, strict=True))
             last = int(np.searchsorted(now[0], now[0][-1]))
@@ -217,16 +219,26 @@ def _closest(similarity: float, most: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
+def _padded(lists: pa.Array, fill: np.ndarray) -> np.ndarray:
+    """The lists as rows of BANDS - 1 numbers, filled up with a number of each row's own, which equals no other row's."""
+    out = np.repeat(fill[:, None], BANDS - 1, axis=1)
+    n = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
+    return out
+
+
 def _rest(ends: DataFrame, sketches_of: DataFrame, similarity: float, group: int, most: int = 1) -> DataFrame:
-    """Candidates (a, b) among the nodes of keys that still have several components: `most` spanning forests of each task. more: whether there are others. ends: key, node, c, size."""
+    """Candidates (a, b) among the nodes of keys that still have several components: `most` spanning forests of each task. more: whether there are others. ends: key, node, c, size; sketches_of: node, bins, bands."""
     open_ = ends.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "n")
     rows = ends.join(open_, "key").join(sketches_of, "node")
     chunks = F.ceil(F.col("n") / group).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     # chunk pairs (i, j) with i < j; a chunk's own pairs are in (i, i)
-    split = rows.select("key", "node", "c", "size", "bins", own.alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
+    earlier = F.slice("bands", F.lit(1), (F.array_position("bands", F.col("key")) - 1).cast("int")).alias("earlier")
+    split = rows.select("key", "node", "c", "size", "bins", earlier, own.alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("o"))
     side = F.when(F.col("i") == F.col("o"), 0).when(F.col("i") < F.col("o"), 1).otherwise(2)
-    split = split.select(F.xxhash64("key", F.least("i", "o"), F.greatest("i", "o")).alias("g"), side.alias("side"), "node", "c", "size", "bins")
+    split = split.select(F.xxhash64("key", F.least("i", "o"), F.greatest("i", "o")).alias("g"), side.alias("side"), "node", "c", "size", "bins", "earlier")
     found = split.repartition("g").sortWithinPartitions("g", "side").mapInArrow(_closest(similarity, most), "a long, b long, more boolean")
     return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -292,7 +304,7 @@ def _grouped(texts: DataFrame, shingle: int, similarity: float, written: Callabl
     most, tried = FIRST, None
     while True:
         ends = written(placed(found).select("key", "node", "c", "size"), "rest")
-        passed = written(_rest(ends, nodes.select("node", "bins"), similarity, GROUP, most), "passed")
+        passed = written(_rest(ends, nodes.select("node", "bins", "bands"), similarity, GROUP, most), "passed")
         pairs = passed.where("a is not null").select("a", "b")
         fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         found = found.unionByName(verified(fresh))

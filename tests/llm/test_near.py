@@ -153,8 +153,11 @@ def test_a_group_passes_on_no_more_pairs_than_components(spark):
     for n in range(300):  # one key, all alike, each a component of its own
         b = base.copy()
         b[rng.integers(0, near.BINS, 10)] = 7
-        rows.append((7, 0, n, n, 100, b.tobytes()))
-    df = spark.createDataFrame(rows, "g long, side int, node long, c long, size long, bins binary").coalesce(1)
+        rows.append((7, 0, n, n, 100, b.tobytes(), [5, 10**9 + n]))
+    schema = "g long, side int, node long, c long, size long, bins binary, earlier array<long>"
+    met = spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(near._closest(0.8, 1), "a long, b long, more boolean").collect()
+    assert [r.a for r in met] == [None] and not met[0].more  # all have met in an earlier band
+    df = spark.createDataFrame([(*r[:6], [10**9 + r[2]] if r[2] % 2 else []) for r in rows], schema).coalesce(1)
     for most in (1, 3):
         got = df.mapInArrow(near._closest(0.8, most), "a long, b long, more boolean").collect()
         pairs = [r for r in got if r.a is not None]
