@@ -18,6 +18,7 @@ smallest gaps between best and second can differ from their best, and those are
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import re
@@ -204,9 +205,10 @@ class Pieces:
         """The words of texts; those that the cache does not know are worked out together."""
         words = [self.prepared(t) for t in texts]
         new, old = self.memo.new, self.memo.old
-        missing = {w for ws in words for w in ws if w not in new and w not in old}
-        parts = {p for w in missing if len(w) <= CACHED for p in self._split(w)}
-        parts = [p for p in parts if len(p) <= BATCHED and p not in new and p not in old]
+        missing = set(itertools.chain.from_iterable(words)).difference(new).difference(old)
+        splits = {w: self._split(w) for w in missing if len(w) <= CACHED}
+        parts = set(itertools.chain.from_iterable(splits.values())).difference(new).difference(old)
+        parts = [p for p in parts if len(p) <= BATCHED]
         if parts:
             cp = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
             odd = self.single[np.minimum(np.searchsorted(self.single, cp), len(self.single) - 1)] != cp
@@ -217,6 +219,9 @@ class Pieces:
                 some = parts[at : at + (1 << 14)]
                 for p, found in zip(some, self.viterbi_all(some), strict=True):
                     self.memo.put(p, found)
+        for w, split in splits.items():
+            if len(split) > 1:
+                self._joined(w, split)
         return words
 
     # ---- one segment
@@ -340,12 +345,14 @@ class Pieces:
         found = self.memo.get(word)
         if found is None:
             split = self._split(word)
-            if len(split) == 1:
-                return self._part(word)
-            parts = [self._part(p) for p in split]
-            found = self.memo.put(word, (b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), min([p[2] for p in parts])))
+            found = self._part(word) if len(split) == 1 else self._joined(word, split)
         return found
 
+    def _joined(self, word: str, split: list[str]) -> tuple[bytes, float, float]:
+        """What is known of a word of several segments, from theirs."""
+        ids, scores, gaps = zip(*[self._part(p) for p in split], strict=True)
+        return self.memo.put(word, (b"".join(ids), sum(scores), min(gaps)))
+
     def prepared(self, text: str) -> list[str]:
         """The words of a text's lattice; an empty text has none."""
         if not text:
@@ -360,7 +367,10 @@ class Pieces:
         if not words:
             return b"", [0.0], words
         new, word = self.memo.new.get, self._word
-        ids, scores, gaps = zip(*[new(w) or word(w) for w in words], strict=True)
+        found = list(map(new, words))
+        if not all(found):
+            found = [f or word(w) for f, w in zip(found, words, strict=True)]
+        ids, scores, gaps = zip(*found, strict=True)
         total = float(sum(scores))
         best = [total]
         if n > 1:
@@ -417,6 +427,8 @@ class Pieces:
 
 
 def pieces(source: bytes, cache: int = CACHE) -> Pieces:
+    """A worker's own. Its caches are hundreds of thousands of tuples that stay: the search for cycles, which there are none of, is put off."""
+    gc.set_threshold(200_000, 50, 100)
     return kept(("pieces", hash(source), cache), lambda: Pieces(source, cache))
 
 
