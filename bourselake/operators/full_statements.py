@@ -98,21 +98,21 @@ def page_units(pages: DataFrame) -> DataFrame:
 def text_items(pages: DataFrame) -> DataFrame:
     """doc, page_no, headers, label, values, at: the items of pages whose cells stand on lines of their own."""
     lines = pages.select(*_AT, F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
-    lines = lines.withColumn("dates", line_dates(F.col("line"))).withColumn("low", F.lower("line"))
-    some, dates = F.size("dates"), F.col("dates")
-    of_page = lines.groupBy(*_AT).agg(
-        F.min_by("dates", F.when(some >= 2, F.col("at"))).alias("row"),
-        F.array_sort(F.collect_list(F.when((some > 0) & ~F.col("line").rlike(TITLE), F.struct("at", "dates")))).alias("others"),
-        F.min(F.when(_any(F.col("low"), BEGIN), F.col("at"))).alias("begin"),
-    )
+    dated = F.col("line").contains("20")  # every date that is read has a year with it
+    lines = lines.withColumn("dates", F.when(dated, line_dates(F.col("line"))).otherwise(F.array().cast("array<string>"))).withColumn("low", F.lower("line"))
+    some, page, order = F.size("dates"), Window.partitionBy(*_AT), Window.partitionBy(*_AT).orderBy("at")
+    # what a page's lines say together stands beside each of them: a page comes into one task once; of its lines with dates the first few can be headers
+    lines = lines.withColumn("other", (some > 0) & ~F.col("line").rlike(TITLE))
+    lines = lines.withColumn("other", F.col("other") & (F.sum(F.col("other").cast("int")).over(order) <= COLUMNS))
+    others = F.array_sort(F.collect_list(F.when(F.col("other"), F.struct("at", "dates"))).over(page))
+    row = F.min(F.when(some >= 2, F.struct("at", "dates"))).over(page).getField("dates")
+    lines = lines.withColumns({"row": row, "others": others, "begin": F.coalesce(F.min(F.when(_any(F.col("low"), BEGIN), F.col("at"))).over(page), F.lit(0))})
     headers = F.slice(F.coalesce("row", F.flatten(F.transform("others", lambda x: x.dates))), 1, COLUMNS)
-    of_page = of_page.select(*_AT, headers.alias("headers"), F.greatest(F.size(headers), F.lit(3)).alias("n_cols"), F.coalesce("begin", F.lit(0)).alias("begin"))
+    lines = lines.where("at >= begin").withColumn("headers", headers).withColumn("n_cols", F.greatest(F.size("headers"), F.lit(3)))
     line = F.col("line")
-    quiet = line.rlike(NOISE) | (F.length(F.regexp_replace(line, "[^a-zA-Z0-9]", "")) <= 1) | line.rlike(DECORATION) | line.rlike(DATE_NUMBER) | line.rlike(DATE_WORDS)
+    quiet = line.rlike(NOISE) | (F.length(F.regexp_replace(line, "[^a-zA-Z0-9]", "")) <= 1) | line.rlike(DECORATION) | (dated & (line.rlike(DATE_NUMBER) | line.rlike(DATE_WORDS)))
     kind = F.when(line.rlike(NUMBER_LINE), "number").when(~quiet, "text")
-    rows = lines.select(*_AT, "at", "line", kind.alias("kind")).where("kind is not null").join(of_page, _AT).where("at >= begin").drop("begin")
-    order = Window.partitionBy(*_AT).orderBy("at")
-    page = Window.partitionBy(*_AT)
+    rows = lines.select(*_AT, "at", "line", "headers", "n_cols", kind.alias("kind")).where("kind is not null")
     # runs of lines of one kind; a run of numbers that is long enough, or the page's last, closes the label in front of it
     begins = F.coalesce(F.lag("kind").over(order) != F.col("kind"), F.lit(True))
     rows = rows.withColumn("run", F.sum(begins.cast("int")).over(order))
@@ -173,7 +173,9 @@ def full_statements(pages: DataFrame) -> DataFrame:
     items = items.groupBy(*_AT, "table", "label").agg(F.max_by(F.struct("headers", "values"), "at").alias("x"))
     anchor = _any(F.lower("label"), ANCHORS).cast("int")
     found = items.groupBy(*_AT, "table").agg(F.count("*").alias("n_items"), F.sum(anchor).alias("quality"), F.first("x.headers").alias("headers"), F.map_from_entries(F.collect_list(F.struct("label", "x.values"))).alias("items"))
-    found = found.where((F.col("n_items") >= LEAST_ITEMS) & (F.col("quality") > 0)).join(heads, _AT)
+    found = found.where((F.col("n_items") >= LEAST_ITEMS) & (F.col("quality") > 0))
+    # a row a page: files say nothing of how many those are, so they are never broadcast
+    found = found.join(heads.hint("merge"), _AT)
     preference = F.when(F.col("kind") == "standalone", 0).when(F.col("kind") == "unknown", 1).otherwise(2)
     order = F.struct(preference, -F.col("quality"), -F.col("n_items"), "page_no", "table")
     best = found.groupBy("doc").agg(F.min_by(F.struct("kind", "unit", "headers", "quality", "n_items", "items"), order).alias("x"))

@@ -11,13 +11,14 @@ from ..functions import rules
 from ..functions import statements as S
 from ..functions.stemming import plain_tokens, stemmed
 from ..operators.full_statements import clean_number, full_statements, page_units
+from ..sources.scratch import spread
 from .registry import Tables, query
 
 
 def _orders(t: Tables) -> DataFrame:
     """id, v and p: a large and a smaller whole number, as text."""
     whole = F.floor("o_totalprice").cast("bigint")
-    return t.table("orders").select(F.col("o_orderkey").alias("id"), (whole + 100).cast("string").alias("v"), (F.floor(whole / 10) + 100).cast("bigint").cast("string").alias("p"))
+    return spread(t.table("orders")).select(F.col("o_orderkey").alias("id"), (whole + 100).cast("string").alias("v"), (F.floor(whole / 10) + 100).cast("bigint").cast("string").alias("p"))
 
 
 _V, _P = "CAST(floor(o_totalprice) AS DOUBLE) + 100", "floor(floor(o_totalprice) / 10) + 100"

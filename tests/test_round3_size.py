@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from bourselake.operators.full_statements import full_statements
 from bourselake.plans.enrichment import novelty
 
 
@@ -57,3 +58,12 @@ def test_novelty_of_one_busy_key(spark):
     n = 3000
     rows = spark.range(n).select("id", F.lit("A").alias("symbol"), F.lit("Updates").alias("subject"), F.lit("the same words").alias("details"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias("day"))
     assert most_rows(novelty(rows)) <= 2 * n
+
+
+def test_statements_are_not_broadcast(spark):
+    """A row a page looks small by the size of its files; it must not go through the driver."""
+    page = "Results for the quarter ended\n30.06.2026 31.03.2026\nRevenue from operations\n5\n4\n3\nOther income\n1\n2\n3\nTotal income\n6\n6\n6\nProfit before tax\n2\n2\n2\nProfit after tax\n1\n1\n1"
+    pages = spark.range(40).select(F.col("id").alias("doc"), F.lit(1).alias("page_no"), F.lit(page).alias("text"), F.lit(None).cast("array<array<array<string>>>").alias("tables"))
+    found = full_statements(pages)
+    assert [len(r["items"]) for r in found.collect()] == [5] * 40
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
