@@ -97,7 +97,7 @@ def R1_fts_filtered(t: Tables) -> DataFrame:
 
 @query("SELECT id, floor(-score / 13.0::DOUBLE * 1000000 + 0.5) / 1000000 AS rank FROM announcements WHERE symbol IN ('3', '7') ORDER BY score DESC, broadcast_date DESC, id LIMIT 40")
 def R1_empty_question(t: Tables) -> DataFrame:
-    found = full_text(_announcement_index(t), t.announcements, "  ", 40, symbols=["3", "7"])
+    found = full_text(lambda: _announcement_index(t), t.announcements, "  ", 40, symbols=["3", "7"])
     return found.select("id", half_up(F.col("rank"), 6).alias("rank"))
 
 

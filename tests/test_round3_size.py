@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from bourselake.operators.full_statements import full_statements
+from bourselake.operators.textindex import full_text
 from bourselake.plans.enrichment import novelty
 
 
@@ -67,3 +68,12 @@ def test_statements_are_not_broadcast(spark):
     found = full_statements(pages)
     assert [len(r["items"]) for r in found.collect()] == [5] * 40
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_empty_question_needs_no_index(spark):
+    def index():
+        raise AssertionError("built for nothing")
+
+    rows = spark.range(10).select("id", F.lit("A").alias("symbol"), F.col("id").cast("int").alias("score"), F.lit("2024-01-01").cast("date").alias("broadcast_date"))
+    assert [r.id for r in full_text(index, rows, "  ", 3, symbols=["A"]).collect()] == [9, 8, 7]
+    assert full_text(index, rows, "a, b", 3).count() == 0
