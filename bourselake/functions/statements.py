@@ -172,8 +172,8 @@ def _section(text: Column, name: str, pattern: str) -> Column:
     return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern).alias("pieces")), chosen)
 
 
-def sections(text: Column) -> Column:
-    """map name -> text: each section up to the next; `header` for over 100 characters before the first, and for a text without any."""
+def sections(text: Column, starts: Column | None = None) -> Column:
+    """map name -> text: each section up to the next; `header` for over 100 characters before the first, and for a text without any. starts: section_starts of the text, where a column has them."""
     def cut(starts: Column) -> Column:
         ends = F.concat(F.transform(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), lambda s: s.at), F.array(F.length(text)))
         own = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda x: F.struct(x["s"]["name"].alias("name"), F.substring(text, x["s"]["at"] + 1, x["e"] - x["s"]["at"]).alias("text")))
@@ -181,7 +181,7 @@ def sections(text: Column) -> Column:
         head = F.when(first > 100, F.array(F.struct(F.lit("header").alias("name"), F.substring(text, F.lit(1), first).alias("text")))).otherwise(F.slice(own, 1, 0))
         return F.when(F.size(starts) == 0, F.map_from_arrays(F.array(F.lit("header")), F.array(text))).otherwise(F.map_from_entries(F.concat(head, own)))
 
-    return let(section_starts(text), cut)
+    return let(section_starts(text) if starts is None else starts, cut)
 
 
 def merged(parts: DataFrame, key: str, order: str, scalars: list[str], lists: list[str]) -> DataFrame:

@@ -89,7 +89,9 @@ CASE WHEN id % 5 = 0 THEN 'Balance  sheet second ' ELSE '' END, CASE WHEN id % 7
 CASE WHEN id % 5 = 0 THEN instr(txt, 'Balance  sheet') - 1 WHEN id % 2 = 0 THEN instr(txt, 'Balance Sheet') - 1 END AS b, CASE WHEN id % 7 = 0 THEN instr(txt, 'Notes') - 1 ELSE instr(txt, 'Statement of cash') - 1 END AS z FROM (SELECT id, {_SECTIONED} AS txt FROM announcements)))""")
 def F41_sections(t: Tables) -> DataFrame:
     """Where each section of a filing begins; the text before the first is the header's length."""
-    rows = t.announcements.select("id", F.expr(_SECTIONED).alias("txt")).select("id", "txt", S.section_starts(F.col("txt")).alias("s"), S.sections(F.col("txt")).alias("m"))
+    # one generator a step: a filter on what a projection has worked out would work it out again
+    rows = t.wide("announcements").select("id", F.expr(_SECTIONED).alias("txt")).select("id", "txt", F.explode(F.array(S.section_starts(F.col("txt")))).alias("s"))
+    rows = rows.select("id", "txt", "s", F.explode(F.array(S.sections(F.col("txt"), F.col("s")))).alias("m"))
     names = F.transform("s", lambda x: F.concat(F.when(x["name"].isin("notes", "cash_flow"), F.lit("last")).otherwise(x["name"]), F.lit(":"), x["at"].cast("string")))
     head = F.when(F.col("m")["header"].isNotNull(), F.array(F.concat(F.lit("header:"), F.length(F.col("m")["header"]).cast("string")))).otherwise(F.array().cast("array<string>"))
     # all parts together are the text from the first section, or its header, on

@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from bourselake.functions import statements as S
 from bourselake.operators.full_statements import full_statements
 from bourselake.operators.textindex import full_text
 from bourselake.plans.enrichment import novelty
@@ -77,3 +79,11 @@ def test_empty_question_needs_no_index(spark):
     rows = spark.range(10).select("id", F.lit("A").alias("symbol"), F.col("id").cast("int").alias("score"), F.lit("2024-01-01").cast("date").alias("broadcast_date"))
     assert [r.id for r in full_text(index, rows, "  ", 3, symbols=["A"]).collect()] == [9, 8, 7]
     assert full_text(index, rows, "a, b", 3).count() == 0
+
+
+def test_sections_are_found_once(spark):
+    """The filter on what the sections hold must not work them out again: four patterns, each found once."""
+    plan = queries()["F41_sections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 4
+    texts = spark.createDataFrame([(None,), ("",), ("x" * 101 + "Balance Sheet one, notes to accounts",)], "t string").withColumn("s", S.section_starts(F.col("t")))
+    assert all(r.a == r.b for r in texts.select(S.sections(F.col("t")).alias("a"), S.sections(F.col("t"), F.col("s")).alias("b")).collect())
