@@ -9,6 +9,7 @@ from __spark_entry__ import queries
 from bourselake.functions import statements as S
 from bourselake.operators.full_statements import full_statements
 from bourselake.operators.textindex import full_text
+from bourselake.plans import search
 from bourselake.plans.enrichment import novelty
 
 
@@ -87,3 +88,11 @@ def test_sections_are_found_once(spark):
     assert plan.count("regexp_extract_all(") == 4
     texts = spark.createDataFrame([(None,), ("",), ("x" * 101 + "Balance Sheet one, notes to accounts",)], "t string").withColumn("s", S.section_starts(F.col("t")))
     assert all(r.a == r.b for r in texts.select(S.sections(F.col("t")).alias("a"), S.sections(F.col("t"), F.col("s")).alias("b")).collect())
+
+
+def test_empty_question_query_builds_no_index(spark, monkeypatch):
+    def built(*_):
+        raise AssertionError("built for nothing")
+
+    monkeypatch.setattr(search, "index_of", built)
+    assert queries()["R1_empty_question"](spark, "/root/testdata/sf0.001").count() == 40
