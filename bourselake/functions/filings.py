@@ -120,9 +120,8 @@ def first_number(text: Column) -> Column:
     """The first number of a text; parentheses are negative; bare whole numbers below 100 are row numbers and passed over."""
     found = F.regexp_extract_all(text, F.lit(r"\(\d[\d,]*(?:\.\d+)?\)|-?\d[\d,]*(?:\.\d+)?"), 0)
     real = F.filter(found, lambda x: x.startswith("(") | x.contains(",") | x.contains(".") | (x.try_cast("double") >= 100) | (x.try_cast("double") < 0))
-    first = F.get(real, 0)
-    plain = number(F.regexp_replace(first, r"[()]", ""))
-    return F.when(first.startswith("("), -plain).otherwise(plain)
+    signed = lambda first: let(number(F.regexp_replace(first, r"[()]", "")), lambda plain: F.when(first.startswith("("), -plain).otherwise(plain))
+    return let(F.get(real, 0), signed)
 
 
 def results(lines: DataFrame, key: str, factor: Column) -> DataFrame:

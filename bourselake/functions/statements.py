@@ -67,16 +67,13 @@ def period_kind(period_: Column) -> Column:
 # ---- lines
 
 
-def _after(names: list[str]) -> Column:
-    """What stands behind the first of the names that a line holds; the whole line where it holds one only without blanks or with l' for r. Null for none.
-
-    For rows with line, low (lower-cased), bare (low without blanks) and clean (low with r for l'). The names are one constant, so the code stays small.
-    """
-    low, bare, clean = F.col("low"), F.col("bare"), F.col("clean")
-    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(n.replace(" ", "")).alias("b")) for n in names])
-    first = F.get(F.filter(table, lambda x: low.contains(x.n) | bare.contains(x.b) | ((clean != low) & clean.contains(x.n))), 0)
-    behind = lambda x: F.when(low.contains(x.n), F.substring(F.col("line"), F.position(x.n, low) + F.length(x.n), F.length("line"))).when(x.isNotNull(), F.col("line"))
-    return let(first, behind)
+def _named(low: Column, bare: Column, clean: Column) -> Column:
+    """Of each field the first name that a line holds: array of (field, n). As it stands (low: lower-cased), without blanks (bare), or with r for l' (clean). The names are one constant, so the code stays small."""
+    table = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(n).alias("n"), F.lit(n.replace(" ", "")).alias("b")) for f, names in FIELDS.items() for n in names])
+    # a line that holds a name as it stands holds it without blanks too
+    held = F.when(clean == low, F.filter(table, lambda x: bare.contains(x.b))).otherwise(F.filter(table, lambda x: bare.contains(x.b) | clean.contains(x.n)))
+    first = lambda hs: F.filter(hs, lambda x, i: (i == 0) | (F.get(hs, i - 1)["field"] != x["field"]))
+    return F.transform(let(held, first), lambda x: F.struct(x["field"].alias("field"), x["n"].alias("n")))
 
 
 def _value(text: Column, line: Column) -> Column:
@@ -89,19 +86,24 @@ def line_values(pages: DataFrame, key: str, text: str) -> DataFrame:
     """key, field, value: of each field the first line that names it and gives a value, there or on the next line.
 
     The next line is not read behind a header like (a), nor where it is a sub-item. A profit line that is garbled by text recognition
-    counts where no other names it. A row is a line; lines of a page meet their next one in a window over the page.
+    counts where no other names it. A key is a page; a row is a line with its next one, and only lines that name a field are shuffled.
     """
-    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    held = pages.select(key, F.explode(F.array(F.split(text, "\n"))).alias("_ls")).where("_ls is not null")
+    behind = F.slice("_ls", 2, F.greatest(F.size("_ls") - 1, F.lit(0)))
+    lines = held.select(key, F.posexplode(F.arrays_zip(F.col("_ls").alias("line"), behind.alias("next"))).alias("at", "_x")).select(key, "at", "_x.line", "_x.next")
     low = F.lower("line")
-    lines = lines.withColumn("next", F.lead("line").over(Window.partitionBy(key).orderBy("at"))).withColumns({"low": low, "bare": F.regexp_replace(low, r"\s+", ""), "clean": F.regexp_replace(low, "l['’`]", "r")})
+    lines = lines.withColumns({"low": low, "bare": F.regexp_replace(low, r"\s+", ""), "clean": F.regexp_replace(low, "l['’`]", "r")})
     header = F.col("line").rlike(r"^\s*\d*\s*\([a-zA-Z]\)")
     item = F.ltrim("next").rlike(r"^\([a-zA-Z0-9]{1,3}\)|^[ivxlIVXL]+[.)]\s|^[a-zA-Z]\)")
-    garbled = F.when(F.col("line").rlike(OCR_LOSS), F.regexp_replace(F.col("line"), "^.*?" + OCR_LOSS.replace("(?i)", "(?i:") + ")", ""))
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(0).alias("rank"), _after(names).alias("rest")) for f, names in FIELDS.items()], F.struct(F.lit("pat").alias("field"), F.lit(1).alias("rank"), garbled.alias("rest")))
-    hits = lines.select(key, "at", "line", "next", header.alias("header"), item.alias("item"), F.inline(F.filter(fields, lambda x: x.rest.isNotNull())))
-    there = F.when(F.col("next").isNotNull() & ~F.col("header") & ~F.col("item"), _value(F.col("next"), F.col("next")))
-    values = hits.select(key, "field", "rank", "at", F.coalesce(_value(F.col("rest"), F.col("line")), there).alias("value")).where("value is not null")
-    return values.groupBy(key, "field").agg(F.min_by("value", F.struct("rank", "at")).alias("value"))
+    garbled = F.when(F.col("line").rlike(OCR_LOSS), F.array(F.struct(F.lit("pat").alias("field"), F.lit(None).cast("string").alias("n")))).otherwise(F.array().cast("array<struct<field:string,n:string>>"))
+    hits = lines.select(key, "at", "line", "next", "low", F.inline(F.concat(_named(F.col("low"), F.col("bare"), F.col("clean")), garbled)))
+    behind = F.when(F.col("n").isNull(), F.regexp_replace(F.col("line"), "^.*?" + OCR_LOSS.replace("(?i)", "(?i:") + ")", "")).when(F.col("low").contains(F.col("n")), F.substring(F.col("line"), F.position("n", "low") + F.length("n"), F.length("line"))).otherwise(F.col("line"))
+    there = F.when(F.col("next").isNotNull() & ~header & ~item, _value(F.col("next"), F.col("next")))
+    # from a generator: the filter would else work the values out a second time
+    values = hits.select(key, "field", F.col("n").isNull().cast("long").alias("rank"), "at", "line", "next", F.explode(F.array(behind)).alias("rest"))
+    values = values.select(key, "field", "rank", "at", F.explode(F.array(F.coalesce(_value(F.col("rest"), F.col("line")), there))).alias("value")).where("value is not null")
+    # one number for (rank, at): the aggregate stays in fixed-width buffers, without a sort
+    return values.groupBy(key, "field").agg(F.min_by("value", F.col("rank") * F.lit(1 << 32) + F.col("at")).alias("value"))
 
 
 # ---- tables

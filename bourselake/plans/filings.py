@@ -35,7 +35,7 @@ def F26_highlights(t: Tables) -> DataFrame:
 def F37_statement_results(t: Tables) -> DataFrame:
     number = lambda c: F.floor(c).cast("bigint").cast("string")
     text = F.concat(F.lit("Particulars\n1. Revenue from operations\n"), number(F.col("o_totalprice")), F.lit("\n(Loss)\nNet profit for the period ("), number(F.col("o_totalprice") / 10), F.lit(") 5"))
-    pages = t.table("orders").select(F.col("o_orderkey").alias("id"), text.alias("text"))
+    pages = spread(t.table("orders")).select(F.col("o_orderkey").alias("id"), text.alias("text"))
     return X.results(S.line_values(pages, "id", "text"), "id", F.lit(0.01)).select("id", "revenue_cr", "pat_cr")
 
 
@@ -51,7 +51,7 @@ def F37_results_varied(t: Tables) -> DataFrame:
         text("Net sales\n", r, "\nNet profit for the year (", p, ")\nBasic earnings per share 4.25"),
         text("Revenue from operations 9,00,00,00,000\nNet profit ", p), text("Total income ", r, "\nTax 5.5"),
     ), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = t.table("orders").select(F.col("o_orderkey").alias("id"), pages.alias("text"))
+    rows = spread(t.table("orders")).select(F.col("o_orderkey").alias("id"), pages.alias("text"))
     return X.results(S.line_values(rows, "id", "text"), "id", F.lit(1.0)).select("id", "revenue_cr", "pat_cr", "ebitda_cr", "ebitda_margin", "eps", "confidence")
 
 

@@ -96,3 +96,22 @@ def test_empty_question_query_builds_no_index(spark, monkeypatch):
 
     monkeypatch.setattr(search, "index_of", built)
     assert queries()["R1_empty_question"](spark, "/root/testdata/sf0.001").count() == 40
+
+
+def test_lines_meet_their_next_one_without_a_window(spark):
+    """Lines of all pages are neither sorted nor shuffled; values are worked out once."""
+    pages = spark.createDataFrame([(1, "Revenue from operations\n812.5\nNet profit (44)\nProfit/(Lossl for the neriod 7.5"), (2, None), (3, ""), (4, "REVENUEFROMOPERATIONS 5.5\nPl'ofit after tax\n(a) 1.5")], "id long, text string")
+    found = S.line_values(pages, "id", "text")
+    assert {(r.id, r.field, r.value) for r in found.collect()} == {(1, "revenue", 812.5), (1, "pat", -44.0), (4, "revenue", 5.5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count(r"\d[\d,]*(?:\.\d+)?\)|-?") == 2  # behind the name, and in the next line
+
+
+def test_a_table_is_read_once(spark):
+    """The column of the data is not looked for again for each row and use."""
+    table = [["", "Particulars", "30.06.2026"], ["1", "Revenue from operations", "5.5"], ["2", "Other income *", "-"], ["3", "Net profit", "(7)"]]
+    tables = spark.createDataFrame([(1, table), (2, table[:3])], "id long, t array<array<string>>")
+    found = S.table_values(tables, "id", "t")
+    got = {(r.id, r.field): r.value for r in found.collect()}
+    assert got[1, "revenue"] == 5.5 and got[1, "pat"] == -7.0 and {k for k, _ in got} == {1}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(S.DATE_CELL[4:]) == 1
