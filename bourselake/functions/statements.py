@@ -116,9 +116,8 @@ def _joined(table: Column, rows: int) -> Column:
 
 def is_statement_table(table: Column) -> Column:
     """Four rows or more, a period in the first five, the structure of a statement and words of one in the first six."""
-    body = _joined(table, 6)
-    built = body.contains("particular") | (body.contains("ebitda") & body.rlike("revenue|profit|pat"))
-    return (F.size(table) >= 4) & _joined(table, 5).rlike(TABLE_PERIOD) & built & body.rlike("|".join(TABLE_WORDS))
+    built = lambda body: (body.contains("particular") | (body.contains("ebitda") & body.rlike("revenue|profit|pat"))) & body.rlike("|".join(TABLE_WORDS))
+    return (F.size(table) >= 4) & _joined(table, 5).rlike(TABLE_PERIOD) & let(_joined(table, 6), built)
 
 
 def data_column(table: Column) -> Column:
@@ -136,20 +135,22 @@ def table_values(tables: DataFrame, key: str, table: str) -> DataFrame:
     Labels are in column 0 where the data begin in column 1, else in column 1. A table whose labels are mostly empty (55 % of over four
     rows), or has four lines or more in one label, was not read right and gives nothing. A null value of the first row named stays null.
     """
-    rows = tables.where(is_statement_table(F.col(table))).select(key, F.col(table).alias("_t"), data_column(F.col(table)).alias("_c")).withColumn("_l", F.when(F.col("_c") <= 1, 0).otherwise(1))
-    label = lambda r: F.coalesce(F.get(r, F.col("_l")), F.lit(""))
-    data = F.filter("_t", lambda r: F.size(r) > F.col("_l"))
-    empty = F.size(F.filter(data, lambda r: F.trim(label(r)) == ""))
-    fine = ~((F.size(data) > 4) & (empty / F.size(data) >= 0.55)) & ~F.exists(data, lambda r: F.length(F.regexp_replace(label(r), "[^\n]", "")) >= 3)
+    # each step's values come from a generator: a filter is not pushed below it, so they are worked out once and not again for each use
+    rows = tables.where(is_statement_table(F.col(table))).select(key, F.col(table).alias("_t"), F.explode(F.array(data_column(F.col(table)))).alias("_c")).withColumn("_l", F.when(F.col("_c") <= 1, 0).otherwise(1))
+    labels = F.transform(F.filter("_t", lambda r: F.size(r) > F.col("_l")), lambda r: F.coalesce(F.get(r, F.col("_l")), F.lit("")))
+    empty = lambda ls: F.size(F.filter(ls, lambda x: F.trim(x) == ""))
+    fine = let(labels, lambda ls: ~((F.size(ls) > 4) & (empty(ls) / F.size(ls) >= 0.55)) & ~F.exists(ls, lambda x: F.length(F.regexp_replace(x, "[^\n]", "")) >= 3))
     lines = rows.where(fine).select(key, "_c", "_l", F.posexplode("_t").alias("at", "r")).where(F.size("r") > F.col("_c"))
     name = F.trim(F.regexp_replace(F.coalesce(F.get("r", F.col("_l")), F.lit("")), r"[*#†]+$", ""))
-    lines = lines.select(key, "at", name.alias("name"), indian_number(F.get("r", F.col("_c"))).alias("value"))
-    low = F.lower(F.trim("name"))
-    bare, clean = F.regexp_replace(low, r"\s+", ""), F.regexp_replace(low, "l['’`]", "r")
-    named = lambda names: reduce(lambda a, b: a | b, [low.contains(n) | bare.contains(n.replace(" ", "")) | clean.contains(n) for n in names])
-    short = {"revenue": low == "revenue", "pat": (low == "pat") | F.col("name").rlike(OCR_LOSS), "ebitda": low == "ebitda"}
-    found = F.array(*[F.when(named(names) | short[f] if f in short else named(names), F.lit(f)) for f, names in FIELDS.items()])
-    hits = lines.select(key, "at", "value", F.explode(F.array_compact(found)).alias("field"))
+    lines = lines.select(key, "at", F.get("r", F.col("_c")).alias("cell"), F.explode(F.array(name)).alias("name"))
+    lines = lines.select(key, "at", "cell", "name", F.explode(F.array(F.lower(F.trim("name")))).alias("low"))
+    lines = lines.select(key, "at", "cell", "name", "low", F.inline(F.array(F.struct(F.regexp_replace("low", r"\s+", "").alias("bare"), F.regexp_replace("low", "l['’`]", "r").alias("clean")))))
+    low, bare, clean = F.col("low"), F.col("bare"), F.col("clean")
+    short = F.when(low == "revenue", F.lit("revenue")).when((low == "pat") | F.col("name").rlike(OCR_LOSS), F.lit("pat")).when(low == "ebitda", F.lit("ebitda"))
+    table_of = F.array(*[F.struct(F.lit(f).alias("field"), F.array(*[F.struct(F.lit(n).alias("n"), F.lit(n.replace(" ", "")).alias("b")) for n in names]).alias("names")) for f, names in FIELDS.items()])
+    named = lambda x: bare.contains(x.b) | ((clean != low) & clean.contains(x.n))
+    found = let(short, lambda s: F.transform(F.filter(table_of, lambda x: F.coalesce(x.field == s, F.lit(False)) | F.exists(x.names, named)), lambda x: x.field))
+    hits = lines.select(key, "at", "cell", F.explode(found).alias("field")).select(key, "at", "field", indian_number(F.col("cell")).alias("value"))
     return hits.groupBy(key, "field").agg(F.min_by(F.struct("value"), "at").alias("x")).select(key, "field", "x.value")
 
 
