@@ -37,7 +37,7 @@ _KNN = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE ve
 
 def _indexed(t: Tables, tokeniser: str) -> TextIndex:
     """The index of `documents` with these tokens."""
-    return index_of(t.spark, shared_folder(t.spark), "documents", tokeniser, t.table("documents"), "doc_id", F.col("text"))
+    return index_of(t.spark, shared_folder(t.spark), "documents", tokeniser, spread(t.table("documents")), "doc_id", F.col("text"))
 
 
 def _okapi(t: Tables, terms: list[str], n: int) -> DataFrame:

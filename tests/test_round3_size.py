@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from bourselake.functions import statements as S
 from bourselake.operators.full_statements import full_statements
-from bourselake.operators.textindex import full_text
+from bourselake.operators.textindex import TextIndex, full_text
 from bourselake.plans import search
 from bourselake.plans.enrichment import novelty
 
@@ -115,3 +115,10 @@ def test_a_table_is_read_once(spark):
     got = {(r.id, r.field): r.value for r in found.collect()}
     assert got[1, "revenue"] == 5.5 and got[1, "pat"] == -7.0 and {k for k, _ in got} == {1}
     assert found._jdf.queryExecution().optimizedPlan().toString().count(S.DATE_CELL[4:]) == 1
+
+
+def test_words_are_counted_within_the_row(spark, tmp_path):
+    """An index takes texts apart without a shuffle of their words."""
+    found = TextIndex(spark, f"file://{tmp_path}/i")._forward(spark.createDataFrame([(1, "b a b"), (2, None), (3, "")], "key long, text string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.key, r.length, [(t.term, t.tf) for t in r.terms]) for r in found.collect()] == [(1, 3, [("a", 1), ("b", 2)])]
