@@ -1,9 +1,15 @@
-"""The Porter stemmer as column expressions, and tokens of the full-text index. Meant for distinct words: a few dozen tests each."""
+"""The Porter stemmer as column expressions, and tokens of the full-text index. Meant for distinct words: a few dozen tests each.
+
+Whole texts have their words stemmed within the row (stemmed_line), by the same rules in Python, where a task keeps the stems of words it has met.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +96,60 @@ def stemmed(tokens: DataFrame, column: str = "token") -> DataFrame:
     """tokens with the column's words stemmed: each distinct word once, joined back."""
     stems = tokens.select(F.col(column).alias("_word")).distinct().withColumn("_stem", stem(F.col("_word")))
     return tokens.join(stems, F.col(column) == F.col("_word")).withColumn(column, F.col("_stem")).drop("_word", "_stem")
+
+
+# ---- the same stemmer within the row
+
+
+@lru_cache(1 << 17)
+def stem_of(word: str) -> str:
+    """stem() of one word."""
+    if not SHORTEST <= len(word.encode()) <= LONGEST:
+        return word
+    has = lambda pattern, text: re.search(pattern, text) is not None
+    once, exactly_once, twice = (lambda text, p=p: has(p, text) for p in (_ONCE, _EXACTLY_ONCE, _TWICE))
+    cvc = lambda text: has(f"^{_C}[aeiouy](?![aeiouwxy])[\\x00-\\x7F]$", text)
+
+    def mended(left: str) -> str:
+        if left.endswith(("at", "bl", "iz")):
+            return left + "e"
+        if has(r"((?![aeioulsz])[\x00-\x7F])\1$|^Yy$", left):
+            return left[:-1]
+        return left + "e" if exactly_once(left) and cvc(left) else left
+
+    def replaced(text: str, rules: dict[str, str], measure: Callable[[str], bool]) -> str:
+        for suffix, new in rules.items():
+            if text.endswith(suffix) and len(text) > len(suffix):
+                left = text[: -len(suffix)]
+                return left + new if measure(left) and (suffix != "ion" or left.endswith(("s", "t"))) else text
+        return text
+
+    w = re.sub("^(?:(.+?)(ss|i)es|(.+?[^s])s)$", r"\1\2\3", re.sub("^y", "Y", word))
+    if w.endswith("eed") and len(w) > 3:
+        w = w[:-1] if once(w[:-3]) else w
+    elif (w.endswith("ed") and len(w) > 2) or (w.endswith("ing") and len(w) > 3):
+        left = w[:-2] if w.endswith("ed") else w[:-3]
+        w = mended(left) if has(_VOWEL, left) else w
+    if w.endswith("y") and has(_VOWEL, w[:-1]):
+        w = w[:-1] + "i"
+    w = replaced(replaced(w, STEP_2, once), STEP_3, once)
+    w = replaced(w, dict.fromkeys(STEP_4, ""), twice)
+    if w.endswith("e") and (twice(w[:-1]) or (exactly_once(w[:-1]) and not cvc(w[:-1]))):
+        w = w[:-1]
+    if w.endswith("ll") and twice(w[:-1]):
+        w = w[:-1]
+    return re.sub("^Y", "y", w)
+
+
+def _line(text: str) -> str:
+    # a number is its own stem
+    return " ".join(sorted({w if w.isdecimal() else stem_of(w) for w in text.split(" ")}))
+
+
+def _lines(texts: pd.Series) -> pd.Series:
+    return texts.map(_line)
+
+
+def stemmed_line(text: Column) -> Column:
+    """The distinct stems of a text's plain tokens, sorted and joined by blanks. No word is shuffled."""
+    return F.pandas_udf(_lines, "string")(F.array_join(plain_tokens(text), " "))

@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..functions import filings as X
 from ..functions import rules
 from ..functions import statements as S
-from ..functions.stemming import plain_tokens, stemmed
+from ..functions.stemming import stemmed_line
 from ..operators.full_statements import clean_number, full_statements, page_units
 from ..sources.scratch import spread
 from .registry import Tables, query
@@ -145,16 +145,13 @@ _STEMS = "MAP {'acquired': 'acquir', 'appointment': 'appoint', 'audited': 'audit
 array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(details, '[A-Za-z0-9&]+'), lambda x: lower(x)), regexp_extract_all(details, '[A-Za-z0-9&]+')))), ' ') AS mixed, array_to_string(list_sort(list_distinct(string_split_regex(lower(details), '\\W+'))), ' ') AS split,
 array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(details), '[a-z0-9]+'), lambda x: coalesce(map_extract_value({_STEMS}, x), x)))), ' ') AS porter FROM announcements""")
 def F9_tokenisers(t: Tables) -> DataFrame:
-    """The five tokenisers over the same texts, as sorted sets; stems are worked out once for each word."""
+    """The five tokenisers over the same texts, as sorted sets; all within the row."""
     from ..functions.questions import said
     from ..operators.retrieval import mixed_tokens
 
     text = F.col("details")
     line = lambda words: F.array_join(F.array_sort(F.array_distinct(words)), " ")
-    words = t.announcements.select("id", F.explode(plain_tokens(text)).alias("token"))
-    stems = stemmed(words).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("token")), " ").alias("porter"))
-    lines = t.announcements.select("id", line(C.words(text)).alias("letters"), line(C.ranked_words(text)).alias("ranked"), line(mixed_tokens(text)).alias("mixed"), line(said(text)).alias("split"))
-    return lines.join(stems, "id", "left").withColumn("porter", F.coalesce("porter", F.lit("")))
+    return t.wide("announcements").select("id", line(C.words(text)).alias("letters"), line(C.ranked_words(text)).alias("ranked"), line(mixed_tokens(text)).alias("mixed"), line(said(text)).alias("split"), stemmed_line(text).alias("porter"))
 
 
 @query("""SELECT id, CASE WHEN u = 'year' THEN n * 12 WHEN u = 'week' THEN greatest(1, CAST(floor(n / 4.0 + 0.5) AS INT)) WHEN u = 'day' THEN greatest(1, CAST(floor(n / 30.0 + 0.5) AS INT)) ELSE n END AS months, CASE WHEN u = 'year' THEN n * 12 WHEN u = 'week' THEN CAST(floor(n / 4.3 + 0.5) AS INT) WHEN u = 'month' THEN n END AS stated FROM
