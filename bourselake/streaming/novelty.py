@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +19,8 @@ OUT = "id long, is_novel boolean, novelty double"
 _DAY_MS = 86_400_000
 #: Rows that are handed on at once.
 _CHUNK = 5_000
+#: Days whose rows wait together, and rows that are held before they are put to those that wait.
+_BLOCK, _HELD = 32, 50_000
 
 
 def _alike(a: set[str], b: set[str]) -> float:
@@ -26,10 +30,11 @@ def _alike(a: set[str], b: set[str]) -> float:
 class Novelty(StatefulProcessor):
     """Rows of a key, in order of (day, id), against those before them within so many days.
 
-    A row waits in a map by day until the watermark has passed its day; an event-time timer then takes the days in order. So the result does not
-    depend on how rows are cut into Arrow batches or micro-batches, as long as none comes later than the watermark's delay. What has been
-    said is a map by day too: of each day the different word sets, each with its first id, which is all that a later row can be
-    compared with. While days are taken, those that fall out of the window go: one day of rows and one window of word sets are held.
+    A row waits in a map by block of days until the watermark has passed its day; an event-time timer then takes the days in order. So the result
+    does not depend on how rows are cut into Arrow batches or micro-batches, as long as none comes later than the watermark's delay. What has been
+    said is a map by day: of each day the different word sets, each with its first id, which is all that a later row can be
+    compared with. While days are taken, those that fall out of the window go: one block of rows and one window of word sets are held.
+    Each step to the state costs as much as many rows, so steps go by blocks and by so many rows, not by days and Arrow batches.
     """
 
     def __init__(self, days: int):
@@ -37,45 +42,75 @@ class Novelty(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "day int", "ids array<long>, words array<string>, fixed array<double>")
+        # a row's words are a place in texts, as few are different
+        self.waiting = handle.getMapState("waiting", "block int", "days array<int>, ids array<long>, fixed array<double>, words array<int>, texts array<string>")
         self.said = handle.getMapState("said", "day int", "ids array<long>, words array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        least = None
+        least, held = None, []
         for batch in rows:
-            for day, some in batch[batch.id.notna()].groupby("day"):
-                at, day = (int(day),), int(day)
-                ids, words, fixed = self.waiting.getValue(at) or ([], [], [])
-                self.waiting.updateValue(at, ([*ids, *some.id.astype("int64").tolist()], [*words, *some.words.tolist()], [*fixed, *some.fixed.tolist()]))
-                least = day if least is None else min(day, least)
+            held.append(batch[batch.id.notna()])
+            if sum(map(len, held)) >= _HELD:
+                least, held = self._waits(held, least), []
+        if held:
+            least = self._waits(held, least)
         if least is not None:
             self.handle.registerTimer((least + 1) * _DAY_MS)
         return iter(())
 
+    def _waits(self, held: list[pd.DataFrame], least: int | None) -> int | None:
+        """Puts rows to those of their blocks; the least day so far."""
+        rows = pd.concat(held)
+        for block, some in rows.groupby(rows.day.astype("int64") // _BLOCK):
+            at = (int(block),)
+            days, ids, fixed, words, texts = self.waiting.getValue(at) or ([], [], [], [], [])
+            place = {t: i for i, t in enumerate(texts)}
+            words = [*words, *(place.setdefault(t, len(place)) for t in some.words.tolist())]
+            self.waiting.updateValue(at, ([*days, *some.day.astype("int64").tolist()], [*ids, *some.id.astype("int64").tolist()], [*fixed, *some.fixed.tolist()], words, list(place)))
+        return least if rows.empty else int(rows.day.min()) if least is None else min(int(rows.day.min()), least)
+
+    def _due(self, passed: int) -> Iterator[tuple[int, list[tuple]]]:
+        """Each day before passed with its rows in order of their ids; they leave the state. The timer is set to the first day that stays."""
+        stays = None
+        for block in sorted(int(k[0]) for k in self.waiting.keys()) if self.waiting.exists() else []:
+            if block * _BLOCK >= passed:
+                stays = block * _BLOCK if stays is None else stays
+                break
+            days, ids, fixed, words, texts = self.waiting.getValue((block,))
+            rows = sorted(zip(days, ids, words, fixed, strict=True), key=lambda r: r[:2])
+            at = bisect_left(rows, passed, key=lambda r: r[0])
+            for day, some in groupby(rows[:at], key=lambda r: r[0]):
+                yield int(day), [(i, texts[w], x) for _, i, w, x in some]
+            if at == len(rows):
+                self.waiting.removeKey((block,))
+                continue
+            stays = int(rows[at][0])
+            if at:
+                left = rows[at:]
+                self.waiting.updateValue((block,), ([r[0] for r in left], [r[1] for r in left], [r[3] for r in left], [r[2] for r in left], texts))
+        if stays is not None:
+            self.handle.registerTimer((stays + 1) * _DAY_MS)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() // _DAY_MS
-        waiting = sorted(int(k[0]) for k in self.waiting.keys()) if self.waiting.exists() else []
-        due, later = [d for d in waiting if d < passed], [d for d in waiting if d >= passed]
-        if later:
-            self.handle.registerTimer((later[0] + 1) * _DAY_MS)
-        if not due:
-            return
-        window = {}
-        for at, (ids, words) in list(self.said.iterator()) if self.said.exists() else []:
-            window[int(at[0])] = [(int(i), set(w.split())) for i, w in zip(ids, words, strict=True)]
-        kept, out = set(window), []
-        for day in due:
-            ids, words, fixed = self.waiting.getValue((day,))
+        window, kept, taken, out = None, set(), set(), []
+        for day, rows in self._due(timerValues.getCurrentWatermarkInMs() // _DAY_MS):
+            if window is None:
+                window = {}
+                for at, (ids, words) in list(self.said.iterator()) if self.said.exists() else []:
+                    window[int(at[0])] = [(int(i), set(w.split())) for i, w in zip(ids, words, strict=True)]
+                kept = set(window)
             window = {d: s for d, s in sorted(window.items()) if d >= day - self.days}
-            for row in self._day(day, sorted(zip(ids, words, fixed, strict=True), key=lambda r: r[0]), window):
+            taken.add(day)
+            for row in self._day(day, rows, window):
                 out.append(row)
                 if len(out) >= _CHUNK:
                     yield pd.DataFrame(out, columns=["id", "is_novel", "novelty"])
                     out = []
-            self.waiting.removeKey((day,))
+        if window is None:
+            return
         for day in kept - set(window):
             self.said.removeKey((day,))
-        for day in set(due) & set(window):
+        for day in taken & set(window):
             self.said.updateValue((day,), ([i for i, _ in window[day]], [" ".join(sorted(w)) for _, w in window[day]]))
         if out:
             yield pd.DataFrame(out, columns=["id", "is_novel", "novelty"])
@@ -83,19 +118,26 @@ class Novelty(StatefulProcessor):
     @staticmethod
     def _day(day: int, rows: list[tuple], window: dict[int, list[tuple[int, set[str]]]]) -> Iterator[tuple[int, bool, float]]:
         """The day's rows in order of their ids; the window takes the word sets that are new on that day."""
+        found: dict[str, float | None] = {}
         for i, text, fixed in rows:
-            words = set(text.split())
-            hit = next((s for said in window.values() for _, s in said if _alike(words, s) > 0.6), None)
+            some = bool(window)
+            if text in found:
+                alike = found[text]
+            else:
+                words = set(text.split())
+                alike = next((x for said in window.values() for _, s in said if (x := _alike(words, s)) > 0.6), None)
+                today = window.setdefault(day, [])
+                if all(s != words for _, s in today):
+                    today.append((int(i), words))
+                # sets come behind those before them, so a later row finds the same one, or this row where it is the first
+                found[text] = 1.0 if alike is None and words else alike
             if not math.isnan(fixed):
                 score = fixed
-            elif hit is not None:
-                score = math.floor((1 - _alike(words, hit)) * 100 + 0.5) / 100
+            elif alike is not None:
+                score = math.floor((1 - alike) * 100 + 0.5) / 100
             else:
-                score = 0.65 if window else 0.95
-            yield int(i), bool(math.isnan(fixed) and hit is None), float(score)
-            today = window.setdefault(day, [])
-            if all(s != words for _, s in today):
-                today.append((int(i), words))
+                score = 0.65 if some else 0.95
+            yield int(i), bool(math.isnan(fixed) and alike is None), float(score)
 
     def close(self) -> None:
         pass
@@ -110,7 +152,7 @@ def novelty(stream: DataFrame, days: int = 30, delay: str = "0 days") -> DataFra
     repeated = F.concat_ws(" ", "subject", "details").rlike("(?i)" + rules.REPEATED)
     fixed = F.when(F.col("subject").isin(rules.RECURRING_SUBJECTS), 0.1).when(repeated, 0.2)
     day = F.unix_date(F.col("day"))
-    rows = stream.where("day is not null").select(F.timestamp_seconds(day.cast("long") * 86400).alias("ts"), F.concat_ws("\u0001", "symbol", "subject").alias("key"), "id", day.alias("day"), F.array_join(C.words(F.col("details")), " ").alias("words"), F.coalesce(fixed, F.lit(float("nan"))).alias("fixed"))
+    rows = stream.where("day is not null").select(F.timestamp_seconds(day.cast("long") * 86400).alias("ts"), F.concat_ws("\u0001", "symbol", "subject").alias("key"), "id", day.alias("day"), F.coalesce(F.array_join(C.words(F.col("details")), " "), F.lit("")).alias("words"), F.coalesce(fixed, F.lit(float("nan"))).alias("fixed"))
     return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(Novelty(days), OUT, "Append", "EventTime")
 
 

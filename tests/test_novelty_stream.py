@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,67 @@ def test_a_key_holds_its_window_only():
     out = list(Novelty._day(10, [(i, "order railway" if i % 2 else "stake", float("nan")) for i in range(1000)], window))
     assert len(out) == 1000 and {d: len(s) for d, s in window.items()} == {10: 2}
     assert out[0] == (0, True, 0.95) and out[1] == (1, True, 0.65) and out[2] == (2, False, 0.0)
+
+
+class State(dict):
+    """A map of the state that counts the steps to it."""
+
+    steps = 0
+
+    def getValue(self, key):
+        self.steps += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.steps += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.steps += 1
+        self.pop(key)
+
+    def exists(self):
+        return bool(self)
+
+    def iterator(self):
+        return iter(self.items())
+
+
+class Now:
+    def __init__(self, day):
+        self.day = day
+
+    def getCurrentWatermarkInMs(self):
+        return self.day * 86_400_000
+
+
+def test_steps_to_the_state_do_not_grow_with_days_and_batches():
+    """3 000 rows of 300 days in 30 batches, taken in two parts: a step for each day and batch were thousands."""
+
+    class Handle:
+        timers = []
+
+        def getMapState(self, name, *_):
+            return State()
+
+        def registerTimer(self, at):
+            self.timers.append(at // 86_400_000)
+
+    rng, of = random.Random(5), Novelty(30)
+    of.init(Handle())
+    rows = pd.DataFrame([(i, rng.randrange(10_000, 10_300), rng.choice(SAID), rng.choice([float("nan"), 0.2])) for i in range(3000)], columns=["id", "day", "words", "fixed"])
+    assert list(of.handleInputRows(("k",), iter([rows[i : i + 100] for i in range(0, 3000, 100)]), None)) == []
+    parts = [pd.concat([*of.handleExpiredTimer(("k",), Now(day), None)]) for day in (10_100, 10_301)]
+    assert len(parts[0]) == (rows.day < 10_100).sum() and sum(map(len, parts)) == 3000 and not of.waiting
+    assert Handle.timers == [rows.day.min() + 1, rows[rows.day >= 10_100].day.min() + 1]
+    assert of.waiting.steps + of.said.steps < 200
+    window, want = {}, []
+    for day, some in rows.sort_values(["day", "id"]).groupby("day"):
+        window = {d: s for d, s in window.items() if d >= day - 30}
+        for r in some.itertuples():
+            words = set(r.words.split())
+            hit = next((x for said in window.values() for s in said if (x := len(words & s) / len(words | s) if words and s else 0.0) > 0.6), None)
+            score = r.fixed if r.fixed == r.fixed else int((1 - hit) * 100 + 0.5) / 100 if hit is not None else 0.65 if window else 0.95
+            want.append((r.id, bool(r.fixed != r.fixed and hit is None), score))
+            window.setdefault(day, []).append(words)
+    assert [tuple(r) for r in pd.concat(parts).itertuples(index=False)] == want
