@@ -2,8 +2,8 @@
 
 Pages are rows (doc, page_no, text, tables). Two readers give items. The one for bordered tables takes a row's first cell that is no number as
 the label and the cells behind it as columns. The one for texts, where each cell stands on a line of its own, is a state machine over lines,
-written as windows: numbers in a row close a label when there are as many as the page has columns; fewer are given up at the next text, whose
-words go on with the label; a label has three lines at most. A page's lines meet in one task, a document's pages only as their sums.
+written over arrays within the page's row: numbers in a row close a label when there are as many as the page has columns; fewer are given up at
+the next text, whose words go on with the label; a label has three lines at most. No line is shuffled: a document's pages meet as the statements found on them.
 
 A candidate's quality is the number of its known labels. Of a document the best candidate of the preferred kind wins: standalone, then unknown, then
 consolidated; by quality, then items, then the earlier one. A null text or table has nothing in it.
@@ -11,6 +11,8 @@ consolidated; by quality, then items, then the earlier one. A null text or table
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +26,23 @@ DATE_HEADER = r"\b(?:3[01])[.\-/](?:0[1-9]|1[0-2])[.\-/](?:20\d{2})\b"
 DATE_NUMBER = r"\b(?:3[01]|[012]\d)[.\-/](?:0[1-9]|1[0-2])[.\-/](?:20\d{2})\b"
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 DATE_WORDS = r"(?i)\b(?:\d{1,2})(?:st|nd|rd|th)?[,\.\s]+(?:" + "|".join(MONTHS) + r")[,\.\s]+(?:20\d{2})\b"
+YEAR = r"20\d{2}"  # every date that is read has one
 JUNE, JULY = r"(?i)\bJ[a-z]n[a-z]\b", r"(?i)\bJ[a-z][ln][yv]\b"
 UNIT = r"(?i)(?:(?:rs\.?|rupees?|inr|amount|₹)\s*in\s*|in\s+(?:rs\.?\s*)?)(crore|lakh|lacs?|million|thousand)"
 NOISE = r"(?i)^(?:unaudited|audited|refer\s+note|quarter\s+ended|year\s+ended|months?\s+ended|preceding|corresponding|for\s+the|standalone|consolidated|sr\.?\s*no|sl\.?\s*no|particulars?\s*$)"
-DECORATION = "^[\\s.:\\-–—•·~*|()'\"` ]+$"
+TWO_LETTERS = "[a-zA-Z0-9][^a-zA-Z0-9]*[a-zA-Z0-9]"  # a line with fewer, as one of decoration, says nothing
 TITLE = r"(?i)financial\s+results?|results?\s+for|quarter\s+ended|year\s+ended"
 SUMMARY = r"(?i)\bKey\s+Parameters?\b|\bGroup\s+Performance\b|\bBusiness\s+Performance\b|\bPerformance\s+Highlights?\b"
+SUMMARY_WORDS = ["parameter", "performance"]
 ANCHORS = ["revenue from oper", "total income", "profit before tax", "profit for the period", "profit after tax", "employee benefit", "total expenses", "earnings per equity"]
 BEGIN = ["revenue from oper", "total income", "interest earned", "net interest income", "income from operation"]
 PAGE_WORDS = ["revenue", "income", "profit", "interest earned"]
 PERIOD_WORDS = ["quarter", "ended", "preceding", "corresponding"]
 BODY_WORDS = ["revenue", "income", "interest earned", "total income", "profit"]
+UNIT_WORDS = ["crore", "lakh", "lac", "million", "thousand"]
 COLUMNS, LABEL_LINES, LEAST_ITEMS = 4, 3, 5
+#: A page's text comes behind its tables.
+BEHIND = 2**31 - 1
 
 _AT = ["doc", "page_no"]
 
@@ -52,7 +59,8 @@ def clean_number(cell: Column) -> Column:
         joined = let(F.regexp_replace(F.when(F.trim(plain).rlike(r"\s\d{2}$"), spaced).otherwise(plain), r"\s", ""), lambda x: F.when(x.rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)$"), x.try_cast("double")))
         return F.when(s.startswith("(") & s.endswith(")"), -joined).otherwise(joined)
 
-    return let(F.regexp_replace(cell, r"^\s+|\s+$", ""), read)
+    # most cells are digits and perhaps a period, which need no reading
+    return F.when(cell.rlike(r"^\d+(?:\.\d+)?$"), cell.try_cast("double")).otherwise(let(F.regexp_replace(cell, r"^\s+|\s+$", ""), read))
 
 
 def clean_label(text: Column) -> Column:
@@ -66,23 +74,33 @@ def _any(text: Column, words: list[str]) -> Column:
 
 def line_dates(line: Column) -> Column:
     """The dates of a line as dd.mm.yyyy, those in numbers first; months that text recognition garbles are read as June and July."""
-    mended = F.regexp_replace(F.regexp_replace(line, JUNE, "June"), JULY, "July")
-    numbers = F.transform(F.regexp_extract_all(mended, F.lit(DATE_NUMBER), 0), lambda d: F.translate(d, "-/", ".."))
+    mended = F.when(line.rlike("[Jj]"), F.regexp_replace(F.regexp_replace(line, JUNE, "June"), JULY, "July")).otherwise(line)
 
     def of(found: Column) -> Column:
         low = F.lower(found)
         month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, "(" + "|".join(MONTHS) + ")", 1))
         return F.concat(F.lpad(F.regexp_extract(low, r"^(\d+)", 1), 2, "0"), F.lit("."), F.lpad(month.cast("string"), 2, "0"), F.lit("."), F.right(found, F.lit(4)))
 
-    return F.concat(numbers, F.transform(F.regexp_extract_all(mended, F.lit(DATE_WORDS), 0), of))
+    numbers = lambda x: F.transform(F.regexp_extract_all(x, F.lit(DATE_NUMBER), 0), lambda d: F.translate(d, "-/", ".."))
+    return let(mended, lambda x: F.concat(numbers(x), F.transform(F.regexp_extract_all(x, F.lit(DATE_WORDS), 0), of)))
+
+
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Further columns, worked out once a row: they go through a generator, so that what uses them does not work them out again."""
+    return rows.select("*", F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_new")).select(*rows.columns, F.inline(F.array("_new")))
+
+
+def _holds(low: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
-def kind_of(text: Column) -> Column:
-    """standalone, consolidated or unknown, by what comes first on a page's head."""
-    head = F.lower(F.substring(text, 1, 2000))
-    place = lambda word: F.nullif(F.regexp_instr(head, F.lit(rf"\b{word}\b")), F.lit(0))
-    alone, whole = place("standalone"), place("consolidated")
-    return F.when(alone.isNull() & whole.isNull(), "unknown").when(whole.isNull() | (alone < whole), "standalone").otherwise("consolidated")
+def _with_kind(pages: DataFrame) -> DataFrame:
+    """kind: standalone, consolidated or unknown, by what comes first on a page's head."""
+    place = lambda word: F.when(F.col("_head").contains(word), F.regexp_instr("_head", F.lit(rf"\b{word}\b")))
+    rows = _once(_once(pages, _head=F.lower(F.substring("text", 1, 2000))), _alone=place("standalone"), _whole=place("consolidated"))
+    alone, whole = F.nullif("_alone", F.lit(0)), F.nullif("_whole", F.lit(0))
+    kind = F.when(alone.isNull() & whole.isNull(), "unknown").when(whole.isNull() | (alone < whole), "standalone").otherwise("consolidated")
+    return rows.withColumn("kind", kind).drop("_head", "_alone", "_whole")
 
 
 def page_units(pages: DataFrame) -> DataFrame:
@@ -95,42 +113,63 @@ def page_units(pages: DataFrame) -> DataFrame:
     return rows.select(*_AT, F.coalesce("declared", "guessed", first, F.lit(1.0)).alias("factor"))
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text that are not empty, without blanks around them. Blanks are looked through from where they begin only."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"(?<!\s)\s*\n\s*"))
+
+
+def _is_number(line: Column) -> Column:
+    """True for a number, false for words that can stand in a label, null for other lines."""
+    date = line.rlike(YEAR) & (line.rlike(DATE_NUMBER) | line.rlike(DATE_WORDS))
+    return F.when(line.rlike(NUMBER_LINE), True).when(line.rlike(TWO_LETTERS) & ~line.rlike(NOISE) & ~date, False)
+
+
 def text_items(pages: DataFrame) -> DataFrame:
-    """doc, page_no, headers, label, values, at: the items of pages whose cells stand on lines of their own."""
-    lines = pages.select(*_AT, F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
-    dated = F.col("line").contains("20")  # every date that is read has a year with it
-    lines = lines.withColumn("dates", F.when(dated, line_dates(F.col("line"))).otherwise(F.array().cast("array<string>"))).withColumn("low", F.lower("line"))
-    some, page, order = F.size("dates"), Window.partitionBy(*_AT), Window.partitionBy(*_AT).orderBy("at")
-    # what a page's lines say together stands beside each of them: a page comes into one task once; of its lines with dates the first few can be headers
-    lines = lines.withColumn("other", (some > 0) & ~F.col("line").rlike(TITLE))
-    lines = lines.withColumn("other", F.col("other") & (F.sum(F.col("other").cast("int")).over(order) <= COLUMNS))
-    others = F.array_sort(F.collect_list(F.when(F.col("other"), F.struct("at", "dates"))).over(page))
-    row = F.min(F.when(some >= 2, F.struct("at", "dates"))).over(page).getField("dates")
-    lines = lines.withColumns({"row": row, "others": others, "begin": F.coalesce(F.min(F.when(_any(F.col("low"), BEGIN), F.col("at"))).over(page), F.lit(0))})
-    headers = F.slice(F.coalesce("row", F.flatten(F.transform("others", lambda x: x.dates))), 1, COLUMNS)
-    lines = lines.where("at >= begin").withColumn("headers", headers).withColumn("n_cols", F.greatest(F.size("headers"), F.lit(3)))
-    line = F.col("line")
-    quiet = line.rlike(NOISE) | (F.length(F.regexp_replace(line, "[^a-zA-Z0-9]", "")) <= 1) | line.rlike(DECORATION) | (dated & (line.rlike(DATE_NUMBER) | line.rlike(DATE_WORDS)))
-    kind = F.when(line.rlike(NUMBER_LINE), "number").when(~quiet, "text")
-    rows = lines.select(*_AT, "at", "line", "headers", "n_cols", kind.alias("kind")).where("kind is not null")
+    """doc, page_no, headers, label, values, at (from 0): the items of pages whose cells stand on lines of their own."""
+    return _read_texts(pages.select(*_AT, "text")).select(*_AT, "headers", F.posexplode("items").alias("at", "x")).select(*_AT, "headers", "x.*", "at")
+
+
+def _read_texts(pages: DataFrame) -> DataFrame:
+    """The given columns but for text, then headers and items (array of label and values, as they come). All within the row."""
+    given = [c for c in pages.columns if c != "text"]
+    rows = _once(pages, low=F.lower("text"))
+    rows = _once(rows, place=F.regexp_instr("low", F.lit("|".join(BEGIN))))
+    begin = F.when(F.col("place") > 0, F.size(_lines(F.left("low", F.col("place")))) - 1).otherwise(0)
+    rows = _once(rows, lines=F.coalesce(_lines(F.col("text")), F.array().cast("array<string>")), begin=begin).drop("text", "low", "place")
+    # the first line with two dates or more has the headers, else the first few others with one
+    dates = lambda line: let(line_dates(line), lambda ds: F.when(F.size(ds) > 0, F.struct(ds.alias("dates"), (~line.rlike(TITLE)).alias("other"))))
+    rows = _once(rows, dated=F.array_compact(F.transform(F.filter("lines", lambda line: line.rlike(YEAR)), dates)))
+    row = F.get(F.filter("dated", lambda x: F.size(x.dates) >= 2), 0)["dates"]
+    others = F.flatten(F.transform(F.slice(F.filter("dated", lambda x: x.other), 1, COLUMNS), lambda x: x.dates))
+    cells = F.transform(F.slice("lines", F.col("begin") + 1, F.size("lines")), lambda line: F.struct(line.alias("line"), _is_number(line).alias("number")))
+    rows = _once(rows, headers=F.slice(F.coalesce(row, others), 1, COLUMNS), cells=F.filter(cells, lambda c: c.number.isNotNull()))
     # runs of lines of one kind; a run of numbers that is long enough, or the page's last, closes the label in front of it
-    begins = F.coalesce(F.lag("kind").over(order) != F.col("kind"), F.lit(True))
-    rows = rows.withColumn("run", F.sum(begins.cast("int")).over(order))
-    run = Window.partitionBy(*_AT, "run")
-    rows = rows.withColumns({"nth": F.row_number().over(run.orderBy("at")), "size": F.count("*").over(run), "last": F.max("run").over(page)})
-    number = F.col("kind") == "number"
-    rows = rows.withColumn("closes", number & ((F.col("size") >= F.col("n_cols")) | (F.col("run") == F.col("last"))))
-    ended = F.sum((F.col("closes") & (F.col("nth") == 1)).cast("int")).over(order)
-    rows = rows.withColumn("group", ended - F.col("closes").cast("int")).where(~number | (F.col("closes") & (F.col("nth") <= F.col("n_cols"))))
-    words, cells = F.array_sort(F.collect_list(F.when(~number, F.struct("at", "line")))), F.array_sort(F.collect_list(F.when(number, F.struct("at", clean_number(line).alias("value")))))
-    items = rows.groupBy(*_AT, "headers", "group").agg(words.alias("words"), cells.alias("cells"), F.min(F.when(number, F.col("at"))).alias("at"))
-    # a fourth line begins a label anew
-    n = F.size("words")
-    kept = F.slice("words", -((n - 1) % LABEL_LINES + 1), F.lit(LABEL_LINES))
-    label = clean_label(F.array_join(F.transform(kept, lambda x: x.line), " "))
-    values = F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda i: F.get(F.transform("cells", lambda x: x.value), i))
-    items = items.where(n > 0).select(*_AT, "headers", label.alias("label"), values.alias("values"), "at")
-    return items.where((F.length("label") >= 3) & F.exists("values", lambda v: v.isNotNull()))
+    n, n_cols = F.size("cells"), F.greatest(F.size("headers"), F.lit(3))
+    begins = F.transform("cells", lambda c, i: F.when((i == 0) | (c.number != F.get("cells", i - 1)["number"]), i))
+    rows = _once(rows, runs=F.array_compact(begins))
+    runs = F.transform("runs", lambda at, r: F.struct(at.alias("at"), F.coalesce(F.get("runs", r + 1), n).alias("end")))
+    rows = _once(rows, closing=F.filter(runs, lambda x: F.get("cells", x["at"])["number"] & ((x["end"] - x["at"] >= n_cols) | (x["end"] == n))))
+
+    def item(x: Column, j: Column) -> Column:
+        ended = F.coalesce(F.get("closing", j - 1)["end"], F.lit(0))
+        between = F.transform(F.when(x["at"] > ended, F.sequence(ended, x["at"] - 1)), lambda i: F.get("cells", i))
+        words = F.filter(between, lambda c: ~c.number)
+        values = F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda i: F.when(i < F.least(n_cols, x["end"] - x["at"]), clean_number(F.get("cells", x["at"] + i)["line"])))
+        return F.struct(words.alias("words"), values.alias("values"))
+
+    def label(words: Column) -> Column:
+        """A fourth line begins a label anew."""
+        kept = F.slice(words, -((F.size(words) - 1) % LABEL_LINES + 1), F.lit(LABEL_LINES))
+        return clean_label(F.array_join(F.transform(kept, lambda x: x.line), " "))
+
+    rows = _once(rows, found=F.filter(F.transform("closing", item), lambda x: F.size(x.words) > 0))
+    items = F.transform("found", lambda x: F.struct(label(x.words).alias("label"), x["values"].alias("values")))
+    return rows.select(*given, "headers", F.filter(items, _is_item).alias("items"))
+
+
+def _is_item(x: Column) -> Column:
+    return (F.length(x["label"]) >= 3) & F.exists(x["values"], lambda v: v.isNotNull())
 
 
 def _is_results_table(table: Column) -> Column:
@@ -144,38 +183,52 @@ def _header_cell(cell: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(cell, DATE_HEADER, 0), F.lit("")), F.when(words != "", F.element_at(line_dates(words), 1)))
 
 
-def table_items(pages: DataFrame) -> DataFrame:
-    """doc, page_no, table (from 0), headers, label, values, at: the items of bordered tables that look like results."""
-    tables = pages.select(*_AT, F.posexplode("tables").alias("table", "rows")).where(_is_results_table(F.col("rows")))
+def _read_tables(pages: DataFrame) -> DataFrame:
+    """The given columns but for tables and text, then table (from 0), headers and items (array of label and values, as they come) of bordered tables that look like results. All within the row."""
+    others = [c for c in pages.columns if c not in ("tables", "text")]
+    tables = pages.select(*others, F.posexplode("tables").alias("table", "rows")).where(_is_results_table(F.col("rows")))
     cells = F.flatten(F.transform(F.slice("rows", 1, 5), lambda r: F.coalesce(r, F.array().cast("array<string>"))))
     headers = F.slice(F.array_distinct(F.array_compact(F.transform(cells, _header_cell))), 1, COLUMNS)
-    each = tables.select(*_AT, "table", headers.alias("headers"), F.posexplode("rows").alias("at", "row")).where("row is not null")
-    each = each.withColumn("row", F.transform("row", lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")))
-    named = F.transform("row", lambda c: (c != "") & ~c.rlike(NUMBER_CELL))
-    place = F.array_position(named, F.lit(True)).cast("int")
-    values = F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda i: clean_number(F.get("row", i + F.col("place"))))
-    items = each.withColumn("place", place).where("place > 0").select(*_AT, "table", "headers", clean_label(F.element_at("row", F.col("place"))).alias("label"), values.alias("values"), "at")
-    return items.where((F.length("label") >= 3) & F.exists("values", lambda v: v.isNotNull()))
+
+    def item(row: Column, place: Column) -> Column:
+        values = F.transform(F.sequence(F.lit(0), F.lit(COLUMNS - 1)), lambda i: clean_number(F.get(row, i + place)))
+        return F.when(place > 0, F.struct(clean_label(F.element_at(row, place)).alias("label"), values.alias("values")))
+
+    trimmed = lambda row: F.transform(row, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""))
+    place = lambda row: F.array_position(F.transform(row, lambda c: (c != "") & ~c.rlike(NUMBER_CELL)), F.lit(True)).cast("int")
+    rows = _once(tables, trimmed=F.transform(F.filter("rows", lambda r: r.isNotNull()), trimmed))
+    items = F.array_compact(F.transform("trimmed", lambda row: let(place(row), lambda at: item(row, at))))
+    return rows.select(*others, "table", headers.alias("headers"), F.filter(items, _is_item).alias("items"))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """n_items, quality and items (label -> values) of rows with items as they come; quality is null where they are no statement. A label that comes again has its last values."""
+    rows = _once(rows.withColumnRenamed("items", "_all"), _sorted=F.array_sort(F.transform("_all", lambda x, i: F.struct(x["label"].alias("label"), i.alias("at"), x["values"].alias("values")))))
+    last = F.filter("_sorted", lambda x, i: F.coalesce(F.get("_sorted", i + 1)["label"] != x["label"], F.lit(True)))
+    rows = _once(rows, _last=last)
+    rows = _once(rows, n_items=F.size("_last").cast("long"), _known=F.size(F.filter("_last", lambda x: _any(F.lower(x["label"]), ANCHORS))).cast("long"))
+    items = F.map_from_entries(F.transform("_last", lambda x: F.struct(x["label"], x["values"])))
+    fit = (F.col("n_items") >= LEAST_ITEMS) & (F.col("_known") > 0)
+    return rows.withColumns({"quality": F.when(fit, F.col("_known")), "items": F.when(fit, items)}).drop("_all", "_sorted", "_last", "_known")
 
 
 def full_statements(pages: DataFrame) -> DataFrame:
     """doc, kind, unit (Cr, Lakhs, Mn), headers, quality, n_items, items (label -> values in the unit as written) of each document that has a statement."""
-    text = F.col("text")
-    unit = F.lower(group(text, UNIT))
-    unit = F.when(unit.contains("lakh") | unit.startswith("lac"), "Lakhs").when(unit.contains("million"), "Mn")
-    # a page that names no other unit has the last one named before it
-    last = F.last("unit", ignorenulls=True).over(Window.partitionBy("doc").orderBy("page_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    heads = pages.select(*_AT, unit.alias("unit"), kind_of(text).alias("kind")).select(*_AT, F.coalesce(last, F.lit("Cr")).alias("unit"), "kind")
-    fit = pages.where(_any(F.lower("text"), PAGE_WORDS) & ~F.substring("text", 1, 600).rlike(SUMMARY))
-    behind = F.lit(2**31 - 1)  # a page's text comes behind its tables
-    items = table_items(fit).unionByName(text_items(fit).withColumn("table", behind))
-    # a label that comes again has its last values
-    items = items.groupBy(*_AT, "table", "label").agg(F.max_by(F.struct("headers", "values"), "at").alias("x"))
-    anchor = _any(F.lower("label"), ANCHORS).cast("int")
-    found = items.groupBy(*_AT, "table").agg(F.count("*").alias("n_items"), F.sum(anchor).alias("quality"), F.first("x.headers").alias("headers"), F.map_from_entries(F.collect_list(F.struct("label", "x.values"))).alias("items"))
-    found = found.where((F.col("n_items") >= LEAST_ITEMS) & (F.col("quality") > 0))
-    # a row a page: files say nothing of how many those are, so they are never broadcast
-    found = found.join(heads.hint("merge"), _AT)
+    text, low = F.col("text"), F.col("low")
+    named = F.lower(F.when(_holds(low, UNIT_WORDS), group(text, UNIT)))
+    unit = F.when(named.contains("lakh") | named.startswith("lac"), "Lakhs").when(named.contains("million"), "Mn")
+    fit = _holds(low, PAGE_WORDS) & ~(_holds(low, SUMMARY_WORDS) & F.substring("text", 1, 600).rlike(SUMMARY))
+    pages = pages.where("doc is not null and page_no is not null")
+    # a page without a statement still says its unit
+    read = _once(_once(pages.select(*_AT, "text"), low=F.lower("text")), unit=unit, fit=F.coalesce(fit, F.lit(False))).drop("low")
+    read = _with_kind(read).withColumn("text", F.when(F.col("fit"), text).otherwise("")).drop("fit")
+    texts = _candidates(_read_texts(read)).withColumn("table", F.lit(BEHIND)).where("quality is not null or unit is not null")
+    held = _once(pages.where(F.size("tables") > 0).select(*_AT, "text", "tables"), low=F.lower("text")).where(fit).drop("low")
+    tables = _candidates(_read_tables(_with_kind(held))).withColumn("unit", F.lit(None).cast("string")).where("quality is not null")
+    shape = [*_AT, "table", "unit", "kind", "headers", "quality", "n_items", "items"]
+    # a page that names no other unit has the last one named before it; all rows of a page are peers
+    last = F.last("unit", ignorenulls=True).over(Window.partitionBy("doc").orderBy("page_no"))
+    found = texts.select(*shape).unionByName(tables.select(*shape)).withColumn("unit", F.coalesce(last, F.lit("Cr"))).where("quality is not null")
     preference = F.when(F.col("kind") == "standalone", 0).when(F.col("kind") == "unknown", 1).otherwise(2)
     order = F.struct(preference, -F.col("quality"), -F.col("n_items"), "page_no", "table")
     best = found.groupBy("doc").agg(F.min_by(F.struct("kind", "unit", "headers", "quality", "n_items", "items"), order).alias("x"))
