@@ -68,6 +68,15 @@ def sector_tags(company: Column, subject: Column, details: Column) -> Column:
     return labels(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (company, subject, details))), rules.SECTORS)
 
 
+def sector_theme(company: Column, subject: Column, details: Column, theme: str) -> Column:
+    """Whether sector_tags, joined by commas, have a theme in them: only the sectors that have it in their names are looked for."""
+    table = [(label, p) for label, p in rules.SECTORS if theme in label]
+    if "," in theme or not table:
+        return F.array_join(sector_tags(company, subject, details), ",").contains(theme)
+    text = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (company, subject, details)))
+    return let(F.translate(text, _CAPITALS, _CAPITALS.lower()), lambda low: reduce(lambda a, b: a | b, [found_in(low, p) for _, p in table]))
+
+
 def surprise(text: Column) -> Column:
     return F.when(text.rlike(_i(rules.POSITIVE)), "positive").when(text.rlike(_i(rules.NEGATIVE)), "negative").otherwise("neutral")
 

@@ -150,6 +150,17 @@ def _lines(texts: pd.Series) -> pd.Series:
     return texts.map(_line)
 
 
+def _in_order(lines: pd.Series) -> pd.Series:
+    # every rule begins with a last letter
+    return lines.map(lambda line: " ".join([stem_of(w) if "a" <= w[-1] <= "z" else w for w in line.split(" ")]) if line else line)
+
+
+def stemmed_words(text: Column) -> Column:
+    """Array of the stems of a text's plain tokens, as they come, repeats included. No word is shuffled."""
+    line = F.pandas_udf(_in_order, "string")(F.array_join(plain_tokens(text), " "))
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
 def stemmed_line(text: Column) -> Column:
     """The distinct stems of a text's plain tokens, sorted and joined by blanks. No word is shuffled."""
     return F.pandas_udf(_lines, "string")(F.array_join(plain_tokens(text), " "))

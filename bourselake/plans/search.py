@@ -7,11 +7,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import date_int, growth, half_up, narrative, sector_tags, words
+from ..functions.columns import date_int, growth, half_up, narrative, sector_theme, words
 from ..functions.rules import STOP_WORDS
 from ..operators import hybrid_search, ranking, retrieval, routing
 from ..operators.textindex import TextIndex, full_text, index_of
-from ..sources.scratch import spread
+from ..sources.scratch import Scratch, spread
 from ..streaming.jobs import shared_folder
 from .registry import Tables, query
 
@@ -69,7 +69,7 @@ def R1_bm25_all_terms(t: Tables) -> DataFrame:
 
 def _announcement_index(t: Tables) -> TextIndex:
     line = F.concat_ws(" ", "symbol", "company", "subject", "details")
-    return index_of(t.spark, shared_folder(t.spark), "announcements", "stemmed", t.announcements, "id", line)
+    return index_of(t.spark, shared_folder(t.spark), "announcements", "stemmed", t.wide("announcements"), "id", line)
 
 
 _FTS = """tok AS (SELECT id, regexp_extract_all(lower(concat_ws(' ', symbol, company, subject, details)), '[a-z0-9]+') AS ws FROM announcements), st AS (SELECT COUNT(*)::DOUBLE AS n, AVG(len(ws))::DOUBLE AS mean FROM tok),
@@ -195,12 +195,17 @@ SELECT qi AS question, nth, id, symbol, subject, n_sources, floor(ranked * 10000
 @query(_broker_sql())
 def R12_retrieval(t: Tables) -> DataFrame:
     """Five questions, one of each intent, from the index and the vectors to the ten best after re-ranking."""
-    rows = t.announcements.withColumn("sector_tags", F.array_join(sector_tags(F.col("company"), F.col("subject"), F.col("details")), ","))
-    vectors = hybrid_search.hashed_vectors(rows, "id", F.concat_ws(" ", "symbol", "company", "subject", "details"))
+    scratch, index = Scratch(t.spark, "retrieval"), _announcement_index(t)
+    # written once with their vectors: five questions read them, each several times
+    fields = t.wide("announcements").select("id", "symbol", "company", "subject", "details", "score", "broadcast_date", "order_value_cr")
+    rows = scratch.written(hybrid_search.with_vectors(fields, F.concat_ws(" ", "symbol", "company", "subject", "details")), "rows")
+    vectors = rows.where("embedding is not null").select("id", "embedding")
+    themed = lambda theme: sector_theme(F.col("company"), F.col("subject"), F.col("details"), theme)
+    results = scratch.written(t.results, "results")
     out = None
     for i, question in enumerate(_QUESTIONS):
         q = routing.ask(t.spark, question, dt.date(1998, 8, 5))
-        found = hybrid_search.retrieve(q, question, _announcement_index(t), rows, vectors, hybrid_search.question_vector(question, rows), t.results, F.lit(_AS_OF).cast("date"))
+        found = hybrid_search.retrieve(q, question, index, rows, vectors, hybrid_search.question_vector(question, rows), results, F.lit(_AS_OF).cast("date"), themed=themed)
         nth = F.row_number().over(Window.orderBy(F.desc("ranked"), "id"))  # of ten rows
         part = found.select(F.lit(i).alias("question"), nth.alias("nth"), "id", "symbol", "subject", F.size("sources").alias("n_sources"), half_up(F.col("ranked"), 6).alias("ranked"))
         out = part if out is None else out.unionByName(part)
@@ -275,15 +280,17 @@ def R7_typed_retrieval(t: Tables) -> DataFrame:
     """Typed searches of the two collections, each by words and vectors behind its conditions; the search of both is their two lists."""
     number = lambda c: date_int(F.col(c).cast("string"))
     results = _narrated(_grown(t)).select(F.concat_ws("|", F.lit("r"), "symbol", "period").alias("id"), "text", "period_type", F.col("revenue").alias("revenue_cr"), F.col("rg").alias("revenue_growth_pct"), F.lit(None).cast("double").alias("order_value_cr"), F.lit(None).cast("string").alias("sector"), number("broadcast_date").alias("date_int"))
-    wins = t.order_wins.select(F.concat(F.lit("o|"), F.col("id").cast("string")).alias("id"), F.concat_ws(" ", "company", F.lit("order win"), "order_sector", F.lit("large")).alias("text"), F.lit("order_win").alias("period_type"), F.lit(None).cast("double").alias("revenue_cr"), F.lit(None).cast("double").alias("revenue_growth_pct"), (F.col("value") / 1000.0).alias("order_value_cr"), F.col("order_sector").alias("sector"), number("broadcast_date").alias("date_int"))
-    ann = t.announcements.select(F.col("id").cast("string").alias("id"), F.concat(F.col("company"), F.lit(" ("), F.col("symbol"), F.lit("): "), F.col("subject"), F.lit(". "), F.col("details")).alias("text"), number("broadcast_date").alias("date_int"), "subject")
-    out, kept = None, {}
+    wins = t.wide("order_wins").select(F.concat(F.lit("o|"), F.col("id").cast("string")).alias("id"), F.concat_ws(" ", "company", F.lit("order win"), "order_sector", F.lit("large")).alias("text"), F.lit("order_win").alias("period_type"), F.lit(None).cast("double").alias("revenue_cr"), F.lit(None).cast("double").alias("revenue_growth_pct"), (F.col("value") / 1000.0).alias("order_value_cr"), F.col("order_sector").alias("sector"), number("broadcast_date").alias("date_int"))
+    ann = t.wide("announcements").select(F.col("id").cast("string").alias("id"), F.concat(F.col("company"), F.lit(" ("), F.col("symbol"), F.lit("): "), F.col("subject"), F.lit(". "), F.col("details")).alias("text"), number("broadcast_date").alias("date_int"), "subject")
+    out, kept, scratch = None, {}, Scratch(t.spark, "typed")
     for kind, (collection, question, tree, n) in _SEARCHES.items():
         if collection not in kept:
-            rows = {"fin": results.unionByName(wins), "ann": ann}[collection]
-            kept[collection] = rows, index_of(t.spark, shared_folder(t.spark), f"collection-{collection}", "mixed", rows, "id", F.col("text")), hybrid_search.hashed_vectors(rows, "id", F.col("text"))
-        rows, index, vectors = kept[collection]
-        found = hybrid_search.typed_search(index, rows, vectors, index.question_terms(question), hybrid_search.question_vector(question, rows), tree, n)
+            source = {"fin": results.unionByName(wins), "ann": ann}[collection]
+            # written once with their vectors: the index is built from them and each search reads them
+            rows = scratch.written(hybrid_search.with_vectors(source, F.col("text")), collection)
+            kept[collection] = rows, index_of(t.spark, shared_folder(t.spark), f"collection-{collection}", "mixed", rows, "id", F.col("text"), source)
+        rows, index = kept[collection]
+        found = hybrid_search.typed_search(index, rows, index.question_terms(question), hybrid_search.question_vector(question, rows), tree, n)
         part = found.select(F.lit(kind).alias("kind"), "id", half_up(F.col("score"), 6).alias("score"), "distance")
         out = part if out is None else out.unionByName(part)
     return out
