@@ -50,3 +50,20 @@ def test_a_theme_is_found_as_in_all_tags(spark):
     themes = [label for label, _ in rules.SECTORS] + ["a", "no such", ",", rules.SECTORS[0][0][:3]]
     same = [F.coalesce(C.sector_theme(*fields, t) == tags.contains(t), F.lit(False)).alias(f"c{i}") for i, t in enumerate(themes)]
     assert all(all(r) for r in rows.select(*same).collect())
+
+
+class _Index:
+    def search(self, terms, n, *args, among=None, **more):
+        self.among = among
+        return among.sparkSession.createDataFrame([], "key string, score double") if among is not None else self.nothing
+
+
+def test_a_typed_search_reads_rows_with_their_vectors(spark):
+    """No list of all ids goes to the index, and vectors are not joined to the rows that pass."""
+    rows = hybrid_search.with_vectors(spark.createDataFrame([(str(i), t, i % 2) for i, t in enumerate(TEXTS)], "id string, text string, kind int"), F.col("text"))
+    index, vector = _Index(), _vector("software firm", 16)
+    index.nothing = spark.createDataFrame([], "key string, score double")
+    every = hybrid_search.typed_search(index, rows, ["software"], vector, {}, 10)
+    assert index.among is None and {r.id for r in every.collect()} == {str(i) for i, t in enumerate(TEXTS) if any(_vector(t, 16))} and every.first().id == "0"
+    some = hybrid_search.typed_search(index, rows, ["software"], vector, {"kind": {"$eq": 1}}, 10)
+    assert {r.id for r in index.among.select(F.col("key").alias("id")).collect()} == {"1", "3", "5"} and {r.id for r in some.collect()} == {"1", "5"}
